@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, chat, packing, pii, quality, sharding, token_files, vocab
+from quillmill.llm import bpe, chat, neighbours, packing, pii, quality, sharding, token_files, toxicity, vocab
 from quillmill.runtime import load, scratch_dir
 
 
@@ -26,10 +26,19 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), vocab.default_path("byte_bpe_50k.json"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(load(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -45,7 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_preferences, op4_sharding, op5_bpe, op7_pii, op9_token_files, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_preferences, op4_sharding, op5_bpe, op6_neighbours, op7_pii, op8_toxicity, op9_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
