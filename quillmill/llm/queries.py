@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, chat, neighbours, packing, pii, quality, sharding, token_files, toxicity, vocab
+from quillmill.llm import bpe, chat, dedup, neighbours, packing, pii, quality, sharding, token_files, toxicity, vocab
 from quillmill.runtime import load, scratch_dir
 
 
@@ -18,6 +18,10 @@ def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_pairs(chat.own_pairs(load(spark, sf_dir, "conversations")))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.link(load(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(load(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_preferences, op4_sharding, op5_bpe, op6_neighbours, op7_pii, op8_toxicity, op9_token_files, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_preferences, op3_near_dedup, op4_sharding, op5_bpe, op6_neighbours, op7_pii, op8_toxicity, op9_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
