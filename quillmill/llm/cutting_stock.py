@@ -56,10 +56,26 @@ def relax(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-
     `gap` of the bound, or after `max_pivots` (both only bound the driver's work; any basis is feasible).
     """
     n = len(sizes)
-    patterns, amounts = np.diag((capacity // sizes).astype(float)), np.zeros(n)
+    copies = (capacity // sizes).astype(float)
+    patterns, inverse = np.diag(copies), np.diag(1 / copies)
+    amounts = demand / copies
+
+    def enter(column: np.ndarray, change: np.ndarray, leave: int) -> None:
+        """Swap a column of the basis; element-wise work only, as threaded matrix routines can stall beside a JVM."""
+        nonlocal amounts
+        step = amounts[leave] / change[leave]
+        amounts = (amounts - step * change).clip(0)
+        amounts[leave] = step
+        patterns[:, leave] = column
+        row = inverse[leave] / change[leave]
+        for i in np.flatnonzero(change):
+            inverse[i] -= change[i] * row
+        inverse[leave] = row
+
     for column, times, row in fill(sizes, demand, capacity, whole=False):
-        patterns[:, row], amounts[row] = column, times
-    inverse = np.linalg.inv(patterns)
+        enter(column, np.einsum("ij,j->i", inverse, column.astype(float)), row)
+        amounts[row] = times
+    amounts = np.einsum("ij,j->i", inverse, demand.astype(float)).clip(0)
     bound = float(sizes @ demand) / capacity
     pivots = 0
     while pivots < max_pivots and amounts.sum() > bound * (1 + gap):
@@ -69,24 +85,19 @@ def relax(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-
             break
         if (prices >= 0).all():
             bound = max(bound, float(prices @ demand) / value)
+        before = pivots
         for column in columns:
             if inverse.sum(axis=0) @ column <= 1 + 1e-9:
                 continue
-            change = inverse @ column
+            change = np.einsum("ij,j->i", inverse, column)
             up = change > 1e-9
-            if not up.any():
-                continue
-            ratios = np.full(n, np.inf)
-            ratios[up] = amounts[up] / change[up]
-            leave = int(ratios.argmin())
-            step = ratios[leave]
-            amounts = (amounts - step * change).clip(0)
-            amounts[leave] = step
-            patterns[:, leave] = column
-            row = inverse[leave] / change[leave]
-            inverse -= np.outer(change, row)
-            inverse[leave] = row
-            pivots += 1
+            if up.any():
+                ratios = np.full(n, np.inf)
+                ratios[up] = amounts[up] / change[up]
+                enter(column, change, int(ratios.argmin()))
+                pivots += 1
+        if pivots == before:  # only rounding errors are left to gain
+            break
     return patterns, amounts, bound
 
 
