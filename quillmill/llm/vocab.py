@@ -20,8 +20,16 @@ SPACES = "\\t-\\r \\x85\\xa0"
 UNSAFE = re.compile("[^\\x00-ɏ‐-‧‰-⁞]")
 #: For lower-casing vocabularies: letters whose lower case stays in the range, one for one.
 UNSAFE_CASE = re.compile("[^\\x00-įı-ſ‐-‧‰-⁞]")
-#: Longer runs without a break go to the library, whose merging is not quadratic in a run's length.
-LONG_RUN = re.compile(r"\s{2000}|\S{2000}")
+
+
+def long_run(text: str) -> bool:
+    """Whether a run without a space, or of white space alone, may be longer than 2000 characters.
+
+    Such texts go to the library, whose merging is not quadratic in a run's length.
+    """
+    if len(text) < 2000:
+        return False
+    return any(" " not in (part := text[i : i + 1000]) or part.isspace() for i in range(0, len(text) - 999, 1000))
 
 
 def default_path(name: str) -> str:
@@ -74,7 +82,7 @@ def byte_encoder(path: str):
     allowed = set(added)
 
     def encode(text: str) -> np.ndarray:
-        if UNSAFE.search(text) or LONG_RUN.search(text):
+        if long_run(text) or not text.isascii() and UNSAFE.search(text):
             return np.array(lib.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return fast.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
 
@@ -106,7 +114,7 @@ def word_encoder(path: str):
     words = re.compile(f"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
     def encode(text: str) -> np.ndarray:
-        if UNSAFE_CASE.search(text) or LONG_RUN.search(text) or special.search(text):
+        if long_run(text) or "<|" in text and special.search(text) or not text.isascii() and UNSAFE_CASE.search(text):
             return np.array(lib.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         found = words.findall(text.lower())
         return fast.encode_to_numpy("\n".join(found) + "\n", disallowed_special=()) if found else np.empty(0, np.uint32)
