@@ -1,0 +1,65 @@
+"""Model requests and answers: turn merging, prompts, answer ladders, confidence, usage."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def merged_roles(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Runs of turns by one role as one message (texts joined by a blank line); key, message (from 0), role, text."""
+    order = Window.partitionBy(key).orderBy("turn")
+    new = (F.col("role") != F.lag("role").over(order)) | F.lag("role").over(order).isNull()
+    runs = turns.withColumn("message", F.sum(new.cast("long")).over(order) - 1)
+    whole = runs.groupBy(key, "message").agg(F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return whole.select(key, "message", "role", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def prompt(source: Column, background: Column, previous: Column, terms: Column) -> Column:
+    """Parts of a request in order; absent ones are left out, a blank source passes through as it is."""
+    part = lambda title, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"[{title}]\n"), c))
+    parts = F.concat_ws("\n\n", part("Background", background), part("Previous", previous), part("Terms", terms), part("Text", source))
+    return F.when(source.rlike(r"\S"), parts).otherwise(source)
+
+
+def confidence(rows: DataFrame, key: str, logprob: str) -> DataFrame:
+    """Mean probability less half its population deviation, in 0 to 1; null without tokens."""
+    p = F.least(F.greatest(F.exp(F.col(logprob)), F.lit(0.0)), F.lit(1.0))
+    finite = F.when(F.col(logprob).isNotNull() & ~F.isnan(logprob), p)
+    index = F.avg(finite) - 0.5 * F.stddev_pop(finite)
+    return rows.groupBy(key).agg(F.least(F.greatest(index, F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.count(finite).alias("tokens"))
+
+
+def answer_status(answer: Column, source: Column, truncated: Column, restored: Column) -> Column:
+    """Outcome of one attempt; all but success are tried again."""
+    return F.when(truncated, "interrupted").when(~answer.rlike(r"\S"), "failed").when(F.trim(answer) == F.trim(source), "failed").when(~restored, "failed").otherwise("success")
+
+
+def final_outcome(attempts: DataFrame, key: str) -> DataFrame:
+    """The first success, else the last attempt: status, attempts used, text (source if failed, empty if interrupted)."""
+    best = F.struct(F.col("status") != "success", F.when(F.col("status") == "success", F.col("attempt")).otherwise(-F.col("attempt")))
+    done = attempts.groupBy(key).agg(F.min_by(F.struct("status", "attempt", "answer", "source"), best).alias("x"))
+    text = F.when(F.col("x.status") == "interrupted", "").otherwise(F.when(F.col("x.status") == "success", F.col("x.answer")).otherwise(F.coalesce(F.nullif(F.col("x.answer"), F.lit("")), F.col("x.source"))))
+    return done.select(key, "x.status", "x.attempt", text.alias("text"))
+
+
+def usage(given: Column, estimate: Column) -> Column:
+    """A provider's count, or the estimate where it gives none."""
+    return F.coalesce(F.nullif(given, F.lit(0)), estimate)
+
+
+def framed(body: Column) -> Column:
+    """Data lines of a streamed reply, without prefix, blanks, comments and end marks."""
+    lines = F.transform(F.split(body, "\r?\n"), lambda x: F.regexp_replace(F.trim(x), "^data:\\s*", ""))
+    return F.filter(lines, lambda x: (x != "") & (x != "[DONE]") & ~x.startswith(":") & ~x.startswith("event:"))
+
+
+def error_kind(message: Column) -> Column:
+    """First matching kind of an error message."""
+    low = F.lower(message)
+    has = lambda p: low.rlike(p)
+    return (
+        F.when(has("threshold"), "threshold").when(has("429|rate.?limit|too many"), "rate-limit").when(has("placeholder|tag"), "placeholder")
+        .when(has("http [45][0-9][0-9]"), "http").when(has("timed? ?out|connection"), "transport").when(has("interrupt|cancel"), "interrupted").when(has("parse|json"), "parse").otherwise("other")
+    )
