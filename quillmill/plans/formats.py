@@ -2,5 +2,70 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmill.functions import text as T
+from quillmill.operators import placeholders, splitting
+from quillmill.runtime import load
+from quillmill.sources import formats
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages").select(F.concat(F.col("page_id"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+
+
+@query()
+def html_visible_text_nodes(spark, sf_dir):
+    """Visible text nodes and translatable attributes of all pages."""
+    units = formats.parsed(page_files(spark, sf_dir)).filter("kind <> 'empty'")
+    return units.select("path", "ordinal", "kind", "address", "text")
+
+
+@query("SELECT p_partkey || '.json' AS path, ordinal, address, text FROM (SELECT p_partkey, 0 AS ordinal, '/name' AS address, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, '/kind~1type/0', p_type FROM part UNION ALL SELECT p_partkey, 2, '/kind~1type/1/b~0', p_brand FROM part)")
+def json_string_pointers(spark, sf_dir):
+    made = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("n"), F.lit("@").alias("mark")))
+    made = F.replace(made, F.lit('"mark":"@"'), F.concat(F.lit('"kind/type":["'), "p_type", F.lit('",{"b~":"'), "p_brand", F.lit('"}]')))
+    files = load(spark, sf_dir, "part").select(F.concat(F.col("p_partkey"), F.lit(".json")).alias("path"), F.encode(made, "UTF-8").alias("content"))
+    return formats.parsed(files).select("path", "ordinal", "address", "text")
+
+
+@query("SELECT doc_id, true AS identical FROM documents")
+def markdown_protect_roundtrip(spark, sf_dir):
+    """Protecting and restoring every text gives it back."""
+    return placeholders.protected(load(spark, sf_dir, "documents"), "markdown").select("doc_id", "identical")
+
+
+@query("SELECT conv_id || '.srt' AS path, count(*) AS cues, sum(length(trim(text)))::BIGINT AS chars FROM (SELECT conv_id, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM conversations) WHERE trim(text) <> '' GROUP BY 1")
+def srt_cues(spark, sf_dir):
+    """Conversations written as subtitles and parsed again."""
+    body = F.trim(F.regexp_replace("text", r"\s+", " "))
+    cue = F.concat((F.col("turn") + 1).cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n"), body, F.lit("\n\n"))
+    whole = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("c"))
+    files = whole.select(F.concat("conv_id", F.lit(".srt")).alias("path"), F.encode(F.array_join(F.transform("c", lambda x: x["cue"]), ""), "UTF-8").alias("content"))
+    return formats.parsed(files).groupBy("path").agg(F.count("*").alias("cues"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT doc_id::VARCHAR AS path, md5(text) AS text_md5, true AS within FROM documents WHERE text IS NOT NULL")
+def split_chunks_lossless(spark, sf_dir):
+    """Texts split under a token limit: the chunks concatenate to the text and none is over the limit."""
+    docs = load(spark, sf_dir, "documents").filter("text is not null")
+    units = docs.select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("ordinal"), "text", F.lit(True).alias("breakable"))
+    chunks = splitting.chunk_units(units, 120)
+    whole = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("sequence", "text"))).alias("c"), F.bool_and(T.token_count(F.col("text")) <= 120).alias("within"))
+    return whole.select("path", F.md5(F.encode(F.array_join(F.transform("c", lambda x: x["text"]), ""), "UTF-8")).alias("text_md5"), "within")
