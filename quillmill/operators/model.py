@@ -28,7 +28,7 @@ def confidence(rows: DataFrame, key: str, logprob: str) -> DataFrame:
     p = F.least(F.greatest(F.exp(F.col(logprob)), F.lit(0.0)), F.lit(1.0))
     finite = F.when(F.col(logprob).isNotNull() & ~F.isnan(logprob), p)
     index = F.avg(finite) - 0.5 * F.stddev_pop(finite)
-    return rows.groupBy(key).agg(F.least(F.greatest(index, F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.count(finite).alias("tokens"))
+    return rows.groupBy(key).agg(F.when(F.count(finite) > 0, F.least(F.greatest(index, F.lit(0.0)), F.lit(1.0))).alias("confidence"), F.count(finite).alias("tokens"))
 
 
 def answer_status(answer: Column, source: Column, truncated: Column, restored: Column) -> Column:
