@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, chat, dedup, neighbours, packing, pii, quality, sharding, token_files, toxicity, vocab
 from quillmill.runtime import load, scratch_dir
@@ -19,7 +20,7 @@ def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.link(load(spark, sf_dir, "documents"))
+    return dedup.link(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +55,58 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(load(spark, sf_dir, "documents"))
     figures = {f"q_{n}": n for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    return judged.withColumnsRenamed(figures).select("doc_id", *figures.values(), "base_failed", "kept", "host_rate")
+    return judged.withColumnsRenamed(figures).select("doc_id", *figures.values(), "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_preferences, op3_near_dedup, op4_sharding, op5_bpe, op6_neighbours, op7_pii, op8_toxicity, op9_token_files, op10_quality)}
 
 
+_RENDER = "'<|' || t.role || '|>' || chr(10) || t.text || chr(10)"
+_SPANS = """list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN {0}[i].role = 'assistant' THEN (list_sum(list_transform({0}[1:i - 1], lambda u: length(u.role) + length(u.text) + 6)) + length({0}[i].role) + 5)::BIGINT || ':' || (list_sum(list_transform({0}[1:i - 1], lambda u: length(u.role) + length(u.text) + 6)) + length({0}[i].role) + 5 + length({0}[i].text))::BIGINT END)"""
+
+
+def _spans(c: str) -> str:
+    spans = _SPANS.format(c).replace("list_sum(", "coalesce(list_sum(").replace("+ 6)) +", "+ 6)), 0) +")
+    return f"array_to_string(list_filter({spans}, lambda x: x IS NOT NULL), ',')"
+
+
+def _text(c: str) -> str:
+    return f"coalesce(array_to_string(list_transform({c}, lambda t: {_RENDER}), ''), '')"
+
+
+PREFERENCES = f"""WITH t AS (SELECT conv_id, list({{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS chosen FROM conversations GROUP BY 1),
+ p AS (SELECT *, list_filter(range(1, len(chosen) + 1), lambda i: chosen[i].role = 'assistant') AS pl FROM t),
+ r AS (SELECT conv_id, chosen, CASE WHEN len(pl) = 0 THEN chosen ELSE list_transform(chosen, lambda x, i: CASE WHEN i = pl[-1] THEN {{'turn': x.turn, 'role': x.role, 'text': CASE WHEN len(pl) = 1 THEN '' ELSE chosen[pl[1]].text END}} ELSE x END) END AS rejected FROM p),
+ k AS (SELECT *, coalesce(list_min(list_filter(range(1, len(chosen) + 1), lambda i: chosen[i].role <> rejected[i].role OR chosen[i].text <> rejected[i].text)) - 1, len(chosen)) AS n FROM r),
+ q AS (SELECT conv_id, n, chosen[1:n] AS a, chosen[n + 1:] AS c, rejected[n + 1:] AS d FROM k)
+ SELECT conv_id, n::BIGINT AS prompt_turns, {_text('a')} AS prompt, {_text('c')} AS chosen, {_text('d')} AS rejected, {_spans('c')} AS chosen_mask, {_spans('d')} AS rejected_mask FROM q"""
+
+NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+ n AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY 1),
+ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+ l2 AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+ c AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l2.y, c.root FROM c JOIN l2 ON l2.x = c.doc_id)
+ SELECT doc_id, n AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM c JOIN n USING (doc_id) GROUP BY doc_id, n"""
+
+QUALITY = r"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ g AS (SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+ o AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1),
+ rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM o) GROUP BY 1),
+ l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+ f AS (SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN l USING (doc_id)),
+ r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  (n_symbols > 0.1 * greatest(n_words, 1))::INT + (n_dup_lines > 0.3 * greatest(n_lines, 1))::INT + (word_chars::DOUBLE / greatest(n_words, 1) < 3 OR word_chars::DOUBLE / greatest(n_words, 1) > 12)::INT AS more FROM f),
+ h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR more > 0) AS k FROM r GROUP BY 1),
+ m AS (SELECT avg(k::DOUBLE / n) AS m, var_pop(k::DOUBLE / n) AS v, avg(1.0::DOUBLE / n) AS noise FROM h),
+ b AS (SELECT m, greatest(m * (1 - m) / greatest(v - m * (1 - m) * noise, 1e-6) - 1, 1.0) AS strength FROM m),
+ q AS (SELECT source, (k + m * strength) / (n + strength) AS rate FROM h, b)
+ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND more < CASE WHEN rate >= 0.5 THEN 1 ELSE 2 END AS kept, round(rate, 6) AS host_rate FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_preferences": PREFERENCES, "op3_near_dedup": NEAR, "op10_quality": QUALITY}
