@@ -420,12 +420,12 @@ def aimd_replay(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quillmill.plans import formats
+    from quillmill.plans import exchange, formats
 
-    return QUERIES | formats.QUERIES
+    return QUERIES | formats.QUERIES | exchange.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillmill.plans import formats
+    from quillmill.plans import exchange, formats
 
-    return SQL | formats.SQL
+    return SQL | formats.SQL | exchange.SQL
