@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm import vocab
+from quillmill.llm.batches import small
 
 GAP = "Ā"  #: between words in the automaton's input, where each byte is one character below it
 
@@ -180,16 +181,14 @@ def round_trip(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer_path)
-        for big in batches:
-            for start in range(0, big.num_rows, 1000):
-                batch = big.slice(start, 1000)
-                ids = bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()])
-                cols = [
-                    batch.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                ]
-                yield pa.record_batch(cols + [pa.array(ids, pa.binary())] * keep_ids, names=[f.split()[0] for f in schema.split(", ")])
+        for batch in small(batches, 1000):
+            ids = bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+            cols = [
+                batch.column(0),
+                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+            ]
+            yield pa.record_batch(cols + [pa.array(ids, pa.binary())] * keep_ids, names=[f.split()[0] for f in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.llm import cutting_stock, vocab
+from quillmill.llm.batches import small
 from quillmill.runtime import write_table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
@@ -37,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 1024, end_id: in
 
         part, seen, encode = TaskContext.get().partitionId(), Counter(), vocab.byte_encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches, 1000):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = memoryview(encode(text or "").astype("<u4", copy=False).tobytes() + end)

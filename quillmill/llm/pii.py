@@ -112,7 +112,7 @@ def digest(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def mask(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs with every span replaced by its kind in brackets (overlapping spans by that of the first); n_chars follows."""
+    """docs with every span replaced by its kind in brackets (overlapping spans by that of the first); their n_chars follows."""
     found = find(docs, threshold, "_pii")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text").cast("string")
@@ -124,5 +124,7 @@ def mask(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     masked = F.aggregate("_pii", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("_pii") > 0, masked).otherwise(text)).drop("_pii")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    hit = F.size("_pii") > 0
+    found = found.withColumn("_masked", F.when(hit, masked).otherwise(text))
+    new = {"text": F.col("_masked"), "n_chars": F.when(hit, F.length("_masked").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

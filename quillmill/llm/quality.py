@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillmill.llm.batches import small
 from quillmill.runtime import write_table
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -54,13 +56,13 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     names = [f"q_{f.strip().split()[0]}" for f in METRICS.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1000):
             rows = [measure(t or "") for t in batch.column(0).to_pylist()]
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6
             yield pa.record_batch([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *names])
 
     given = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:]), *(f"{n} long" for n in names)])
+    schema = T.StructType([*given.schema.fields[1:], *(T.StructField(n, T.LongType()) for n in names)])
     return given.mapInArrow(run, schema)
 
 
@@ -80,13 +82,15 @@ def host_rates(figures: DataFrame, host: str = "source") -> DataFrame:
     """host_key, n_docs, n_failed, host_rate: each host's share of failing documents, shrunk to the beta prior."""
     failed = (base_failed() | (further_failures() > 0)).cast("long")
     hosts = figures.groupBy(host_key(host).alias("host_key")).agg(F.count("*").alias("n_docs"), F.sum(failed).alias("n_failed"))
+    hosts, _ = write_table(hosts, "hosts")
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("noise"))
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("noise")).first()
+    if prior.m is None:
+        return hosts.withColumn("host_rate", F.lit(0.0))
     # method of moments: the spread of rates beyond what sampling alone gives
-    spread = F.greatest(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("noise"), F.lit(1e-6))
-    strength = F.greatest(F.col("m") * (1 - F.col("m")) / spread - 1, F.lit(1.0))
-    prior = prior.select((F.col("m") * strength).alias("a"), ((1 - F.col("m")) * strength).alias("b"))
-    return hosts.join(F.broadcast(prior)).select("host_key", "n_docs", "n_failed", ((F.col("n_failed") + F.col("a")) / (F.col("n_docs") + F.col("a") + F.col("b"))).alias("host_rate"))
+    spread = max(prior.v - prior.m * (1 - prior.m) * prior.noise, 1e-6)
+    strength = max(prior.m * (1 - prior.m) / spread - 1, 1.0)
+    return hosts.withColumn("host_rate", (F.col("n_failed") + prior.m * strength) / (F.col("n_docs") + strength))
 
 
 def host_key(host: str) -> F.Column:
@@ -108,5 +112,6 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def accept(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that are kept, with their own columns only. Texts are measured twice rather than written."""
-    rates, _ = write_table(host_rates(measured(docs, [host]), host), "host-rates")
-    return verdicts(measured(docs, docs.columns), rates, host).filter("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text", F.col(host).alias("_host"))  # no name can clash
+    rates = host_rates(measured(whole, ["_host"]), "_host")
+    return verdicts(measured(whole, ["_row", "_host"]), rates, "_host").filter("kept").select("_row.*")

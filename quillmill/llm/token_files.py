@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import huffman, vocab
+from quillmill.llm.batches import small
 from quillmill.runtime import drop_table, exclusive_prefix, partitions, write_table
 
 BLOCKS = "file_no int, block_no long, n_tokens long, doc_ids array<long>, doc_lengths array<int>, checkpoints array<long>, payload binary"
@@ -31,11 +32,9 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = vocab.word_encoder(tokenizer_path), np.array([end_id], dtype=kind).tobytes()
-        for big in batches:
-            for start in range(0, big.num_rows, 1000):
-                batch = big.slice(start, 1000)
-                ids = [encode(t or "").astype(kind).tobytes() + end for t in batch.column(1).to_pylist()]
-                yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        for batch in small(batches, 1000):
+            ids = [encode(t or "").astype(kind).tobytes() + end for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 

@@ -103,3 +103,34 @@ def near_components(docs):
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def kept_by_quality(docs):
+    """docs: (doc_id, text, source). doc_ids that the rules and their host's verdict keep."""
+    rows, hosts = {}, {}
+    for d, text, source in docs:
+        n, chars, symbols, dup, repeat = quality(text)
+        lines = sum(1 for x in (text or "").split("\n") if words(x))
+        base = n < 50 or 100 * repeat > 50 * n
+        more = (symbols > 0.1 * max(n, 1)) + (dup > 0.3 * max(lines, 1)) + (not 3 <= chars / max(n, 1) <= 12)
+        rows[d] = base, more, source
+        k = hosts.setdefault(source, [0, 0])
+        k[0] += 1
+        k[1] += base or more > 0
+    rates = [f / n for n, f in hosts.values()]
+    m = sum(rates) / len(rates)
+    v = sum((r - m) ** 2 for r in rates) / len(rates)
+    noise = sum(1 / n for n, _ in hosts.values()) / len(hosts)
+    strength = max(m * (1 - m) / max(v - m * (1 - m) * noise, 1e-6) - 1, 1.0)
+    rate = {h: (f + m * strength) / (n + strength) for h, (n, f) in hosts.items()}
+    return {d for d, (base, more, h) in rows.items() if not base and more < (1 if rate[h] >= 0.5 else 2)}
+
+
+def masked(text, spans):
+    """Spans as kind:start:end, replaced by their kinds in order; one that begins inside another goes."""
+    out, at = "", 0
+    for kind, start, end in ((k, int(a), int(b)) for k, a, b in (s.split(":") for s in spans.split(",") if s)):
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
