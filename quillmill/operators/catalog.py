@@ -58,7 +58,7 @@ def pending_migrations(known: DataFrame, applied: DataFrame) -> DataFrame:
 
 def cloned(provider: DataFrame, models: DataFrame, new_id: str, name: Column) -> tuple[DataFrame, DataFrame]:
     """A provider and its models under new ids."""
-    own = models.join(F.broadcast(provider.select(F.col("id").alias("provider_id"))), "provider_id", "left_semi")
+    own = models.join(provider.select(F.col("id").alias("provider_id")), "provider_id", "left_semi")
     return provider.withColumn("name", name).withColumn("id", F.lit(new_id)), own.withColumns({"provider_id": F.lit(new_id), "id": F.concat(F.lit(f"{new_id}-"), "id")})
 
 
@@ -96,7 +96,7 @@ def media_type(path: Column) -> Column:
 
 def capabilities(models: DataFrame, rules: DataFrame) -> DataFrame:
     """Models with the capability of the first rule (rank, pattern, capability) whose pattern begins their name."""
-    named = models.join(F.broadcast(rules), F.lower("request_name").startswith(rules.pattern), "left")
+    named = models.join(rules, F.lower("request_name").startswith(rules.pattern), "left")
     best = named.groupBy(*models.columns).agg(F.min_by("capability", "rank").alias("capability"))
     return best.withColumn("capability", F.coalesce("capability", F.lit("text")))
 

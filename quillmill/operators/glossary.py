@@ -29,6 +29,14 @@ def normalised(entries: DataFrame, order: str = "entry_index") -> DataFrame:
     return clean.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
+def loaded(entries: DataFrame, most: int = 200_000) -> list[tuple[int, str]]:
+    """A glossary's (entry_index, src) in order, for the automaton; more than `most` entries are an error."""
+    rows = entries.select("entry_index", "src").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a glossary holds {most} entries at most")
+    return sorted((r.entry_index, r.src) for r in rows)
+
+
 def matches(chunks: DataFrame, terms: list[tuple[int, str]], key: str = "doc_id") -> DataFrame:
     """key, entry_index, start, end of the terms in each text.
 

@@ -59,7 +59,7 @@ def page(rows: DataFrame, order: list, number: int = 1, size: int = 100, largest
     # only the rows up to the page's end are sorted into one place
     top = rows.orderBy(*order).limit(start + size)
     numbered = top.withColumn("row_number", F.row_number().over(Window.orderBy(*order)).cast("long")).filter(F.col("row_number") > start)
-    return numbered.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
+    return numbered.withColumn("total", F.lit(rows.count()).cast("long"))
 
 
 def queue_order(queued: DataFrame) -> DataFrame:

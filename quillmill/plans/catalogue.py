@@ -213,7 +213,7 @@ def glossary_normalise_dedup(spark, sf_dir):
 @query(f"WITH {_TERMS}, h AS (SELECT doc_id, entry_index FROM documents, terms WHERE regexp_matches(lower(text), '(^|[^A-Za-z0-9_])' || regexp_escape(lower(src)) || '($|[^A-Za-z0-9_])')) SELECT doc_id, entry_index FROM h")
 def glossary_match_boundaries(spark, sf_dir):
     """Documents and the terms that stand in them by the boundary rule, each term on its own."""
-    entries = [(r.entry_index, r.src) for r in terms(spark, sf_dir).collect()]  # one glossary, of bounded size
+    entries = glossary.loaded(terms(spark, sf_dir))
     docs = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
     quick = F.array(*[F.struct(F.lit(i).cast("long").alias("entry_index"), F.lit(s.lower()).alias("src")) for i, s in entries])
     found = docs.select("doc_id", "text", F.explode(F.filter(quick, lambda t: F.contains(F.col("text"), t["src"]))).alias("t"))
@@ -223,7 +223,7 @@ def glossary_match_boundaries(spark, sf_dir):
 @query()
 def glossary_match_longest(spark, sf_dir):
     """Accepted hits: longest first, then leftmost, no overlaps."""
-    entries = [(r.entry_index, r.src) for r in terms(spark, sf_dir).collect()]  # one glossary, of bounded size
+    entries = glossary.loaded(terms(spark, sf_dir))
     return glossary.matches(documents(spark, sf_dir), entries)
 
 
