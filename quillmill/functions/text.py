@@ -108,10 +108,23 @@ def http_class(status: Column) -> Column:
     return F.when(status == 429, "rate-limited").when(status.isin(408, 499) | (status >= 500), "transient").when(status >= 400, "permanent").otherwise("ok")
 
 
+# What error messages say of a model that is gone.
+GONE = [
+    "not found", "does not exist", "doesn't exist", "no longer available", "not available", "deprecated", "decommissioned", "retired", "unsupported model", "unknown model",
+    "model_not_found", "modelnotfound", "deploymentnotfound", "model_not_available", "model_deprecated",
+]
+
+
+def model_unavailable(status: Column, message: Column) -> Column:
+    """Whether a refusal (400 or 404) names a model or deployment that is gone."""
+    low = F.lower(message)
+    return status.isin(400, 404) & low.rlike("model|deployment") & low.rlike("|".join(GONE))
+
+
 def truncated_finish(reason: Column) -> Column:
     """Whether a finish reason says that the answer was cut short."""
     # Reasons of the six protocols.
-    return F.lower(reason).isin("length", "max_tokens", "max_output_tokens", "model_length", "token_limit", "incomplete")
+    return F.lower(reason).isin("length", "max_tokens", "max_output_tokens", "max_tokens_reached", "model_context_window_exceeded", "incomplete")
 
 
 def without_thinking(text: Column) -> Column:

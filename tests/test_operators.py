@@ -53,6 +53,9 @@ def test_scalars(spark):
     assert values(spark, T.without_thinking(F.col("x")), " <think>x</think> y", "<thinking>never closed", "a <think>b</think>") == ["y", "", "a <think>b</think>"]
     assert values(spark, T.retry_delay_ms(F.col("x")), 0, 1, 5, 40, schema="x int") == [1500, 2250, 11391, 12000]
     assert values(spark, T.http_class(F.col("x")), 200, 404, 408, 429, 499, 503, schema="x int") == ["ok", "permanent", "transient", "rate-limited", "transient", "transient"]
+    gone = T.model_unavailable(F.split_part("x", F.lit("|"), F.lit(1)).cast("int"), F.split_part("x", F.lit("|"), F.lit(2)))
+    assert values(spark, gone, "404|The Model does not exist", "404|page not found", "500|model not found", "400|Deployment retired") == [True, False, False, True]
+    assert values(spark, T.truncated_finish(F.col("x")), "MAX_TOKENS", "stop", "incomplete") == [True, False, True]
     assert values(spark, T.url_host(F.col("x")), "https://User@Ex.org:8080/a?b", "no url") == ["ex.org", ""]
     assert [str(v) for v in values(spark, T.timestamp_of(F.col("x")), "1700000000", "1700000000000")] == ["2023-11-14 22:13:20"] * 2
 
