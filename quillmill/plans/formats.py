@@ -37,7 +37,7 @@ def html_visible_text_nodes(spark, sf_dir):
     return units.select("path", "ordinal", "kind", "address", "text")
 
 
-@query("SELECT p_partkey || '.json' AS path, ordinal, address, text FROM (SELECT p_partkey, 0 AS ordinal, '/name' AS address, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, '/kind~1type/0', p_type FROM part UNION ALL SELECT p_partkey, 2, '/kind~1type/1/b~0', p_brand FROM part)")
+@query("SELECT p_partkey || '.json' AS path, ordinal, address, text FROM (SELECT p_partkey, 0::BIGINT AS ordinal, '/name' AS address, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, '/kind~1type/0', p_type FROM part UNION ALL SELECT p_partkey, 2, '/kind~1type/1/b~0', p_brand FROM part)")
 def json_string_pointers(spark, sf_dir):
     made = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("n"), F.lit("@").alias("mark")))
     made = F.replace(made, F.lit('"mark":"@"'), F.concat(F.lit('"kind/type":["'), "p_type", F.lit('",{"b~":"'), "p_brand", F.lit('"}]')))
