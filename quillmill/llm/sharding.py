@@ -16,10 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmill.runtime import exclusive_prefix, write_table
+from quillmill.runtime import exclusive_prefix, partitions, write_table
 
 
-def shard(docs: DataFrame, n_shards: int = 24, seed: int = 20, bucket_rows: int = 4000) -> DataFrame:
+def offsets(sizes: DataFrame, seed: int, buckets: int = 256) -> DataFrame:
+    """sizes with each source's own offset below one: sources of one size are spread evenly, in a seeded order."""
+    placed = sizes.withColumn("sh", F.xxhash64(F.lit(seed), "stratum")).withColumn("sb", F.pmod("sh", F.lit(buckets)))
+    counts = placed.groupBy("n_stratum", "sb").agg(F.count("*").alias("k"))
+    before = exclusive_prefix(counts, ["n_stratum"], "sb", "k", "sources_before").select("n_stratum", "sb", "sources_before")
+    total = counts.groupBy("n_stratum").agg(F.sum("k").alias("sources"))
+    order = Window.partitionBy("n_stratum", "sb").orderBy("sh", "stratum")
+    ranked = placed.join(before, ["n_stratum", "sb"]).join(total, "n_stratum")
+    return ranked.select("stratum", "n_stratum", ((F.col("sources_before") + F.row_number().over(order) - 0.5) / F.col("sources")).alias("own"))
+
+
+def shard(docs: DataFrame, n_shards: int = 24, seed: int = 20, buckets_per_partition: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law isn't `key`), source, fraction."""
     text = F.col("text").cast("string")
     rows = docs.select(
@@ -31,14 +42,13 @@ def shard(docs: DataFrame, n_shards: int = 24, seed: int = 20, bucket_rows: int
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
     rows, _ = write_table(rows, "shard-rows")
     total = rows.count()
-    buckets = max(1, total // bucket_rows)
+    buckets = max(1, min(total // 64, buckets_per_partition * partitions(docs.sparkSession)))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     counts = rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("stratum").agg(F.sum("n").alias("n_stratum"))
-    before = exclusive_prefix(counts, ["stratum"], "bucket", "n", "before").join(sizes, "stratum").select("stratum", "bucket", "before", "n_stratum")
+    before = exclusive_prefix(counts, ["stratum"], "bucket", "n", "before").join(offsets(sizes, seed), "stratum").select("stratum", "bucket", "before", "n_stratum", "own")
     inside = Window.partitionBy("stratum", "bucket").orderBy("h", "doc_id", "text_crc32", "size")
-    own = (F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    ranked = rows.join(before, ["stratum", "bucket"]).withColumn("fraction", (F.col("before") + F.row_number().over(inside) - 1 + own) / F.col("n_stratum"))
+    ranked = rows.join(before, ["stratum", "bucket"]).withColumn("fraction", (F.col("before") + F.row_number().over(inside) - 1 + F.col("own")) / F.col("n_stratum"))
     ranked = ranked.withColumn("run", F.least(F.floor(F.col("fraction") * buckets), F.lit(buckets - 1)).cast("long"))
     ranked, _ = write_table(ranked.select("doc_id", "stratum", "size", "text_crc32", "h", "fraction", "run"), "shard-ranks")
     runs = exclusive_prefix(ranked.groupBy("run").agg(F.count("*").alias("n")), [], "run", "n", "before").select("run", "before")
