@@ -1,21 +1,22 @@
 """Approximate nearest neighbours: balanced posting lists (operator 6).
 
 Centroids are fitted on a bounded sample and linked into a graph, which is held in memory. Every vector goes to its
-nearest centroid's posting list, and also to further lists whose centroids are nearly as near (boundary replicas), unless a
-list already taken lies closer to that centroid than the vector does. A query walks the graph to its nearest
-centroids and takes the lists whose distance is within a ratio of the nearest. Lists are cut into segments of bounded
-size, so a list of any length is searched by many tasks.
+nearest centroid's posting list, and also to further lists whose centroids are nearly as near (boundary replicas). A
+query walks the graph to its nearest centroids and takes the lists whose distance is within a ratio of the nearest;
+that ratio is the one at which the sample's own neighbours, found by brute force, reach the target recall. Lists are
+cut into segments of bounded size, so a list of any length is searched by many tasks.
 
 Equal vectors are searched once: a class keeps its smallest vec_ids, as many as a result can hold and one more.
 Nearness is the inner product in double precision, summed from the first component to the last. Lists are chosen by
 Euclidean distance between unit vectors' directions, with the norm as a further component if norms differ.
 
-Vectors that are null, empty, all zero, or hold null or non-finite components take no part. A vec_id on several rows
+Vectors that are null, empty, all zero, hold null or non-finite components, or have no vec_id take no part. A vec_id on several rows
 counts each. Vectors of differing length are compared within their own length. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from quillmill.runtime import write_table
 class Centroids:
     """Centroids in a k-nearest-neighbour graph that a best-first walk searches."""
 
-    def __init__(self, sample: np.ndarray, lists: int, degree: int = 24, rounds: int = 8, seed: int = 7):
+    def __init__(self, sample: np.ndarray, lists: int, k: int, replicas: int, boundary: float, target: float, degree: int = 24, rounds: int = 8, trials: int = 256, seed: int = 7):
         rng = np.random.default_rng(seed)
         lists = max(1, min(lists, len(sample)))
         c = sample[rng.choice(len(sample), lists, replace=False)].copy()
@@ -49,6 +50,21 @@ class Centroids:
         np.fill_diagonal(d, np.inf)
         self.links = np.argsort(d, axis=1, kind="stable")[:, : min(degree, lists - 1)] if lists > 1 else np.zeros((1, 0), int)
         self.entries = rng.choice(lists, min(lists, 8), replace=False)
+        self.replicas, self.boundary = min(replicas, lists), boundary
+        # the ratio of list distances within which the target share of the sample's true neighbours lie
+        asked = sample[rng.choice(len(sample), min(trials, len(sample)), replace=False)]
+        to_lists = self.distances(asked, c)
+        best = to_lists.min(1)
+        rows, places = self.assign(sample)
+        need = []
+        for q, d, least in zip(asked, to_lists, best, strict=True):
+            score = (sample * q).sum(1)
+            top = np.argpartition(-score, min(k + 1, len(score) - 1))[: k + 1]
+            nearest = np.full(len(sample), np.inf)
+            np.minimum.at(nearest, rows, d[places])
+            need.append(nearest[top] / max(least, 1e-12))
+        self.ratio = float(np.quantile(np.concatenate(need), target)) + 1e-9
+        self.keep = int(min(lists, 4 + 1.25 * (to_lists <= self.ratio * best[:, None]).sum(1).max()))
 
     @staticmethod
     def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -58,6 +74,14 @@ class Centroids:
     def _nearest(cls, x: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.concatenate([cls.distances(x[i : i + 4096], c).argmin(1) for i in range(0, len(x), 4096)])
 
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x and a list of each: the nearest, and those within `boundary` of its distance, `replicas` at most."""
+        d = self.distances(x, self.points)
+        near = np.argsort(d, axis=1, kind="stable")[:, : self.replicas]
+        dist = np.take_along_axis(d, near, 1)
+        rows, j = np.nonzero(dist <= self.boundary * dist[:, :1])
+        return rows, near[rows, j]
+
     def walk(self, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """The `keep` nearest centroids that a best-first walk finds, with their distances."""
         found = set(self.entries.tolist())
@@ -128,50 +152,49 @@ def classes(rows: DataFrame, keep: int, salts: int = 64) -> DataFrame:
     return first.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, keep).alias("ids")).withColumn("dim", F.size("v"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int = 20_000, list_rows: int = 400, max_lists: int = 4096, boundary: float = 1.15, replicas: int = 4, ratio: float = 1.35, probes: int = 48, segment_rows: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int = 20_000, list_rows: int = 400, max_lists: int = 4096, boundary: float = 1.1, replicas: int = 4, target: float = 0.97, segment_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found of each row of `queries` (rows of `vectors`), but itself.
 
     The sample of at most `sample_rows` distinct vectors fits `max_lists` centroids at most; every vector is indexed.
     """
     spark = vectors.sparkSession
     base, _ = write_table(classes(usable(vectors), k + 1).withColumn("vid", F.xxhash64("v")), "vectors")
-    asked, _ = write_table(usable(queries).groupBy("v").agg(F.collect_list("vec_id").alias("query_ids")).withColumn("qid", F.xxhash64("v")).withColumn("dim", F.size("v")), "queries")
+    asked_rows, _ = write_table(usable(queries).withColumn("qid", F.xxhash64("v")), "queries")
+    asked = asked_rows.select("v", "qid").distinct().withColumn("dim", F.size("v"))
     dims = [r["dim"] for r in base.groupBy("dim").agg(F.count("*")).orderBy("dim").collect()]
     hits: DataFrame | None = None
     for dim in dims:
         own, mine = base.filter(F.col("dim") == dim), asked.filter(F.col("dim") == dim)
         total = own.count()
         largest = own.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] ** 0.5
-        taken = own.orderBy(F.xxhash64("vid"), "vid").limit(sample_rows).select("v").toPandas()
-        index = spark.sparkContext.broadcast(Centroids(direction(np.array(taken.v.tolist(), dtype=float), largest), min(max_lists, max(1, total // list_rows))))
+        lists = min(max_lists, max(1, total // list_rows))
+
+        def fit(batches: Iterator[pa.RecordBatch], dim=dim, largest=largest, lists=lists) -> Iterator[pa.RecordBatch]:
+            parts = [b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for b in batches if b.num_rows]
+            if parts:
+                made = Centroids(direction(np.concatenate(parts), largest), lists, k, replicas, boundary, target)
+                yield pa.record_batch([pa.array([pickle.dumps(made)], pa.binary())], names=["index"])
+
+        # one task fits the index on the bounded sample
+        sample = own.orderBy(F.xxhash64("vid"), "vid").limit(sample_rows).select("v").coalesce(1)
+        index = spark.sparkContext.broadcast(pickle.loads(sample.mapInArrow(fit, "index binary").first()["index"]))
 
         def post(batches: Iterator[pa.RecordBatch], index=index, dim=dim, largest=largest) -> Iterator[pa.RecordBatch]:
-            c = index.value.points
             for batch in batches:
-                v = batch.column(0).values.to_numpy(zero_copy_only=False).reshape(-1, dim)[: batch.num_rows]
+                v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 for i in range(0, len(v), 2048):
-                    x = direction(v[i : i + 2048], largest)
-                    d = index.value.distances(x, c)
-                    near = np.argsort(d, axis=1, kind="stable")[:, :replicas]
-                    chosen = [[int(row[0])] for row in near]
-                    if near.shape[1] > 1:
-                        dist = np.take_along_axis(d, near, 1)
-                        for r, j in zip(*np.nonzero(dist[:, 1:] <= boundary * dist[:, :1]), strict=True):
-                            to = int(near[r, j + 1])
-                            if all(((c[to] - c[t]) ** 2).sum() ** 0.5 > 0.6 * dist[r, j + 1] for t in chosen[r]):
-                                chosen[r].append(to)
-                    part = batch.slice(i, 2048)
-                    times = np.repeat(np.arange(part.num_rows), [len(x) for x in chosen])
-                    yield pa.record_batch([part.column(0).take(pa.array(times)), part.column(1).take(pa.array(times)), pa.array([t for x in chosen for t in x], pa.int32())], names=["v", "vid", "list"])
+                    rows, places = index.value.assign(direction(v[i : i + 2048], largest))
+                    part, rows = batch.slice(i, 2048), pa.array(rows)
+                    yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(places.astype(np.int32))], names=["v", "vid", "list"])
 
         def probe(batches: Iterator[pa.RecordBatch], index=index, dim=dim, largest=largest) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = batch.column(0).values.to_numpy(zero_copy_only=False).reshape(-1, dim)
+                v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 x = np.column_stack([v * (largest / np.sqrt((v**2).sum(1)))[:, None], np.zeros(len(v))])
                 rows, lists = [], []
                 for r in range(len(x)):
-                    at, d = index.value.walk(x[r], probes)
-                    take = at[d <= ratio * d[0] + 1e-12]
+                    at, d = index.value.walk(x[r], index.value.keep)
+                    take = at[d <= index.value.ratio * d[0] + 1e-12]
                     rows += [r] * len(take)
                     lists += take.tolist()
                 yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(lists, pa.int32())], names=["v", "qid", "list"])
@@ -191,6 +214,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     # k + 1 rows hold every query's own k best, as only its own row is left out
     named = named.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
-    each = named.join(asked.select("qid", F.explode("query_ids").alias("query_id")), "qid").filter("query_id <> vec_id")
+    each = asked_rows.select("qid", F.col("vec_id").alias("query_id")).join(named, "qid").filter("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
