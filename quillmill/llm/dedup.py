@@ -3,13 +3,14 @@
 1. Documents with equal shingle sets form a class (a 128-bit key of the set); everything further works on classes.
 2. A class keeps the `k` smallest hash values of its set. Values that no other class retains are dropped, and so is a
    class with fewer than `common` values left: two sets with a Jaccard of 0.75 share fewer than 28 of 64 retained values
-   with a probability below 1e-8, and sets of at most k shingles are retained whole.
+   with a probability below 1e-8; for sets of at most k shingles, retained whole, the bound is certain.
 3. Inverted lists of the rarest of these values generate overlaps (as two classes share at least `common` values, they
    meet in a list even if the `common` - 1 most frequent ones are left out).
 4. Pairs of a list's members and its hub are filtered by the estimate from their union's sketch and verified by the
-   exact Jaccard of their full sets. Lists whose members aren't connected by then get other hubs, and at last all pairs
-   between different components are compared in blocks, so that no list, however long, is expanded into all pairs
-   unless its members stay unconnected, and no link between different texts is lost.
+   exact Jaccard of their full sets. Lists whose members aren't connected by then get other hubs. For classes that still
+   share a list with another component, inverted lists of their full sets leave those that can be linked at all, and
+   these are compared, block by block, with the members of other components: no list is expanded into all pairs, and no
+   link between different texts is lost.
 5. Components come from the links by star contraction.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. Null texts and texts without words have no shingles
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.batches import small
 from quillmill.runtime import write_table
 
 BASE = np.uint64(0x9FB21C651E98DF25)
@@ -81,7 +83,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, cid (key of the set; null: empty), sketch (the k smallest hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [shingle_hashes(t or "") for t in batch.column(1).to_pylist()]
             yield pa.record_batch(
                 [batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) if len(h) else None for h in sets], pa.binary()), pa.array([h[:k] for h in sets], pa.list_(pa.int64()))],
@@ -91,28 +93,39 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, n_shingles long, {CLASS}, sketch array<long>")
 
 
-def needed(size: Column, k: int, common: int) -> Column:
-    """How many retained values a class of that many shares with a linked one."""
-    return F.greatest(F.floor(F.least(size, F.lit(k)) * common / k), F.lit(1))
+def needed(n: Column, k: int, common: int, threshold: int) -> Column:
+    """How many retained values a class of `n` shingles shares with a linked one.
+
+    Up to k shingles this is certain: the two share threshold % of the larger set, of which the partner's sketch lacks
+    what exceeds k. Beyond, it holds with the probability that `common` stands for.
+    """
+    share = threshold / 100
+    return F.when(n <= k, F.greatest(F.least(F.ceil(n * share), F.floor(k - n * (1 - share) / share)), F.lit(1))).otherwise(F.lit(common)).cast("int")
 
 
-def estimated(a: Column, b: Column, k: int, common: int) -> Column:
-    """Whether the union's sketch leaves a link possible."""
+def estimated(a: Column, b: Column, n_a: Column, n_b: Column, k: int, common: int, threshold: int) -> Column:
+    """Whether sizes and the union's sketch leave a link possible; sketches that hold whole sets decide it."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
     both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return both >= needed(F.size(union), k, common)
+    whole = F.size(F.array_intersect(a, b))
+    fits = 100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b)
+    return fits & F.when(F.greatest(n_a, n_b) <= k, 100 * whole >= threshold * (n_a + n_b - whole)).otherwise(both >= common)
 
 
-def inverted_lists(classes: DataFrame, k: int, common: int) -> DataFrame:
-    """value, cid: the lists of step 3."""
-    entries = classes.select("cid", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+def inverted_lists(classes: DataFrame, k: int, common: int, threshold: int) -> DataFrame:
+    """value, cid, weight: the lists of step 3; weight grows with how often a class's values are retained by others."""
+    # 8-byte ids halve what is shuffled; classes whose ids are equal get each other's values too, which loses nothing
+    own = F.xxhash64("cid").alias("id")
+    entries = classes.select(own, F.explode("sketch").alias("value"))
     often = entries.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = entries.join(often, "value").groupBy("cid").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "value"))).alias("at"))
-    first = F.slice("at", 1, F.greatest(F.size("at") - needed(F.col("size"), k, common).cast("int") + 1, F.lit(0)))
-    return kept.select("cid", F.explode(first).alias("x")).select(F.col("x.value").alias("value"), "cid")
+    kept = entries.join(often, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("at"))
+    kept = kept.join(classes.select(own, "cid", "n_shingles"), "id")
+    first = F.slice("at", 1, F.greatest(F.size("at") - needed(F.col("n_shingles"), k, common, threshold) + 1, F.lit(0)))
+    weight = F.aggregate("at", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+    return kept.select("cid", weight.alias("weight"), F.explode(first).alias("x")).select(F.col("x.value").alias("value"), "cid", "weight")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int, salted: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int, salted: int = 256) -> DataFrame:
     """Of pairs (member, hub) those with 100 * intersection >= threshold * union, on full sets recomputed from texts.
 
     A hub's set is repeated for every `salted` members; a partition streams over its pairs, so none holds a group.
@@ -120,23 +133,19 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: i
     loads = pairs.groupBy("hub").agg(F.count("*").alias("n")).withColumn("salts", (F.col("n") / salted).cast("int") + 1).select("hub", "salts")
     members = pairs.join(loads, "hub").select(F.col("member").alias("cid"), "hub", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"))
     hubs = loads.select(F.col("hub").alias("cid"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
-    roles, _ = write_table(members.unionByName(hubs).join(classes.select("cid", "source_id"), "cid"), "near-roles")
-    total = roles.count()
-    side = F.broadcast(roles) if total <= broadcast_rows else roles  # about 80 bytes a row; beyond that both sides are shuffled
-    texts = docs.select(F.col("doc_id").cast("long").alias("source_id"), F.col("text").cast("string")).join(side, "source_id").select("text", "cid", "hub", "salt", "side")
+    roles = members.unionByName(hubs).join(classes.select("cid", "source_id"), "cid")
+    texts = texts_of(roles, docs).select("text", "cid", "hub", "salt", "side")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for start in range(0, big.num_rows, 500):
-                batch = big.slice(start, 500)
-                found = [shingle_hashes(t or "") for t in batch.column(0).to_pylist()]
-                same = [i for i, (h, c) in enumerate(zip(found, batch.column(1).to_pylist(), strict=True)) if set_key(h) == c]  # of rows with equal doc_id, the class's own
-                rest = [c.take(pa.array(same, pa.int64())) for c in batch.columns[1:]]
-                yield pa.record_batch([*rest, pa.array([found[i].tobytes() for i in same], pa.large_binary())], names=["cid", "hub", "salt", "side", "hashes"])
+        for batch in small(batches, 200):
+            found = [shingle_hashes(t or "") for t in batch.column(0).to_pylist()]
+            same = [i for i, (h, c) in enumerate(zip(found, batch.column(1).to_pylist(), strict=True)) if set_key(h) == c]  # of rows with equal doc_id, the class's own
+            rest = [c.take(pa.array(same, pa.int64())) for c in batch.columns[1:]]
+            yield pa.record_batch([*rest, pa.array([found[i].tobytes() for i in same], pa.binary())], names=["cid", "hub", "salt", "side", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.empty(0, np.int64)
-        for batch in batches:
+        for batch in small(batches, 200):
             out = []
             for cid, hub, side, raw in zip(*(batch.column(n).to_pylist() for n in ("cid", "hub", "side", "hashes")), strict=True):
                 h = np.frombuffer(raw, np.int64)
@@ -160,10 +169,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
-        large = both.join(low, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y").distinct()
+        large = both.join(low, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y")
         low = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y").unionByName(low.select("x", F.col("m").alias("y"))).distinct()
-        edges, _ = write_table(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")), "near-edges")
+        ends = large.join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y").unionByName(low.select("x", F.col("m").alias("y")))
+        edges, _ = write_table(ends.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "near-edges")
         # settled: every node has one edge, to a node that has none to a smaller one
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
@@ -172,61 +181,143 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("x").alias("cid"), F.col("y").alias("label")).unionByName(edges.select(F.col("y").alias("cid"), F.col("y").alias("label")).distinct())
 
 
+def near_labels(links: DataFrame) -> DataFrame:
+    """cid, label: equal labels are connected, but not every component has one label yet (stars of hubs have)."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = both.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("m")).select("cid", F.least("cid", "m").alias("label"))
+    label, _ = write_table(label, "near-labels")
+    # a hub's label reaches all its members, whether theirs were smaller or not
+    reached = both.join(label.withColumnsRenamed({"cid": "b", "label": "theirs"}), "b").groupBy(F.col("a").alias("cid")).agg(F.min("theirs").alias("theirs"))
+    return label.join(reached, "cid").select("cid", F.least("label", "theirs").alias("label"))
+
+
 def labels_of(links: DataFrame | None, lists: DataFrame) -> DataFrame:
-    """lists (value, cid) with label, only of lists that hold more than one."""
+    """lists (value, cid, weight) with label, only of lists that hold more than one."""
     if links is None:
         marked = lists.withColumn("label", F.col("cid"))
     else:
         marked = lists.join(links, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mixed_lists = marked.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("value", "n")
-    return marked.join(mixed_lists, "value").select("value", "cid", "label", "n")
+    return of_several_labels(marked).select("value", "cid", "label", "weight")
+
+
+def texts_of(side: DataFrame, docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """side (source_id, ...) with the text of each source_id."""
+    side, _ = write_table(side, "near-side")
+    if side.count() <= broadcast_rows:  # about 80 bytes a row; beyond that both sides are shuffled
+        side = F.broadcast(side)
+    return docs.select(F.col("doc_id").cast("long").alias("source_id"), F.col("text").cast("string")).join(side, "source_id")
 
 
-def block_pairs(marked: DataFrame, classes: DataFrame, k: int, common: int, rows: int = 256) -> DataFrame:
-    """All pairs of members of a list with different labels whose estimate leaves a link possible, block by block."""
-    cut = marked.withColumn("blocks", (F.col("n") / rows).cast("int") + 1).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(classes.select("cid", "sketch"), "cid")
-    cut = cut.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "label", "sketch")
+def full_lists(marked: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """value, cid, label, shared: inverted lists of the full sets of the classes in `marked`, as far as a link can need
+    them; shared: how many of a class's shingles occur in any other class.
+
+    A class shares threshold % of its shingles with a linked one, so it goes if fewer of them occur in any other class;
+    of the rest, the rarest ones that exceed that number by one have a list in which any two linked classes meet.
+    """
+    own = marked.select("cid", "label").distinct().join(classes.select("cid", "source_id", "n_shingles"), "cid").withColumn("id", F.xxhash64("cid"))
+    own, _ = write_table(own, "near-unsettled")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 200):
+            ids, sets = [], []
+            for text, cid, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = shingle_hashes(text or "")
+                if set_key(h) == cid:
+                    ids.append(np.full(len(h), key, np.int64))
+                    sets.append(h)
+            if sets:
+                yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sets))], names=["id", "value"])
+
+    found = texts_of(own.select("source_id", "cid", "id"), docs).select("text", "cid", "id").mapInArrow(run, "id long, value long")
+    entries, _ = write_table(found, "near-full")
+    often = entries.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+    kept = entries.join(often, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("at"))
+    spare = F.size("at") - F.ceil(F.col("n_shingles") * threshold / 100).cast("int") + 1
+    first = F.slice("at", 1, F.greatest(spare, F.lit(0)))
+    return kept.join(own, "id").select("cid", "label", F.size("at").alias("shared"), F.explode(first).alias("x")).select(F.col("x.value").alias("value"), "cid", "label", "shared")
+
+
+def of_several_labels(marked: DataFrame) -> DataFrame:
+    several = marked.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
+    return marked.join(several, "value")
+
+
+def block_pairs(marked: DataFrame, classes: DataFrame, k: int, common: int, threshold: int, rows: int = 256) -> DataFrame:
+    """All pairs of members of a list with different labels whose estimate leaves a link possible, block by block.
+
+    The members of a list's main label need no comparison with each other: blocks of the others meet blocks of these,
+    and each other. A pair is only reported from the least value whose list holds both.
+    """
+    sizes = marked.groupBy("value", "label").agg(F.count("*").alias("n")).groupBy("value").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    sizes = sizes.select("value", F.col("main.label").alias("main"), (F.col("main.n") / rows).cast("int").alias("m"), ((F.col("n") - F.col("main.n")) / rows).cast("int").alias("o"))
+    cut = marked.join(sizes, "value").withColumn("h", F.xxhash64("cid"))
+    own = F.pmod("h", F.when(F.col("label") == F.col("main"), F.col("m")).otherwise(F.col("o")) + 1).cast("int")
+    cut = cut.withColumn("is_main", F.col("label") == F.col("main")).withColumn("own", own)
+    # groups (i, j): others of block i with the main label's block -j (j < 0) or with others of block j; one group if the list is small
+    small = (F.col("m") == 0) & (F.col("o") == 0)
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("m")), lambda x: pair(F.col("own"), -1 - x))
+    with_others = F.transform(F.sequence(F.lit(0), F.col("o")), lambda x: pair(F.least(F.col("own"), x), F.greatest(F.col("own"), x)))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("o")), lambda x: pair(x, -1 - F.col("own")))
+    groups = F.when(small, F.array(pair(F.lit(0), F.lit(0)))).when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_others))
+    in_lists = marked.groupBy("cid").agg(F.array_sort(F.collect_list("value")).alias("own_lists"))
+    side = classes.select("cid", "n_shingles", "sketch").join(in_lists, "cid")
+    cut = cut.select("value", "cid", "label", "is_main", "own", F.explode(groups).alias("g")).join(side, "cid")
+    cut = cut.select("value", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "own", "is_main", "cid", "label", "n_shingles", "sketch", "own_lists")
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, labels, own, i, j = (group.column(n).to_pylist() for n in ("cid", "label", "own", "i", "j"))
-        sketch = [s.values.to_numpy() for s in group.column("sketch")]
-        size = np.array([len(s) for s in sketch])
+        ids, labels, i, j = (group.column(n).to_pylist() for n in ("cid", "label", "i", "j"))
+        value, i, j = group.column("value")[0].as_py(), i[0], j[0]
+        own, main, n = (group.column(x).to_numpy() for x in ("own", "is_main", "n_shingles"))
+        sketch, lists = ([s.values.to_numpy() for s in group.column(x)] for x in ("sketch", "own_lists"))
         # how many values two sketches share: products of the incidence matrix
-        _, at = np.unique(np.concatenate(sketch), return_inverse=True)
-        hold = np.zeros((len(ids), at.max() + 1), np.float32)
-        hold[np.repeat(np.arange(len(ids)), size), at] = 1
+        _, at, often = np.unique(np.concatenate(sketch), return_inverse=True, return_counts=True)
+        rows_of = np.repeat(np.arange(len(ids)), [len(s) for s in sketch])
+        column = np.cumsum(often > 1) - 1
+        meet = often[at] > 1
+        hold = np.zeros((len(ids), int((often > 1).sum())), np.float32)
+        hold[rows_of[meet], column[at[meet]]] = 1
         shared = hold @ hold.T
         code = {x: n for n, x in enumerate(dict.fromkeys(labels))}
         label = np.array([code[x] for x in labels])
-        least = np.maximum(np.minimum(size[:, None], size[None]).clip(max=k) * common // k, 1)
-        good = np.triu((shared >= least) & (label[:, None] != label[None]), 1)
-        if i[0] != j[0]:
-            block = np.array(own)
-            good &= block[:, None] != block[None]
+        low, high = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
+        good = np.where(high <= k, 100 * shared >= threshold * (low + high - shared), shared >= common)
+        good &= (100 * low >= threshold * high) & (label[:, None] != label[None])
+        good = np.triu(good, 1)
+        if j < 0:  # the others among themselves have groups of their own
+            good &= main[:, None] != main[None]
+        elif i != j:
+            good &= own[:, None] != own[None]
         out = []
         for a, b in zip(*np.nonzero(good), strict=True):
-            union = np.union1d(sketch[a], sketch[b])[:k]
-            both = np.intersect1d(np.intersect1d(sketch[a], sketch[b], assume_unique=True), union, assume_unique=True)
-            if len(both) >= max(min(len(union), k) * common // k, 1):
-                out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
+            if np.intersect1d(lists[a], lists[b], assume_unique=True)[0] != value:
+                continue
+            if high[a, b] > k:
+                union = np.union1d(sketch[a], sketch[b])[:k]
+                both = np.intersect1d(np.intersect1d(sketch[a], sketch[b], assume_unique=True), union, assume_unique=True)
+                if len(both) < common:
+                    continue
+            out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
         return pa.table([pa.array([x[n] for x in out], pa.binary()) for n in (0, 1)], names=["member", "hub"])
 
-    return cut.groupBy("value", "i", "j").applyInArrow(compare, "member binary, hub binary").distinct()
+    return cut.groupBy("value", "i", "j").applyInArrow(compare, "member binary, hub binary")
 
 
-def link(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28, hub_rounds: int = 3) -> DataFrame:
+def link(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28, hub_rounds: int = 2) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept, n_links (verified links found of its class)."""
     marks, _ = write_table(sketches(docs, k), "near-sketches")
-    named = marks.filter("cid is not null").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sketch")).alias("x"))
-    classes = named.select("cid", F.col("x.doc_id").alias("source_id"), F.col("x.sketch").alias("sketch"))
+    named = marks.filter("cid is not null").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "sketch")).alias("x"))
+    classes = named.select("cid", F.col("x.doc_id").alias("source_id"), "x.n_shingles", "x.sketch")
     classes, _ = write_table(classes, "near-classes")
-    lists, _ = write_table(inverted_lists(classes, k, common), "near-lists")
+    lists, _ = write_table(inverted_lists(classes, k, common, threshold), "near-lists")
     labels = links = tested = None
     for turn in range(hub_rounds + 1):
         marked = labels_of(labels, lists)
         if turn < hub_rounds:
-            chosen = F.struct(F.xxhash64(F.lit(turn), "cid").alias("h"), F.col("cid").alias("hub"), F.col("label").alias("hub_label"))
+            # first the class whose values most others retain (the source of a group of copies), then any one
+            rank = -F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "cid")
+            chosen = F.struct(rank.alias("h"), F.col("cid").alias("hub"), F.col("label").alias("hub_label"))
             hubs = marked.groupBy("value").agg(F.min(chosen).alias("x")).select("value", "x.hub", "x.hub_label")
             met = marked.join(hubs, "value").filter("label <> hub_label").select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b"), F.col("cid").alias("member"), "hub").dropDuplicates(["a", "b"])
             if tested is not None:
@@ -235,11 +326,15 @@ def link(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28, hu
             if met.isEmpty():
                 break
             tested = met.select("a", "b") if tested is None else tested.unionByName(met.select("a", "b"))
-            sketch = classes.select("cid", "sketch")
-            near = met.join(sketch.withColumnsRenamed({"cid": "member", "sketch": "s"}), "member").join(sketch.withColumnsRenamed({"cid": "hub", "sketch": "t"}), "hub")
-            pairs = near.filter(estimated(F.col("s"), F.col("t"), k, common)).select("member", "hub")
+            sketch = classes.select("cid", "n_shingles", "sketch")
+            near = met.join(sketch.withColumnsRenamed({"cid": "member", "n_shingles": "n_s", "sketch": "s"}), "member").join(sketch.withColumnsRenamed({"cid": "hub", "n_shingles": "n_t", "sketch": "t"}), "hub")
+            pairs = near.filter(estimated(F.col("s"), F.col("t"), F.col("n_s"), F.col("n_t"), k, common, threshold)).select("member", "hub")
         else:
-            pairs = block_pairs(marked, classes, k, common)
+            marked, _ = write_table(marked, "near-marked")
+            if marked.isEmpty():
+                break
+            full, _ = write_table(of_several_labels(full_lists(marked, docs, classes, threshold)), "near-full-lists")
+            pairs = block_pairs(full, classes, k, common, threshold)
             if tested is not None:
                 pairs = pairs.join(tested.withColumnsRenamed({"a": "member", "b": "hub"}), ["member", "hub"], "left_anti")
         pairs, _ = write_table(pairs, "near-pairs")
@@ -247,10 +342,12 @@ def link(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28, hu
             continue
         good, _ = write_table(verified(pairs, docs, classes, threshold).select(F.col("member").alias("a"), F.col("hub").alias("b")), "near-links")
         links = good if links is None else links.unionByName(good)
-        labels, _ = write_table(components(links), "near-labels")
+        if turn < hub_rounds:
+            labels, _ = write_table(near_labels(links), "near-labels")
     if links is None:
         joined = marks.withColumn("label", F.col("cid")).withColumn("n_links", F.lit(0).cast("long"))
     else:
+        labels, _ = write_table(components(links), "near-labels")
         degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
         joined = marks.join(labels, "cid", "left").join(degree, "cid", "left").withColumn("label", F.coalesce("label", "cid")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     least = joined.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
