@@ -261,15 +261,15 @@ def block_pairs(marked: DataFrame, classes: DataFrame, k: int, common: int, thre
     with_others = F.transform(F.sequence(F.lit(0), F.col("o")), lambda x: pair(F.least(F.col("own"), x), F.greatest(F.col("own"), x)))
     of_main = F.transform(F.sequence(F.lit(0), F.col("o")), lambda x: pair(x, -1 - F.col("own")))
     groups = F.when(small, F.array(pair(F.lit(0), F.lit(0)))).when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_others))
-    in_lists = marked.groupBy("cid").agg(F.array_sort(F.collect_list("value")).alias("own_lists"))
+    in_lists = marked.groupBy("cid").agg(F.array_sort(F.collect_list("value")).alias("own_lists"), F.max("shared").cast("long").alias("shared"))
     side = classes.select("cid", "n_shingles", "sketch").join(in_lists, "cid")
     cut = cut.select("value", "cid", "label", "is_main", "own", F.explode(groups).alias("g")).join(side, "cid")
-    cut = cut.select("value", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "own", "is_main", "cid", "label", "n_shingles", "sketch", "own_lists")
+    cut = cut.select("value", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "own", "is_main", "cid", "label", "n_shingles", "shared", "sketch", "own_lists")
 
     def compare(group: pa.Table) -> pa.Table:
         ids, labels, i, j = (group.column(n).to_pylist() for n in ("cid", "label", "i", "j"))
         value, i, j = group.column("value")[0].as_py(), i[0], j[0]
-        own, main, n = (group.column(x).to_numpy() for x in ("own", "is_main", "n_shingles"))
+        own, main, n, most = (group.column(x).to_numpy() for x in ("own", "is_main", "n_shingles", "shared"))
         sketch, lists = ([s.values.to_numpy() for s in group.column(x)] for x in ("sketch", "own_lists"))
         # how many values two sketches share: products of the incidence matrix
         _, at, often = np.unique(np.concatenate(sketch), return_inverse=True, return_counts=True)
@@ -284,6 +284,8 @@ def block_pairs(marked: DataFrame, classes: DataFrame, k: int, common: int, thre
         low, high = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
         good = np.where(high <= k, 100 * shared >= threshold * (low + high - shared), shared >= common)
         good &= (100 * low >= threshold * high) & (label[:, None] != label[None])
+        # no two share more than either one's shingles that occur elsewhere
+        good &= (100 + threshold) * np.minimum(most[:, None], most[None]) >= threshold * (low + high)
         good = np.triu(good, 1)
         if j < 0:  # the others among themselves have groups of their own
             good &= main[:, None] != main[None]
