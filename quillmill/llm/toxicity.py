@@ -6,9 +6,9 @@ classes, so that expressions rare in either class are smoothed alike. A document
 of its distinct words under both, normalised by length, and a logistic curve turns that into 0 to 1. Labels, lang,
 source and doc_id are no inputs of a score.
 
-Counts are gathered by six-gram in `buckets` hash buckets, which bounds what reaches the driver and what is broadcast;
-six-grams that meet in a bucket count as one. The curve is fitted on at most `fit_rows` labelled documents of a
-training fold that the models it sees were not counted on.
+Words, six-grams and all lower orders are tables of the cluster, sized by the data: no count is folded or left out. Only
+words with evidence matter to a score; they are broadcast while they are few and joined beyond that. The curve is fitted
+on at most `fit_rows` labelled documents of a training fold that the models it sees were not counted on.
 
 Null and empty texts, and texts without letters, have log-likelihoods of nothing and get the curve's value at zero.
 Of several labels for one doc_id the highest counts. Without a document of either class every score is 0. Equal rows
@@ -17,21 +17,24 @@ each give a row.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window, WindowSpec
 
 from quillmill.llm.batches import small
+from quillmill.llm.dedup import mixed, powers
+from quillmill.runtime import write_table
 
 ORDER, DISCOUNT = 6, 0.75
+SCALE = 10**12  #: log-likelihood ratios are summed as integers of this many to a nat
+COUNTS = ("o", "t", "fo", "ft")
 PAD, STOP = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 64  #: letters of a word are taken in runs of this length
@@ -57,90 +60,15 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.lib.stride_tricks.sliding_window_view(codes, ORDER)[at], of
 
 
-def hashed(codes: np.ndarray) -> np.ndarray:
-    h = np.full(len(codes), 0x9E3779B97F4A7C15, np.uint64)
-    for k in range(codes.shape[1]):
-        h = (h ^ codes[:, k].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    return h
-
-
-class Lookup:
-    """Sorted hash keys with values; missing keys give a default."""
-
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], [v[order].astype(np.float32) for v in values]
-
-    def __call__(self, keys: np.ndarray, *missing: float) -> list[np.ndarray]:
-        if not len(self.keys):
-            return [np.full(len(keys), m) for m in missing]
-        at = np.searchsorted(self.keys, keys).clip(max=len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return [np.where(hit, v[at], m) for v, m in zip(self.values, missing, strict=True)]
-
-
-def by_key(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys, each row's place among them, and the weights' sums."""
-    found, at = np.unique(keys, return_inverse=True)
-    return found, at, [np.bincount(at, weights=w, minlength=len(found)) for w in weights]
-
-
-class Model:
-    def __init__(self, codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
-        self.classes = []
-        context = hashed(codes[:, :-1])
-        for n in (toxic.astype(float), ordinary.astype(float)):
-            keys, at, (total, kinds) = by_key(context, n, (n > 0).astype(float))
-            seen = n > 0
-            own = Lookup(hashed(codes[seen]), (n[seen] - DISCOUNT).clip(0) / total[at[seen]])
-            used = total > 0
-            self.classes.append((own, Lookup(keys[used], DISCOUNT * kinds[used] / total[used])))
-        self.levels = []
-        longer = codes
-        for k in range(ORDER - 2, -1, -1):  # contexts of k characters
-            grams_k = longer[:, 1:]
-            keys, at, (n,) = by_key(hashed(grams_k), np.ones(len(grams_k)))
-            first = np.zeros(len(keys), np.int64)
-            first[at] = np.arange(len(at))
-            distinct = grams_k[first]
-            contexts, of, (total, kinds) = by_key(hashed(distinct[:, :-1]), n, np.ones(len(n)))
-            self.levels.append((k, Lookup(keys, (n - DISCOUNT).clip(0) / total[of]), Lookup(contexts, DISCOUNT * kinds / total)))
-            longer = distinct
-        self.levels.reverse()
-        self.floor = 1 / (1 + len(longer))
-        self.known: dict[str, float] = {}
-
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """Toxic against ordinary log-likelihood of each word."""
-        codes, of = windows(words)
-        p = np.full(len(codes), self.floor)
-        for k, grams, contexts in self.levels:
-            tail = codes[:, ORDER - 1 - k :]
-            (a,), (g,) = grams(hashed(tail), 0.0), contexts(hashed(tail[:, :-1]), 1.0)
-            p = a + g * p
-        key, context = hashed(codes), hashed(codes[:, :-1])
-        logs = [np.log(own(key, 0.0)[0] + rest(context, 1.0)[0] * p) for own, rest in self.classes]
-        return np.bincount(of, weights=logs[0] - logs[1], minlength=len(words))
-
-    def features(self, texts: list[str], evidence: float = 2.5, max_words: int = 300_000) -> np.ndarray:
-        """For each text the evidence of its distinct words, summed: over their number, over its root, and its log.
-
-        A word's evidence is its log-likelihood ratio beyond `evidence` nats either way. What the classes differ in by
-        their mixture of languages and topics stays below that, and would else add up over a long text.
-        """
-        every = [set(words_of(t)) for t in texts]
-        new = set().union(*every).difference(self.known)
-        if len(self.known) + len(new) > max_words:
-            self.known.clear()
-            new = set().union(*every)
-        if new:
-            fresh = sorted(new)
-            ratio = self.ratios(fresh)
-            self.known.update(zip(fresh, (np.sign(ratio) * (np.abs(ratio) - evidence).clip(0)).tolist(), strict=True))
-        total = np.array([math.fsum(map(self.known.__getitem__, w)) for w in every], dtype=float)
-        length = np.array([len(w) for w in every], dtype=float).clip(1)
-        return np.column_stack([total / length, total / np.sqrt(length), np.log1p(total.clip(0))])
+def word_keys(words: list[str]) -> np.ndarray:
+    """A 64-bit key of each word."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+    if not len(codes):
+        return np.zeros(len(words), np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(len(codes)) - np.repeat(begins, sizes)
+    return mixed(np.add.reduceat(mixed(codes.astype(np.uint64)) * powers(LONGEST)[0][place], begins)).view(np.int64)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
@@ -160,97 +88,203 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3
     return np.append(scaled, w[-1] - scaled @ mean)
 
 
-def scores(curve: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-(x @ curve[:-1] + curve[-1]).clip(-500, 500)))
-
-
 def fold(column: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """text, toxic, fold of the training documents (fold 0 is held out)."""
+def labelled(docs: DataFrame, labels: DataFrame, how: str = "inner", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """text, toxic, fold of the training documents (fold 0 is held out); with a left join nulls for the others."""
     given = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     given = given.withColumn("fold", fold()).filter("fold > 0")
     if given.limit(broadcast_rows + 1).count() <= broadcast_rows:  # 16 bytes a row; beyond that both sides are shuffled
         given = F.broadcast(given)
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(given, "doc_id").select("text", "toxic", "fold")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(given, "doc_id", how).select("text", "toxic", "fold")
 
 
-def gather(training: DataFrame, buckets: int) -> DataFrame:
-    """gram (six code points, 24 bytes) and its counts: ordinary and toxic in the folds but the last, and in the last (f)."""
+def counted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every word of docs and its counts: ordinary and toxic in the training folds but the last, and in the last (f)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[Counter] = [Counter() for _ in range(4)]  # 2 * last fold + toxic
+        others: set[str] = set()  # words of documents that are no training documents
 
         def drained() -> pa.RecordBatch:
-            words = sorted(set().union(*counts))
-            codes, of = windows(words)
-            grams = np.ascontiguousarray(codes).view(f"<U{ORDER}").ravel()
-            found, at = np.unique(grams, return_inverse=True)
-            sums = [np.bincount(at, weights=np.array([c[w] for w in words], float)[of], minlength=len(found)).astype(np.int64) for c in counts]
-            for c in counts:
+            words = sorted(others.union(*counts))
+            sums = [pa.array([c[w] for w in words], pa.int64()) for c in counts]
+            for c in (*counts, others):
                 c.clear()
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * ORDER), len(found), [None, pa.py_buffer(found.tobytes())])
-            return pa.record_batch([raw.cast(pa.binary()), *(pa.array(s) for s in sums)], names=["gram", "o", "t", "fo", "ft"])
+            return pa.record_batch([pa.array(words, pa.string()), *sums], names=["word", *COUNTS])
 
         for batch in small(batches):
             for text, toxic, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts[2 * (part == 4) + (toxic > 0)].update(words_of(text))
-            if sum(map(len, counts)) > 200_000:
+                (others if part is None else counts[2 * (part == 4) + (toxic > 0)]).update(words_of(text))
+            if len(others) + sum(map(len, counts)) > 200_000:
                 yield drained()
-        if any(counts):
+        if others or any(counts):
             yield drained()
 
-    parts = training.mapInArrow(run, "gram binary, o long, t long, fo long, ft long")
-    bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets))
-    return parts.groupBy(bucket.alias("bucket")).agg(F.min("gram").alias("gram"), *(F.sum(c).alias(c) for c in ("o", "t", "fo", "ft")))
+    parts = labelled(docs, labels, "left").mapInArrow(run, "word string, o long, t long, fo long, ft long")
+    return parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def placed(words: DataFrame) -> DataFrame:
+    """words with a row for each six-gram in a word: gram (six code points, 24 bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 5000):
+            codes, of = windows(batch.column(0).to_pylist())
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * ORDER), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes).tobytes())])
+            yield pa.record_batch([raw.cast(pa.binary()), *(c.take(pa.array(of)) for c in batch.columns)], names=["gram", *batch.schema.names])
+
+    return words.mapInArrow(run, T.StructType([T.StructField("gram", T.BinaryType()), *words.schema.fields]))
+
+
+def gather(words: DataFrame) -> DataFrame:
+    """gram and its counts (see counted), a row for each six-gram that stands in any word."""
+    return placed(words).groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def shares(n: F.Column, context: WindowSpec, lower: F.Column) -> F.Column:
+    """Discounted share of the count `n` in its context, the rest of which goes by the probability `lower`."""
+    total, kinds = F.sum(n).over(context), F.sum((n > 0).cast("long")).over(context)
+    return F.when(total > 0, (F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * lower) / total).otherwise(lower)
+
+
+def log_ratios(grams: DataFrame, models: dict[str, tuple[F.Column, F.Column]]) -> DataFrame:
+    """gram and, for each model (its toxic and ordinary counts), the log-likelihood ratio in units of 1 / SCALE.
+
+    In a context that neither class holds both have the same probability: such grams are no rows of the result.
+    """
+    tail = F.substring("gram", 5, 4 * ORDER).alias("gram")
+    begin = lambda size: Window.partitionBy(F.substring("gram", 1, 4 * (size - 1)))
+    every = sum((t + o for t, o in models.values()), F.lit(0))
+    near, _ = write_table(grams.withColumn("_n", F.sum(every).over(begin(ORDER))).filter("_n > 0").drop("_n"), "toxic-near")
+    seen = [F.sum((t + o > 0).cast("long")).alias(m) for m, (t, o) in models.items()]
+    orders = {}
+    longer = near
+    for size in range(ORDER - 1, 0, -1):  # how many longer grams end in a gram
+        longer, _ = write_table(longer.groupBy(tail).agg(*seen), "toxic-order")
+        orders[size] = longer
+        seen = [F.sum((F.col(m) > 0).cast("long")).alias(m) for m in models]
+    kinds = longer.agg(*seen).first()
+    lower = longer.select("gram", *(shares(F.col(m), begin(1), F.lit(1 / (1 + (kinds[m] or 0)))).alias(f"p_{m}") for m in models))
+    for size in range(2, ORDER):
+        both = orders[size].join(lower.withColumnRenamed("gram", "tail"), F.substring("gram", 5, 4 * ORDER) == F.col("tail"))
+        lower = both.select("gram", *(shares(F.col(m), begin(size), F.col(f"p_{m}")).alias(f"p_{m}") for m in models))
+    both = near.join(lower.withColumnRenamed("gram", "tail"), F.substring("gram", 5, 4 * ORDER) == F.col("tail"))
+    ratio = lambda m, t, o: F.log(shares(t, begin(ORDER), F.col(f"p_{m}"))) - F.log(shares(o, begin(ORDER), F.col(f"p_{m}")))
+    return both.select("gram", *(F.round(ratio(m, t, o) * SCALE).cast("long").alias(m) for m, (t, o) in models.items()))
+
+
+def evidence(words: DataFrame, grams: DataFrame, models: dict[str, tuple[F.Column, F.Column]], least: float = 2.5, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """word and, for each model, its evidence in units of 1 / SCALE; only words that have some.
+
+    A word's evidence is its log-likelihood ratio beyond `least` nats either way. What the classes differ in by their
+    mixture of languages and topics stays below that, and would else add up over a long text. Sums are of integers, so
+    their order doesn't matter.
+    """
+    ratios, _ = write_table(log_ratios(grams, models), "toxic-ratios")
+    if ratios.count() <= broadcast_rows:  # 40 bytes a row; beyond that words meet their grams in a shuffle
+        table = ratios.toArrow().combine_chunks()
+        raw = b"".join(c.cast(pa.binary(4 * ORDER)).buffers()[1].to_pybytes()[: len(c) * 4 * ORDER] for c in table.column("gram").chunks)
+        keys = np.frombuffer(raw, f"<U{ORDER}")
+        order = np.argsort(keys)
+        shared = words.sparkSession.sparkContext.broadcast((keys[order], [table.column(m).to_numpy()[order] for m in models]))
+        names = list(models)
+        del table, raw, keys, order
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, ratios = shared.value
+            for batch in small(batches, 5000):
+                codes, of = windows(batch.column(0).to_pylist())
+                asked = np.ascontiguousarray(codes).view(f"<U{ORDER}").ravel()
+                sums = [np.zeros(batch.num_rows, np.int64) for _ in ratios]
+                if len(keys) and len(asked):
+                    at = np.searchsorted(keys, asked).clip(max=len(keys) - 1)
+                    hit = np.flatnonzero(keys[at] == asked)
+                    for total, ratio in zip(sums, ratios, strict=True):
+                        np.add.at(total, of[hit], ratio[at[hit]])
+                yield pa.record_batch([batch.column(0), *map(pa.array, sums)], names=["word", *names])
+
+        total = words.select("word").mapInArrow(run, "word string, " + ", ".join(f"{m} long" for m in models))
+    else:
+        total = placed(words.select("word")).join(ratios, "gram").groupBy("word").agg(*(F.sum(m).alias(m) for m in models))
+    beyond = [(F.signum(m) * F.greatest(F.abs(m) - int(least * SCALE), F.lit(0))).cast("long").alias(m) for m in models]
+    return total.select("word", *beyond).filter(" or ".join(f"{m} <> 0" for m in models))
 
 
-def train(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 20, fit_rows: int = 20_000) -> tuple[Model, np.ndarray] | None:
-    """The models over all training folds and the curve; None without both classes."""
-    training = labelled(docs, labels)
-    # a few arrays of at most `buckets` entries; no objects, as drivers are small
-    table = gather(training, buckets).select("gram", "o", "t", "fo", "ft").toArrow().combine_chunks()
-    grams = table.column("gram").combine_chunks() if table.num_rows else None
-    o, t, fo, ft = (table.column(n).to_numpy() for n in ("o", "t", "fo", "ft"))
-    if grams is None or not (t.sum() + ft.sum()) or not (o.sum() + fo.sum()):
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[DataFrame, np.ndarray] | None:
+    """word and evidence by the models over all training folds, and the curve; None without both classes."""
+    words, _ = write_table(counted(docs, labels), "toxic-words")
+    o, t, fo, ft = (n or 0 for n in words.agg(*(F.sum(c) for c in COUNTS)).first())
+    if not (t + ft) or not (o + fo):
         return None
-    codes = np.frombuffer(grams.buffers()[2], dtype=np.uint32)[: len(grams) * ORDER].reshape(-1, ORDER)
-    seen = (o > 0) | (t > 0)
-    rest = Model(codes[seen], t[seen], o[seen]) if t.sum() and o.sum() else Model(codes, t + ft, o + fo)
-    shared = docs.sparkSession.sparkContext.broadcast(rest)
-    del rest
-    fitted = featured(training.filter("fold = 4"), shared, ["toxic"]).withColumn("at", F.xxhash64("x1", "x2", "x3"))
+    whole = F.col("t") + F.col("ft"), F.col("o") + F.col("fo")
+    grams, _ = write_table(gather(words), "toxic-grams")
+    found, _ = write_table(evidence(words, grams, {"rest": (F.col("t"), F.col("o")) if t and o else whole, "full": whole}), "toxic-evidence")
+    fitted = featured(labelled(docs, labels).filter("fold = 4"), found.select("word", F.col("rest").alias("evidence")), ["toxic"]).withColumn("at", F.xxhash64("x1", "x2", "x3"))
     sample = fitted.orderBy("at", "x1", "x2", "x3", "toxic").limit(fit_rows).toPandas()
-    shared.destroy()
     if sample.toxic.nunique() < 2:
         curve = np.array([8.0, 0.5, 0.5, -2.0])
     else:
         curve = fit_curve(sample[["x1", "x2", "x3"]].to_numpy(), (sample.toxic > 0).to_numpy(float))
-    return Model(codes, t + ft, o + fo), curve
+    return found.select("word", F.col("full").alias("evidence")), curve
 
 
-def featured(docs: DataFrame, shared: Broadcast, keep: list[str]) -> DataFrame:
-    """The columns `keep` with x1, x2, x3 (see Model.features) by a broadcast model."""
+def featured(docs: DataFrame, found: DataFrame, keep: list[str], broadcast_rows: int = 4_000_000) -> DataFrame:
+    """The columns `keep` with the evidence of a text's distinct words, summed: over their number (x1), over its root (x2), and its log (x3)."""
+    found = found.filter("evidence <> 0")
+    given = docs.select(F.col("text").cast("string").alias("_text"), *keep)
+    kept = given.schema.fields[1:]
+    if found.count() <= broadcast_rows:  # 16 bytes a row; beyond that words are shuffled
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 1000):
-            x = shared.value.features([t or "" for t in batch.column(0).to_pylist()])
-            yield pa.record_batch([*batch.columns[1:], *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(3))], names=[*batch.schema.names[1:], "x1", "x2", "x3"])
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small(batches, 5000):
+                yield pa.record_batch([pa.array(word_keys(batch.column(0).to_pylist())), batch.column(1)], names=["key", "evidence"])
 
-    given = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    schema = T.StructType([*given.schema.fields[1:], *(T.StructField(f"x{k}", T.DoubleType()) for k in (1, 2, 3))])
-    return given.mapInArrow(run, schema)
+        keys, values = (c.to_numpy() for c in found.select("word", "evidence").mapInArrow(keyed, "key long, evidence long").toArrow().columns)
+        order = np.argsort(keys)
+        shared = docs.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+        del keys, values, order
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, values = shared.value
+            known: dict[str, int] = {}
+            for batch in small(batches):
+                every = [set(words_of(t or "")) for t in batch.column(0).to_pylist()]
+                if len(known) > 200_000:
+                    known.clear()
+                fresh = list(set().union(*every).difference(known))
+                if fresh and len(keys):
+                    asked = word_keys(fresh)
+                    at = np.searchsorted(keys, asked).clip(max=len(keys) - 1)
+                    known.update(zip(fresh, np.where(keys[at] == asked, values[at], 0).tolist(), strict=True))
+                total = pa.array([sum(known.get(w, 0) for w in words) for words in every], pa.int64())
+                yield pa.record_batch([*batch.columns[1:], total, pa.array(map(len, every), pa.int64())], names=[*batch.schema.names[1:], "_total", "_n"])
+
+        rows = given.mapInArrow(run, T.StructType([*kept, T.StructField("_total", T.LongType()), T.StructField("_n", T.LongType())]))
+    else:
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small(batches):
+                every = [sorted(set(words_of(t or ""))) for t in batch.column(0).to_pylist()]
+                yield pa.record_batch([*batch.columns[1:], pa.array(every, pa.list_(pa.string()))], names=[*batch.schema.names[1:], "_words"])
+
+        held = given.mapInArrow(listed, T.StructType([*kept, T.StructField("_words", T.ArrayType(T.StringType()))])).withColumn("_key", F.monotonically_increasing_id())
+        held, _ = write_table(held, "toxic-rows")
+        total = held.select("_key", F.explode("_words").alias("word")).join(found, "word").groupBy("_key").agg(F.sum("evidence").alias("_total"))
+        rows = held.select("_key", *keep, F.size("_words").alias("_n")).join(total, "_key", "left")
+    total, n = F.coalesce(F.col("_total"), F.lit(0)) / SCALE, F.greatest(F.col("_n"), F.lit(1)).cast("double")
+    return rows.select(*keep, (total / n).alias("x1"), (total / F.sqrt(n)).alias("x2"), F.log1p(F.greatest(total, F.lit(0.0))).alias("x3"))
 
 
-def scored(docs: DataFrame, trained: tuple[Model, np.ndarray] | None, keep: list[str]) -> DataFrame:
+def scored(docs: DataFrame, trained: tuple[DataFrame, np.ndarray] | None, keep: list[str]) -> DataFrame:
     """The columns `keep` with `toxic_score`."""
     if trained is None:
         return docs.select(*keep).withColumn("toxic_score", F.lit(0.0))
-    model, curve = trained
+    found, curve = trained
     at = sum((F.col(f"x{k + 1}") * float(curve[k]) for k in range(3)), F.lit(float(curve[3])))
-    return featured(docs, docs.sparkSession.sparkContext.broadcast(model), keep).withColumn("toxic_score", 1 / (1 + F.exp(-F.greatest(F.least(at, F.lit(500.0)), F.lit(-500.0))))).drop("x1", "x2", "x3")
+    return featured(docs, found, keep).withColumn("toxic_score", 1 / (1 + F.exp(-F.greatest(F.least(at, F.lit(500.0)), F.lit(-500.0))))).drop("x1", "x2", "x3")
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:

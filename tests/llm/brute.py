@@ -1,6 +1,7 @@
 """Plain Python forms of the contracts, one document at a time."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -134,3 +135,23 @@ def masked(text, spans):
             out += text[at:start] + f"[{kind.upper()}]"
         at = max(at, end)
     return out + text[at:]
+
+
+def kneser_ney_ratio(word, toxic, ordinary):
+    """Log-likelihood ratio of a word under two six-gram models (gram -> count) over shared continuation counts."""
+    orders = [Counter()] * 6
+    orders[5] = set(toxic) | set(ordinary)
+    for k in range(4, -1, -1):  # how many distinct longer grams end in one of k + 1 characters
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
+
+    def share(counts, gram, lower):
+        same = [n for g, n in counts.items() if g[:-1] == gram[:-1] and n]
+        return (max(counts.get(gram, 0) - 0.75, 0) + 0.75 * len(same) * lower) / sum(same) if same else lower
+
+    total, padded = 0.0, "\x02" * 5 + word + "\x03"
+    for i in range(len(padded) - 5):
+        gram, p = padded[i : i + 6], 1 / (1 + len(orders[0]))
+        for k in range(5):
+            p = share(orders[k], gram[5 - k :], p)
+        total += math.log(share(toxic, gram, p)) - math.log(share(ordinary, gram, p))
+    return total

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path[:0] = [str(Path(__file__).parent)]
 import brute  # noqa: E402
@@ -263,6 +264,32 @@ def test_toxicity(spark, docs, empty):
     assert {r.doc_id for r in toxicity.accept(frame, marks).collect()} == {r.doc_id for r in got if r.score < 0.5}
 
 
+def test_no_toxic_gram_is_folded(spark):
+    rng = random.Random(6)
+    known = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)})
+    texts = [(i, " ".join(known[i :: 100]), int(i % 4 == 0)) for i in range(100)] + [(1000, "never labelled aaaaaaaaaa", None)]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(t[0], t[2]) for t in texts if t[2] is not None], "doc_id long, toxic int")
+    want = {0: brute.Counter(), 1: brute.Counter()}
+    for i, text, toxic in texts:
+        if toxic is not None and zlib.crc32(str(i).encode()) % 5:
+            for w in text.split():
+                padded = "\x02" * 5 + w + "\x03"
+                want[toxic].update(padded[k : k + 6] for k in range(len(padded) - 5))
+    words = toxicity.counted(docs, labels).cache()
+    grams = toxicity.gather(words).withColumns({"t": F.col("t") + F.col("ft"), "o": F.col("o") + F.col("fo")}).cache()
+    got = {bytes(r.gram).decode("utf-32-le"): (r.o, r.t) for r in grams.filter("o + t > 0").collect()}
+    assert len(got) > 10_000 and got == {g: (want[0][g], want[1][g]) for g in want[0] | want[1]}
+    small, large = ({r.word: r.m for r in toxicity.evidence(words, grams, {"m": (F.col("t"), F.col("o"))}, least=0, broadcast_rows=n).collect()} for n in (10**6, 0))
+    assert small == large
+    found = {w: x / toxicity.SCALE for w, x in small.items()}
+    for w in ["never", "aaaaaaaaaa", *rng.sample(known, 4)]:
+        assert abs(found[w] - brute.kneser_ney_ratio(w, want[1], want[0])) < 1e-9
+    evidence = spark.createDataFrame([(w, int(x * toxicity.SCALE)) for w, x in found.items()], "word string, evidence long")
+    few, many = (sorted(map(tuple, toxicity.featured(docs, evidence, ["doc_id"], broadcast_rows=n).collect())) for n in (10**6, 0))
+    assert few == many and len(few) == 101
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     token_files.write_token_files(docs, f"file://{tmp_path}/f", WORDS, block_tokens=500)
     rows = sorted(token_files.read_token_files(spark, f"file://{tmp_path}/f").collect(), key=lambda r: (r.doc_id, r.start))
