@@ -7,6 +7,8 @@ last part stays open and may take the next block.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,36 @@ from quillmill.functions.text import blank, token_count
 HARD_LIMIT = 2000
 
 
-def line_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and blocks, array<struct<text, tokens, breakable>>: a block per line, line ends kept."""
+def line_blocks(docs: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
+    """doc_id and blocks, array<struct<text, tokens, breakable>>: a block per line, line ends kept.
+
+    With a limit the blocks also have `starts`: a line of more tokens is split into parts, each of which starts a chunk.
+    """
     lines = F.filter(F.split(F.col(text), r"(?<=\n)"), lambda x: F.length(x) > 0)
-    return docs.select("doc_id", F.transform(lines, lambda x: F.struct(x.alias("text"), token_count(x).alias("tokens"), F.lit(True).alias("breakable"))).alias("blocks"))
+    starts = [] if limit is None else [F.lit(False).alias("starts")]
+    blocks = F.transform(lines, lambda x: F.struct(x.alias("text"), token_count(x).alias("tokens"), F.lit(True).alias("breakable"), *starts))
+    if limit is None:
+        return docs.select("doc_id", blocks.alias("blocks"))
+
+    def parts(whole: str | None) -> list[tuple[str, int, bool, bool]] | None:
+        from quillmill.operators.splitting import count_tokens, split
+
+        if whole is None:
+            return None
+        made = []
+        for line in filter(None, re.split(r"(?<=\n)", whole)):
+            found = split(line, limit)
+            made += [(p, count_tokens(p), True, len(found) > 1) for p in found]
+        return made
+
+    broken = F.udf(parts, "array<struct<text:string,tokens:int,breakable:boolean,starts:boolean>>")
+    given = docs.select("doc_id", F.col(text).alias("_text"), blocks.alias("_blocks"))
+    needed = F.exists("_blocks", lambda b: b["tokens"] > limit)  # other texts don't reach Python
+    return given.select("doc_id", F.coalesce(broken(F.when(needed, F.col("_text"))), F.col("_blocks")).alias("blocks"))
 
 
-def packed(blocks: Column, limit: int, hard_limit: int = HARD_LIMIT) -> Column:
-    """array<struct<tokens, n_blocks, alone>> of the chunks, in order; one empty chunk for no blocks."""
+def packed(blocks: Column, limit: int, hard_limit: int = HARD_LIMIT, parts: bool = False) -> Column:
+    """array<struct<tokens, n_blocks, alone>> of the chunks, in order; one empty chunk for no blocks. parts: blocks have `starts`."""
     chunk = "array<struct<tokens:bigint,n_blocks:bigint,alone:boolean>>"
     one = lambda tokens, n, alone: F.array(F.struct(tokens.cast("bigint").alias("tokens"), n.cast("bigint").alias("n_blocks"), alone.alias("alone"))).cast(chunk)
 
@@ -33,7 +57,7 @@ def packed(blocks: Column, limit: int, hard_limit: int = HARD_LIMIT) -> Column:
         state = lambda d, t, n: F.struct(d.alias("done"), t.cast("bigint").alias("tokens"), n.cast("bigint").alias("n"))
         return (
             F.when(alone, state(F.concat(flushed, one(tokens, F.lit(1), F.lit(True))), F.lit(0), F.lit(0)))
-            .when((open_n > 0) & (open_tokens + tokens > limit), state(flushed, tokens, F.lit(1)))
+            .when((open_n > 0) & ((open_tokens + tokens > limit) | (b["starts"] if parts else F.lit(False))), state(flushed, tokens, F.lit(1)))
             .otherwise(state(done, open_tokens + tokens, open_n + 1))
         )
 
@@ -44,7 +68,8 @@ def packed(blocks: Column, limit: int, hard_limit: int = HARD_LIMIT) -> Column:
 
 def chunks(blocks: DataFrame, limit: int, hard_limit: int = HARD_LIMIT) -> DataFrame:
     """A row per chunk: doc_id, sequence (from 0), tokens, n_blocks, first_block, text."""
-    made = blocks.select("doc_id", "blocks", packed(F.col("blocks"), limit, hard_limit).alias("made"))
+    parts = "starts" in blocks.schema["blocks"].dataType.elementType.names
+    made = blocks.select("doc_id", "blocks", packed(F.col("blocks"), limit, hard_limit, parts).alias("made"))
     rows = made.select("doc_id", "blocks", "made", F.posexplode("made").alias("sequence", "chunk"))
     first = F.aggregate(F.slice("made", 1, F.col("sequence")), F.lit(0).cast("bigint"), lambda a, c: a + c["n_blocks"])
     rows = rows.withColumn("first_block", first)

@@ -62,15 +62,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packer.chunks(packer.line_blocks(documents(spark, sf_dir).filter("text is not null")), LIMIT)
+    return packer.chunks(packer.line_blocks(documents(spark, sf_dir).filter("text is not null"), limit=LIMIT), LIMIT)
 
 
 @query(f"{_PACK}, d AS (SELECT doc_id, lang, {DETECTED} AS detected FROM documents) SELECT lang, detected, count(*) AS docs, sum(n)::BIGINT AS chunks FROM d JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY 1) USING (doc_id) GROUP BY 1, 2")
 def language_chunks(spark, sf_dir):
     """Declared against detected language, with documents and packed chunks."""
     docs = documents(spark, sf_dir).filter("text is not null")
-    made = packer.packed(F.col("blocks"), LIMIT)
-    counted = packer.line_blocks(docs.withColumn("doc_id", F.struct("lang", T.detect_language(F.col("text")).alias("detected")))).select("doc_id.lang", "doc_id.detected", F.size(made).alias("n"))
+    made = packer.packed(F.col("blocks"), LIMIT, parts=True)
+    counted = packer.line_blocks(docs.withColumn("doc_id", F.struct("lang", T.detect_language(F.col("text")).alias("detected"))), limit=LIMIT).select("doc_id.lang", "doc_id.detected", F.size(made).alias("n"))
     return counted.groupBy("lang", "detected").agg(F.count("*").alias("docs"), F.sum("n").alias("chunks"))
 
 
@@ -105,8 +105,8 @@ def token_count_docs(spark, sf_dir):
 
 @query(f"{_PACK} SELECT doc_id, count(*) AS chunks, max(tokens)::BIGINT AS largest FROM c GROUP BY 1")
 def pack_lines_chunk_count(spark, sf_dir):
-    blocks = packer.line_blocks(documents(spark, sf_dir).filter("text is not null"))
-    made = blocks.select("doc_id", packer.packed(F.col("blocks"), LIMIT).alias("made"))
+    blocks = packer.line_blocks(documents(spark, sf_dir).filter("text is not null"), limit=LIMIT)
+    made = blocks.select("doc_id", packer.packed(F.col("blocks"), LIMIT, parts=True).alias("made"))
     return made.select("doc_id", F.size("made").cast("long").alias("chunks"), F.array_max(F.transform("made", lambda c: c["tokens"])).alias("largest"))
 
 

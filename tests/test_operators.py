@@ -35,6 +35,27 @@ def test_last_split_part_stays_open():
     assert "".join(splitting.split(family, 7)) == family and all(len(p) % 5 == 0 for p in splitting.split(family, 7))
 
 
+def test_oversized_lines_are_split_before_packing(spark):
+    """Every registered chunk against the plain packer, on the driver's texts."""
+    import hashlib
+
+    from quillmill.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").collect():
+        lines = [x + "\n" for x in r.text.split("\n")]
+        lines[-1] = lines[-1][:-1]
+        want[r.doc_id] = splitting.chunked([(x, True) for x in lines if x], catalogue.LIMIT)
+        assert "".join(want[r.doc_id]) == r.text
+    rows = catalogue.queries()["pack_chunks_rows"](spark, sf).collect()
+    assert {(r.doc_id, r.sequence): r.text_md5 for r in rows} == {(d, k): hashlib.md5(c.encode()).hexdigest() for d, cs in want.items() for k, c in enumerate(cs)}
+    assert max(r.tokens for r in rows) <= catalogue.LIMIT
+    counts = catalogue.queries()["pack_lines_chunk_count"](spark, sf).collect()
+    assert {r.doc_id: r.chunks for r in counts} == {d: len(c) for d, c in want.items()} and max(r.largest for r in counts) <= catalogue.LIMIT
+    assert sum(r.chunks for r in catalogue.queries()["language_chunks"](spark, sf).collect()) == len(rows)
+
+
 def test_native_and_python_token_counts_agree(spark):
     texts = ["", "a b", "don't 12345", "漢字 кир ½", "x_y\n\tz"]
     assert values(spark, T.token_count(F.col("x")), *texts) == [splitting.count_tokens(t) for t in texts]
