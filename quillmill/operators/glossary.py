@@ -99,6 +99,31 @@ def boundary_pattern(term: Column) -> Column:
     return F.concat(F.lit("(?i)"), left, quoted, right)
 
 
+def proposed(chunks: DataFrame, entries: DataFrame, most: int = 200_000) -> DataFrame:
+    """chunks (chunk_id, source_text) with every entry (ord, src, dst) whose src stands verbatim in the text.
+
+    One glossary's sources go to an automaton, as for matches; more than `most` of them are an error.
+    """
+    import ahocorasick
+
+    sources = [r.src for r in entries.filter("src <> ''").select("src").distinct().limit(most + 1).collect()]
+    if len(sources) > most:
+        raise ValueError(f"a glossary holds {most} entries at most")
+    shared = chunks.sparkSession.sparkContext.broadcast(sources)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for src in shared.value:
+            automaton.add_word(src, src)
+        automaton.make_automaton()
+        for batch in batches:
+            found = [sorted({src for _, src in automaton.iter(t)}) if t and shared.value else [] for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=["chunk_id", "source_text", "srcs"])
+
+    hits = chunks.select(F.col("chunk_id").cast("long"), F.col("source_text").cast("string")).mapInArrow(run, "chunk_id long, source_text string, srcs array<string>")
+    return hits.select("chunk_id", "source_text", F.explode("srcs").alias("src")).join(F.broadcast(entries.select("ord", "src", "dst")), "src")
+
+
 def grounded(pairs: DataFrame) -> DataFrame:
     """pairs (chunk_id, ord, src, dst, source_text) whose src stands verbatim in the chunk, the first of each source."""
     good = pairs.filter(valid(F.col("src")) & valid(F.col("dst")) & F.contains("source_text", F.col("src")))

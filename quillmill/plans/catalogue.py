@@ -231,11 +231,11 @@ _PAIRS = "terms AS (SELECT item_id AS entry_index, string_split(text, ' ')[1] AS
 
 
 def term_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs of chunks: one-word entries dealt to them by number."""
+    """Candidate pairs of chunks: all one-word entries that stand in them."""
     src = F.get(F.split("text", " "), F.lit(0))
-    t = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), src.alias("src"), F.concat(src, F.col("item_id").cast("string")).alias("dst"), (F.col("item_id") % 8).alias("m"))
-    d = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("source_text"), (F.col("doc_id") % 8).alias("m"))
-    return d.join(t, "m").drop("m")
+    t = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), src.alias("src"), F.concat(src, F.col("item_id").cast("string")).alias("dst"))
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("source_text"))
+    return glossary.proposed(d, t)
 
 
 @query(f"WITH {_PAIRS}, g AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, lower(trim(src)) ORDER BY ord) AS r FROM pairs WHERE src <> '' AND NOT regexp_matches(src, '[[:cntrl:]]') AND contains(source_text, src)) SELECT chunk_id, ord, src, dst FROM g WHERE r = 1")

@@ -122,6 +122,24 @@ def test_glossary_matching(spark):
     assert [(r.norm, r.dst, r.conflicts) for r in glossary.merged(kept).collect()] == [("cat", "a", 1)]
 
 
+def test_every_term_is_tested_on_every_document(spark):
+    from quillmill.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    entries = sorted((r.item_id, r.text.split(" ")[0]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").collect()}
+    pairs = [(d, i, s) for d in sorted(texts) for i, s in entries if s and s in texts[d]]
+    first, by = {}, {}
+    for d, i, s in pairs:
+        first.setdefault((d, s.strip().lower()), (i, s, f"{s}{i}"))
+        by.setdefault(s.strip().lower(), []).append((s, f"{s}{i}"))
+    got = catalogue.queries()["groundedness_filter"](spark, sf).collect()
+    assert sorted((r.chunk_id, r.ord, r.src, r.dst) for r in got) == sorted((d, *x) for (d, _), x in first.items())
+    assert any(r.chunk_id % 8 != r.ord % 8 for r in got)
+    merged = catalogue.queries()["merge_first_wins"](spark, sf).collect()
+    assert {r.norm: (r.src, r.dst, r.conflicts) for r in merged} == {n: (*x[0], len({dst for _, dst in x}) - 1) for n, x in by.items()}
+
+
 def test_glossary_recovery(spark):
     answers = ['Here: ```json\n[{"src":"a","dst":"b"}]\n``` done', '{"glossary":[{"source":"a","target":"b"},[{"x":"y"}]]}', 'say {"a": "li\nne",} ok', '[{"src":"a","dst":"b"}', "nothing"]
     got = [list(glossary_files.entries(glossary_files.recovered(a))) if a != "nothing" else None for a in answers]
