@@ -326,7 +326,7 @@ def link(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28, hu
                 met = met.join(tested, ["a", "b"], "left_anti")
             met, _ = write_table(met, "near-met")
             if met.isEmpty():
-                break
+                continue
             tested = met.select("a", "b") if tested is None else tested.unionByName(met.select("a", "b"))
             sketch = classes.select("cid", "n_shingles", "sketch")
             near = met.join(sketch.withColumnsRenamed({"cid": "member", "n_shingles": "n_s", "sketch": "s"}), "member").join(sketch.withColumnsRenamed({"cid": "hub", "n_shingles": "n_t", "sketch": "t"}), "hub")

@@ -168,6 +168,24 @@ def test_near_duplicates(spark, empty):
     assert dedup.link(empty).count() == 0
 
 
+def test_hub_chosen_twice_hides_no_link(spark):
+    """B ~ C; A holds all that they share, is linked with neither and is their lists' hub in both rounds."""
+    trios = []
+    for seed in range(2000):
+        word = lambda n, seed=seed: [f"t{seed}w{i}" for i in n]
+        texts = [" ".join(word(range(42)) + word(range(b, b + n))) for b, n in ((100, 28), (200, 2), (300, 2))]
+        a, b, c = (dedup.shingle_hashes(t) for t in texts)
+        keys = [dedup.set_key(h) for h in (a, b, c)]
+        if min(keys) == keys[0] and np.isin(np.intersect1d(b, c), a[:64]).all():
+            trios += [(seed, i, bytearray(k), t) for i, (k, t) in enumerate(zip(keys, texts, strict=True))]
+    hubs = spark.createDataFrame(trios, "seed int, i int, cid binary, text string").groupBy("seed").agg(F.min_by("i", F.xxhash64(F.lit(1), "cid")).alias("hub"))
+    chosen = hubs.filter("hub = 0").agg(F.min("seed")).first()[0]
+    trio = [t for seed, _, _, t in trios if seed == chosen]
+    docs = list(enumerate(trio))
+    got = {r.doc_id: r.component_id for r in dedup.link(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: c for d, (_, c) in brute.near_components(docs).items()} == {0: 0, 1: 1, 2: 1}
+
+
 def test_near_duplicates_in_blocks(spark):
     """Small blocks and no hub round: every pair goes through the block comparison."""
     docs = family_docs()
