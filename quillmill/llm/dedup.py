@@ -79,18 +79,23 @@ def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def text_key() -> Column:
+    """A key of a row's text, never null."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, cid (key of the set; null: empty), sketch (the k smallest hashes)."""
+    """doc_id, text_key, n_shingles, cid (key of the set; null: empty), sketch (the k smallest hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             sets = [shingle_hashes(t or "") for t in batch.column(1).to_pylist()]
             yield pa.record_batch(
-                [batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) if len(h) else None for h in sets], pa.binary()), pa.array([h[:k] for h in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "cid", "sketch"],
+                [batch.column(0), batch.column(2), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) if len(h) else None for h in sets], pa.binary()), pa.array([h[:k] for h in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "cid", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, n_shingles long, {CLASS}, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key().alias("text_key")).mapInArrow(run, f"doc_id long, text_key long, n_shingles long, {CLASS}, sketch array<long>")
 
 
 def needed(n: Column, k: int, common: int, threshold: int) -> Column:
@@ -201,11 +206,13 @@ def labels_of(links: DataFrame | None, lists: DataFrame) -> DataFrame:
 
 
 def texts_of(side: DataFrame, docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """side (source_id, ...) with the text of each source_id."""
+    """side (source_id, ...) with the text of each source_id: a doc_id, or the text's key of a row without one."""
     side, _ = write_table(side, "near-side")
     if side.count() <= broadcast_rows:  # about 80 bytes a row; beyond that both sides are shuffled
         side = F.broadcast(side)
-    return docs.select(F.col("doc_id").cast("long").alias("source_id"), F.col("text").cast("string")).join(side, "source_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("source_id"), F.col("text").cast("string"), text_key().alias("key"))
+    nameless = texts.filter("source_id is null").groupBy(F.col("key").alias("source_id")).agg(F.first("text").alias("text"))
+    return texts.filter("source_id is not null").select("source_id", "text").unionByName(nameless).join(side, "source_id")
 
 
 def full_lists(marked: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -308,9 +315,14 @@ def block_pairs(marked: DataFrame, classes: DataFrame, k: int, common: int, thre
 
 def link(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28, hub_rounds: int = 2) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept, n_links (verified links found of its class)."""
+    return labelled_rows(docs, threshold, k, common, hub_rounds).drop("text_key", "label")
+
+
+def labelled_rows(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28, hub_rounds: int = 2) -> DataFrame:
+    """The rows of link with text_key and label (the component's key; null without shingles)."""
     marks, _ = write_table(sketches(docs, k), "near-sketches")
-    named = marks.filter("cid is not null").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "sketch")).alias("x"))
-    classes = named.select("cid", F.col("x.doc_id").alias("source_id"), "x.n_shingles", "x.sketch")
+    named = marks.filter("cid is not null").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "text_key").alias("source_id"), "n_shingles", "sketch")).alias("x"))
+    classes = named.select("cid", "x.source_id", "x.n_shingles", "x.sketch")
     classes, _ = write_table(classes, "near-classes")
     lists, _ = write_table(inverted_lists(classes, k, common, threshold), "near-lists")
     labels = links = tested = None
@@ -353,17 +365,25 @@ def link(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28, hu
         degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
         joined = marks.join(labels, "cid", "left").join(degree, "cid", "left").withColumn("label", F.coalesce("label", "cid")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     least = joined.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    done = joined.select("doc_id", "n_shingles", "label", "n_links").join(least, "label", "left")
+    done = joined.select("doc_id", "text_key", "n_shingles", "label", "n_links").join(least, "label", "left")
     component = F.coalesce("component_id", "doc_id")
-    return done.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "n_links")
+    return done.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "n_links", "text_key", "label")
 
 
 def accept(docs: DataFrame) -> DataFrame:
-    """One document of each component, with its own columns. Rows with null doc_id stay; of equal doc_ids one row does."""
-    found, _ = write_table(link(docs).select("doc_id", "kept"), "near-kept")
-    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = ids.filter(~F.col("kept")).select("doc_id")
-    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if ids.filter("n > 1 and kept").isEmpty():
-        return stay
-    return stay.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.filter("doc_id is null"))
+    """One document of each component, with its own columns. Rows with null doc_id stay.
+
+    Rows are told apart by doc_id and text: of several with one doc_id each is judged by its own component, and of those
+    that would stay for one component, and of equal rows, one does.
+    """
+    found, _ = write_table(labelled_rows(docs).filter("doc_id is not null").select("doc_id", "text_key", "label", "kept"), "near-kept")
+    at = F.coalesce("label", F.col("text_key").cast("string").cast("binary")).alias("at")
+    gone = found.filter(~F.col("kept")).select("doc_id", "text_key")
+    stays = found.filter("kept").select("doc_id", "text_key", at)
+    several, _ = write_table(stays.groupBy("doc_id", "at").agg(F.min("text_key").alias("first"), F.count("*").alias("n")).filter("n > 1"), "near-several")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))  # no name can clash
+    if several.isEmpty():
+        return keyed.join(gone, ["doc_id", "text_key"], "left_anti").select("_row.*")
+    gone = gone.unionByName(stays.join(several, ["doc_id", "at"]).filter("text_key <> first").select("doc_id", "text_key"))
+    stay = keyed.join(gone, ["doc_id", "text_key"], "left_anti")
+    return stay.filter("doc_id is not null").dropDuplicates(["doc_id", "text_key"]).unionByName(stay.filter("doc_id is null")).select("_row.*")

@@ -186,6 +186,17 @@ def test_hub_chosen_twice_hides_no_link(spark):
     assert got == {d: c for d, (_, c) in brute.near_components(docs).items()} == {0: 0, 1: 1, 2: 1}
 
 
+def test_near_duplicates_with_null_and_equal_doc_ids(spark):
+    word = lambda a, b: [f"n{i}" for i in range(a, b)]
+    first, bridge, last = (" ".join(word(a, a + 200)) for a in (0, 20, 40))
+    frame = spark.createDataFrame([(1, first), (None, bridge), (None, bridge), (2, last)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in dedup.link(frame).collect()) == [(0, 1), (0, 1), (1, 1), (2, 1)]
+    clean, other = " ".join(word(1000, 1100)), " ".join(word(2000, 2100))
+    rows = [(1, first), (7, first + " x"), (7, clean), (8, other), (8, other + " x"), (9, ""), (9, ""), (10, clean + " y")]
+    stay = dedup.accept(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in stay) == [1, 7, 8, 9] and [r.text for r in stay if r.doc_id == 7] == [clean]
+
+
 def test_near_duplicates_in_blocks(spark):
     """Small blocks and no hub round: every pair goes through the block comparison."""
     docs = family_docs()
