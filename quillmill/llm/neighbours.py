@@ -101,6 +101,22 @@ class Centroids:
                 dist.update(zip(new, np.sqrt(((self.points[new] - x) ** 2).sum(1)).tolist(), strict=True))
 
 
+    def lists_of(self, x: np.ndarray, held: np.ndarray, least: int) -> np.ndarray:
+        """The lists to search: by the distance ratio, and further ones until they hold `least` distinct vectors.
+
+        `held`: the lists' sizes. A vector is in at most `replicas` lists.
+        """
+        keep = self.keep
+        while True:
+            at, d = self.walk(x, keep)
+            n = max(int((d <= self.ratio * d[0] + 1e-12).sum()) if keep == self.keep else 0, int(np.searchsorted(np.cumsum(held[at]), self.replicas * least)) + 1)
+            if n <= len(at):
+                return at[:n]
+            if keep >= len(self.points):  # the walk has no more: all lists by their distance
+                return np.arange(len(self.points))
+            keep *= 2
+
+
 def inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """All inner products, each summed from the first component to the last, whatever its place in the arrays."""
     out = np.zeros((len(q), len(v)))
@@ -187,20 +203,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int
                     part, rows = batch.slice(i, 2048), pa.array(rows)
                     yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(places.astype(np.int32))], names=["v", "vid", "list"])
 
-        def probe(batches: Iterator[pa.RecordBatch], index=index, dim=dim, largest=largest) -> Iterator[pa.RecordBatch]:
+        posted, _ = write_table(own.select("v", "vid").mapInArrow(post, "v array<double>, vid long, list int"), "postings")
+        sizes = posted.groupBy("list").agg(F.count("*").alias("n")).withColumn("segments", (F.col("n") / segment_rows).cast("int") + 1)
+        held = np.zeros(len(index.value.points), np.int64)
+        for r in sizes.select("list", "n").collect():  # `max_lists` rows at most
+            held[r["list"]] = r["n"]
+        sizes = sizes.select("list", "segments")
+
+        def probe(batches: Iterator[pa.RecordBatch], index=index, dim=dim, largest=largest, held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 x = np.column_stack([v * (largest / np.sqrt((v**2).sum(1)))[:, None], np.zeros(len(v))])
                 rows, lists = [], []
                 for r in range(len(x)):
-                    at, d = index.value.walk(x[r], index.value.keep)
-                    take = at[d <= index.value.ratio * d[0] + 1e-12]
+                    take = index.value.lists_of(x[r], held, k + 1)
                     rows += [r] * len(take)
                     lists += take.tolist()
                 yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(lists, pa.int32())], names=["v", "qid", "list"])
 
-        posted, _ = write_table(own.select("v", "vid").mapInArrow(post, "v array<double>, vid long, list int"), "postings")
-        sizes = posted.groupBy("list").agg(F.count("*").alias("n")).withColumn("segments", (F.col("n") / segment_rows).cast("int") + 1).select("list", "segments")
         cut = posted.join(sizes, "list").withColumn("segment", F.pmod(F.col("vid"), F.col("segments")).cast("int")).drop("segments")
         routed = mine.select("v", "qid").repartition(32).mapInArrow(probe, "v array<double>, qid long, list int")
         routed = routed.join(sizes, "list").withColumn("segment", F.explode(F.sequence(F.lit(0), F.col("segments") - 1))).drop("segments")

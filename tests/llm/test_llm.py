@@ -231,6 +231,20 @@ def test_shards_match_the_mixture(spark):
         assert len(counts) == 10 and all(abs(c - n / 10) <= 2 for c in counts)
 
 
+def test_lists_searched_hold_enough_neighbours():
+    """A query at its centroid, whose list is small: the distance ratio alone stops there."""
+    x = np.random.default_rng(8).normal(size=(600, 8))
+    index = neighbours.Centroids(x, 40, 20, 4, 1.1, 0.97)
+    held = np.full(len(index.points), 5)
+    index.keep = 4
+    for p in index.points:
+        at, d = index.walk(p, index.keep)
+        assert held[at[d <= index.ratio * d[0] + 1e-12]].sum() < 21
+        lists = index.lists_of(p, held, 21)
+        assert len(set(lists.tolist())) == len(lists) and held[lists].sum() >= 21 * index.replicas
+    assert len(index.lists_of(index.points[0], np.ones(len(held), np.int64), 21)) == len(held)
+
+
 def test_neighbours(spark):
     rng = random.Random(3)
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)] + [(400 + i, [1.0] * 8) for i in range(60)]
