@@ -3,7 +3,7 @@
 1. Documents with equal shingle sets form a class (a 128-bit key of the set); everything further works on classes.
 2. A class keeps the `k` smallest hash values of its set. Values that no other class retains are dropped, and so is a
    class with fewer than `common` values left: two sets with a Jaccard of 0.75 share fewer than 28 of 64 retained values
-   with a probability below 1e-8; for sets of at most k shingles, retained whole, the bound is certain.
+   with a probability below 3e-8; for sets of at most k shingles, retained whole, the bound is certain.
 3. Inverted lists of the rarest of these values generate overlaps (as two classes share at least `common` values, they
    meet in a list even if the `common` - 1 most frequent ones are left out).
 4. Pairs of a list's members and its hub are filtered by the estimate from their union's sketch and verified by the
