@@ -6,16 +6,20 @@
    with a probability below 3e-8; for sets of at most k shingles, retained whole, the bound is certain.
 3. Inverted lists of the rarest of these values generate overlaps (as two classes share at least `common` values, they
    meet in a list even if the `common` - 1 most frequent ones are left out).
-4. Pairs of a list's members and its hub are filtered by the estimate from their union's sketch and verified by the
-   exact Jaccard of their full sets. Lists whose members aren't connected by then get other hubs. For classes that still
-   share a list with another component, inverted lists of their full sets leave those that can be linked at all, and
-   these are compared, block by block, with the members of other components: no list is expanded into all pairs, and no
-   link between different texts is lost.
-5. Components come from the links by star contraction.
+4. Every member of a list is paired with the list's hub, the class whose values most others retain. Pairs are filtered
+   by the estimate from their union's sketch and verified by the exact Jaccard of their full sets, which connects most
+   groups of copies. Classes that still share a list with another component get inverted lists of their full sets; those
+   that can be linked at all are compared, block by block, with the members of other components. A block reports no
+   pairs but a spanning set of its links, so what leaves it is never more than its members.
+5. Components come from the links by star contraction, repeated until nothing changes.
+
+A shingle's hash chains the XXH3 hashes of its words, mixed before each further one, so it doesn't follow how words are
+built; two given shingles collide with a probability of 2 ** -64.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. Null texts and texts without words have no shingles
-and are linked with nothing. Rows with null doc_id are linked like others but name no component. Equal rows, and rows
-with equal doc_id, each give a row. An empty table gives an empty result.
+and are linked with nothing. Very long texts are taken whole. Rows with null doc_id are linked like others but name no
+component. Equal rows, and rows with equal doc_id, each give a row. An empty table gives an empty result. Further
+columns, whatever their names, have no effect on `link` and are handed through by `accept`.
 """
 
 from __future__ import annotations
@@ -27,13 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from quillmill.llm.batches import small
-from quillmill.runtime import write_table
+from quillmill.runtime import Scratch
 
-BASE = np.uint64(0x9FB21C651E98DF25)
-BASE_INVERSE = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
 CLASS = "cid binary"
+BROADCAST_ROWS = 100_000  #: of at most 100 bytes: no broadcast here exceeds 10 MB
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -43,36 +47,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0 to n - 1, modulo 2 ** 64."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for i, b in enumerate((BASE, BASE_INVERSE)):
-            f = np.full(size, b, np.uint64)
-            f[0] = 1
-            _powers[i] = np.cumprod(f)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
-    """Sorted distinct 63-bit hashes of a text's word shingles: of byte runs of the text with single spaces."""
+    """Sorted distinct 64-bit hashes of a text's word shingles; of fewer words than that, of all as one."""
     found = text.encode().lower().split()
     if not found:
         return np.empty(0, np.int64)
-    raw = np.frombuffer(b" ".join(found), np.uint8)
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE[raw] * up[:-1], out=total[1:])
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    span = min(words, len(found)) - 1
-    s, e = starts[: len(starts) - span], ends[span:]
-    return np.unique((mixed((total[e] - total[s]) * down[s]) >> np.uint64(1)).astype(np.int64))
+    each = np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
+    span = min(words, len(found))
+    count = len(found) - span + 1
+    h = each[:count]
+    for i in range(1, span):
+        h = mixed(h) + each[i : i + count]
+    h = np.sort(mixed(h).view(np.int64))
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -130,16 +117,19 @@ def inverted_lists(classes: DataFrame, k: int, common: int, threshold: int) -> D
     return kept.select("cid", weight.alias("weight"), F.explode(first).alias("x")).select(F.col("x.value").alias("value"), "cid", "weight")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int, salted: int = 256) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int, scratch: Scratch, salted: int = 256, spread: int = 64) -> DataFrame:
     """Of pairs (member, hub) those with 100 * intersection >= threshold * union, on full sets recomputed from texts.
 
-    A hub's set is repeated for every `salted` members; a partition streams over its pairs, so none holds a group.
+    A hub's set is repeated for every `salted` members; a partition streams over its pairs, so none holds a group. Hubs
+    of more members than that are told to their members in `spread` parts.
     """
     loads = pairs.groupBy("hub").agg(F.count("*").alias("n")).withColumn("salts", (F.col("n") / salted).cast("int") + 1).select("hub", "salts")
-    members = pairs.join(loads, "hub").select(F.col("member").alias("cid"), "hub", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"))
+    heavy = loads.filter("salts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    members = pairs.withColumn("part", F.pmod(F.hash("member"), F.lit(spread))).join(heavy, ["hub", "part"], "left")
+    members = members.select(F.col("member").alias("cid"), "hub", F.coalesce(F.pmod(F.xxhash64("member"), F.col("salts")), F.lit(0)).cast("int").alias("salt"), F.lit(1).alias("side"))
     hubs = loads.select(F.col("hub").alias("cid"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
     roles = members.unionByName(hubs).join(classes.select("cid", "source_id"), "cid")
-    texts = texts_of(roles, docs).select("text", "cid", "hub", "salt", "side")
+    texts = texts_of(roles, docs, scratch).select("text", "cid", "hub", "salt", "side")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 200):
@@ -167,17 +157,17 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: i
     return full.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "side").select("cid", "hub", "side", "hashes").mapInArrow(compare, "member binary, hub binary")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """cid, label (the smallest cid reachable) for all ends of links (a, b), by alternating large and small stars."""
-    edges, _ = write_table(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).filter("x <> y").distinct(), "near-edges")
+    edges = scratch.write(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).filter("x <> y").distinct(), "near-edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
         large = both.join(low, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y")
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         ends = large.join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y").unionByName(low.select("x", F.col("m").alias("y")))
-        edges, _ = write_table(ends.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "near-edges")
+        edges = scratch.write(ends.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "near-edges")
         # settled: every node has one edge, to a node that has none to a smaller one
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
@@ -186,81 +176,105 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("x").alias("cid"), F.col("y").alias("label")).unionByName(edges.select(F.col("y").alias("cid"), F.col("y").alias("label")).distinct())
 
 
-def near_labels(links: DataFrame) -> DataFrame:
+def near_labels(links: DataFrame, scratch: Scratch) -> DataFrame:
     """cid, label: equal labels are connected, but not every component has one label yet (stars of hubs have)."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = both.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("m")).select("cid", F.least("cid", "m").alias("label"))
-    label, _ = write_table(label, "near-labels")
+    label = scratch.write(label, "near-labels")
     # a hub's label reaches all its members, whether theirs were smaller or not
     reached = both.join(label.withColumnsRenamed({"cid": "b", "label": "theirs"}), "b").groupBy(F.col("a").alias("cid")).agg(F.min("theirs").alias("theirs"))
     return label.join(reached, "cid").select("cid", F.least("label", "theirs").alias("label"))
 
 
-def labels_of(links: DataFrame | None, lists: DataFrame) -> DataFrame:
-    """lists (value, cid, weight) with label, only of lists that hold more than one."""
-    if links is None:
-        marked = lists.withColumn("label", F.col("cid"))
-    else:
-        marked = lists.join(links, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    return of_several_labels(marked).select("value", "cid", "label", "weight")
-
-
-def texts_of(side: DataFrame, docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def texts_of(side: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """side (source_id, ...) with the text of each source_id: a doc_id, or the text's key of a row without one."""
-    side, _ = write_table(side, "near-side")
-    if side.count() <= broadcast_rows:  # about 80 bytes a row; beyond that both sides are shuffled
+    side = scratch.write(side, "near-side")
+    if side.count() <= BROADCAST_ROWS:  # beyond that both sides are shuffled
         side = F.broadcast(side)
     texts = docs.select(F.col("doc_id").cast("long").alias("source_id"), F.col("text").cast("string"), text_key().alias("key"))
     nameless = texts.filter("source_id is null").groupBy(F.col("key").alias("source_id")).agg(F.first("text").alias("text"))
     return texts.filter("source_id is not null").select("source_id", "text").unionByName(nameless).join(side, "source_id")
 
 
-def full_lists(marked: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """value, cid, label, shared: inverted lists of the full sets of the classes in `marked`, as far as a link can need
-    them; shared: how many of a class's shingles occur in any other class.
+def shared_sets(unsettled: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """cid, label, n_shingles, at: the unsettled classes (cid, label) that can have a link between them, with those
+    shingles that stand in more than one of them, the rarest first.
 
-    A class shares threshold % of its shingles with a linked one, so it goes if fewer of them occur in any other class;
-    of the rest, the rarest ones that exceed that number by one have a list in which any two linked classes meet.
+    A class shares threshold % of its shingles with a linked one, so it goes if fewer of them stand in any other class.
     """
-    own = marked.select("cid", "label").distinct().join(classes.select("cid", "source_id", "n_shingles"), "cid").withColumn("id", F.xxhash64("cid"))
-    own, _ = write_table(own, "near-unsettled")
+    own = scratch.write(unsettled.join(classes.select("cid", "source_id", "n_shingles"), "cid"), "near-unsettled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 200):
-            ids, sets = [], []
-            for text, cid, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, cid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = shingle_hashes(text or "")
                 if set_key(h) == cid:
-                    ids.append(np.full(len(h), key, np.int64))
-                    sets.append(h)
-            if sets:
-                yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sets))], names=["id", "value"])
+                    yield pa.record_batch([pa.DictionaryArray.from_arrays(np.zeros(len(h), np.int32), pa.array([cid], pa.binary())).cast(pa.binary()), pa.array(h)], names=["cid", "value"])
 
-    found = texts_of(own.select("source_id", "cid", "id"), docs).select("text", "cid", "id").mapInArrow(run, "id long, value long")
-    entries, _ = write_table(found, "near-full")
+    found = texts_of(own.select("source_id", "cid"), docs, scratch).select("text", "cid").mapInArrow(run, f"{CLASS}, value long")
+    entries = scratch.write(found, "near-full")
     often = entries.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = entries.join(often, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("at"))
-    spare = F.size("at") - F.ceil(F.col("n_shingles") * threshold / 100).cast("int") + 1
-    first = F.slice("at", 1, F.greatest(spare, F.lit(0)))
-    return kept.join(own, "id").select("cid", "label", F.size("at").alias("shared"), F.explode(first).alias("x")).select(F.col("x.value").alias("value"), "cid", "label", "shared")
+    kept = entries.join(often, "value").groupBy("cid").agg(F.array_sort(F.collect_set(F.struct("n", "value"))).alias("at"))  # a set, as rows may be repeated
+    least = F.ceil(F.col("n_shingles") * threshold / 100)
+    return kept.filter(F.size("at") > 0).join(own, "cid").filter(F.size("at") >= least).select("cid", "label", "n_shingles", F.transform("at", lambda x: x["value"]).alias("at"))
 
 
-def of_several_labels(marked: DataFrame) -> DataFrame:
-    several = marked.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
-    return marked.join(several, "value")
-
-
-def block_pairs(marked: DataFrame, classes: DataFrame, k: int, common: int, threshold: int, rows: int = 256) -> DataFrame:
-    """All pairs of members of a list with different labels whose estimate leaves a link possible, block by block.
+def full_lists(sets: DataFrame, threshold: int) -> DataFrame:
+    """value, cid, label, n_shingles: inverted lists of the rarest shingles of each class, one more than those that an
+    unlinked class can miss, so that any two linked classes meet. Of lists with the same members one stays, of those
+    with one label none."""
+    spare = F.size("at") - F.ceil(F.col("n_shingles") * threshold / 100).cast("int") + 1
+    lists = sets.select("cid", "label", "n_shingles", F.explode(F.slice("at", 1, spare)).alias("value"))
+    alike = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("g"))
+    return lists.join(alike.filter("lo <> hi").groupBy("n", "h", "g").agg(F.min("value").alias("value")).select("value"), "value")
+
+
+def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """How many values each two of the sets share: products of their incidence matrix, `width` columns at a time."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    meet = often[at] > 1
+    rows, columns = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[meet], (np.cumsum(often > 1) - 1)[at[meet]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for low in range(0, int((often > 1).sum()), width):
+        part = slice(*np.searchsorted(columns, (low, low + width)))
+        hold = np.zeros((len(sets), width), np.float32)
+        hold[rows[part], columns[part] - low] = 1
+        out += hold @ hold.T
+    return out
+
+
+def to_compare(group: pa.Table) -> np.ndarray:
+    """Which pairs of a block's rows (the first before the second) have to be compared there: those of different labels
+    that meet in no list of a smaller value and are in no other block of this one."""
+    value, i, j = (group.column(n)[0].as_py() for n in ("value", "i", "j"))
+    own, main = (group.column(n).to_numpy() for n in ("own", "is_main"))
+    code: dict[bytes, int] = {}
+    label = np.array([code.setdefault(x, len(code)) for x in group.column("label").to_pylist()])
+    pairs = np.triu(label[:, None] != label[None], 1)
+    if j < 0:  # the others among themselves have blocks of their own
+        pairs &= main[:, None] != main[None]
+    elif i != j:
+        pairs &= own[:, None] != own[None]
+    lists = [x.values.to_numpy() for x in group.column("lists")]
+    pairs &= overlaps([x[x < value] for x in lists]) == 0
+    return pairs
+
+
+def block_links(lists: DataFrame, sets: DataFrame, classes: DataFrame, k: int, common: int, threshold: int, scratch: Scratch, rows: int = 2048, values: int = 1 << 22) -> DataFrame | None:
+    """A spanning set of the links (a, b) between members of a list with different labels, block by block.
 
     The members of a list's main label need no comparison with each other: blocks of the others meet blocks of these,
-    and each other. A pair is only reported from the least value whose list holds both.
+    and each other. Blocks hold about `rows` members and `values` shingles. Sketches show which members of a block may
+    have a link; only these bring their shingles.
     """
-    sizes = marked.groupBy("value", "label").agg(F.count("*").alias("n")).groupBy("value").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
-    sizes = sizes.select("value", F.col("main.label").alias("main"), (F.col("main.n") / rows).cast("int").alias("m"), ((F.col("n") - F.col("main.n")) / rows).cast("int").alias("o"))
-    cut = marked.join(sizes, "value").withColumn("h", F.xxhash64("cid"))
-    own = F.pmod("h", F.when(F.col("label") == F.col("main"), F.col("m")).otherwise(F.col("o")) + 1).cast("int")
-    cut = cut.withColumn("is_main", F.col("label") == F.col("main")).withColumn("own", own)
+    each = lists.groupBy("value", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("v"))
+    sizes = each.groupBy("value").agg(F.max(F.struct("n", "v", "label")).alias("main"), F.sum("n").alias("n"), F.sum("v").alias("v"))
+    blocks = lambda n, v: F.floor(F.greatest(n / rows, v / values)).cast("int")
+    sizes = sizes.select("value", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.v")).alias("m"), blocks(F.col("n") - F.col("main.n"), F.col("v") - F.col("main.v")).alias("o"))
+    cut = lists.join(sizes, "value").withColumn("is_main", F.col("label") == F.col("main"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("cid"), F.when(F.col("is_main"), F.col("m")).otherwise(F.col("o")) + 1).cast("int"))
     # groups (i, j): others of block i with the main label's block -j (j < 0) or with others of block j; one group if the list is small
     small = (F.col("m") == 0) & (F.col("o") == 0)
     pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -268,102 +282,88 @@ def block_pairs(marked: DataFrame, classes: DataFrame, k: int, common: int, thre
     with_others = F.transform(F.sequence(F.lit(0), F.col("o")), lambda x: pair(F.least(F.col("own"), x), F.greatest(F.col("own"), x)))
     of_main = F.transform(F.sequence(F.lit(0), F.col("o")), lambda x: pair(x, -1 - F.col("own")))
     groups = F.when(small, F.array(pair(F.lit(0), F.lit(0)))).when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_others))
-    in_lists = marked.groupBy("cid").agg(F.array_sort(F.collect_list("value")).alias("own_lists"), F.max("shared").cast("long").alias("shared"))
-    side = classes.select("cid", "n_shingles", "sketch").join(in_lists, "cid")
-    cut = cut.select("value", "cid", "label", "is_main", "own", F.explode(groups).alias("g")).join(side, "cid")
-    cut = cut.select("value", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "own", "is_main", "cid", "label", "n_shingles", "shared", "sketch", "own_lists")
+    side = sets.select("cid", F.size("at").cast("long").alias("shared")).join(lists.groupBy("cid").agg(F.collect_list("value").alias("lists")), "cid").join(classes.select("cid", "sketch"), "cid")
+    cut = cut.select("value", "cid", "label", "n_shingles", "is_main", "own", F.explode(groups).alias("g")).join(side, "cid")
+    fields = "value long, i int, j int, own int, is_main boolean, cid binary, label binary, n_shingles long, lists array<long>"
+    names = [x.split()[0] for x in fields.split(", ")]
+    cut = cut.select("value", F.col("g.i").alias("i"), F.col("g.j").alias("j"), *names[3:], "shared", "sketch")
+
+    def propose(group: pa.Table) -> pa.Table:
+        n, most = (group.column(x).to_numpy() for x in ("n_shingles", "shared"))
+        both = overlaps([x.values.to_numpy() for x in group.column("sketch")])
+        hit = np.zeros(len(n), bool)
+        pairs = to_compare(group)
+        for a in range(0, len(n), 512):
+            low, high = np.minimum(n[a : a + 512, None], n[None]), np.maximum(n[a : a + 512, None], n[None])
+            met = both[a : a + 512]
+            good = pairs[a : a + 512] & (100 * low >= threshold * high) & np.where(high <= k, 100 * met >= threshold * (low + high - met), met >= common)
+            # no two share more than either one's shingles that stand elsewhere
+            good &= (100 + threshold) * np.minimum(most[a : a + 512, None], most[None]) >= threshold * (low + high)
+            hit[a : a + 512] |= good.any(1)
+            hit |= good.any(0)
+        lists = group.column("lists").cast(pa.list_(pa.int64()))
+        return group.set_column(group.schema.get_field_index("lists"), "lists", lists).select(names).filter(pa.array(hit))
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, labels, i, j = (group.column(n).to_pylist() for n in ("cid", "label", "i", "j"))
-        value, i, j = group.column("value")[0].as_py(), i[0], j[0]
-        own, main, n, most = (group.column(x).to_numpy() for x in ("own", "is_main", "n_shingles", "shared"))
-        sketch, lists = ([s.values.to_numpy() for s in group.column(x)] for x in ("sketch", "own_lists"))
-        # how many values two sketches share: products of the incidence matrix
-        _, at, often = np.unique(np.concatenate(sketch), return_inverse=True, return_counts=True)
-        rows_of = np.repeat(np.arange(len(ids)), [len(s) for s in sketch])
-        column = np.cumsum(often > 1) - 1
-        meet = often[at] > 1
-        hold = np.zeros((len(ids), int((often > 1).sum())), np.float32)
-        hold[rows_of[meet], column[at[meet]]] = 1
-        shared = hold @ hold.T
-        code = {x: n for n, x in enumerate(dict.fromkeys(labels))}
-        label = np.array([code[x] for x in labels])
-        low, high = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
-        good = np.where(high <= k, 100 * shared >= threshold * (low + high - shared), shared >= common)
-        good &= (100 * low >= threshold * high) & (label[:, None] != label[None])
-        # no two share more than either one's shingles that occur elsewhere
-        good &= (100 + threshold) * np.minimum(most[:, None], most[None]) >= threshold * (low + high)
-        good = np.triu(good, 1)
-        if j < 0:  # the others among themselves have groups of their own
-            good &= main[:, None] != main[None]
-        elif i != j:
-            good &= own[:, None] != own[None]
-        out = []
-        for a, b in zip(*np.nonzero(good), strict=True):
-            if np.intersect1d(lists[a], lists[b], assume_unique=True)[0] != value:
-                continue
-            if high[a, b] > k:
-                union = np.union1d(sketch[a], sketch[b])[:k]
-                both = np.intersect1d(np.intersect1d(sketch[a], sketch[b], assume_unique=True), union, assume_unique=True)
-                if len(both) < common:
-                    continue
-            out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
-        return pa.table([pa.array([x[n] for x in out], pa.binary()) for n in (0, 1)], names=["member", "hub"])
-
-    return cut.groupBy("value", "i", "j").applyInArrow(compare, "member binary, hub binary")
-
-
-def link(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28, hub_rounds: int = 2) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id, kept, n_links (verified links found of its class)."""
-    return labelled_rows(docs, threshold, k, common, hub_rounds).drop("text_key", "label")
-
-
-def labelled_rows(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28, hub_rounds: int = 2) -> DataFrame:
+        n, ids = group.column("n_shingles").to_numpy(), group.column("cid").to_pylist()
+        both = overlaps([x.values.to_numpy() for x in group.column("at")])
+        linked = to_compare(group) & (100 * both >= threshold * (n[:, None] + n[None] - both))
+        root: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        labels, out = group.column("label").to_pylist(), []
+        for a, b in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+            p, q = top(labels[a]), top(labels[b])
+            if p != q:
+                root[p] = q
+                out.append((ids[a], ids[b]))
+        return pa.table([pa.array([x[n] for x in out], pa.binary()) for n in (0, 1)], names=["a", "b"])
+
+    proposed = scratch.write(cut.groupBy("value", "i", "j").applyInArrow(propose, fields), "near-proposed")
+    if proposed.isEmpty():
+        return None
+    return proposed.join(sets.select("cid", "at"), "cid").select(*names, "at").groupBy("value", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
+def link(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28) -> DataFrame:
+    """A row per row of docs: doc_id, n_shingles, component_id, kept, n_links (links of its class in a spanning set)."""
+    return labelled_rows(docs, threshold, k, common).drop("text_key", "label")
+
+
+def labelled_rows(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28) -> DataFrame:
     """The rows of link with text_key and label (the component's key; null without shingles)."""
-    marks, _ = write_table(sketches(docs, k), "near-sketches")
+    scratch = Scratch(docs.sparkSession)
+    marks = scratch.write(sketches(docs, k), "near-sketches")
     named = marks.filter("cid is not null").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "text_key").alias("source_id"), "n_shingles", "sketch")).alias("x"))
-    classes = named.select("cid", "x.source_id", "x.n_shingles", "x.sketch")
-    classes, _ = write_table(classes, "near-classes")
-    lists, _ = write_table(inverted_lists(classes, k, common, threshold), "near-lists")
-    labels = links = tested = None
-    for turn in range(hub_rounds + 1):
-        marked = labels_of(labels, lists)
-        if turn < hub_rounds:
-            # first the class whose values most others retain (the source of a group of copies), then any one
-            rank = -F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "cid")
-            chosen = F.struct(rank.alias("h"), F.col("cid").alias("hub"), F.col("label").alias("hub_label"))
-            hubs = marked.groupBy("value").agg(F.min(chosen).alias("x")).select("value", "x.hub", "x.hub_label")
-            met = marked.join(hubs, "value").filter("label <> hub_label").select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b"), F.col("cid").alias("member"), "hub").dropDuplicates(["a", "b"])
-            if tested is not None:
-                met = met.join(tested, ["a", "b"], "left_anti")
-            met, _ = write_table(met, "near-met")
-            if met.isEmpty():
-                continue
-            tested = met.select("a", "b") if tested is None else tested.unionByName(met.select("a", "b"))
-            sketch = classes.select("cid", "n_shingles", "sketch")
-            near = met.join(sketch.withColumnsRenamed({"cid": "member", "n_shingles": "n_s", "sketch": "s"}), "member").join(sketch.withColumnsRenamed({"cid": "hub", "n_shingles": "n_t", "sketch": "t"}), "hub")
-            pairs = near.filter(estimated(F.col("s"), F.col("t"), F.col("n_s"), F.col("n_t"), k, common, threshold)).select("member", "hub")
-        else:
-            marked, _ = write_table(marked, "near-marked")
-            if marked.isEmpty():
-                break
-            full, _ = write_table(of_several_labels(full_lists(marked, docs, classes, threshold)), "near-full-lists")
-            pairs = block_pairs(full, classes, k, common, threshold)
-            if tested is not None:
-                pairs = pairs.join(tested.withColumnsRenamed({"a": "member", "b": "hub"}), ["member", "hub"], "left_anti")
-        pairs, _ = write_table(pairs, "near-pairs")
-        if pairs.isEmpty():
-            continue
-        good, _ = write_table(verified(pairs, docs, classes, threshold).select(F.col("member").alias("a"), F.col("hub").alias("b")), "near-links")
-        links = good if links is None else links.unionByName(good)
-        if turn < hub_rounds:
-            labels, _ = write_table(near_labels(links), "near-labels")
-    if links is None:
-        joined = marks.withColumn("label", F.col("cid")).withColumn("n_links", F.lit(0).cast("long"))
-    else:
-        labels, _ = write_table(components(links), "near-labels")
-        degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-        joined = marks.join(labels, "cid", "left").join(degree, "cid", "left").withColumn("label", F.coalesce("label", "cid")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    classes = scratch.write(named.select("cid", "x.source_id", "x.n_shingles", "x.sketch"), "near-classes")
+    lists = scratch.write(inverted_lists(classes, k, common, threshold), "near-lists")
+
+    hubs = lists.groupBy("value").agg(F.min(F.struct((-F.col("weight")).alias("h"), F.col("cid").alias("hub"))).alias("x")).select("value", "x.hub")
+    met = lists.join(hubs, "value").filter("cid <> hub").select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b"), F.col("cid").alias("member"), "hub").dropDuplicates(["a", "b"])
+    sketch = classes.select("cid", "n_shingles", "sketch")
+    near = met.join(sketch.withColumnsRenamed({"cid": "member", "n_shingles": "n_s", "sketch": "s"}), "member").join(sketch.withColumnsRenamed({"cid": "hub", "n_shingles": "n_t", "sketch": "t"}), "hub")
+    pairs = scratch.write(near.filter(estimated(F.col("s"), F.col("t"), F.col("n_s"), F.col("n_t"), k, common, threshold)).select("member", "hub"), "near-pairs")
+    links = scratch.write(verified(pairs, docs, classes, threshold, scratch).select(F.col("member").alias("a"), F.col("hub").alias("b")), "near-links")
+
+    # lists that still hold several labels
+    marked = lists.select("value", "cid").join(near_labels(links, scratch), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    several = marked.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
+    unsettled = marked.join(several, "value").select("cid", "label").distinct()
+    sets = scratch.write(shared_sets(unsettled, docs, classes, threshold, scratch), "near-shared")
+    found = block_links(scratch.write(full_lists(sets, threshold), "near-full-lists"), sets, classes, k, common, threshold, scratch)
+    if found is not None:
+        links = links.unionByName(scratch.write(found, "near-links"))
+
+    labels = scratch.write(components(links, scratch), "near-labels")
+    degree = scratch.write(links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links")), "near-degree")
+    joined = marks.drop("sketch").join(labels, "cid", "left").join(degree, "cid", "left").withColumn("label", F.coalesce("label", "cid")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    joined = scratch.write(joined, "near-joined")
+    scratch.clear(joined)
     least = joined.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     done = joined.select("doc_id", "text_key", "n_shingles", "label", "n_links").join(least, "label", "left")
     component = F.coalesce("component_id", "doc_id")
@@ -376,11 +376,12 @@ def accept(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id and text: of several with one doc_id each is judged by its own component, and of those
     that would stay for one component, and of equal rows, one does.
     """
-    found, _ = write_table(labelled_rows(docs).filter("doc_id is not null").select("doc_id", "text_key", "label", "kept"), "near-kept")
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(labelled_rows(docs).filter("doc_id is not null").select("doc_id", "text_key", "label", "kept"), "near-kept")
     at = F.coalesce("label", F.col("text_key").cast("string").cast("binary")).alias("at")
     gone = found.filter(~F.col("kept")).select("doc_id", "text_key")
     stays = found.filter("kept").select("doc_id", "text_key", at)
-    several, _ = write_table(stays.groupBy("doc_id", "at").agg(F.min("text_key").alias("first"), F.count("*").alias("n")).filter("n > 1"), "near-several")
+    several = scratch.write(stays.groupBy("doc_id", "at").agg(F.min("text_key").alias("first"), F.count("*").alias("n")).filter("n > 1"), "near-several")
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))  # no name can clash
     if several.isEmpty():
         return keyed.join(gone, ["doc_id", "text_key"], "left_anti").select("_row.*")

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
+from xxhash import xxh3_64_intdigest
 
 from quillmill.llm.batches import small
-from quillmill.llm.dedup import mixed, powers
 from quillmill.runtime import write_table
 
 ORDER, DISCOUNT = 6, 0.75
@@ -62,13 +62,7 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def word_keys(words: list[str]) -> np.ndarray:
     """A 64-bit key of each word."""
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
-    if not len(codes):
-        return np.zeros(len(words), np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    begins = np.cumsum(sizes) - sizes
-    place = np.arange(len(codes)) - np.repeat(begins, sizes)
-    return mixed(np.add.reduceat(mixed(codes.astype(np.uint64)) * powers(LONGEST)[0][place], begins)).view(np.int64)
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:

@@ -202,12 +202,26 @@ def test_near_duplicates_in_blocks(spark):
     docs = family_docs()
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     want = {d: c for d, (_, c) in brute.near_components(docs).items()}
-    whole = dedup.block_pairs
-    dedup.block_pairs = lambda *a, **k: whole(*a, **k, rows=8)
+    whole, check = dedup.block_links, dedup.verified
     try:
-        assert {r.doc_id: r.component_id for r in dedup.link(frame, hub_rounds=0).collect()} == want
+        dedup.block_links = lambda *a, **k: whole(*a, **k, rows=8)
+        dedup.verified = lambda pairs, *a, **k: pairs.limit(0)
+        assert {r.doc_id: r.component_id for r in dedup.link(frame).collect()} == want
+        dedup.verified = lambda *a, **k: check(*a, **k, salted=2, spread=3)
+        assert {r.doc_id: r.component_id for r in dedup.link(frame).collect()} == want
     finally:
-        dedup.block_pairs = whole
+        dedup.block_links, dedup.verified = whole, check
+
+
+def test_near_duplicates_of_structured_words(spark):
+    """Words of two letters whose polynomial hashes modulo a power of two agree are told apart; further columns clash with nothing."""
+    word, other = "a", "b"
+    while len(word) < 2048:
+        word, other = word + other, other + word
+    docs = [(1, word), (2, other), (3, " ".join(["x", "y", "z", "u", word, "v", "x", "y", "z", "u", other, "v"]))]
+    frame = spark.createDataFrame([(*d, b"c", 3, "t", 7) for d in docs], "doc_id long, text string, cid binary, hub int, value string, n_shingles int")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.link(frame).collect()}
+    assert got == brute.near_components(docs) and got[1][1] == 1 and got[2][1] == 2
 
 
 def test_sharding(docs, empty):
