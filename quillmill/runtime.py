@@ -37,6 +37,24 @@ def drop_table(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+class Scratch:
+    """The intermediate tables of one run, removed together once only those kept are read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(write_table(df, label))
+        return self.tables[-1][0]
+
+    def clear(self, *kept: DataFrame) -> None:
+        for table, path in self.tables:
+            if not any(table is k for k in kept):
+                drop_table(self.spark, path)
+        self.tables = [t for t in self.tables if any(t[0] is k for k in kept)]
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
