@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +18,44 @@ SCRIPTS = {
     "arabic": "؀-ۿ",
 }
 VIETNAMESE = "ăâđêôơưĂÂĐÊÔƠƯ"
-# Language codes, and the other names of three of them.
-LANGUAGE_CODES = "zh-CN zh-HK ja ko en es fr de ru it pt-BR pt-PT nl pl uk vi tr ar fa hi bn th id ms tl sv no da fi cs ro hu el he la".split()
+# Language codes with their names, and the other names of three of them.
+LANGUAGES = {
+    "zh-CN": "Chinese (Simplified)",
+    "zh-HK": "Chinese (Traditional)",
+    "ja": "Japanese",
+    "ko": "Korean",
+    "en": "English",
+    "es": "Spanish",
+    "fr": "French",
+    "de": "German",
+    "ru": "Russian",
+    "it": "Italian",
+    "pt-BR": "Portuguese (Brazil)",
+    "pt-PT": "Portuguese (Portugal)",
+    "nl": "Dutch",
+    "pl": "Polish",
+    "uk": "Ukrainian",
+    "vi": "Vietnamese",
+    "tr": "Turkish",
+    "ar": "Arabic",
+    "fa": "Persian",
+    "hi": "Hindi",
+    "bn": "Bengali",
+    "th": "Thai",
+    "id": "Indonesian",
+    "ms": "Malay",
+    "tl": "Tagalog",
+    "sv": "Swedish",
+    "no": "Norwegian",
+    "da": "Danish",
+    "fi": "Finnish",
+    "cs": "Czech",
+    "ro": "Romanian",
+    "hu": "Hungarian",
+    "el": "Greek",
+    "he": "Hebrew",
+    "la": "Latin",
+}
 LANGUAGE_ALIASES = {
     "zh-CN": ["simplified chinese", "chinese simplified", "zh-hans", "zh-hans-cn"],
     "zh-HK": ["traditional chinese", "chinese traditional", "traditional chinese (taiwan)", "traditional chinese (hong kong)", "zh-hant", "zh-hant-tw", "zh-tw"],
@@ -26,33 +65,51 @@ LANGUAGE_ALIASES = {
 TOKEN = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def count_of(text: Column, characters: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{characters}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
 def detect_language(text: Column) -> Column:
     """Language from script counts; null below 8 signal characters. Shares are integer divisions."""
-    n = {k: count_of(text, v) for k, v in SCRIPTS.items()}
-    total = sum(list(n.values())[1:], n["latin"])
-    share = lambda k: F.floor(total / k)
-    return (
-        F.when(total < 8, F.lit(None).cast("string"))
-        .when((n["kana"] > 0) & (n["kana"] + n["cjk"] >= share(3)), "ja")
-        .when(n["hangul"] >= share(5), "ko")
-        .when(n["cjk"] >= share(4), "zh-CN")
-        .when(n["cyrillic"] >= share(5), "ru")
-        .when(n["arabic"] >= share(5), "ar")
-        .when(count_of(text, VIETNAMESE) >= 2, "vi")
-        .when(n["latin"] > 0, "en")
-    )
+    counts = F.struct(*[count_of(text, v).alias(k) for k, v in SCRIPTS.items()], count_of(text, VIETNAMESE).alias("vietnamese"))
+
+    def decide(n: Column) -> Column:
+        total = sum((n[k] for k in list(SCRIPTS)[1:]), n[next(iter(SCRIPTS))])
+        share = lambda k: F.floor(total / k)
+        return (
+            F.when(total < 8, F.lit(None).cast("string"))
+            .when((n["kana"] > 0) & (n["kana"] + n["cjk"] >= share(3)), "ja")
+            .when(n["hangul"] >= share(5), "ko")
+            .when(n["cjk"] >= share(4), "zh-CN")
+            .when(n["cyrillic"] >= share(5), "ru")
+            .when(n["arabic"] >= share(5), "ar")
+            .when(n["vietnamese"] >= 2, "vi")
+            .when(n["latin"] > 0, "en")
+        )
+
+    return once(counts, decide)
+
+
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
 def normalise_language(value: Column) -> Column:
-    """Code of a language given by code or other name, in any ASCII case; null if unknown."""
-    low = F.lower(F.trim(value))
-    names = {"auto": ["auto"]} | {c: [c.lower(), *LANGUAGE_ALIASES.get(c, [])] for c in LANGUAGE_CODES}
+    """Code of a language given by code or any of its names, in any ASCII case; null if unknown."""
+    names = {"auto": ["auto"]} | {c: [c.lower(), name.lower(), *LANGUAGE_ALIASES.get(c, [])] for c, name in LANGUAGES.items()}
     pairs = [F.lit(x) for code, known in names.items() for name in known for x in (name, code)]
-    return F.try_element_at(F.create_map(*pairs), low)
+    return F.try_element_at(F.create_map(*pairs), ascii_lower(trimmed(value)))
+
+
+def language_name(value: Column) -> Column:
+    """Name of a target language given by code or any of its names; null if it is unknown or automatic."""
+    pairs = [F.lit(x) for pair in LANGUAGES.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), normalise_language(value))
 
 
 def token_count(text: Column) -> Column:
@@ -70,16 +127,29 @@ def trimmed(text: Column) -> Column:
 
 def sanitised_stem(name: Column, fallback: str = "untitled") -> Column:
     """A file stem without reserved and control characters, and without spaces or dots at its ends."""
-    clean = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*\p{Cntrl}]', ""), r"^[ .]+|[ .]+$", "")
+    clean = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*\p{Cc}]', ""), r"^[ .]+|[ .]+$", "")
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit(fallback))
 
 
+def tag_error(tags: Column, most: int = 12, longest: int = 48) -> Column:
+    """What is wrong with a task's tags: too long a tag, a control character in one, or too many; null if nothing is."""
+    given = F.filter(F.transform(tags, trimmed), lambda t: F.length(t) > 0)
+    return (
+        F.when(F.exists(given, lambda t: F.length(t) > longest), f"Task tags must be {longest} characters or shorter")
+        .when(F.exists(given, lambda t: t.rlike(r"\p{Cc}")), "Task tags cannot contain control characters")
+        .when(F.size(distinct_tags(tags)) > most, f"A task can have at most {most} tags")
+    )
+
+
+def distinct_tags(tags: Column) -> Column:
+    given = F.filter(F.transform(tags, trimmed), lambda t: F.length(t) > 0)
+    return F.aggregate(given, F.array().cast("array<string>"), lambda acc, t: F.when(F.exists(acc, lambda a: ascii_lower(a) == ascii_lower(t)), acc).otherwise(F.concat(acc, F.array(t))))
+
+
 def normalised_tags(tags: Column, most: int = 12, longest: int = 48) -> Column:
-    """Trimmed tags without blank ones, those with control characters or too long, and repeats in any ASCII case."""
-    clean = F.filter(F.transform(tags, trimmed), lambda t: (F.length(t) > 0) & (F.length(t) <= longest) & ~t.rlike(r"\p{Cntrl}"))
-    empty = F.array().cast("array<string>")
-    first = F.aggregate(clean, empty, lambda acc, t: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(t)), acc).otherwise(F.concat(acc, F.array(t))))
-    return F.slice(first, 1, most)
+    """Trimmed tags without blank ones and repeats in any ASCII case; tags that `tag_error` objects to are an error."""
+    wrong = tag_error(tags, most, longest)
+    return F.when(wrong.isNotNull(), F.raise_error(wrong).cast("array<string>")).otherwise(distinct_tags(tags))
 
 
 def duration_ms(value: Column) -> Column:
@@ -127,9 +197,17 @@ def truncated_finish(reason: Column) -> Column:
     return F.lower(reason).isin("length", "max_tokens", "max_output_tokens", "max_tokens_reached", "model_context_window_exceeded", "incomplete")
 
 
+THINKING = r"(?is)^[\s\p{Z}\x{85}]*<(think(?:ing)?)>(.*?)(?:</\1>[\s\p{Z}\x{85}]*|\z)"
+
+
 def without_thinking(text: Column) -> Column:
-    """Text after leading think/thinking elements; an unclosed one takes the rest."""
-    return F.regexp_replace(text, r"(?is)^(?:\s*<(think(?:ing)?)>.*?(?:</\1>\s*|\z))+", "")
+    """Text after a leading think or thinking element; an unclosed one takes the rest."""
+    return F.regexp_replace(text, THINKING, "")
+
+
+def leading_thinking(text: Column) -> Column:
+    """What a leading think or thinking element says, empty without one."""
+    return trimmed(F.regexp_extract(text, THINKING, 2))
 
 
 def timestamp_of(value: Column) -> Column:
