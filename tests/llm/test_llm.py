@@ -1,6 +1,7 @@
 """The training-data operators against plain Python forms, on small tables with every awkward case."""
 
 import hashlib
+import math
 import random
 import sys
 import zlib
@@ -14,6 +15,7 @@ sys.path[:0] = [str(Path(__file__).parent)]
 import brute  # noqa: E402
 
 from quillmill.llm import bpe, chat, cutting_stock, dedup, huffman, neighbours, packing, pii, quality, sharding, token_files, toxicity, vocab  # noqa: E402
+from quillmill.runtime import Scratch  # noqa: E402
 
 BYTES, WORDS = vocab.default_path("byte_bpe_50k.json"), vocab.default_path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, part int, score double, value long, label string"
@@ -264,7 +266,7 @@ def test_neighbours(spark):
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)] + [(400 + i, [1.0] * 8) for i in range(60)]
     odd = [(900, None), (920, []), (940, [0.0] * 8), (960, [float("nan")] * 8), (980, [None] * 8), (981, [float("inf")] * 8)]
     frame = spark.createDataFrame([(i, v, 1) for i, v in vectors + odd], "vec_id long, embedding array<float>, rank int")
-    got = neighbours.search(frame, frame.filter("vec_id % 20 = 0"), segment_rows=50, list_rows=40).collect()
+    got = neighbours.search(frame, frame.filter("vec_id % 20 = 0"), bucket_rows=50, query_rows=7).collect()
     exact = {r[0]: r[1] for r in frame.select("vec_id", "embedding").collect() if r[0] < 900}
     hits = total = 0
     for q in [i for i in exact if i % 20 == 0]:
@@ -286,6 +288,32 @@ def test_neighbours(spark):
     assert neighbours.search(frame.filter("false"), frame.filter("false")).count() == 0
 
 
+def test_neighbours_of_many_components_and_lengths(spark):
+    """Recall at a realistic length, short lists of another length, groups of equal vectors, and scores that tie."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 48))
+    x = np.concatenate([centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 48)) * 0.7, rng.normal(size=(1500, 48))]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, x[20].tolist()) for i in range(40)] + [(6000 + i, [float(i % 3), 1.0]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got: dict = {}
+    for r in neighbours.search(frame, frame.filter("vec_id % 20 = 0"), bucket_rows=700).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    exact = np.concatenate([x, np.repeat(x[20:21], 40, 0)]).astype(float)
+    names = np.array([*range(len(x)), *range(5000, 5040)])
+    hits = total = 0
+    for q in (i for i, _ in rows if i % 20 == 0 and i < 6000):
+        score = exact @ exact[np.flatnonzero(names == q)[0]]
+        best = [n for _, n in sorted(zip(-score, names.tolist(), strict=True)) if n != q][:20]
+        hits += len(set(best) & {n for _, n in got[q]})
+        total += 20
+        assert [k for k, _ in sorted(got[q])] == list(range(1, 21))
+    assert hits >= 0.9 * total
+    short = {i: v for i, v in rows if i >= 6000}
+    for q in (i for i in short if i % 20 == 0):
+        best = sorted((i for i in short if i != q), key=lambda i: (-sum(a * b for a, b in zip(short[q], short[i], strict=True)), i))[:20]
+        assert [n for _, n in sorted(got[q])] == best
+
+
 def test_pii(docs, empty):
     texts = awkward_texts()
     for r in pii.digest(docs).collect():
@@ -300,6 +328,24 @@ def test_pii(docs, empty):
     assert pii.mask(docs).columns == docs.columns
 
 
+def test_many_private_spans(spark, empty):
+    """Thousands of spans in one text, and spans that overlap, against the plain form; columns of any name stay."""
+    rng = random.Random(12)
+    many = " ".join(rng.choice(["a{0}.b@c{0}.org", "10.0.{0}.7", "x", "+49 30 {0}1234567", "4111 1111 1111 1111", "555-123-4567"]).format(rng.randint(1, 250)) for _ in range(6000))
+    texts = [many, "mail 10.0.0.1@4111.1111.1111.1111.org +4111 1111 1111 1111 end", "1.2.3.4@x.org", None, ""]
+    docs = spark.createDataFrame([(i, t, "p", "r", 1) for i, t in enumerate(texts)], "doc_id long, text string, _pii string, _row string, n_chars long")
+    spans = {}
+    for r in pii.digest(docs).collect():
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == brute.pii(texts[r.doc_id])[:5]
+        spans[r.doc_id] = r.spans
+    hidden = pii.mask(docs)
+    assert hidden.columns == docs.columns
+    for r in hidden.collect():
+        assert r.text == (None if texts[r.doc_id] is None else brute.masked(texts[r.doc_id], spans[r.doc_id])) and (r._pii, r._row) == ("p", "r")
+        assert r.n_chars == (len(r.text) if spans[r.doc_id] else 1)
+    assert pii.mask(empty).count() == 0 and pii.digest(empty).count() == 0
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(4)
     known = vocabulary(rng, 500)
@@ -337,14 +383,17 @@ def test_no_toxic_gram_is_folded(spark):
     grams = toxicity.gather(words).withColumns({"t": F.col("t") + F.col("ft"), "o": F.col("o") + F.col("fo")}).cache()
     got = {bytes(r.gram).decode("utf-32-le"): (r.o, r.t) for r in grams.filter("o + t > 0").collect()}
     assert len(got) > 10_000 and got == {g: (want[0][g], want[1][g]) for g in want[0] | want[1]}
-    small, large = ({r.word: r.m for r in toxicity.evidence(words, grams, {"m": (F.col("t"), F.col("o"))}, least=0, broadcast_rows=n).collect()} for n in (10**6, 0))
-    assert small == large
-    found = {w: x / toxicity.SCALE for w, x in small.items()}
-    for w in ["never", "aaaaaaaaaa", *rng.sample(known, 4)]:
-        assert abs(found[w] - brute.kneser_ney_ratio(w, want[1], want[0])) < 1e-9
-    evidence = spark.createDataFrame([(w, int(x * toxicity.SCALE)) for w, x in found.items()], "word string, evidence long")
-    few, many = (sorted(map(tuple, toxicity.featured(docs, evidence, ["doc_id"], broadcast_rows=n).collect())) for n in (10**6, 0))
-    assert few == many and len(few) == 101
+    ratios = toxicity.log_ratios(grams, {"ratio": (F.col("t"), F.col("o"))}, Scratch(spark)).cache()
+    asked = ["never", "aaaaaaaaaa", *rng.sample(known, 4), "", None, " ".join(rng.choices(known, k=50) + ["aaaaaaaaaa"] * 3), "q" * 3000]
+    frame = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    few, many = (sorted(map(tuple, toxicity.featured(frame, ratios, ["doc_id"], broadcast_rows=n).collect())) for n in (10**6, 0))
+    assert few == many and len(few) == len(asked)
+    for (_, x0, x1, x2, x3), text in zip(few, asked, strict=True):
+        found = [brute.kneser_ney_ratio(w, want[1], want[0]) for w in (text or "").split()]
+        assert abs(x0 - sum(found) / max(1, sum(len(w) + 1 for w in (text or "").split()))) < 1e-9
+        far = sum(math.copysign(max(abs(brute.kneser_ney_ratio(w, want[1], want[0])) - toxicity.BEYOND, 0), brute.kneser_ney_ratio(w, want[1], want[0])) for w in set((text or "").split()))
+        n = max(1, len(set((text or "").split())))
+        assert abs(x1 - far / n) < 1e-9 and abs(x2 - far / n**0.5) < 1e-9 and abs(x3 - math.log1p(max(far, 0))) < 1e-9
 
 
 def test_token_files(spark, docs, empty, tmp_path):
