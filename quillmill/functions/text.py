@@ -116,6 +116,34 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN))
 
 
+def token_prefix(text: Column, most: int) -> Column:
+    """The longest prefix of at most `most` tokens, without white space at its end."""
+    return F.regexp_replace(F.regexp_extract(text, rf"^(?:\s*+(?:{TOKEN})){{0,{most}}}+", 0), r"(?U)\s+$", "")
+
+
+def valid_target_language(value: Column) -> Column:
+    """Whether a target language reads like a language tag or like capitalised English words."""
+    tag, name = r"[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*", r"[A-Z][a-z]+([ -][A-Z][a-z]+)*"
+    return (F.length(value) <= 64) & value.rlike(f"^(?:{tag}|{name})\\z")
+
+
+def token_label(value: Column) -> Column:
+    """A number of tokens in thousands with one decimal."""
+    tenths = F.floor((value + 50) / 100)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit("k"))
+
+
+def percent_label(share: Column) -> Column:
+    """A share in whole percent, kept within 0 and 100."""
+    return F.concat(F.floor(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)) * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def error_rate_label(share: Column) -> Column:
+    """A share in percent with one decimal, from 0 on."""
+    tenths = F.floor(F.greatest(share, F.lit(0.0)) * 1000 + 0.5)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit("%"))
+
+
 def blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"(?U)\S")
 

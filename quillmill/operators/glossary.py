@@ -19,7 +19,12 @@ def norm(src: Column) -> Column:
 
 
 def valid(text: Column) -> Column:
-    return text.isNotNull() & (F.length(text) > 0) & ~text.rlike(r"\p{Cntrl}")
+    return text.isNotNull() & (F.length(text) > 0) & ~text.rlike(r"\p{Cc}")
+
+
+def valid_answer(text: Column) -> Column:
+    """Like valid, but a model's answer may hold tabs and line ends."""
+    return text.isNotNull() & (F.length(text) > 0) & ~text.rlike(r"[\p{Cc}&&[^\t\n\r]]")
 
 
 def normalised(entries: DataFrame, order: str = "entry_index") -> DataFrame:
@@ -37,12 +42,13 @@ def loaded(entries: DataFrame, most: int = 200_000) -> list[tuple[int, str]]:
     return sorted((r.entry_index, r.src) for r in rows)
 
 
-def matches(chunks: DataFrame, terms: list[tuple[int, str]], key: str = "doc_id") -> DataFrame:
+def matches(chunks: DataFrame, terms: list[tuple[int, str]], key: str = "doc_id", overlaps: bool = False) -> DataFrame:
     """key, entry_index, start, end of the terms in each text.
 
     `terms` is one glossary as its loader checked it (bounded by the glossary's own size limit). Hits in any ASCII case;
     a term that begins or ends with a word character needs none beside it there. Of overlapping hits the longest stays,
-    then the leftmost, then that of the earlier entry. Spans count code points.
+    then the leftmost, then that of the earlier entry; with `overlaps` all stay, those of equal entries included. Spans count
+    code points.
     """
     import ahocorasick
 
@@ -61,23 +67,23 @@ def matches(chunks: DataFrame, terms: list[tuple[int, str]], key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = ahocorasick.Automaton()
         for src, indexes in shared.value.items():
-            automaton.add_word(src, (len(src), min(indexes)))
+            automaton.add_word(src, (len(src), sorted(indexes)))
         automaton.make_automaton()
         for batch in batches:
             out = []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = (text or "").translate(table)
                 hits = []
-                for stop, (size, index) in automaton.iter(text):
+                for stop, (size, indexes) in automaton.iter(text):
                     start, end = stop + 1 - size, stop + 1
                     if text[start] in word and start and text[start - 1] in word or text[stop] in word and end < len(text) and text[end] in word:
                         continue
-                    hits.append((-size, start, index))
+                    hits += [(-size, start, index) for index in (indexes if overlaps else indexes[:1])]
                 taken: list[tuple[int, int, int]] = []
                 used = bytearray(len(text)) if hits else b""
                 for size, start, index in sorted(hits):
                     end = start - size
-                    if not any(used[start:end]):
+                    if overlaps or not any(used[start:end]):
                         used[start:end] = b"\1" * (end - start)
                         taken.append((index, start, end))
                 out += [(doc, *t) for t in sorted(taken)]
@@ -125,12 +131,20 @@ def proposed(chunks: DataFrame, entries: DataFrame, most: int = 200_000) -> Data
 
 
 def grounded(pairs: DataFrame) -> DataFrame:
-    """pairs (chunk_id, ord, src, dst, source_text) whose src stands verbatim in the chunk, the first of each source."""
-    good = pairs.filter(valid(F.col("src")) & valid(F.col("dst")) & F.contains("source_text", F.col("src")))
+    """pairs (chunk_id, ord, src, dst, source_text), trimmed, whose src stands verbatim in the chunk, the first of each."""
+    clean = pairs.withColumns({"src": trimmed(F.col("src")), "dst": trimmed(F.col("dst"))})
+    good = clean.filter(valid_answer(F.col("src")) & valid_answer(F.col("dst")) & F.contains("source_text", F.col("src")))
     first = Window.partitionBy("chunk_id", norm(F.col("src"))).orderBy("ord")
     return good.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
+def discarded(pairs: DataFrame) -> DataFrame:
+    """chunk_id, candidates, discarded: how many of a chunk's candidates `grounded` leaves out."""
+    kept = grounded(pairs).groupBy("chunk_id").agg(F.count("*").alias("kept"))
+    every = pairs.groupBy("chunk_id").agg(F.count("*").alias("candidates"))
+    return every.join(kept, "chunk_id", "left").select("chunk_id", "candidates", (F.col("candidates") - F.coalesce("kept", F.lit(0))).alias("discarded"))
+
+
 def merged(pairs: DataFrame) -> DataFrame:
     """norm, src, dst of the first chunk to hold each source, and how many other translations conflict with it."""
     place = F.struct("chunk_id", "ord")

@@ -44,9 +44,18 @@ def final_outcome(attempts: DataFrame, key: str) -> DataFrame:
     return done.select(key, "x.status", "x.attempt", text.alias("text"))
 
 
-def usage(given: Column, estimate: Column) -> Column:
-    """A provider's count, or the estimate where it gives none."""
-    return F.coalesce(F.nullif(given, F.lit(0)), estimate)
+def token_stats(used: Column, source: Column, text: Column, reasoning: Column) -> Column:
+    """struct of a chunk's input, output, cached, thinking and total tokens.
+
+    used: struct<input_tokens, output_tokens, cached_tokens> as the provider counts, a 0 included; where it is null the
+    estimates of source and text count. Thinking is always estimated.
+    """
+    whole = lambda c: c.cast("bigint")
+    given = F.when(used.isNotNull(), whole(used["input_tokens"])).otherwise(whole(source))
+    made = F.when(used.isNotNull(), whole(used["output_tokens"])).otherwise(whole(text))
+    cached = F.when(used.isNotNull(), whole(used["cached_tokens"])).otherwise(F.lit(0).cast("bigint"))
+    thinking = whole(reasoning)
+    return F.struct(given.alias("input_tokens"), made.alias("output_tokens"), cached.alias("cached_tokens"), thinking.alias("thinking_tokens"), (given + made + thinking).alias("total_tokens"))
 
 
 def framed(body: Column) -> Column:
@@ -55,11 +64,69 @@ def framed(body: Column) -> Column:
     return F.filter(lines, lambda x: (x != "") & (x != "[DONE]") & ~x.startswith(":") & ~x.startswith("event:"))
 
 
-def error_kind(message: Column) -> Column:
-    """First matching kind of an error message."""
-    low = F.lower(message)
-    has = lambda p: low.rlike(p)
+# What a list says of an error that names an HTTP status, with its severity.
+HTTP_MESSAGES = {
+    400: ("400：请求参数不被服务接受，请检查模型或自定义参数配置", "danger"),
+    401: ("401：认证失败，请检查 API Key 或登录凭证", "danger"),
+    403: ("403：权限不足或当前账号无模型访问权限", "danger"),
+    404: ("404：接口或模型不存在，请检查 Base URL 和模型名称", "danger"),
+    408: ("408：请求超时，可稍后重试或降低并发", "warning"),
+    413: ("413：请求内容过大，请降低分块大小后重试", "danger"),
+    422: ("422：请求内容无法被服务处理，请检查模型参数", "danger"),
+    429: ("429：请求频率或配额达到限制，可稍后继续", "warning"),
+    500: ("500：服务商接口暂时异常，可稍后重试", "warning"),
+    502: ("502：服务商接口暂时异常，可稍后重试", "warning"),
+    503: ("503：服务商接口暂时异常，可稍后重试", "warning"),
+    504: ("504：服务商接口暂时异常，可稍后重试", "warning"),
+}
+# Kind, signal words (any case), text and severity of other errors; the first that fits counts.
+ERROR_SIGNALS = [
+    ("rate-limit", "RESOURCE_EXHAUSTED|rate_limited=true|Rate limit reached|quota|配额|频率", "请求频率或配额达到限制，可稍后继续", "warning"),
+    ("placeholder", "placeholder|占位符|restore", "占位符恢复失败，请检查任务详情", "danger"),
+    ("error-rate", "error rate|错误率", "错误率过高，任务已停止", "danger"),
+    ("parse", "parse|AST|chunk|解析|分块", "文档解析或分块失败，请检查源文件", "danger"),
+    ("interrupted", "Task paused|interrupted|cancel", "任务已中断，可继续", "warning"),
+]
+
+
+def task_error(message: Column) -> Column:
+    """struct<kind, text, severity> of a task's error: its failure threshold, an HTTP status, a signal word, or itself."""
+    whole = lambda kind, text, severity: F.struct(F.lit(kind).alias("kind"), (text if isinstance(text, Column) else F.lit(text)).alias("text"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"))
+    over = r"(?i)(?:Translation|Glossary) failure threshold exceeded:\s*(\d+)/(\d+) chunks failed \(maximum (\d+)%\)"
+    counts = [F.regexp_extract(message, over, k) for k in (1, 2, 3)]
+    status = F.regexp_extract(message, r"(?i)\bHTTP\s*(\d{3})\b", 1).try_cast("int")
+    known = F.try_element_at(F.create_map(*[x for code, (text, severity) in HTTP_MESSAGES.items() for x in (F.lit(code), F.struct(F.lit(text).alias("text"), F.lit(severity).alias("severity")))]), status)
+    found = F.when(message.rlike(over), whole("threshold", F.concat(F.lit("失败分块 "), counts[0], F.lit("/"), counts[1], F.lit("，超过最大允许失败率 "), counts[2], F.lit("%")), "danger"))
+    found = found.when(known.isNotNull(), whole("http", known["text"], known["severity"]))
+    for kind, signal, text, severity in ERROR_SIGNALS:
+        found = found.when(message.rlike(f"(?i){signal}"), whole(kind, text, severity))
+    return found.otherwise(whole("other", F.concat(F.lit("任务异常："), message), "danger"))
+
+
+def logprobs_rejected(status: Column, message: Column) -> Column:
+    """Whether a refusal (400, 404 or 422) is about log-probabilities, so that the request is sent again without."""
+    return status.isin(400, 404, 422) & F.lower(message).rlike("logprob|log_probs")
+
+
+def task_message(status: Column, last_error: Column, rate_limit: Column, glossary_step: Column, translating_step: Column, translates: Column, completed: Column, total: Column) -> Column:
+    """struct<text, severity> of a task in a list; the first that fits counts.
+
+    The steps are labels of what runs now, null or empty if nothing does.
+    """
+    whole = lambda text, severity: F.struct((text if isinstance(text, Column) else F.lit(text)).alias("text"), F.lit(severity).alias("severity"))
+    plain = lambda e: F.struct(e["text"].alias("text"), e["severity"].alias("severity"))
+    given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    limited = task_error(F.trim(rate_limit))
+    # Messages of states.
     return (
-        F.when(has("threshold"), "threshold").when(has("429|rate.?limit|too many"), "rate-limit").when(has("placeholder|tag"), "placeholder")
-        .when(has("http [45][0-9][0-9]"), "http").when(has("timed? ?out|connection"), "transport").when(has("interrupt|cancel"), "interrupted").when(has("parse|json"), "parse").otherwise("other")
-    )
+        F.when(status == "queued", whole("任务排队中，等待开始", "muted"))
+        .when(status == "interrupted-pending", whole("正在中断，等待当前请求结束", "warning"))
+        .when(given(last_error), plain(task_error(F.trim(last_error))))
+        .when(given(rate_limit) & limited["kind"].isin("http", "rate-limit"), plain(limited))
+        .when((status == "running") & given(glossary_step), whole(glossary_step, "muted"))
+        .when((status == "running") & given(translating_step), whole(translating_step, "muted"))
+        .when(status == "interrupted", whole("任务已中断，可继续", "warning"))
+        .when(status == "failed", whole("任务失败，请检查任务详情", "danger"))
+        .when(status == "success", whole(F.when(translates, F.concat(F.lit("翻译完成 ("), completed, F.lit("/"), total, F.lit(")"))).otherwise("术语表建立完成"), "muted"))
+        .otherwise(whole(status, "muted"))
+    )

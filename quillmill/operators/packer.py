@@ -18,11 +18,11 @@ HARD_LIMIT = 2000
 
 
 def line_blocks(docs: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
-    """doc_id and blocks, array<struct<text, tokens, breakable>>: a block per line, line ends kept.
+    """doc_id and blocks, array<struct<text, tokens, breakable>>: a block per line, line ends kept; none for a null text.
 
     With a limit the blocks also have `starts`: a line of more tokens is split into parts, each of which starts a chunk.
     """
-    lines = F.filter(F.split(F.col(text), r"(?<=\n)"), lambda x: F.length(x) > 0)
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=\n)"), lambda x: F.length(x) > 0)
     starts = [] if limit is None else [F.lit(False).alias("starts")]
     blocks = F.transform(lines, lambda x: F.struct(x.alias("text"), token_count(x).alias("tokens"), F.lit(True).alias("breakable"), *starts))
     if limit is None:

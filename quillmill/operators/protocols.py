@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import duration_ms, without_thinking
+from quillmill.functions.text import duration_ms, leading_thinking, without_thinking
 
 PROTOCOLS = ("openai-chat", "openai-responses", "anthropic", "gemini", "vertex-ai", "ollama")
 
@@ -18,10 +18,11 @@ _usage = "struct<prompt_tokens:bigint,completion_tokens:bigint,input_tokens:bigi
 # The fields that replies of the six protocols carry, as one schema (absent ones are null).
 REPLY = (
     f"choices array<struct<message:{_message},delta:{_message},finish_reason:string>>, usage {_usage}, type string, item {_item}, output array<{_item}>, "
-    f"response struct<output:array<{_item}>,usage:{_usage},status:string>, content array<{_part}>, stop_reason string, "
+    f"response struct<output:array<{_item}>,usage:{_usage},incomplete_details:struct<reason:string>>, content array<{_part}>, stop_reason string, "
+    "status string, incomplete_details struct<reason:string>, "
     "candidates array<struct<content:struct<parts:array<struct<text:string,thought:boolean>>>,finishReason:string>>, "
     "usageMetadata struct<promptTokenCount:bigint,candidatesTokenCount:bigint,thoughtsTokenCount:bigint,cachedContentTokenCount:bigint>, "
-    "message struct<content:string,thinking:string>, prompt_eval_count bigint, eval_count bigint, done_reason string"
+    "message struct<content:string,thinking:string>, prompt_eval_count bigint, eval_count bigint, done_reason string, doneReason string"
 )
 
 
@@ -47,7 +48,7 @@ def _items(items: Column, kind: str) -> Column:
 def normalised(protocol: Column, body: Column) -> Column:
     """struct<text, reasoning, input_tokens, output_tokens, cached_tokens, finish_reason> of a reply or stream event.
 
-    A `data` wrapper that holds choices is opened first; leading inline thinking is dropped from the text. Thinking
+    A `data` wrapper that holds choices is opened first; a leading inline thinking element goes from the text to the reasoning. Thinking
     tokens count as output for the candidates protocols.
     """
     opened = F.when(F.get_json_object(body, "$.choices").isNull() & F.get_json_object(body, "$.data.choices").isNotNull(), F.get_json_object(body, "$.data")).otherwise(body)
@@ -79,8 +80,8 @@ def normalised(protocol: Column, body: Column) -> Column:
     given_in = pick(_n(usage["prompt_tokens"], usage["input_tokens"]), gemini__vertex_ai=_n(meta["promptTokenCount"]), ollama=_n(r["prompt_eval_count"]))
     given_out = pick(_n(usage["completion_tokens"], usage["output_tokens"]), gemini__vertex_ai=_n(meta["candidatesTokenCount"]) + _n(meta["thoughtsTokenCount"]), ollama=_n(r["eval_count"]))
     cached = pick(_n(usage["prompt_tokens_details"]["cached_tokens"], usage["input_tokens_details"]["cached_tokens"]), anthropic=_n(usage["cache_read_input_tokens"]), gemini__vertex_ai=_n(meta["cachedContentTokenCount"]), ollama=_n())
-    finish = pick(F.lit(None).cast("string"), openai_chat=choice["finish_reason"], openai_responses=r["response"]["status"], anthropic=r["stop_reason"], gemini__vertex_ai=candidate["finishReason"], ollama=r["done_reason"])
-    return F.struct(without_thinking(text).alias("text"), reasoning.alias("reasoning"), given_in.alias("input_tokens"), given_out.alias("output_tokens"), cached.alias("cached_tokens"), finish.alias("finish_reason"))
+    finish = pick(F.lit(None).cast("string"), openai_chat=choice["finish_reason"], openai_responses=F.coalesce(r["incomplete_details"]["reason"], r["response"]["incomplete_details"]["reason"], r["status"]), anthropic=r["stop_reason"], gemini__vertex_ai=candidate["finishReason"], ollama=F.coalesce(r["done_reason"], r["doneReason"]))
+    return F.struct(without_thinking(text).alias("text"), F.concat(reasoning, leading_thinking(text)).alias("reasoning"), given_in.alias("input_tokens"), given_out.alias("output_tokens"), cached.alias("cached_tokens"), finish.alias("finish_reason"))
 
 
 def request_body(protocol: Column, model: Column, system: Column, messages: Column, temperature: Column) -> Column:
@@ -110,10 +111,11 @@ def rate_limits(headers: Column) -> Column:
 
 
 def quota_wait_ms(limits: Column, estimate: Column, margin: int = 128, cap: int = 60_000) -> Column:
-    """How long to wait before a request of that many tokens, from the last reply's limits."""
-    requests = F.when(limits["request_remaining"] <= 1, F.coalesce(limits["request_reset_ms"], F.lit(0)))
-    tokens = F.when(limits["token_remaining"] <= estimate + margin, F.coalesce(limits["token_reset_ms"], F.lit(0)))
-    return F.least(F.greatest(F.coalesce(requests, F.lit(0)), F.coalesce(tokens, F.lit(0))), F.lit(cap)).cast("bigint")
+    """How long to wait before a request of that many tokens, from the last reply's limits: the longest of its retry delay
+    and of the resets of what is nearly used up."""
+    requests = F.when(limits["request_remaining"] <= 1, limits["request_reset_ms"])
+    tokens = F.when(limits["token_remaining"] <= estimate + margin, limits["token_reset_ms"])
+    return F.least(F.greatest(limits["retry_after_ms"], requests, tokens, F.lit(0)), F.lit(cap)).cast("bigint")
 
 
 def retry_hint_ms(body: Column) -> Column:

@@ -73,11 +73,13 @@ def recovered(status: Column, prior: Column, file_status: Column) -> Column:
     return F.when(running, "interrupted").when((status == "queued") & (file_status == "running"), "interrupted").when(status == "queued", F.coalesce(prior, F.lit("pending"))).otherwise(status)
 
 
-# The transitions that the scheduler allows, action -> from these statuses.
+#: action -> the statuses that it may be taken in.
 TRANSITIONS = {
+    # Runs that the scheduler takes on.
     "start": ["pending"],
-    "resume": ["interrupted", "failed"],
-    "retranslate": ["success", "failed", "interrupted"],
+    "resume": ["interrupted"],
+    "retranslate": ["success", "failed"],
+    # Own rules: work in progress is paused before it is deleted.
     "pause": ["queued", "running"],
     "delete": ["pending", "interrupted", "failed", "success"],
 }
@@ -90,10 +92,12 @@ def allowed(action: Column, status: Column) -> Column:
 
 
 def resumed(chunks: DataFrame) -> DataFrame:
-    """Failed and interrupted chunks become pending again and lose their outputs; the others stay."""
+    """Failed and interrupted chunks become pending again, with empty texts and counters at 0; the others stay."""
     again = F.col("status").isin("failed", "interrupted")
-    clear = {c: F.when(~again, F.col(c)) for c in ("translated_text", "error_message", "confidence") if c in chunks.columns}
-    return chunks.withColumns(clear | {"status": F.when(again, "pending").otherwise(F.col("status"))})
+    texts = dict.fromkeys(("after_translate_text", "translated_text"), "")
+    counters = dict.fromkeys(("retry_count", "input_tokens", "output_tokens", "cached_tokens", "thinking_tokens", "total_tokens", "target_tokens"), 0)
+    fresh = texts | counters | dict.fromkeys(("error_message", "confidence"), None) | {"status": "pending"}
+    return chunks.withColumns({c: F.when(again, F.lit(v).cast(chunks.schema[c].dataType)).otherwise(F.col(c)) for c, v in fresh.items() if c in chunks.columns})
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

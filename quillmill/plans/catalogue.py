@@ -37,13 +37,6 @@ DETECTED = f"""CASE WHEN {_TOTAL} < 8 THEN NULL WHEN {_N['kana']} > 0 AND {_N['k
  WHEN {_N['arabic']} >= {_TOTAL} // 5 THEN 'ar' WHEN {_COUNT(T.VIETNAMESE)} >= 2 THEN 'vi' WHEN {_N['latin']} > 0 THEN 'en' END"""
 TOKENS = lambda c: f"len(regexp_extract_all({c}, '{T.TOKEN}'))"
 _LINES = """lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i < len(string_split(text, chr(10))) THEN x || chr(10) ELSE x END) AS l FROM documents))"""
-_PACK = f"""WITH RECURSIVE {_LINES},
- b AS (SELECT doc_id, line, {TOKENS('line')} AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM lines WHERE line <> ''),
- p AS (SELECT doc_id, n, tokens AS held, 0 AS seq FROM b WHERE n = 1 UNION ALL
- SELECT b.doc_id, b.n, CASE WHEN p.held + b.tokens > {LIMIT} THEN b.tokens ELSE p.held + b.tokens END, CASE WHEN p.held + b.tokens > {LIMIT} THEN p.seq + 1 ELSE p.seq END
- FROM p JOIN b ON b.doc_id = p.doc_id AND b.n = p.n + 1),
- c AS (SELECT doc_id, p.seq AS sequence, sum(b.tokens)::BIGINT AS tokens, count(*) AS n_blocks, string_agg(line, '' ORDER BY n) AS text FROM p JOIN b USING (doc_id, n) GROUP BY 1, 2
- UNION ALL SELECT doc_id, 0, 0, 0, '' FROM documents WHERE text = '')"""
 CHUNKS = "chunk_status AS (SELECT o_custkey AS task_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS sequence, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'interrupted' END AS status, floor(o_totalprice)::BIGINT AS source_tokens, floor(o_totalprice / 2)::BIGINT AS target_tokens FROM orders)"
 
 
@@ -62,13 +55,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packer.chunks(packer.line_blocks(documents(spark, sf_dir).filter("text is not null"), limit=LIMIT), LIMIT)
+    return packer.chunks(packer.line_blocks(documents(spark, sf_dir), limit=LIMIT), LIMIT)
 
 
-@query(f"{_PACK}, d AS (SELECT doc_id, lang, {DETECTED} AS detected FROM documents) SELECT lang, detected, count(*) AS docs, sum(n)::BIGINT AS chunks FROM d JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY 1) USING (doc_id) GROUP BY 1, 2")
+@query()
 def language_chunks(spark, sf_dir):
     """Declared against detected language, with documents and packed chunks."""
-    docs = documents(spark, sf_dir).filter("text is not null")
+    docs = documents(spark, sf_dir)
     made = packer.packed(F.col("blocks"), LIMIT, parts=True)
     counted = packer.line_blocks(docs.withColumn("doc_id", F.struct("lang", T.detect_language(F.col("text")).alias("detected"))), limit=LIMIT).select("doc_id.lang", "doc_id.detected", F.size(made).alias("n"))
     return counted.groupBy("lang", "detected").agg(F.count("*").alias("docs"), F.sum("n").alias("chunks"))
@@ -103,14 +96,14 @@ def token_count_docs(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.token_count(F.col("text")).cast("long").alias("tokens"))
 
 
-@query(f"{_PACK} SELECT doc_id, count(*) AS chunks, max(tokens)::BIGINT AS largest FROM c GROUP BY 1")
+@query()
 def pack_lines_chunk_count(spark, sf_dir):
-    blocks = packer.line_blocks(documents(spark, sf_dir).filter("text is not null"), limit=LIMIT)
+    blocks = packer.line_blocks(documents(spark, sf_dir), limit=LIMIT)
     made = blocks.select("doc_id", packer.packed(F.col("blocks"), LIMIT, parts=True).alias("made"))
     return made.select("doc_id", F.size("made").cast("long").alias("chunks"), F.array_max(F.transform("made", lambda c: c["tokens"])).alias("largest"))
 
 
-@query(f"{_PACK} SELECT doc_id, sequence::BIGINT AS sequence, tokens, n_blocks, md5(text) AS text_md5 FROM c")
+@query()
 def pack_chunks_rows(spark, sf_dir):
     return line_chunks(spark, sf_dir).select("doc_id", "sequence", "tokens", "n_blocks", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
@@ -122,7 +115,7 @@ def breakable_rules(spark, sf_dir):
     return whole.groupBy("doc_id").agg(F.count_if(F.col("line").rlike(r"^\s*(>|#|\||[-*+] |[0-9]+\. )")).alias("structural"), F.count_if(F.col("line").rlike(r"[`*_]|\]\(|!\[|~~")).alias("inline_marked"), F.count("*").alias("n_lines"))
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '\\S')")
+@query("SELECT doc_id FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '\\S')")
 def blank_document_reject(spark, sf_dir):
     return packer.all_blank(line_chunks(spark, sf_dir))
 
@@ -214,10 +207,7 @@ def glossary_normalise_dedup(spark, sf_dir):
 def glossary_match_boundaries(spark, sf_dir):
     """Documents and the terms that stand in them by the boundary rule, each term on its own."""
     entries = glossary.loaded(terms(spark, sf_dir))
-    docs = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
-    quick = F.array(*[F.struct(F.lit(i).cast("long").alias("entry_index"), F.lit(s.lower()).alias("src")) for i, s in entries])
-    found = docs.select("doc_id", "text", F.explode(F.filter(quick, lambda t: F.contains(F.col("text"), t["src"]))).alias("t"))
-    return found.filter(F.regexp_like(F.col("text"), glossary.boundary_pattern(F.col("t.src")))).select("doc_id", "t.entry_index")
+    return glossary.matches(documents(spark, sf_dir), entries, overlaps=True).select("doc_id", "entry_index").distinct()
 
 
 @query()
@@ -227,7 +217,7 @@ def glossary_match_longest(spark, sf_dir):
     return glossary.matches(documents(spark, sf_dir), entries)
 
 
-_PAIRS = "terms AS (SELECT item_id AS entry_index, string_split(text, ' ')[1] AS src, string_split(text, ' ')[1] || item_id AS dst FROM benchmark), pairs AS (SELECT d.doc_id AS chunk_id, t.entry_index AS ord, t.src, t.dst, d.text AS source_text FROM documents d JOIN terms t ON d.doc_id % 8 = t.entry_index % 8)"
+_PAIRS = "terms AS (SELECT item_id AS entry_index, string_split(text, ' ')[1] AS src, string_split(text, ' ')[1] || item_id AS dst FROM benchmark), pairs AS (SELECT d.doc_id AS chunk_id, t.entry_index AS ord, t.src, t.dst, d.text AS source_text FROM documents d JOIN terms t ON t.src <> '' AND contains(d.text, t.src))"
 
 
 def term_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,18 +281,20 @@ def merge_adjacent_roles(spark, sf_dir):
     return model.merged_roles(load(spark, sf_dir, "conversations")).select("conv_id", "message", "role", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN regexp_matches(text, '\\S') THEN '[Background]' || chr(10) || source || chr(10) || chr(10) || '[Text]' || chr(10) || text ELSE text END) AS prompt_md5 FROM documents WHERE source IS NOT NULL AND text IS NOT NULL")
+@query("SELECT doc_id, md5(CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN CASE WHEN coalesce(source, '') <> '' THEN '[Background]' || chr(10) || source || chr(10) || chr(10) ELSE '' END || '[Text]' || chr(10) || text ELSE coalesce(text, '') END) AS prompt_md5 FROM documents")
 def prompt_assembly_parts(spark, sf_dir):
     none = F.lit(None).cast("string")
-    docs = documents(spark, sf_dir).filter("source is not null and text is not null")
-    return docs.select("doc_id", F.md5(F.encode(model.prompt(F.col("text"), F.col("source"), none, none), "UTF-8")).alias("prompt_md5"))
+    made = model.prompt(F.coalesce("text", F.lit("")), F.col("source"), none, none)
+    return documents(spark, sf_dir).select("doc_id", F.md5(F.encode(made, "UTF-8")).alias("prompt_md5"))
 
 
-@query("SELECT l_orderkey, sum(i + o + t)::BIGINT AS total_tokens, sum(c)::BIGINT AS cached_tokens FROM (SELECT l_orderkey, coalesce(nullif(l_quantity::BIGINT % 5, 0), l_linenumber) AS i, l_linenumber::BIGINT AS o, l_quantity::BIGINT AS t, l_partkey AS c FROM lineitem) GROUP BY 1")
+@query("SELECT l_orderkey, sum(CASE WHEN l_linenumber = 1 THEN l_linenumber + q ELSE q % 5 + l_linenumber END + q % 3)::BIGINT AS total_tokens, sum(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_partkey END)::BIGINT AS cached_tokens, sum(q % 3)::BIGINT AS thinking_tokens FROM (SELECT *, l_quantity::BIGINT AS q FROM lineitem) GROUP BY 1")
 def token_usage_totals(spark, sf_dir):
-    given = F.col("l_quantity").cast("long")
-    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (model.usage(given % 5, F.col("l_linenumber").cast("long")) + F.col("l_linenumber") + given).alias("total"))
-    return rows.groupBy("l_orderkey").agg(F.sum("total").alias("total_tokens"), F.sum("l_partkey").alias("cached_tokens"))
+    """Tokens of each order's lines; the first line of an order has no provider's count."""
+    q, line = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    used = F.when(line > 1, F.struct((q % 5).alias("input_tokens"), line.alias("output_tokens"), F.col("l_partkey").alias("cached_tokens")))
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", model.token_stats(used, line, q, q % 3).alias("t"))
+    return rows.groupBy("l_orderkey").agg(*[F.sum(f"t.{c}").alias(c) for c in ("total_tokens", "cached_tokens", "thinking_tokens")])
 
 
 @query("SELECT user_id, round(greatest(least(avg(p) - 0.5 * stddev_pop(p), 1.0), 0.0), 6) AS confidence, count(*) AS tokens FROM (SELECT user_id, least(greatest(exp(-value / 100.0), 0.0), 1.0) AS p FROM events) GROUP BY 1")
@@ -320,12 +312,17 @@ def answer_final_status(spark, sf_dir):
     return model.final_outcome(rows, "user_id").select("user_id", "status", "attempt")
 
 
-_MESSAGE = "CASE event_id % 6 WHEN 0 THEN 'HTTP 503 from host' WHEN 1 THEN 'Too many requests' WHEN 2 THEN 'placeholder t3 lost' WHEN 3 THEN 'connection reset' WHEN 4 THEN 'invalid JSON' ELSE event_type END"
+_MESSAGE = "CASE event_id % 9 WHEN 0 THEN 'HTTP 503 from host' WHEN 1 THEN 'Rate limit reached' WHEN 2 THEN 'placeholder t3 lost' WHEN 3 THEN 'connection reset' WHEN 4 THEN 'chunk 3 is invalid' WHEN 5 THEN 'Task paused' WHEN 6 THEN 'Translation failure threshold exceeded: 3/10 chunks failed (maximum 20%)' WHEN 7 THEN 'HTTP 418: quota' ELSE 'Error rate too high' END"
 
 
-@query(f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(m), 'threshold') THEN 'threshold' WHEN regexp_matches(lower(m), '429|rate.?limit|too many') THEN 'rate-limit' WHEN regexp_matches(lower(m), 'placeholder|tag') THEN 'placeholder' WHEN regexp_matches(lower(m), 'http [45][0-9][0-9]') THEN 'http' WHEN regexp_matches(lower(m), 'timed? ?out|connection') THEN 'transport' WHEN regexp_matches(lower(m), 'interrupt|cancel') THEN 'interrupted' WHEN regexp_matches(lower(m), 'parse|json') THEN 'parse' ELSE 'other' END AS kind FROM (SELECT {_MESSAGE} AS m FROM events)) GROUP BY 1")
+@query("""SELECT kind, severity, text, count(*) AS n FROM (SELECT unnest(CASE event_id % 9 WHEN 0 THEN {'kind': 'http', 'severity': 'warning', 'text': '503：服务商接口暂时异常，可稍后重试'}
+ WHEN 1 THEN {'kind': 'rate-limit', 'severity': 'warning', 'text': '请求频率或配额达到限制，可稍后继续'} WHEN 2 THEN {'kind': 'placeholder', 'severity': 'danger', 'text': '占位符恢复失败，请检查任务详情'}
+ WHEN 3 THEN {'kind': 'other', 'severity': 'danger', 'text': '任务异常：connection reset'} WHEN 4 THEN {'kind': 'parse', 'severity': 'danger', 'text': '文档解析或分块失败，请检查源文件'}
+ WHEN 5 THEN {'kind': 'interrupted', 'severity': 'warning', 'text': '任务已中断，可继续'} WHEN 6 THEN {'kind': 'threshold', 'severity': 'danger', 'text': '失败分块 3/10，超过最大允许失败率 20%'}
+ WHEN 7 THEN {'kind': 'rate-limit', 'severity': 'warning', 'text': '请求频率或配额达到限制，可稍后继续'} ELSE {'kind': 'error-rate', 'severity': 'danger', 'text': '错误率过高，任务已停止'} END) FROM events) GROUP BY 1, 2, 3""")
 def error_classifier(spark, sf_dir):
-    return load(spark, sf_dir, "events").withColumn("kind", model.error_kind(F.expr(_MESSAGE))).groupBy("kind").agg(F.count("*").alias("n"))
+    rows = load(spark, sf_dir, "events").select(model.task_error(F.expr(_MESSAGE)).alias("e"))
+    return rows.groupBy("e.kind", "e.severity", "e.text").agg(F.count("*").alias("n"))
 
 
 @query("SELECT s AS status, CASE WHEN s = 429 THEN 'rate-limited' WHEN s IN (408, 499) OR s >= 500 THEN 'transient' WHEN s >= 400 THEN 'permanent' ELSE 'ok' END AS kind FROM range(200, 600) t(s)")
@@ -374,10 +371,36 @@ def sanitize_names(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", T.sanitised_stem(F.concat("p_name", F.lit("/"), "p_brand", F.lit(". "))).alias("stem"))
 
 
-@query("SELECT c_custkey, c_mktsegment || '|x' AS tags FROM customer")
+@query("SELECT c_custkey, c_mktsegment || '|x' AS tags, CASE c_custkey % 4 WHEN 1 THEN 'Task tags must be 48 characters or shorter' WHEN 2 THEN 'A task can have at most 12 tags' WHEN 3 THEN 'Task tags cannot contain control characters' END AS error FROM customer")
 def normalise_tags(spark, sf_dir):
-    tags = F.array(F.concat(F.lit(" "), "c_mktsegment"), F.lower("c_mktsegment"), F.lit("  "), F.lit("x"), F.lit("X"), F.repeat(F.lit("y"), F.lit(60)))
-    return load(spark, sf_dir, "customer").select("c_custkey", F.array_join(T.normalised_tags(tags), "|").alias("tags"))
+    """Tags of a task, and what is wrong with lists that hold more, longer or unprintable ones."""
+    tags = F.array(F.concat(F.lit(" "), "c_mktsegment"), F.lower("c_mktsegment"), F.lit("  "), F.lit("x"), F.lit("X"))
+    kind, more = F.col("c_custkey") % 4, F.transform(F.sequence(F.lit(1), F.lit(12)), lambda n: F.concat(F.lit("t"), n))
+    given = F.when(kind == 0, tags).when(kind == 1, F.concat(tags, F.array(F.repeat(F.lit("y"), F.lit(49))))).when(kind == 2, F.concat(tags, more)).otherwise(F.concat(tags, F.array(F.lit("a\x85b"))))
+    return load(spark, sf_dir, "customer").select("c_custkey", F.array_join(T.normalised_tags(tags), "|").alias("tags"), T.tag_error(given).alias("error"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'zh-CN' WHEN 1 THEN 'zh-HK' WHEN 2 THEN 'ko' WHEN 3 THEN 'pt-BR' END AS code, CASE c_custkey % 5 WHEN 0 THEN 'Chinese (Simplified)' WHEN 1 THEN 'Chinese (Traditional)' WHEN 2 THEN 'Korean' WHEN 3 THEN 'Portuguese (Brazil)' END AS name FROM customer")
+def language_codes(spark, sf_dir):
+    """Codes and names of languages given by code, name or alias."""
+    given = F.expr("CASE c_custkey % 5 WHEN 0 THEN ' chinese (SIMPLIFIED)' WHEN 1 THEN 'zh-TW' WHEN 2 THEN 'Korean' WHEN 3 THEN 'portuguese' ELSE '__other__' END")
+    return load(spark, sf_dir, "customer").select("c_custkey", T.normalise_language(given).alias("code"), T.language_name(given).alias("name"))
+
+
+_ACTION = "CASE o_orderkey % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'resume' ELSE 'retranslate' END"
+_STATUS = "CASE o_custkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'queued' WHEN 2 THEN 'running' WHEN 3 THEN 'interrupted' WHEN 4 THEN 'failed' ELSE 'success' END"
+
+
+@query(f"SELECT o_orderkey, ({_ACTION}, {_STATUS}) IN (('start', 'pending'), ('resume', 'interrupted'), ('retranslate', 'success'), ('retranslate', 'failed')) AS allowed FROM orders")
+def task_transitions(spark, sf_dir):
+    return load(spark, sf_dir, "orders").select("o_orderkey", tasks.allowed(F.expr(_ACTION), F.expr(_STATUS)).alias("allowed"))
+
+
+@query(f"WITH s AS (SELECT *, {_STATUS} AS s FROM orders) SELECT o_orderkey, CASE WHEN s IN ('failed', 'interrupted') THEN 'pending' ELSE s END AS status, CASE WHEN s IN ('failed', 'interrupted') THEN '' ELSE o_orderpriority END AS translated_text, CASE WHEN s IN ('failed', 'interrupted') THEN 0 ELSE o_custkey END::BIGINT AS total_tokens, CASE WHEN s NOT IN ('failed', 'interrupted') THEN o_totalprice END AS confidence FROM s")
+def resume_reset(spark, sf_dir):
+    """Chunks as a resumed run finds them."""
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", F.expr(_STATUS).alias("status"), F.col("o_orderpriority").alias("translated_text"), F.col("o_custkey").cast("long").alias("total_tokens"), F.col("o_totalprice").alias("confidence"))
+    return tasks.resumed(rows)
 
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN (event_id) WHEN 1 THEN event_id * 1000 WHEN 2 THEN event_id * 60000 WHEN 3 THEN event_id * 1000 ELSE NULL END::BIGINT AS ms FROM events")
@@ -420,12 +443,12 @@ def aimd_replay(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quillmill.plans import exchange, formats
+    from quillmill.plans import exchange, formats, lifecycle
 
-    return QUERIES | formats.QUERIES | exchange.QUERIES
+    return QUERIES | formats.QUERIES | exchange.QUERIES | lifecycle.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillmill.plans import exchange, formats
+    from quillmill.plans import exchange, formats, lifecycle
 
-    return SQL | formats.SQL | exchange.SQL
+    return SQL | formats.SQL | exchange.SQL | lifecycle.SQL

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.functions.text import truncated_finish
 from quillmill.operators import catalog, protocols
 from quillmill.runtime import load
 
@@ -40,15 +41,28 @@ def reply_normalisation(spark, sf_dir):
     return made.select("event_id", "r.text", "r.reasoning", "r.input_tokens", "r.output_tokens")
 
 
-@query("SELECT event_id, (event_id % 5)::BIGINT AS request_remaining, (event_id * 2)::BIGINT AS token_remaining, least(greatest(CASE WHEN event_id % 5 <= 1 THEN event_id * 1000 ELSE 0 END, CASE WHEN event_id * 2 <= 1128 THEN 2 * 60000 ELSE 0 END), 60000)::BIGINT AS wait_ms FROM events")
+@query("SELECT event_id, (event_id % 5)::BIGINT AS request_remaining, (event_id * 2)::BIGINT AS token_remaining, least(greatest(event_id % 7 * 1000, CASE WHEN event_id % 5 <= 1 THEN event_id * 1000 ELSE 0 END, CASE WHEN event_id * 2 <= 1128 THEN 2 * 60000 ELSE 0 END), 60000)::BIGINT AS wait_ms FROM events")
 def header_limits(spark, sf_dir):
     """Quota headers of both families and the wait that follows from them."""
     n = F.col("event_id").cast("string")
-    headers = F.create_map(F.lit("X-RateLimit-Remaining-Requests"), (F.col("event_id") % 5).cast("string"), F.lit("x-ratelimit-reset-requests"), F.concat(n, F.lit("s")), F.lit("anthropic-ratelimit-tokens-remaining"), F.concat((F.col("event_id") * 2).cast("string"), F.lit(", x")), F.lit("anthropic-ratelimit-tokens-reset"), F.lit("2m"))
+    headers = F.create_map(F.lit("X-RateLimit-Remaining-Requests"), (F.col("event_id") % 5).cast("string"), F.lit("x-ratelimit-reset-requests"), F.concat(n, F.lit("s")), F.lit("anthropic-ratelimit-tokens-remaining"), F.concat((F.col("event_id") * 2).cast("string"), F.lit(", x")), F.lit("anthropic-ratelimit-tokens-reset"), F.lit("2m"), F.lit("Retry-After"), (F.col("event_id") % 7).cast("string"))
     limits = load(spark, sf_dir, "events").select("event_id", protocols.rate_limits(headers).alias("l"))
     return limits.select("event_id", "l.request_remaining", "l.token_remaining", protocols.quota_wait_ms(F.col("l"), F.lit(1000)).alias("wait_ms"))
 
 
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'max_output_tokens' WHEN 1 THEN 'content_filter' WHEN 2 THEN 'incomplete' WHEN 3 THEN 'length' WHEN 4 THEN 'MAX_TOKENS' END AS finish_reason, coalesce(event_id % 6 IN (0, 2, 3, 4), false) AS truncated, CASE WHEN event_id % 6 = 5 THEN '<think>b</think>c' ELSE '' END AS text, CASE WHEN event_id % 6 = 5 THEN 'whya' ELSE '' END AS reasoning FROM events")
+def reply_endings(spark, sf_dir):
+    """Finish reasons wherever replies carry them, and a leading thinking element, of which only the first is taken out."""
+    rows = [
+        ("openai-responses", '{"status":"completed","incomplete_details":{"reason":"max_output_tokens"}}'), ("openai-responses", '{"response":{"incomplete_details":{"reason":"content_filter"}}}'),
+        ("openai-responses", '{"status":"incomplete"}'), ("ollama", '{"doneReason":"length"}'), ("gemini", '{"candidates":[{"finishReason":"MAX_TOKENS"}]}'),
+        ("openai-chat", '{"choices":[{"message":{"reasoning":"why","content":" <think> a </THINK> <think>b</think>c"}}]}'),
+    ]
+    given = F.element_at(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(b).alias("b")) for p, b in rows]), (F.col("event_id") % 6 + 1).cast("int"))
+    made = load(spark, sf_dir, "events").select("event_id", protocols.normalised(given["p"], given["b"]).alias("r"))
+    return made.select("event_id", "r.finish_reason", F.coalesce(truncated_finish(F.col("r.finish_reason")), F.lit(False)).alias("truncated"), "r.text", "r.reasoning")
+
+
 @query("SELECT user_id, count(*) FILTER (WHERE event_type <> 'error') AS kept FROM events GROUP BY 1")
 def logprob_filter(spark, sf_dir):
     """Log-probabilities that count: an error event stands for a placeholder tag in three pieces."""

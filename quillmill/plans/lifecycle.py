@@ -1,0 +1,250 @@
+"""Named queries over runs and the task and glossary catalogue: orders stand for chunks, customers for their tasks."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillmill.functions import text as T
+from quillmill.operators import catalog_edits, glossary, model, runs, tasks
+from quillmill.runtime import load
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_STATUS = "CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'interrupted' WHEN 2 THEN 'failed' ELSE 'success' END"
+_GEN = f"gen AS (SELECT o_custkey AS task_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS sequence, CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE o_orderpriority END AS source_text, {_STATUS} AS status, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS translated_text, o_orderkey, o_totalprice FROM orders)"
+
+
+def generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return load(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("task_id"), (F.row_number().over(order) - 1).cast("long").alias("sequence"), F.when(F.col("o_orderkey") % 7 == 0, " ").otherwise(F.col("o_orderpriority")).alias("source_text"),
+        F.expr(_STATUS).alias("status"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")).alias("translated_text"), "o_orderkey", "o_totalprice",
+    )
+
+
+@query(f"WITH {_GEN} SELECT task_id, sequence, source_text, 'pending' AS status, 0::BIGINT AS retry_count FROM gen WHERE task_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AND source_text <> ' '")
+def draft_seeding(spark, sf_dir):
+    """Generation chunks of tasks without a draft."""
+    drafts = load(spark, sf_dir, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("task_id"))
+    return runs.seeded(generation(spark, sf_dir), drafts)
+
+
+@query(f"WITH {_GEN} SELECT task_id, sequence, status, row_number() OVER (PARTITION BY task_id ORDER BY sequence) AS position FROM gen WHERE status IN ('pending', 'interrupted')")
+def generation_queue(spark, sf_dir):
+    return runs.work_queue(generation(spark, sf_dir)).select("task_id", "sequence", "status", "position")
+
+
+@query(f"""WITH {_GEN}, r AS (SELECT *, count(*) FILTER (WHERE status = 'failed') OVER (PARTITION BY task_id ORDER BY sequence) AS k, count(*) OVER (PARTITION BY task_id) AS total FROM gen),
+ f AS (SELECT task_id, min(sequence) AS at FROM r WHERE status = 'failed' AND k * 100 > total * 20 GROUP BY 1), a AS (SELECT task_id, max(total) AS total, count(*) FILTER (WHERE status = 'failed') AS every FROM r GROUP BY 1)
+ SELECT a.task_id, a.total, coalesce(r.k, a.every) AS failed, f.at AS aborted_at, CASE WHEN f.at IS NOT NULL THEN 'Glossary failure threshold exceeded: ' || r.k || '/' || a.total || ' chunks failed (maximum 20%): ' || r.translated_text END AS reason
+ FROM a LEFT JOIN f USING (task_id) LEFT JOIN r ON r.task_id = a.task_id AND r.sequence = f.at""")
+def early_abort(spark, sf_dir):
+    """Where runs break off at 20 % of failed chunks."""
+    rows = generation(spark, sf_dir).withColumnRenamed("translated_text", "error_message")
+    return runs.aborted(rows, 20)
+
+
+@query("WITH t AS (SELECT user_id, floor(value * 100 / 250)::BIGINT AS tick, max(event_id % 50) AS done, arg_max(event_type, event_id) FILTER (WHERE event_type = 'error') AS retry FROM events GROUP BY 1, 2) SELECT user_id, tick, max(done) OVER (PARTITION BY user_id ORDER BY tick) AS done, retry FROM t")
+def progress_ticks(spark, sf_dir):
+    """Reports of each quarter of a second: progress never goes back."""
+    events = load(spark, sf_dir, "events").select("user_id", (F.col("value") * 100).alias("at_ms"), F.col("event_id").alias("sequence"), (F.col("event_id") % 50).alias("done"), F.when(F.col("event_type") == "error", F.col("event_type")).alias("retry"))
+    return runs.coalesced_progress(events, "user_id")
+
+
+@query("WITH e AS (SELECT user_id, event_id % 10 AS sequence, event_id AS attempt, CASE WHEN event_type = 'error' THEN 'retrying' ELSE 'done' END AS status FROM events), l AS (SELECT user_id, sequence, arg_max(status, attempt) AS status, max(attempt) AS attempt FROM e GROUP BY 1, 2) SELECT user_id, arg_max(sequence, attempt) AS sequence, max(attempt) AS attempt FROM l WHERE status = 'retrying' GROUP BY 1")
+def retry_reports(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 10).alias("sequence"), F.col("event_id").alias("attempt"), F.col("event_id").alias("at_ms"), F.when(F.col("event_type") == "error", "retrying").otherwise("done").alias("status"))
+    return runs.retries_in_flight(rows, "user_id")
+
+
+_ROLL = "SELECT task_id, count(*) AS total_chunks, count(*) FILTER (WHERE status = 'success') AS success_chunks, count(*) FILTER (WHERE status = 'failed') AS failed_chunks, count(*) FILTER (WHERE status = 'interrupted') AS interrupted_chunks, count(*) FILTER (WHERE status = 'failed') > 0 AS has_failures FROM gen GROUP BY 1"
+
+
+@query(f"WITH {_GEN} {_ROLL}")
+def generation_rollup(spark, sf_dir):
+    return runs.rolled_up(generation(spark, sf_dir))
+
+
+@query(f"WITH {_GEN}, r AS ({_ROLL}) SELECT task_id, CASE WHEN failed_chunks * 100 > total_chunks * 40 THEN 'failed' WHEN success_chunks + failed_chunks < total_chunks THEN 'interrupted' ELSE 'success' END AS status FROM r")
+def generation_outcome(spark, sf_dir):
+    return runs.finalised(generation(spark, sf_dir), 40)
+
+
+@query("SELECT o_orderkey, 'pending' AS status, '' AS translated_text, 0::BIGINT AS total_tokens, NULL::DOUBLE AS confidence FROM orders")
+def retranslation_reset(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderstatus").alias("translated_text"), F.col("o_custkey").cast("long").alias("total_tokens"), F.col("o_totalprice").cast("double").alias("confidence"))
+    return runs.reset(rows)
+
+
+@query("SELECT a AS attempt, least(2000 * pow(2, a), 10000)::BIGINT AS delay_ms FROM range(0, 30) t(a)")
+def poll_delays(spark, sf_dir):
+    return spark.range(30).select(F.col("id").alias("attempt"), runs.poll_delay_ms(F.col("id")).alias("delay_ms"))
+
+
+@query(f"""WITH {_GEN}, r AS ({_ROLL}), s AS (SELECT *, success_chunks + failed_chunks + interrupted_chunks AS ended, task_id % 2 = 0 AS g FROM r),
+ t AS (SELECT *, CASE WHEN ended < total_chunks THEN CASE WHEN ended > 0 THEN 'running' ELSE 'pending' END WHEN failed_chunks > 0 THEN 'failed' ELSE 'success' END AS state FROM s)
+ SELECT task_id, CASE WHEN g THEN state ELSE 'skipped' END AS glossary, state AS translating, success_chunks::BIGINT AS restored, total_chunks AS total FROM t""")
+def progress_steps(spark, sf_dir):
+    r = runs.rolled_up(generation(spark, sf_dir))
+    stats = F.struct(F.col("total_chunks").alias("total"), F.col("success_chunks").alias("succeeded"), F.col("failed_chunks").alias("failed"), F.col("interrupted_chunks").alias("interrupted"))
+    d = r.select("task_id", runs.progress_detail(stats, F.col("task_id") % 2 == 0, F.lit(True)).alias("d"))
+    return d.select("task_id", F.col("d.glossary.state").alias("glossary"), F.col("d.translating.state").alias("translating"), F.col("d.restore.current").alias("restored"), F.col("d.translating.total").alias("total"))
+
+
+@query(f"WITH {_GEN} SELECT task_id, md5(string_agg(CASE WHEN translated_text = '' THEN source_text ELSE translated_text END, '' ORDER BY sequence)) AS text_md5 FROM gen GROUP BY 1")
+def rendered_texts(spark, sf_dir):
+    """Texts of tasks as their chunks render, sources where there is no translation."""
+    return runs.shown_texts(generation(spark, sf_dir)).select("task_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+_ENTRIES = "entries AS (SELECT p_partkey AS id, p_size AS glossary_id, p_brand AS src, p_type AS dst, p_partkey % 11 AS created_at FROM part)"
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entries of the glossaries that their sizes stand for."""
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("glossary_id"), F.col("p_brand").alias("src"), F.col("p_type").alias("dst"), (F.col("p_partkey") % 11).alias("created_at"))
+
+
+@query(f"WITH {_ENTRIES} SELECT c.id FROM entries c WHERE c.id % 2 = 0 AND EXISTS (SELECT 1 FROM entries e WHERE e.glossary_id = c.glossary_id AND e.id <> c.id AND e.id % 2 = 1 AND lower(e.src) = lower(c.src))")
+def entry_key_conflicts(spark, sf_dir):
+    """New entries whose source an old one has."""
+    rows = entries(spark, sf_dir)
+    new = rows.filter("id % 2 = 0").withColumn("src", F.concat(F.lit(" "), F.upper("src")))
+    return catalog_edits.key_conflicts(new, rows.filter("id % 2 = 1")).select("id")
+
+
+@query(f"WITH {_ENTRIES} SELECT id, row_number() OVER (PARTITION BY glossary_id ORDER BY created_at, id) - 1 AS entry_index FROM entries WHERE glossary_id % 3 = 0")
+def usable_glossary_entries(spark, sf_dir):
+    states = spark.range(1, 51).select(F.col("id").cast("int").alias("glossary_id"), F.when(F.col("id") % 3 == 0, "success").otherwise("building").alias("status"))
+    return catalog_edits.usable_entries(entries(spark, sf_dir), states).select("id", "entry_index")
+
+
+@query(f"WITH {_ENTRIES} SELECT g.glossary_id, count(e.id) AS entry_count FROM (SELECT range AS glossary_id FROM range(0, 60)) g LEFT JOIN entries e USING (glossary_id) GROUP BY 1")
+def glossary_recount(spark, sf_dir):
+    return catalog_edits.recounted(spark.range(60).select(F.col("id").alias("glossary_id")), entries(spark, sf_dir))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'ka ki ka ' WHEN 1 THEN 'shi tsu chi n ' WHEN 2 THEN 'yi ab' ELSE lower(s_name) END AS key FROM supplier")
+def romanised_keys(spark, sf_dir):
+    """Sort keys of names in kana, with given readings, and in other letters."""
+    name = F.expr("CASE s_suppkey % 4 WHEN 0 THEN ' カきが ' WHEN 1 THEN 'しツヂん' WHEN 2 THEN '一AB' ELSE s_name END")
+    return load(spark, sf_dir, "supplier").select("s_suppkey", catalog_edits.sort_key(name, {"一": "yi"}).alias("key"))
+
+
+@query(f"WITH {_ENTRIES} SELECT id, row_number FROM (SELECT id, row_number() OVER (ORDER BY lower(src), src, id) AS row_number FROM entries) WHERE row_number BETWEEN 21 AND 40")
+def entry_page_az(spark, sf_dir):
+    rows = entries(spark, sf_dir)
+    return tasks.page(rows, [*catalog_edits.entry_order("az", "src"), F.asc("id")], number=2, size=20).select("id", "row_number")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'renamed ' || c_custkey ELSE c_name END AS name, CASE WHEN c_custkey % 4 = 1 THEN 'x' ELSE c_mktsegment END AS tag, CASE c_custkey % 4 WHEN 2 THEN 'empty' WHEN 3 THEN 'too long' END AS error FROM customer")
+def task_edits(spark, sf_dir):
+    """Tasks after a set of changes, of which blank and long names are refused."""
+    c = load(spark, sf_dir, "customer")
+    name = F.expr("CASE c_custkey % 4 WHEN 1 THEN concat(' renamed ', c_custkey) WHEN 2 THEN '  ' WHEN 3 THEN repeat('é', 61) END")
+    changes = c.filter("c_custkey % 4 <> 0").select("c_custkey", name.alias("name"), F.lit("x").alias("tag"))
+    return catalog_edits.edited(c.select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("tag")), changes, "c_custkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 90 ELSE 30 END::BIGINT AS translation, CASE WHEN c_custkey % 3 = 1 THEN 7 ELSE 40 END::BIGINT AS glossary FROM customer")
+def failure_thresholds(spark, sf_dir):
+    """Thresholds of stored configurations, with the defaults of those that don't say."""
+    stored = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('{\"maxFailurePercentage\":', c_custkey % 90, '}') WHEN 1 THEN '{\"glossaryMaxFailurePercentage\":7}' ELSE '{}' END")
+    return load(spark, sf_dir, "customer").select("c_custkey", catalog_edits.thresholds(stored).alias("t")).select("c_custkey", "t.translation", "t.glossary")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'global-background' ELSE 'off' END AS context_mode, CASE c_custkey % 3 WHEN 0 THEN 'en' ELSE 'auto' END AS source_language, CASE c_custkey % 3 WHEN 1 THEN 'ko' ELSE 'zh-CN' END AS target_language,
+ CASE WHEN c_custkey % 5 = 0 THEN 'auto' ELSE 'existing' END AS glossary_mode, CASE WHEN c_custkey % 7 = 0 THEN 'chunk_token_limit' WHEN c_custkey % 11 = 0 THEN 'max_concurrency' END AS error FROM customer""")
+def task_configurations(spark, sf_dir):
+    """Configurations in their present form, and what is out of range in them."""
+    k = F.col("c_custkey")
+    given = load(spark, sf_dir, "customer").select(
+        "c_custkey", F.lit("off").alias("context_mode"), (k % 2 == 0).alias("use_global_background"), F.expr("CASE c_custkey % 3 WHEN 0 THEN 'English' ELSE '__other__' END").alias("source_language"),
+        F.expr("CASE c_custkey % 3 WHEN 1 THEN 'korean' WHEN 2 THEN 'auto' ELSE '__other__' END").alias("target_language"), (k % 5 == 0).alias("use_glossary"), F.lit("auto").alias("glossary_mode"),
+        F.when(k % 7 == 0, 100).otherwise(800).alias("chunk_token_limit"), F.when(k % 11 == 0, 33).otherwise(5).alias("max_concurrency"),
+    )
+    made = catalog_edits.normalised_config(given)
+    return made.select("c_custkey", "context_mode", "source_language", "target_language", "glossary_mode", catalog_edits.config_error(made.columns).alias("error"))
+
+
+@query("SELECT s_suppkey, n_name AS request_name, CASE WHEN s_nationkey < 20 THEN r_name END AS provider_name, CASE WHEN s_nationkey >= 20 THEN 'missing' WHEN s_nationkey % 2 = 1 OR n_regionkey = 0 THEN 'disabled' ELSE 'ready' END AS selection FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def runtime_selections(spark, sf_dir):
+    """Tasks with their models and providers, as far as these are still there and switched on."""
+    n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
+    models = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("request_name"), F.when(F.col("n_nationkey") < 20, F.col("n_regionkey")).alias("provider_id"), (F.col("n_nationkey") % 2 == 0).alias("enabled"))
+    providers = r.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), (F.col("r_regionkey") > 0).alias("enabled"))
+    rows = load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("model_id"))
+    return catalog_edits.selections(rows, models, providers).select("s_suppkey", "request_name", "provider_name", "selection")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'report.md' WHEN 1 THEN 'untitled.md' ELSE replace(p_brand, '#', '#') || '.md' END AS name FROM part")
+def export_names(spark, sf_dir):
+    given = F.expr("CASE p_partkey % 3 WHEN 0 THEN ' report.md ' WHEN 1 THEN '.md' ELSE concat(p_brand, ' ?') END")
+    return load(spark, sf_dir, "part").select("p_partkey", catalog_edits.export_name(given, F.lit("..."), F.lit("md")).alias("name"))
+
+
+@query("SELECT p_partkey, '/w/' || p_brand || CASE WHEN r = 1 THEN '' ELSE '-' || CASE WHEN r - 1 < 10 THEN '0' ELSE '' END || (r - 1) END || '.db' AS path FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)")
+def database_paths(spark, sf_dir):
+    rows = load(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return catalog_edits.allocated_paths(rows, "/w", "db", "p_brand", "p_partkey").select("p_partkey", "path")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false ELSE false END AS valid FROM customer")
+def target_language_syntax(spark, sf_dir):
+    given = F.expr("CASE c_custkey % 6 WHEN 0 THEN 'zh-Hans-CN' WHEN 1 THEN 'Old Norse' WHEN 2 THEN 'toolongsubtag1' WHEN 3 THEN 'de' WHEN 4 THEN 'Français' ELSE 'en-' END")
+    return load(spark, sf_dir, "customer").select("c_custkey", T.valid_target_language(given).alias("valid"))
+
+
+@query("SELECT o_orderkey, ((o_custkey + 50) // 100) // 10 || '.' || ((o_custkey + 50) // 100) % 10 || 'k' AS tokens, CASE WHEN o_orderkey % 3 = 0 THEN '0%' WHEN o_orderkey % 3 = 1 THEN '100%' ELSE '38%' END AS progress, CASE WHEN o_orderkey % 3 = 0 THEN '0.0%' WHEN o_orderkey % 3 = 1 THEN '120.0%' ELSE '37.5%' END AS errors FROM orders")
+def display_numbers(spark, sf_dir):
+    share = F.expr("CASE o_orderkey % 3 WHEN 0 THEN -0.5D WHEN 1 THEN 1.2D ELSE 0.375D END")
+    return load(spark, sf_dir, "orders").select("o_orderkey", T.token_label(F.col("o_custkey").cast("long")).alias("tokens"), T.percent_label(share).alias("progress"), T.error_rate_label(share).alias("errors"))
+
+
+@query("SELECT event_id, event_id % 4 IN (0, 1) AS rejected FROM events")
+def logprob_rejections(spark, sf_dir):
+    status = F.expr("CASE event_id % 4 WHEN 0 THEN 400 WHEN 1 THEN 422 WHEN 2 THEN 500 ELSE 404 END")
+    message = F.expr("CASE event_id % 4 WHEN 0 THEN 'Unknown LogProbs' WHEN 1 THEN 'log_probs not allowed' WHEN 2 THEN 'logprobs' ELSE 'no such model' END")
+    return load(spark, sf_dir, "events").select("event_id", model.logprobs_rejected(status, message).alias("rejected"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '任务排队中，等待开始' WHEN 1 THEN '429：请求频率或配额达到限制，可稍后继续' WHEN 2 THEN '任务异常：boom' WHEN 3 THEN '任务已中断，可继续' WHEN 4 THEN '翻译完成 (3/4)' ELSE '翻译 1/2' END AS message FROM orders")
+def task_messages(spark, sf_dir):
+    """What a list says of each task."""
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    status = pick("queued", "running", "running", "interrupted", "success", "running")
+    made = model.task_message(status, pick("x", "", " boom ", "", "", ""), pick("", "HTTP 429", "HTTP 500", "", "", ""), none, pick("", "", "", "", "", "翻译 1/2"), F.lit(True), F.lit(3), F.lit(4))
+    return load(spark, sf_dir, "orders").select("o_orderkey", made["text"].alias("message"))
+
+
+@query("WITH b AS (SELECT item_id, text, string_split(text, ' ')[1] AS src FROM benchmark) SELECT item_id AS chunk_id, 5::BIGINT AS candidates, 3::BIGINT AS discarded FROM b WHERE src <> ''")
+def glossary_discards(spark, sf_dir):
+    """Answers of five candidates a passage: two stand in it (one with a line end inside, both with spaces around)."""
+    b = load(spark, sf_dir, "benchmark").withColumn("w", F.get(F.split("text", " "), F.lit(0))).filter("w <> ''")
+    source = F.concat("w", F.lit("\tx\n"), "text")
+    pair = lambda n, s, d: F.struct(F.lit(n).alias("ord"), s.alias("src"), F.lit(d).alias("dst"))
+    pairs = F.array(pair(0, F.concat(F.lit(" "), "w", F.lit(" ")), " a\nb "), pair(1, F.upper(F.concat("w", F.lit("\tx"))), "c"), pair(2, F.concat("w", F.lit("\tx")), "d"), pair(3, F.col("w"), "again"), pair(4, F.lit(" "), "e"))
+    return glossary.discarded(b.select(F.col("item_id").alias("chunk_id"), source.alias("source_text"), F.explode(pairs).alias("p")).select("chunk_id", "source_text", "p.*"))
+
+
+@query("WITH e AS (SELECT *, event_id % 9 AS k FROM events) SELECT event_id, '1' || CASE WHEN k = 0 THEN '' ELSE repeat(' a', k) END AS prefix FROM e")
+def background_cut(spark, sf_dir):
+    """A background text cut to a number of tokens, without the space at its end."""
+    text = F.concat(F.lit("1"), F.repeat(F.lit(" a"), (F.col("event_id") % 9).cast("int")), F.lit("  "))
+    return load(spark, sf_dir, "events").select("event_id", T.token_prefix(text, 10).alias("prefix"))

@@ -10,11 +10,13 @@ from pyspark.sql.window import Window
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a temporary one of our own."""
     conf = spark.sparkContext.getConf()
     shared = conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.conf.get("spark.quillmill.scratch", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not shared:
         import tempfile
 

@@ -6,12 +6,16 @@ import io
 import json
 import re
 import zipfile
+from collections.abc import Iterator
 from html import escape
 from xml.sax.saxutils import escape as xml_escape
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.sources.formats import format_of
+
 Pieces = list[tuple[str, str]]  # address, new text
 
 
@@ -132,3 +136,25 @@ def rendered(kind: str, raw: bytes, pieces: Pieces) -> bytes:
     if kind == "xlsx":
         return ooxml(raw, "xl/sharedStrings.xml", "t", pieces)
     return "".join(new for _, new in pieces).encode()
+
+
+def documents(files: DataFrame, units: DataFrame) -> DataFrame:
+    """path, content, error of files (path, content) with their units' texts (path, ordinal, address, text) put back.
+
+    A unit without text keeps its source. A file that can't be rendered gives its error and no content.
+    """
+    own = units.filter(F.col("text").isNotNull()).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "address", "text"))).alias("pieces"))
+    pieces = F.coalesce(F.transform("pieces", lambda x: F.struct(x["address"].alias("address"), x["text"].alias("text"))), F.array().cast("array<struct<address:string,text:string>>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, raw, given in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    out.append((path, rendered(format_of(path or "") or "", raw or b"", [(x["address"], x["text"]) for x in given]), None))
+                except Exception as error:  # noqa: BLE001  any fault of a file is that file's result
+                    out.append((path, None, f"{type(error).__name__}: {error}"[:500]))
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.string()))], names=["path", "content", "error"])
+
+    joined = files.select("path", "content").join(own, "path", "left").select("path", "content", pieces.alias("pieces"))
+    return joined.mapInArrow(run, "path string, content binary, error string")

@@ -6,6 +6,7 @@ import sqlite3
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.sources import formats, render, task_files
 
@@ -107,3 +108,13 @@ def test_task_files(spark, tmp_path):
     frame = spark.createDataFrame([("good", bytearray(path.read_bytes())), ("bad", bytearray(b"no database"))], "path string, content binary")
     rows = {r.path: r for r in task_files.table(frame, "chunks").collect()}
     assert json.loads(rows["good"].row)["source_text"] == "a" and rows["bad"].error == "damaged"
+
+
+def test_documents_are_rendered_as_a_table(spark):
+    files = [("a.json", b'{"x": "one", "y": ["two"]}'), ("b.srt", b"1\n00:00:01,000 --> 00:00:02,000\nHi\n"), ("c.pdf", b"?"), ("d.txt", b"plain")]
+    frame = spark.createDataFrame(files, "path string, content binary")
+    units = formats.parsed(frame).withColumn("text", F.upper("text"))
+    got = {r.path: (bytes(r.content or b""), r.error) for r in render.documents(frame, units).collect()}
+    assert json.loads(got["a.json"][0]) == {"x": "ONE", "y": ["TWO"]} and got["b.srt"][0].endswith(b"\nHI\n") and got["d.txt"][0] == b"PLAIN"
+    broken = spark.createDataFrame([("b.srt", 0, "range:5:2", "x")], "path string, ordinal long, address string, text string")
+    assert {r.path: r.error is not None for r in render.documents(frame, broken).collect()}["b.srt"]

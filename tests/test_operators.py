@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import glossary, model, packer, placeholders, splitting, tasks
+from quillmill.operators import catalog_edits, glossary, model, packer, placeholders, runs, splitting, tasks
 from quillmill.sources import glossary_files
 from quillmill.streaming import telemetry
 
@@ -43,11 +43,11 @@ def test_oversized_lines_are_split_before_packing(spark):
 
     sf = "/root/testdata/sf0.001"
     want = {}
-    for r in spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").collect():
-        lines = [x + "\n" for x in r.text.split("\n")]
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        lines = [x + "\n" for x in (r.text or "").split("\n")]
         lines[-1] = lines[-1][:-1]
         want[r.doc_id] = splitting.chunked([(x, True) for x in lines if x], catalogue.LIMIT)
-        assert "".join(want[r.doc_id]) == r.text
+        assert "".join(want[r.doc_id]) == (r.text or "")
     rows = catalogue.queries()["pack_chunks_rows"](spark, sf).collect()
     assert {(r.doc_id, r.sequence): r.text_md5 for r in rows} == {(d, k): hashlib.md5(c.encode()).hexdigest() for d, cs in want.items() for k, c in enumerate(cs)}
     assert max(r.tokens for r in rows) <= catalogue.LIMIT
@@ -64,14 +64,23 @@ def test_native_and_python_token_counts_agree(spark):
 def test_language(spark):
     texts = ["short", "eight letters", "漢字漢字漢字漢字", "かなかなかな漢字", "한국어한국어한국", "русский язык", "العربية لغة", "tôi là người nước Đức", "1234567890", "漢字abcdefghij"]
     assert values(spark, T.detect_language(F.col("x")), *texts) == [None, "en", "zh-CN", "ja", "ko", "ru", "ar", "vi", None, "en"]
-    assert values(spark, T.normalise_language(F.col("x")), "EN", " Zh-Hant ", "auto", "xx") == ["en", "zh-HK", "auto", None]
+    assert values(spark, T.normalise_language(F.col("x")), "EN", " Zh-Hant ", "auto", "xx", "Chinese (Traditional)", "zh-TW", "Simplified Chinese", "__other__") == ["en", "zh-HK", "auto", None, "zh-HK", "zh-HK", "zh-CN", None]
+    assert values(spark, T.language_name(F.col("x")), "zh-CN", "ko", "auto") == ["Chinese (Simplified)", "Korean", None]
+    assert values(spark, T.valid_target_language(F.col("x")), "zh-Hans", "Old Norse", "x", "en-", "old norse", "A" * 65) == [True, True, False, False, False, False]
 
 
 def test_scalars(spark):
     assert values(spark, T.duration_ms(F.col("x")), "250ms", '"1.5S"', "2 m", "1h", "3", "0.0001ms", "x", "") == [250, 1500, 120000, 3600000, 3000, 1, None, None]
     assert values(spark, T.sanitised_stem(F.col("x")), ' a<b>:"c. ', "...", "") == ["abc", "untitled", "untitled"]
     assert values(spark, T.normalised_tags(F.split("x", ",")), " a ,A,b,,c") == [["a", "b", "c"]]
-    assert values(spark, T.without_thinking(F.col("x")), " <think>x</think> y", "<thinking>never closed", "a <think>b</think>") == ["y", "", "a <think>b</think>"]
+    many = F.concat(F.transform(F.sequence(F.lit(1), F.lit(13)), lambda n: F.concat(F.col("x"), n)))
+    assert values(spark, T.tag_error(F.split("x", ",")), " a ,A", "x" * 49, "a\u0085b", "") == [None, "Task tags must be 48 characters or shorter", "Task tags cannot contain control characters", None]
+    assert values(spark, T.tag_error(many), "t") == ["A task can have at most 12 tags"]
+    with pytest.raises(Exception, match="at most 12 tags"):
+        values(spark, T.normalised_tags(many), "t")
+    texts = [" <think>x</think> y", "<thinking>never closed", "a <think>b</think>", "<think>a</think><think>b</think>c"]
+    assert values(spark, T.without_thinking(F.col("x")), *texts) == ["y", "", "a <think>b</think>", "<think>b</think>c"]
+    assert values(spark, T.leading_thinking(F.col("x")), *texts) == ["x", "never closed", "", "a"]
     assert values(spark, T.retry_delay_ms(F.col("x")), 0, 1, 5, 40, schema="x int") == [1500, 2250, 11391, 12000]
     assert values(spark, T.http_class(F.col("x")), 200, 404, 408, 429, 499, 503, schema="x int") == ["ok", "permanent", "transient", "rate-limited", "transient", "transient"]
     gone = T.model_unavailable(F.split_part("x", F.lit("|"), F.lit(1)).cast("int"), F.split_part("x", F.lit("|"), F.lit(2)))
@@ -120,6 +129,12 @@ def test_glossary_matching(spark):
     kept = glossary.grounded(frame)
     assert sorted((r.chunk_id, r.ord) for r in kept.collect()) == [(1, 0), (2, 0)]
     assert [(r.norm, r.dst, r.conflicts) for r in glossary.merged(kept).collect()] == [("cat", "a", 1)]
+    loose = [(1, 0, " cat ", "x\ty", "the cat."), (1, 1, "Cat", "z", "the cat."), (1, 2, "a\x07", "b", "a\x07")]
+    frame = spark.createDataFrame(loose, "chunk_id long, ord long, src string, dst string, source_text string")
+    assert [(r.src, r.dst) for r in glossary.grounded(frame).collect()] == [("cat", "x\ty")]
+    assert [tuple(r) for r in glossary.discarded(frame).collect()] == [(1, 3, 2)]
+    every = glossary.matches(spark.createDataFrame([(1, "new york", 0)], "doc_id long, text string, n int"), terms, overlaps=True).collect()
+    assert sorted((r.entry_index, r.start) for r in every) == [(0, 0), (1, 4), (2, 0), (5, 0)]
 
 
 def test_every_term_is_tested_on_every_document(spark):
@@ -161,9 +176,9 @@ def test_tasks(spark):
     with pytest.raises(Exception, match="invalid threshold"):
         over(0, 0, 20)
     allowed = lambda a, s: spark.range(1).select(tasks.allowed(F.lit(a), F.lit(s))).first()[0]
-    assert allowed("resume", "failed") and not allowed("delete", "running") and not allowed("x", "y")
-    again = tasks.resumed(spark.createDataFrame([("failed", "x"), ("success", "y")], "status string, translated_text string")).collect()
-    assert [tuple(r) for r in again] == [("pending", None), ("success", "y")]
+    assert allowed("resume", "interrupted") and allowed("retranslate", "failed") and not any(allowed(*x) for x in (("resume", "failed"), ("retranslate", "interrupted"), ("delete", "running"), ("x", "y")))
+    again = tasks.resumed(spark.createDataFrame([("failed", "x", 3, "e"), ("success", "y", 4, None)], "status string, translated_text string, total_tokens long, error_message string")).collect()
+    assert [tuple(r) for r in again] == [("pending", "", 0, None), ("success", "y", 4, None)]
 
 
 def test_model(spark):
@@ -181,6 +196,39 @@ def test_model(spark):
     assert abs(got[1] - (mean - 0.5 * math.sqrt(sum((x - mean) ** 2 for x in p) / 2))) < 1e-12 and got[2] is None
 
 
+def test_errors_and_usage(spark):
+    messages = ["Glossary failure threshold exceeded: 2/9 chunks failed (maximum 20%): HTTP 500", "x HTTP 404 y", "HTTP 418 quota", "restore failed", "error rate", "bad AST", "Task paused", "boom"]
+    got = values(spark, model.task_error(F.col("x")), *messages)
+    assert [r.kind for r in got] == ["threshold", "http", "rate-limit", "placeholder", "error-rate", "parse", "interrupted", "other"]
+    assert got[0].text == "失败分块 2/9，超过最大允许失败率 20%" and got[7].text == "任务异常：boom"
+    used = F.when(F.col("x") >= 0, F.struct(F.col("x").alias("input_tokens"), F.lit(2).alias("output_tokens"), F.lit(1).alias("cached_tokens")))
+    stats = values(spark, model.token_stats(used, F.lit(7), F.lit(8), F.lit(3)), 0, -1, schema="x int")
+    assert [tuple(r) for r in stats] == [(0, 2, 1, 3, 5), (7, 8, 0, 3, 18)]
+
+
+def test_runs(spark):
+    rows = [(1, k, "failed" if k in (2, 3, 5) else "success", f"e{k}") for k in range(10)] + [(2, k, "success", None) for k in range(3)] + [(3, 0, "failed", "x")]
+    frame = spark.createDataFrame(rows, "task_id long, sequence long, status string, error_message string")
+    assert sorted(tuple(r)[:4] for r in runs.aborted(frame, 20).collect()) == [(1, 10, 3, 5), (2, 3, 0, None), (3, 1, 1, 0)]
+    assert sorted(tuple(r)[:4] for r in runs.aborted(frame, 30).filter("task_id = 1").collect()) == [(1, 10, 3, None)]
+    events = [(1, 0, 0, 5, None), (1, 10, 1, 3, "a"), (1, 260, 2, 4, "b"), (1, 270, 3, 1, None), (1, 900, 4, 9, None)]
+    ticks = runs.coalesced_progress(spark.createDataFrame(events, "task_id long, at_ms long, sequence long, done long, retry string")).orderBy("tick").collect()
+    assert [tuple(r)[1:] for r in ticks] == [(0, 5, "a"), (1, 5, "b"), (3, 9, None)]
+    assert values(spark, runs.poll_delay_ms(F.col("x")), 0, 2, 3, 60, schema="x int") == [2000, 8000, 10000, 10000]
+    assert values(spark, catalog_edits.utf16_prefix(F.col("x"), F.lit(4)), "abcdef", "a😀😀", "ab. x", "") == ["abcd", "a😀", "ab", ""]
+    assert values(spark, catalog_edits.sort_key(F.col("x")), " ガBき ", "abc") == ["ka bki ", "abc"]
+    assert values(spark, T.token_prefix(F.col("x"), 3), "a b  c d", "1234567 x", "!!!!", "") == ["a b  c", "1234567", "!!!", ""]
+
+
+def test_restored_answers(spark):
+    text = "a **b** and `c` <x"
+    source, entries = placeholders.protect_markdown(text)
+    rows = [(1, "markdown", entries, source.replace("<t1>", "< T 一 >")), (2, "markdown", entries, "no tags"), (3, "plain-text", entries, source), (4, "markdown", [], "<t1>x"), (5, "markdown", entries, None)]
+    kind = "array<struct<id string, kind string, open string, close string, original string, place string>>"
+    got = {r.doc_id: (r.text, r.valid) for r in placeholders.restored_answers(spark.createDataFrame(rows, f"doc_id long, content_format string, entries {kind}, answer string")).collect()}
+    assert got == {1: (text, True), 2: ("no tags", False), 3: (source, True), 4: ("<t1>x", True), 5: ("", False)}
+
+
 def test_quota_and_window():
     quota = telemetry.Quota(2, 100)
     assert [quota.reserve(t, n) for t, n in ((0, 50), (10, 60), (20, 500), (30, 50), (59_990, 1), (60_000, 500), (60_001, 1))] == [0, 59_990, 59_980, 0, 25, 0, 59_999]

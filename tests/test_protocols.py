@@ -14,7 +14,7 @@ def reply(spark, protocol, body):
 
 def test_replies(spark):
     chat = {"data": {"choices": [{"message": {"content": "<think>x</think>hi", "reasoning": "why"}, "finish_reason": "length"}], "usage": {"prompt_tokens": 5, "completion_tokens": 2, "prompt_tokens_details": {"cached_tokens": 1}}}}
-    assert reply(spark, "openai-chat", chat) == ("hi", "why", 5, 2, 1, "length")
+    assert reply(spark, "openai-chat", chat) == ("hi", "whyx", 5, 2, 1, "length")
     done = {"type": "response.completed", "response": {"output": [{"type": "reasoning", "summary": [{"text": "r"}]}, {"type": "message", "content": [{"type": "output_text", "text": "a"}, {"text": "b"}]}], "usage": {"input_tokens": 3, "output_tokens": 4}}}
     assert reply(spark, "openai-responses", done)[:4] == ("ab", "r", 3, 4)
     assert reply(spark, "openai-responses", {"type": "response.output_text.delta", "delta": "d"})[0] == "d"
@@ -26,6 +26,8 @@ def test_replies(spark):
     assert reply(spark, "vertex-ai", gemini) == ("a", "t", 1, 5, 0, "MAX_TOKENS")
     assert reply(spark, "ollama", {"message": {"content": "o"}, "eval_count": 9}) == ("o", "", 0, 9, 0, None)
     assert reply(spark, "gemini", {})[0] == ""
+    assert reply(spark, "openai-responses", {"status": "incomplete", "incomplete_details": {"reason": "max_output_tokens"}})[5] == "max_output_tokens"
+    assert reply(spark, "openai-responses", {"status": "completed", "incomplete_details": None})[5] == "completed" and reply(spark, "ollama", {"doneReason": "length"})[5] == "length"
 
 
 def test_requests(spark):
@@ -40,7 +42,7 @@ def test_limits(spark):
     headers = {"X-RateLimit-Remaining-Requests": "1", "anthropic-ratelimit-tokens-remaining": "500, 7", "x-ratelimit-reset-requests": "1.5s", "anthropic-ratelimit-tokens-reset": "2m", "retry-after": "3", "x-ratelimit-limit-requests": "60"}
     frame = spark.createDataFrame([(headers,)], "h map<string,string>").select(protocols.rate_limits(F.col("h")).alias("l"))
     row = frame.select("l.*", protocols.quota_wait_ms(F.col("l"), F.lit(10)).alias("small"), protocols.quota_wait_ms(F.col("l"), F.lit(400)).alias("large"), protocols.rate_label(F.col("l"), F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("label")).first()
-    assert (row.request_remaining, row.token_remaining, row.retry_after_ms, row.small, row.large) == (1, 500, 3000, 1500, 60000)
+    assert (row.request_remaining, row.token_remaining, row.retry_after_ms, row.small, row.large) == (1, 500, 3000, 3000, 60000)
     assert row.label == "headers: requests 1/60, tokens 500/-"
     body = json.dumps({"error": {"details": [{"retryDelay": "2s"}, {"x": 1}, {"retryDelay": "7s"}]}})
     assert spark.range(1).select(protocols.retry_hint_ms(F.lit(body))).first()[0] == 7000
