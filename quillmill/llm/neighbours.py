@@ -199,14 +199,15 @@ def scanner(dim: int | None, k: int):
         asked_row, asked_list = np.repeat(np.arange(len(q)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
         members = {x: np.unique(of[posted == x]) for x in np.unique(posted).tolist()}
         m, out = min(k + 1, len(v)), []
-        for i in range(0, len(q), 256):
-            part = q[i : i + 256]
+        rows = max(1, min(256, (1 << 22) // len(v)))
+        for i in range(0, len(q), rows):
+            part = q[i : i + rows]
             s = np.full((len(part), len(v)), -np.inf)
             low, high = np.searchsorted(asked_row, (i, i + len(part)))
             order = np.argsort(asked_list[low:high], kind="stable") + low
-            for x, rows in ((asked_list[g[0]], asked_row[g] - i) for g in np.split(order, np.flatnonzero(np.diff(asked_list[order])) + 1) if len(g)):
+            for x, own in ((asked_list[g[0]], asked_row[g] - i) for g in np.split(order, np.flatnonzero(np.diff(asked_list[order])) + 1) if len(g)):
                 if x in members:
-                    s[np.ix_(rows, members[x])] = inner(part[rows], v[members[x]])
+                    s[np.ix_(own, members[x])] = inner(part[own], v[members[x]])
             least = np.partition(s, len(v) - m, axis=1)[:, len(v) - m]
             r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
             turn = np.lexsort((first[c], -s[r, c], r))
@@ -249,7 +250,7 @@ def sample_index(own: DataFrame, dim: int, total: int, k: int, sample_rows: int,
     return pickle.loads(sample.mapInArrow(fit, "index binary").first()["index"]), largest
 
 
-def indexed(own: DataFrame, mine: DataFrame, dim: int, total: int, k: int, scratch: Scratch, bucket_rows: int, query_rows: int, **fitted) -> DataFrame:
+def indexed(own: DataFrame, mine: DataFrame, dim: int, total: int, k: int, scratch: Scratch, bucket_rows: int, bucket_bytes: int, query_rows: int, **fitted) -> DataFrame:
     """The hits of the queries `mine` among the vectors `own`, all of `dim` components."""
     tasks = partitions(own.sparkSession)  # a number that is kept: little data is much work here
     made, largest = sample_index(own, dim, total, k, **fitted)
@@ -268,7 +269,8 @@ def indexed(own: DataFrame, mine: DataFrame, dim: int, total: int, k: int, scrat
     held = np.zeros(len(made.points), np.int64)
     for r in posted.groupBy("list").count().collect():  # `max_lists` rows at most
         held[r["list"]] = r["count"]
-    buckets = Buckets(held, bucket_rows)
+    # a bucket a task, as far as its size allows: each reports hits of its own
+    buckets = Buckets(held, min(max(-(-int(held.sum()) // tasks), bucket_rows), max(bucket_bytes // (8 * dim), 1)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,23 +306,24 @@ def indexed(own: DataFrame, mine: DataFrame, dim: int, total: int, k: int, scrat
     return left.groupBy("bucket", "part").cogroup(right.groupBy("bucket", "part")).applyInArrow(scanner(dim, k), HITS)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int = 20_000, max_lists: int = 4096, boundary: float = 1.03, replicas: int = 2, target: float = 0.94, bucket_rows: int = 4096, query_rows: int = 65_536) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int = 20_000, max_lists: int = 4096, boundary: float = 1.03, replicas: int = 2, target: float = 0.94, bucket_rows: int = 1024, bucket_bytes: int = 64 << 20, query_rows: int = 65_536) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found of each row of `queries` (rows of `vectors`), but itself.
 
     The sample of at most `sample_rows` distinct vectors fits `max_lists` centroids at most; every vector is indexed.
+    A bucket holds from `bucket_rows` vectors to `bucket_bytes` of them, and meets `query_rows` queries at a time.
     """
     scratch = Scratch(vectors.sparkSession)
     base = scratch.write(classes(usable(vectors), k + 1).withColumn("vid", F.xxhash64("v")), "vectors")
     asked_rows = scratch.write(usable(queries).withColumn("qid", F.xxhash64("v")), "queries")
     asked = asked_rows.select("v", "qid").distinct().withColumn("dim", F.size("v"))
     sizes = base.groupBy("dim").agg(F.count("*").alias("n"))
-    large = [(r["dim"], r["n"]) for r in sizes.filter(F.col("n") > bucket_rows).orderBy("dim").collect()]  # each of many vectors
+    large = [(r["dim"], r["n"]) for r in sizes.filter(F.col("n") > 4 * bucket_rows).orderBy("dim").collect()]  # each of many vectors
     rest = ~F.col("dim").isin([d for d, _ in large])
     few = asked.filter(rest).select("v", "qid", F.array(F.lit(0)).alias("lists"), "dim")
     hits = few.groupBy("dim").cogroup(base.filter(rest).select("v", "vid", F.col("ids")[0].alias("first"), F.lit(0).alias("list"), "dim").groupBy("dim")).applyInArrow(scanner(None, k), HITS)
     for dim, total in large:
         own, mine = base.filter(F.col("dim") == dim), asked.filter(F.col("dim") == dim)
-        hits = hits.unionByName(indexed(own, mine, dim, total, k, scratch, bucket_rows, query_rows, sample_rows=sample_rows, max_lists=max_lists, boundary=boundary, replicas=replicas, target=target))
+        hits = hits.unionByName(indexed(own, mine, dim, total, k, scratch, bucket_rows, bucket_bytes, query_rows, sample_rows=sample_rows, max_lists=max_lists, boundary=boundary, replicas=replicas, target=target))
     # k + 1 rows hold every query's own k best, as only its own row is left out; as every class has a row that comes
     # before those of later classes, k + 1 classes hold these rows
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "first")
