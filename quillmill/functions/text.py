@@ -153,6 +153,20 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def trim_parts(text: Column) -> Column:
+    """struct<leading, core, trailing>: a text without the Unicode white space at its ends, and that."""
+    pattern = r"(?sU)^(\s*)(.*?)(\s*)\z"
+    return F.struct(*[F.regexp_extract(text, pattern, k + 1).alias(n) for k, n in enumerate(("leading", "core", "trailing"))])
+
+
+def line_ranges(text: Column) -> Column:
+    """array<struct<start, end>> of a text's lines in characters, without their line ends; an empty last line is none."""
+    lines = F.filter(F.split(text, r"(?<=\n)"), lambda x: x != "")
+    kind = "array<struct<start:bigint,end:bigint>>"
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(F.regexp_replace(x, r"\r?\n\z", ""))).alias("end"))).cast(kind)).alias("out"))
+    return F.aggregate(lines, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out")), lambda acc, x: step(acc, x).cast(f"struct<at:bigint,out:{kind}>"), lambda acc: acc["out"])
+
+
 def sanitised_stem(name: Column, fallback: str = "untitled") -> Column:
     """A file stem without reserved and control characters, and without spaces or dots at its ends."""
     clean = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*\p{Cc}]', ""), r"^[ .]+|[ .]+$", "")

@@ -21,6 +21,39 @@ def nested(providers: DataFrame, models: DataFrame) -> DataFrame:
     return providers.join(own, providers.id == own.provider_id, "left").withColumn("models", F.coalesce("models", F.array().cast(kind))).drop("provider_id")
 
 
+def without_purpose(providers: DataFrame, purposes: DataFrame, known: DataFrame, purpose: str) -> DataFrame:
+    """Providers less those of `known` ids that serve anything but `purpose`."""
+    other = purposes.filter(F.col("purpose") != purpose).select(F.col("provider_id").alias("id")).join(known.select("id"), "id", "left_semi")
+    return providers.join(other, "id", "left_anti")
+
+
+def names_taken(changes: DataFrame, providers: DataFrame, purposes: DataFrame) -> DataFrame:
+    """Changes (id, purpose, name) whose name another provider of the purpose has."""
+    there = providers.select(F.col("id").alias("_other"), F.col("name").alias("_name")).join(purposes.select(F.col("provider_id").alias("_other"), F.col("purpose").alias("_purpose")), "_other")
+    same = (F.col("purpose") == F.col("_purpose")) & (F.col("name") == F.col("_name")) & (F.col("id") != F.col("_other"))
+    return changes.join(there, same, "left_semi")
+
+
+def with_provider(models: DataFrame, providers: DataFrame, columns: list[str]) -> DataFrame:
+    """Models of providers that are there, with these columns of theirs."""
+    own = providers.select(F.col("id").alias("provider_id"), *[F.col(c).alias(f"provider_{c}") for c in columns])
+    return models.join(own, "provider_id")
+
+
+def views(rows: DataFrame) -> DataFrame:
+    """Stored task rows as they are shown: tags read from JSON, shares within 0 and 1, counts not below 0."""
+    made = {}
+    for field in rows.schema:
+        c = F.col(field.name)
+        if field.name == "tags_json":
+            made["tags"] = F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+        elif field.name in ("progress", "error_rate", "confidence"):
+            made[field.name] = F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
+        elif field.name.endswith(("_tokens", "_chunks", "_count")):
+            made[field.name] = F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
+    return rows.withColumns(made).drop("tags_json")
+
+
 def with_added(remote: DataFrame, local: DataFrame) -> DataFrame:
     """Remote models, sorted by name within their provider, with whether they were added."""
     here = local.select("provider_id", "request_name").distinct().withColumn("added", F.lit(True))

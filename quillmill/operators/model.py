@@ -16,6 +16,17 @@ def merged_roles(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     return whole.select(key, "message", "role", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
 
 
+def role_errors(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """key of conversations whose first message isn't the user's, which a strictly alternating protocol refuses."""
+    first = turns.groupBy(key).agg(F.min_by("role", "turn").alias("first"))
+    return first.filter(F.coalesce(F.col("first") != "user", F.lit(True))).select(key)
+
+
+def glossary_json(terms: Column) -> Column:
+    """A chunk's terms, array<struct<src, dst>>, as the JSON of a prompt; null for none."""
+    return F.when(F.size(terms) > 0, F.to_json(F.transform(terms, lambda t: F.struct(t["src"].alias("src"), t["dst"].alias("dst")))))
+
+
 def prompt(source: Column, background: Column, previous: Column, terms: Column) -> Column:
     """Parts of a request in order; absent ones are left out, a blank source passes through as it is."""
     part = lambda title, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"[{title}]\n"), c))

@@ -141,9 +141,54 @@ def kept_logprobs(tokens: Column) -> Column:
     return F.aggregate(tokens, F.struct(F.lit(False).alias("skip"), F.array().cast("array<double>").alias("out")), step, lambda acc: acc["out"])
 
 
+_token = "array<struct<token:string,logprob:double>>"
+_candidate = "array<struct<token:string,logProbability:double,log_probability:double>>"
+_response = f"array<struct<logprobs:{_token},content:array<struct<logprobs:{_token}>>>>"
+# Where replies carry the log-probabilities of their tokens.
+LOGPROBS = (
+    f"choices array<struct<logprobs:struct<content:{_token},token_logprobs:array<double>>>>, output {_response}, response struct<output:{_response}>, "
+    f"candidates array<struct<logprobsResult:struct<chosenCandidates:{_candidate}>,logprobs_result:struct<chosen_candidates:{_candidate}>>>"
+)
+
+
+def reply_logprobs(protocol: Column, body: Column) -> Column:
+    """array<double> of the log-probabilities that count in a reply; empty where the protocol has none."""
+    r = F.from_json(body, LOGPROBS)
+    none = F.array().cast("array<double>")
+    tokens = lambda c: F.coalesce(c, F.array().cast(_token))
+    kept = lambda c: kept_logprobs(tokens(c))
+    either = lambda first, other: F.when(F.size(first) > 0, first).otherwise(other)
+    chat = F.get(r["choices"], F.lit(0))["logprobs"]
+    legacy = F.coalesce(F.filter(chat["token_logprobs"], lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), none)
+    of = lambda items: F.coalesce(F.flatten(F.transform(items, lambda i: F.concat(kept(i["logprobs"]), F.coalesce(F.flatten(F.transform(i["content"], lambda p: kept(p["logprobs"]))), none)))), none)
+    candidate = F.get(r["candidates"], F.lit(0))
+    chosen = F.coalesce(candidate["logprobsResult"]["chosenCandidates"], candidate["logprobs_result"]["chosen_candidates"])
+    named = lambda field: kept(F.transform(chosen, lambda c: F.struct(c["token"].alias("token"), c[field].alias("logprob"))))
+    return (
+        F.when(protocol == "openai-chat", either(kept(chat["content"]), legacy)).when(protocol == "openai-responses", either(of(r["output"]), of(r["response"]["output"])))
+        .when(protocol.isin("gemini", "vertex-ai"), either(named("logProbability"), named("log_probability"))).otherwise(none)
+    )
+
+
+def rate_summary(limits: Column) -> Column:
+    """What a log line says of a reply's limits."""
+    names = ("request_remaining", "request_limit", "request_reset_ms", "token_remaining", "token_limit", "token_reset_ms", "retry_after_ms")
+    parts = F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), limits[n].cast("string")) for n in names])
+    return F.when(parts == "", "rate_limit_headers=none").otherwise(parts)
+
+
+def window_label(limits: Column, window: Column) -> Column:
+    """A short status of a run that adapts its concurrency: the limits that headers name, and its window."""
+    show = lambda n: F.coalesce(limits[n].cast("string"), F.lit("-"))
+    known = F.coalesce(limits["request_remaining"], limits["request_limit"], limits["token_remaining"], limits["token_limit"]).isNotNull()
+    # The wording of the status.
+    header = F.concat(F.lit("headers: requests "), show("request_remaining"), F.lit("/"), show("request_limit"), F.lit(", tokens "), show("token_remaining"), F.lit("/"), show("token_limit"), F.lit(", window "), window.cast("string"))
+    return F.when(known, header).otherwise(F.concat(F.lit("aimd: window "), window.cast("string")))
+
+
 def rate_label(limits: Column, used_requests: Column, max_requests: Column, used_tokens: Column, max_tokens: Column) -> Column:
     """A short status: from headers if there are any, else the manual quota."""
     show = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     header = F.concat(F.lit("headers: requests "), show(limits["request_remaining"]), F.lit("/"), show(limits["request_limit"]), F.lit(", tokens "), show(limits["token_remaining"]), F.lit("/"), show(limits["token_limit"]))
-    manual = F.concat(F.lit("manual: requests "), show(used_requests), F.lit("/"), show(max_requests), F.lit(", tokens "), show(used_tokens), F.lit("/"), show(max_tokens))
+    manual = F.concat(F.lit("manual: requests "), show(used_requests), F.lit("/"), show(max_requests), F.lit(", tokens "), show(used_tokens), F.lit("/"), show(max_tokens), F.lit(" per minute"))
     return F.when(F.coalesce(limits["request_limit"], limits["token_limit"]).isNotNull(), header).otherwise(manual)

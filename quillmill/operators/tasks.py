@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
+from quillmill.functions.text import normalise_language, trimmed
+
 TERMINAL = ("success", "failed", "interrupted")
 
 
+#: What a provider and the chunker count of each chunk.
+TOKEN_COLUMNS = ("source_tokens", "target_tokens", "input_tokens", "output_tokens", "cached_tokens", "thinking_tokens", "total_tokens")
+
+
 def chunk_statistics(chunks: DataFrame, key: str = "task_id") -> DataFrame:
-    """Counts by status, token sums, progress (1 for no chunks) and error rate (0 for none) of each task."""
+    """Counts by status, sums of the token columns that are there, progress (1 for no chunks) and error rate (0 for none)
+    of each task; negative token counts count as none."""
     is_ = lambda *s: F.count_if(F.col("status").isin(*s))
     n = F.count("*")
     tokens = lambda c: F.coalesce(F.sum(F.greatest(F.col(c), F.lit(0))), F.lit(0)).alias(c)
@@ -18,7 +28,7 @@ def chunk_statistics(chunks: DataFrame, key: str = "task_id") -> DataFrame:
         n.alias("total"), is_("success").alias("succeeded"), is_("failed").alias("failed"), is_("interrupted").alias("interrupted"),
         F.coalesce(is_(*TERMINAL) / F.nullif(n, F.lit(0)), F.lit(1.0)).alias("progress"),
         F.coalesce(is_("failed", "interrupted") / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("error_rate"),
-        tokens("source_tokens"), tokens("target_tokens"),
+        *[tokens(c) for c in TOKEN_COLUMNS if c in chunks.columns],
     )
 
 
@@ -35,7 +45,11 @@ def effective_progress(status: Column, glossary_only: Column, progress: Column)
 
 def bucket(status: Column) -> Column:
     """The tab that a task is listed under."""
-    return F.when(status.isin("queued", "running", "interrupted-pending"), "running").when(status == "success", "completed").otherwise("unfinished")
+    return F.when(status == "success", "completed").when(status == "failed", "unfinished").otherwise("running")
+
+
+def startable(status: Column) -> Column:
+    return status.isin("pending", "interrupted")
 
 
 def listed(tasks: DataFrame, status: str | None = None, source_language: str | None = None, target_language: str | None = None, tag: str | None = None) -> DataFrame:
@@ -52,6 +66,32 @@ def searched(rows: DataFrame, query: str, *columns: str) -> DataFrame:
     return rows if not query else rows.filter(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(query.lower())))
 
 
+def searched_columns(rows: DataFrame, query: str, *columns: str) -> DataFrame:
+    """Rows one of whose columns holds the query in any case (arrays: one of their values); a blank query keeps all."""
+    query = query.strip().lower()
+    holds = lambda c: F.exists(c, lambda x: F.contains(F.lower(x), F.lit(query))) if isinstance(rows.schema[c].dataType, ArrayType) else F.contains(F.lower(F.col(c)), F.lit(query))
+    return rows if not query else rows.filter(reduce(lambda a, b: a | b, [F.coalesce(holds(c), F.lit(False)) for c in columns]))
+
+
+def filter_options(tasks: DataFrame) -> DataFrame:
+    """kind, option: the distinct trimmed tags of tasks (updated_at, tags, source_language), and their languages.
+
+    Languages are one by their code, or else in any case; of several spellings that of the latest task stays.
+    """
+    tags = tasks.select(F.explode("tags").alias("t")).select(trimmed(F.col("t")).alias("option")).filter("option <> ''").distinct()
+    given = tasks.select(trimmed(F.col("source_language")).alias("option"), "updated_at").filter("option <> ''")
+    code = F.coalesce(normalise_language(F.col("option")), F.lower("option"))
+    languages = given.groupBy(code.alias("code")).agg(F.max_by("option", F.struct("updated_at", "option")).alias("option"))
+    return tags.select(F.lit("tag").alias("kind"), "option").unionByName(languages.select(F.lit("language").alias("kind"), "option"))
+
+
+def by_age(newest: bool = True) -> list[Column]:
+    """The order of tasks by when they were created, then updated (seconds or milliseconds as text), then by id."""
+    ms = lambda c: F.when(F.col(c).try_cast("double") > 0, F.when(F.col(c).try_cast("double") >= 1e12, F.col(c).try_cast("double")).otherwise(F.col(c).try_cast("double") * 1000)).otherwise(F.lit(0.0))
+    keys = [ms("created_at"), ms("updated_at"), F.col("id")]
+    return [k.desc() if newest else k.asc() for k in keys]
+
+
 def page(rows: DataFrame, order: list, number: int = 1, size: int = 100, largest: int = 500) -> DataFrame:
     """One page (from 1) in a total order, with row_number (from 1) and the total of all rows."""
     size = max(1, min(size, largest))

@@ -63,6 +63,31 @@ def reply_endings(spark, sf_dir):
     return made.select("event_id", "r.finish_reason", F.coalesce(truncated_finish(F.col("r.finish_reason")), F.lit(False)).alias("truncated"), "r.text", "r.reasoning")
 
 
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN '-0.5,-1.0' WHEN 1 THEN '-2.0' WHEN 2 THEN '-0.25,-0.75' WHEN 3 THEN '-3.0' WHEN 4 THEN '-4.0' ELSE '' END AS logprobs FROM events")
+def reply_logprob_paths(spark, sf_dir):
+    """Log-probabilities wherever replies carry them; tokens of tags, punctuation and gaps don't count."""
+    rows = [
+        ("openai-chat", '{"choices":[{"logprobs":{"content":[{"token":"a","logprob":-0.5},{"token":"<t1>","logprob":-9},{"token":"b","logprob":-1.0},{"token":"!","logprob":-9}]}}]}'),
+        ("openai-chat", '{"choices":[{"logprobs":{"content":[],"token_logprobs":[null,-2.0]}}]}'),
+        ("openai-responses", '{"response":{"output":[{"content":[{"logprobs":[{"token":"x","logprob":-0.25}]},{"logprobs":[{"token":"y","logprob":-0.75}]}]}]}}'),
+        ("gemini", '{"candidates":[{"logprobsResult":{"chosenCandidates":[{"token":"x","logProbability":-3.0},{"token":" ","logProbability":-9}]}}]}'),
+        ("vertex-ai", '{"candidates":[{"logprobs_result":{"chosen_candidates":[{"token":"x","log_probability":-4.0}]}}]}'),
+        ("ollama", '{"choices":[{"logprobs":{"content":[{"token":"a","logprob":-0.5}]}}]}'),
+    ]
+    given = F.element_at(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(b).alias("b")) for p, b in rows]), (F.col("event_id") % 6 + 1).cast("int"))
+    found = protocols.reply_logprobs(given["p"], given["b"])
+    return load(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(found, lambda x: x.cast("string")), ",").alias("logprobs"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'headers: requests ' || event_id % 5 || '/-, tokens -/-, window ' || event_id % 7 ELSE 'aimd: window ' || event_id % 7 END AS label, CASE WHEN event_id % 2 = 0 THEN 'request_remaining=' || event_id % 5 || ', retry_after_ms=2000' ELSE 'rate_limit_headers=none' END AS summary FROM events")
+def limit_labels(spark, sf_dir):
+    names = F.array(F.lit("x-ratelimit-remaining-requests"), F.lit("retry-after"))
+    values = F.array((F.col("event_id") % 5).cast("string"), F.lit("2"))
+    headers = F.when(F.col("event_id") % 2 == 0, F.map_from_arrays(names, values)).otherwise(F.create_map(F.lit("x"), F.lit("y")))
+    limits = load(spark, sf_dir, "events").select("event_id", protocols.rate_limits(headers).alias("l"))
+    return limits.select("event_id", protocols.window_label(F.col("l"), F.col("event_id") % 7).alias("label"), protocols.rate_summary(F.col("l")).alias("summary"))
+
+
 @query("SELECT user_id, count(*) FILTER (WHERE event_type <> 'error') AS kept FROM events GROUP BY 1")
 def logprob_filter(spark, sf_dir):
     """Log-probabilities that count: an error event stands for a placeholder tag in three pieces."""

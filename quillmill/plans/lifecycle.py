@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import text as T
-from quillmill.operators import catalog_edits, glossary, model, runs, tasks
+from quillmill.operators import catalog, catalog_edits, glossary, model, placeholders, runs, tasks
 from quillmill.runtime import load
+from quillmill.sources import archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -248,3 +249,134 @@ def background_cut(spark, sf_dir):
     """A background text cut to a number of tokens, without the space at its end."""
     text = F.concat(F.lit("1"), F.repeat(F.lit(" a"), (F.col("event_id") % 9).cast("int")), F.lit("  "))
     return load(spark, sf_dir, "events").select("event_id", T.token_prefix(text, 10).alias("prefix"))
+
+
+_TOKENS = ["input_tokens", "output_tokens", "cached_tokens", "thinking_tokens", "total_tokens"]
+
+
+@query("SELECT l_orderkey, count(*) AS total, " + ", ".join(f"sum(greatest(l_partkey % {k + 5} - 1, 0))::BIGINT AS {c}" for k, c in enumerate(["source_tokens", "target_tokens", *_TOKENS])) + " FROM lineitem GROUP BY 1")
+def chunk_token_sums(spark, sf_dir):
+    """All token sums of tasks (orders) over their chunks (lines)."""
+    counts = [(F.col("l_partkey") % (k + 5) - 1).alias(c) for k, c in enumerate(["source_tokens", "target_tokens", *_TOKENS])]
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", F.lit("success").alias("status"), *counts)
+    return tasks.chunk_statistics(rows, "l_orderkey").select("l_orderkey", "total", "source_tokens", "target_tokens", *_TOKENS)
+
+
+@query("SELECT o_orderkey, CASE o_custkey % 6 WHEN 5 THEN 'completed' WHEN 4 THEN 'unfinished' ELSE 'running' END AS tab, o_custkey % 6 IN (0, 3) AS startable FROM orders")
+def task_tabs(spark, sf_dir):
+    status = F.expr("CASE o_custkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'queued' WHEN 2 THEN 'running' WHEN 3 THEN 'interrupted' WHEN 4 THEN 'failed' ELSE 'success' END")
+    return load(spark, sf_dir, "orders").select("o_orderkey", tasks.bucket(status).alias("tab"), tasks.startable(status).alias("startable"))
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'brand#2') OR contains(lower(p_brand), 'brand#2') OR contains(lower(p_type), 'brand#2')")
+def column_search(spark, sf_dir):
+    rows = load(spark, sf_dir, "part").withColumn("tags", F.array("p_type", "p_name"))
+    return tasks.searched_columns(rows, " Brand#2 ", "p_brand", "tags").select("p_partkey")
+
+
+@query("SELECT 'tag' AS kind, source AS option FROM documents WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT 'language', arg_max(CASE WHEN doc_id % 2 = 0 THEN lang ELSE CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'GERMAN' ELSE upper(lang) END END, doc_id) FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def filter_option_lists(spark, sf_dir):
+    """Options of filters: languages are one however they are written, and the latest spelling shows."""
+    odd = F.expr("CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'GERMAN' ELSE upper(lang) END")
+    rows = load(spark, sf_dir, "documents").select(F.array("source").alias("tags"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(odd).alias("source_language"), F.col("doc_id").alias("updated_at"))
+    return tasks.filter_options(rows)
+
+
+@query("SELECT c_custkey AS id, row_number FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey DESC, c_custkey % 7 DESC, c_custkey DESC) AS row_number FROM customer) WHERE row_number <= 40")
+def tasks_by_age(spark, sf_dir):
+    """The newest tasks; times are seconds or milliseconds written as text."""
+    seconds = F.col("c_nationkey").cast("long") + 1_700_000_000
+    created = F.when(F.col("c_custkey") % 2 == 0, seconds).otherwise(seconds * 1000).cast("string")
+    rows = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), created.alias("created_at"), (F.col("c_custkey") % 7 + 1).cast("string").alias("updated_at"))
+    return tasks.page(rows, tasks.by_age(), number=1, size=40).select("id", "row_number")
+
+
+@query("SELECT conv_id FROM conversations GROUP BY 1 HAVING arg_min(role, turn) <> 'user'")
+def first_role_errors(spark, sf_dir):
+    return model.role_errors(load(spark, sf_dir, "conversations"))
+
+
+@query("SELECT item_id, '[{\"src\":\"' || item_id || '\",\"dst\":\"x\"}]' AS terms FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, NULL FROM benchmark WHERE item_id % 2 <> 0")
+def prompt_terms(spark, sf_dir):
+    term = F.array(F.struct(F.col("item_id").cast("string").alias("src"), F.lit("x").alias("dst"), F.lit(1).alias("n")))
+    terms = F.when(F.col("item_id") % 2 == 0, term).otherwise(F.filter(term, lambda _: F.lit(False)))
+    return load(spark, sf_dir, "benchmark").select("item_id", model.glossary_json(terms).alias("terms"))
+
+
+@query("SELECT conv_id, string_agg('<it' || turn || '>' || CASE WHEN turn % 3 = 0 THEN role || turn ELSE '<t' || (1 + 2 * (turn - 1 - turn // 3)) || '>' || role || '</t' || (1 + 2 * (turn - 1 - turn // 3)) || '><t' || (2 + 2 * (turn - 1 - turn // 3)) || '>' || turn || '</t' || (2 + 2 * (turn - 1 - turn // 3)) || '>' END || '</it' || turn || '>', chr(10) ORDER BY turn) AS tagged, string_agg(role || turn, chr(10) ORDER BY turn) AS plain FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn FROM conversations) GROUP BY 1")
+def tagged_unit_chunks(spark, sf_dir):
+    """Turns as units of two nodes; every third is a part of a block and has no tags of its own."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = load(spark, sf_dir, "conversations").withColumn("turn", (F.row_number().over(order) - 1).cast("long"))
+    unit = F.struct((F.col("turn") % 3 != 0).alias("whole"), F.array("role", F.col("turn").cast("string")).alias("nodes"))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", unit.alias("u")))).alias("x"))
+    made = whole.select("conv_id", placeholders.unit_chunk(F.transform("x", lambda t: t["u"])).alias("c"))
+    return made.select("conv_id", "c.tagged", "c.plain")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '[ ][a b][]' WHEN 1 THEN '[][x][  ]' ELSE '[][][]' END AS parts, CASE event_id % 3 WHEN 0 THEN '0-4' WHEN 1 THEN '0-1,3-3,4-6' ELSE '' END AS lines FROM events")
+def trim_and_lines(spark, sf_dir):
+    given = F.expr("CASE event_id % 3 WHEN 0 THEN ' a b' WHEN 1 THEN 'x  ' ELSE '' END")
+    lines = F.expr("CASE event_id % 3 WHEN 0 THEN ' a b' WHEN 1 THEN 'x\\r\\n\\nyz' ELSE '' END")
+    shown = F.array_join(F.transform(T.line_ranges(lines), lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    p = T.trim_parts(given)
+    return load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("["), p["leading"], F.lit("]["), p["core"], F.lit("]["), p["trailing"], F.lit("]")).alias("parts"), shown.alias("lines"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 1) OR n_nationkey >= 12")
+def unpurposed_providers(spark, sf_dir):
+    """Nations below 12 go if one of their suppliers has an odd key."""
+    n = load(spark, sf_dir, "nation").withColumn("id", F.col("n_nationkey"))
+    purposes = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("provider_id"), F.when(F.col("s_suppkey") % 2 == 1, "other").otherwise("translation").alias("purpose"))
+    return catalog.without_purpose(n, purposes, n.filter("n_nationkey < 12").select("id"), "translation").select("n_nationkey", "n_name")
+
+
+@query("SELECT s_suppkey AS id FROM supplier s WHERE EXISTS (SELECT 1 FROM supplier o WHERE o.s_nationkey % 3 = s.s_nationkey % 3 AND o.s_suppkey % 10 = s.s_suppkey % 10 AND o.s_suppkey <> s.s_suppkey)")
+def provider_names_taken(spark, sf_dir):
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 3).cast("string").alias("purpose"), (F.col("s_suppkey") % 10).cast("string").alias("name"))
+    return catalog.names_taken(s, s.select("id", "name"), s.select(F.col("id").alias("provider_id"), "purpose")).select("id")
+
+
+@query("SELECT s_suppkey, n_name AS provider_n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey > 1")
+def models_with_providers(spark, sf_dir):
+    models = load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("provider_id"))
+    return catalog.with_provider(models, load(spark, sf_dir, "nation").filter("n_regionkey > 1").withColumn("id", F.col("n_nationkey")), ["n_name"]).select("s_suppkey", "provider_n_name")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'a,b' ELSE '' END AS tags, least(greatest(c_acctbal / 5000, 0.0), 1.0) AS progress, greatest(c_custkey - 20, 0) AS total_tokens FROM customer")
+def task_views(spark, sf_dir):
+    stored = F.when(F.col("c_custkey") % 2 == 0, '["a","b"]')
+    rows = load(spark, sf_dir, "customer").select("c_custkey", stored.alias("tags_json"), (F.col("c_acctbal") / 5000).alias("progress"), (F.col("c_custkey") - 20).alias("total_tokens"))
+    return catalog.views(rows).select("c_custkey", F.array_join("tags", ",").alias("tags"), "progress", "total_tokens")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a=A,b=b' WHEN 1 THEN 'gemini-x=G' WHEN 2 THEN 'm1=m1' ELSE '' END AS models FROM events")
+def remote_models(spark, sf_dir):
+    """Models that providers list, each protocol in its own way."""
+    rows = [
+        ("openai-chat", '{"data":[{"id":"b"},{"id":"a","display_name":"A"},{"name":""}]}'), ("vertex-ai", '{"publisherModels":[{"name":"publishers/x/models/gemini-x","displayName":"G"},{"name":"p/other"}]}'),
+        ("ollama", '{"models":[{"name":"m1"}]}'), ("gemini", '{"error":1}'),
+    ]
+    given = F.element_at(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(b).alias("b")) for p, b in rows]), (F.col("event_id") % 4 + 1).cast("int"))
+    found = archives.listed_models(given["p"], given["b"])
+    return load(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(found, lambda m: F.concat_ws("=", m["request_name"], m["alias"])), ",").alias("models"))
+
+
+@query("SELECT c_custkey AS task_id, CASE WHEN c_custkey % 3 = 0 THEN 'own' || c_custkey WHEN c_nationkey < 20 THEN c_nationkey::VARCHAR END AS content, CASE WHEN c_custkey % 3 <> 0 AND c_nationkey >= 20 THEN 'source file is missing' END AS error FROM customer")
+def resolved_sources(spark, sf_dir):
+    """Source files of tasks: embedded ones first, then those at their path."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"), F.col("c_nationkey").cast("string").alias("source_path"))
+    own = c.filter("task_id % 3 = 0").select("task_id", F.encode(F.concat(F.lit("own"), "task_id"), "UTF-8").alias("content"))
+    files = load(spark, sf_dir, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("path"), F.encode(F.col("n_nationkey").cast("string"), "UTF-8").alias("content"))
+    return archives.resolved(c, own, files).select("task_id", F.decode("content", "UTF-8").alias("content"), "error")
+
+
+@query("SELECT p_brand || '.csv' AS path, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ordinal, p_name AS src, p_type || ',\"x' AS dst FROM part")
+def glossary_csv_rows(spark, sf_dir):
+    """Glossary files, one for each brand, written as CSV and read."""
+    from quillmill.sources import glossary_files
+
+    line = F.concat(glossary_files.to_csv(F.col("p_name"), F.concat("p_type", F.lit(',"x'))), F.lit("\n"))
+    whole = load(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("x"))
+    body = F.concat(F.lit("src,dst\n"), F.array_join(F.transform("x", lambda t: t["line"]), ""))
+    return archives.glossary_rows(whole.select(F.concat("p_brand", F.lit(".csv")).alias("path"), F.encode(body, "UTF-8").alias("content"))).select("path", "ordinal", "src", "dst")

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.sources import formats, render, task_files
+from quillmill.sources import archives, formats, render, task_files
 
 SRT = "1\n00:00:01,000 --> 00:00:02,000\nHello\nthere\n\n2\n00:00:03,000 --> 00:00:04,000\n\n3\n00:00:05,000 --> 00:00:06,000\n<i>Bye</i>\n"
 ASS = "[Script Info]\nTitle: x\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\nDialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,Hi, {\\i1}you\nComment: 0,a\nDialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,\n"
@@ -118,3 +118,29 @@ def test_documents_are_rendered_as_a_table(spark):
     assert json.loads(got["a.json"][0]) == {"x": "ONE", "y": ["TWO"]} and got["b.srt"][0].endswith(b"\nHI\n") and got["d.txt"][0] == b"PLAIN"
     broken = spark.createDataFrame([("b.srt", 0, "range:5:2", "x")], "path string, ordinal long, address string, text string")
     assert {r.path: r.error is not None for r in render.documents(frame, broken).collect()}["b.srt"]
+
+
+def test_archives_and_readers(spark, tmp_path):
+    raw = archive(**{"a/x.md": "first", "b/full.md": "whole ![](i.png)", "b/i.png": "p", "../evil.png": "e", "c.txt": "t"})
+    frame = spark.createDataFrame([("z.zip", raw), ("bad.zip", b"?")], "path string, content binary")
+    entries = archives.archive_entries(frame).cache()
+    assert [(r.path, r.markdown) for r in archives.main_document(entries).collect()] == [("z.zip", "whole ![](i.png)")]
+    assert [(r.name, r.media_type) for r in archives.assets(entries).collect()] == [("b/i.png", "image/png")]
+    assert entries.filter("error is not null").count() == 1
+
+    def fails(raw):
+        raise ValueError("no")
+
+    readers = [("one", fails), ("two", lambda raw: " "), ("three", lambda raw: raw.decode())]
+    got = {r.path: r for r in archives.converted(spark.createDataFrame([("a.pdf", b"text"), ("b.pdf", b"\xff")], "path string, content binary"), readers).collect()}
+    assert (got["a.pdf"].engine, got["a.pdf"].markdown, len(got["a.pdf"].diagnostics)) == ("three", "text", 2) and got["b.pdf"].markdown is None
+    rows = archives.glossary_rows(spark.createDataFrame([("g.csv", b"dst,src\nx,a\n"), ("g.json", b'{"a":"b"}'), ("g.csv2", b""), ("h.csv", b"a\n")], "path string, content binary")).collect()
+    assert sorted((r.path, r.src) for r in rows if r.error is None) == [("g.csv", "a"), ("g.json", "a")] and sum(r.error is not None for r in rows) == 2
+    target = f"file://{tmp_path}/out"
+    archives.published(spark.range(3), target)
+    assert spark.read.parquet(target).count() == 3 and len(list(tmp_path.iterdir())) == 1
+    with pytest.raises(ValueError, match="exists"):
+        archives.published(spark.range(3), target)
+    with pytest.raises(Exception, match="boom"):
+        archives.published(spark.range(3).select(F.raise_error(F.lit("boom")).alias("x")), f"{target}2")
+    assert len(list(tmp_path.iterdir())) == 1
