@@ -5,7 +5,8 @@ a vectorised check tests every adjacent pair of proposed tokens, and only words
 merging. A sequence of tokens is the BPE encoding of its bytes just if each adjacent pair is, so a word whose pairs
 all pass needs no merging at all.
 
-Null and empty texts give no ids; texts of any length are encoded whole; equal rows each give a row.
+Null and empty texts give no ids; texts of any length are encoded whole; equal rows each give a row. An empty table
+gives an empty result; further columns, whatever their names, have no effect.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ prompt; what follows on each side is rendered as its completion, with the charac
 the texts of assistant turns. Spans count code points of the completion, end exclusive.
 
 Turns are ordered by (turn, role, text), so ties and repeated turns have one order; null roles and texts count as empty.
-If one side is a prefix of the other (or both are equal) its completion is empty and has no spans.
+If one side is a prefix of the other (or both are equal) its completion is empty and has no spans. Turns without a
+conv_id form a conversation of their own. A conversation of any length is one row, as its rendering is. An empty table
+gives an empty result; further columns, whatever their names, have no effect.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.arrays import running
+
 OPEN, CLOSE, END = "<|", "|>\n", "\n"
 
 
@@ -32,15 +36,14 @@ def rendered(turns: Column) -> Column:
 
 def assistant_spans(turns: Column) -> Column:
     """array<struct<start, end>> of assistant texts in the rendering."""
-    kind = "array<struct<start:long,end:long>>"
+    width = lambda t: (F.length(head(t)) + F.length(t["text"]) + len(END)).cast("long")
+    placed = running(turns, "turn:long,role:string,text:string", width, lambda a, b: a + b, "long")
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(head(t))
-        end = start + F.length(t["text"])
-        one = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))).cast(kind)
-        return F.struct((end + len(END)).cast("long").alias("at"), F.when(t["role"] == "assistant", F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def span(x: Column) -> Column:
+        start = x["before"] + F.length(head(x["item"]))
+        return F.struct(start.alias("start"), (start + F.length(x["item"]["text"])).alias("end"))
 
-    return F.aggregate(turns, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    return F.transform(F.filter(placed, lambda x: x["item"]["role"] == "assistant"), span)
 
 
 def format_pairs(pairs: DataFrame, key: str = "conv_id") -> DataFrame:

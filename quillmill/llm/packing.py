@@ -7,8 +7,9 @@
 3. Pieces are ranked within their length (partition counts, then prefix sums), and a rank finds its pattern, sequence
    and offset by binary search in the plan, whose size `seq_len` bounds.
 
-Null texts count as empty: such a document is the end id alone. Rows are kept one for one, also equal ones and those
-with equal or null ids; an empty table gives an empty result.
+Null texts count as empty: such a document is the end id alone. Very long texts are encoded whole and give as many pieces
+as they need. Rows are kept one for one, also equal ones and those with equal or null ids; an empty table gives an empty
+result; further columns, whatever their names, have no effect.
 """
 
 from __future__ import annotations

@@ -14,12 +14,12 @@ and further columns, whatever their names, are handed through by `mask` (`pii_sp
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.arrays import parted, running
 from quillmill.functions.text import once
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "local_phone"]
@@ -72,34 +72,6 @@ def confirmed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def parted(items: Column) -> Column:
-    """An array cut into about as many pieces as each is long."""
-    n = F.size(items)
-    width = F.ceil(F.sqrt(F.greatest(n, F.lit(1)))).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda i: F.slice(items, i * width + 1, width))
-    return F.when(n > 0, pieces).otherwise(F.slice(F.array(items), 1, 0))
-
-
-def running(items: Column, fields: str, value: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
-    """array<struct<item, before>>: each item (of the struct type `fields`) with the values of all before it joined.
-
-    Arrays grow in pieces only, as every step copies what it adds to: n ** 1.5 steps instead of n ** 2.
-    """
-    one = f"struct<item:struct<{fields}>,before:int>"
-    empty = lambda kind: F.array().cast(f"array<{kind}>")
-
-    def starts(pieces: Column) -> Column:
-        folded = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda a, x: join(a, value(x))))
-        step = lambda acc, v: F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-        return F.aggregate(folded, F.struct(F.lit(0).alias("at"), empty("int").alias("out")), step, lambda acc: acc["out"])
-
-    def within(piece: Column, at: Column) -> Column:
-        step = lambda acc, x: F.struct(join(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(x.alias("item"), acc["at"].alias("before")).cast(one))).alias("out"))
-        return F.aggregate(piece, F.struct(at.alias("at"), empty(one).alias("out")), step, lambda acc: acc["out"])
-
-    return once(items, lambda x: once(parted(x), lambda pieces: F.flatten(F.zip_with(pieces, starts(pieces), within))))
-
-
 def spans_of(kind: str, text: Column, threshold: float) -> Column:
     """array<struct<start, kind_no, end, score>> of one kind, in code points."""
     pattern, quick, own, words = PATTERNS[kind]

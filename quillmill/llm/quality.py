@@ -6,7 +6,9 @@ don't stand out by chance. The verdict on a host comes back by a join: on a host
 `strict_rate`, one further failed rule rejects a document, elsewhere `lenient_failures` of them; a document that fails
 no rule is always kept.
 
-Null and empty texts have no words and fail the base rule. A null host is a host of its own. Equal rows count each.
+Null and empty texts have no words and fail the base rule; very long texts are measured whole. A null host is a host of
+its own. Equal rows count each. An empty table gives an empty result; further columns, whatever their names, are handed
+through by `accept`.
 """
 
 from __future__ import annotations

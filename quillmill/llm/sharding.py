@@ -6,8 +6,9 @@ proportion. Cutting the order into runs whose row counts differ by one at most g
 (law `rows`). Ranks come from counts of hash buckets and prefix sums over these, so no source, however large, and no
 global sort lands in one task.
 
-Null sources form a source of their own; null texts have no bytes; equal rows are ranked one after the other; an empty
-table gives an empty result.
+Null sources form a source of their own; null texts have no bytes; of a very long text only its size and checksum are
+carried; equal rows are ranked one after the other; an empty table gives an empty result; further columns, whatever
+their names, have no effect.
 """
 
 from __future__ import annotations

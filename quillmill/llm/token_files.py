@@ -6,7 +6,8 @@ all their token ids, and the bit offset of every 256th id, from which decoding c
 by Spark, so they can lie in any store that it reaches.
 
 Null texts count as empty (the end id alone). Null doc_ids come first; rows with equal doc_ids stay separate rows, in
-an order fixed by a hash of their ids. A text of any length lies whole in one block. An empty table gives no blocks.
+an order fixed by a hash of their ids. A text of any length lies whole in one block. An empty table gives no blocks. Further columns,
+whatever their names, have no effect.
 """
 
 from __future__ import annotations

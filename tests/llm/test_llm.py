@@ -247,6 +247,39 @@ def test_shards_match_the_mixture(spark):
         assert len(counts) == 10 and all(abs(c - n / 10) <= 2 for c in counts)
 
 
+def test_shards_by_plain_order(spark):
+    """Ranks within sources, the order of all rows and the cuts, against plain Python."""
+    rng = random.Random(14)
+    rows = [(i, rng.choice(["t", "tt", None]), rng.choice(["a"] * 20 + ["b", "c", None])) for i in range(3000)] + [(7, "same", "d")] * 150
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string"), 7).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r.fraction)
+    for source, fractions in by.items():
+        n = sum(s == source for _, _, s in rows)
+        ranks = [f * n for f in sorted(fractions)]
+        own = ranks[0]
+        assert len(ranks) == n and 0 <= own < 1 and all(abs(x - i - own) < 1e-6 for i, x in enumerate(ranks))
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    total = len(order)
+    assert [(r.shard, r.slot) for r in order] == [(k * 7 // total, k - -(-(k * 7 // total) * total // 7)) for k in range(total)]
+    assert all(a.fraction <= b.fraction for a, b in zip(order, order[1:], strict=False))
+
+
+def test_long_conversation(spark):
+    turns = [(1, k, ("user", "assistant")[k % 2], f"turn {k} é😀") for k in range(3000)] + [(None, 0, "assistant", "x"), (None, 0, "assistant", "x")]
+    frame = spark.createDataFrame([(*t, "c", "r") for t in turns], "conv_id long, turn long, role string, text string, chosen string, prefix string")
+    got = {r.conv_id: r for r in chat.format_pairs(chat.own_pairs(frame)).collect()}
+    assert got[1].prompt_turns == 2999 and got[1].chosen_mask == f"14:{14 + len('turn 2999 é😀')}"
+    everything = frame.sparkSession.range(1).select(chat.spans_text(chat.assistant_spans(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(t).alias("text")) for _, k, r, t in turns[:60]])))).first()[0]
+    at, want = 0, []
+    for _, _, role, text in turns[:60]:
+        start = at + len(role) + 5
+        want += [f"{start}:{start + len(text)}"] if role == "assistant" else []
+        at = start + len(text) + 1
+    assert everything == ",".join(want) and got[None].prompt_turns == 1
+
+
 def test_lists_searched_hold_enough_neighbours():
     """A query at its centroid, whose list is small: the distance ratio alone stops there."""
     x = np.random.default_rng(8).normal(size=(600, 8))
@@ -452,6 +485,25 @@ def test_host_verdict_comes_back_to_documents(spark):
     assert all(kept[i] == (i % 10 == 0) for i in range(200)) and all(kept[1000 + i] for i in range(200)) and kept[5000]
 
 
+def test_stages_on_awkward_and_empty_tables(spark, docs, empty):
+    """Nulls, empty and long texts, repeated rows and further columns pass every stage; an empty table gives none."""
+    sys.path[:0] = [str(Path(__file__).parents[2])]
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    columns = ["doc_id", "text", "lang", "source", "n_chars", "label", "hub", "score"]
+    given = docs.withColumn("hub", F.lit("h")).unionByName(docs.withColumn("hub", F.lit("h"))).select(*columns)
+    for frame in (given, empty.withColumn("hub", F.lit("h")).select(*columns)):
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, frame, sf)
+            rows = made.collect()
+            if name == "packing":
+                assert (len(rows) > 0) == (frame is given) and {r.doc_id for r in rows} == {r.doc_id for r in frame.select("doc_id").collect()}
+            else:
+                assert made.columns == columns and len(rows) <= frame.count() and (frame is given or not rows)
+                assert name != "near_dedup" or len(rows) == len({(r.doc_id, r.text) for r in rows})
+
+
 def test_pipeline(spark):
     """Every stage against its plain form, on what its predecessor kept; the models' verdict is taken as given."""
     import corpus_pipeline
