@@ -141,3 +141,36 @@ def task_message(status: Column, last_error: Column, rate_limit: Column, glossar
         .when(status == "success", whole(F.when(translates, F.concat(F.lit("翻译完成 ("), completed, F.lit("/"), total, F.lit(")"))).otherwise("术语表建立完成"), "muted"))
         .otherwise(whole(status, "muted"))
     )
+
+
+# How each family of models writes an effort that isn't its own, and the tokens of a thinking budget.
+EFFORT_NAMES = {
+    "openai": {"max": "xhigh"},
+    "volc": {"xhigh": "high", "max": "high"},
+    "deepseek": {"minimal": "high", "low": "high", "medium": "high", "xhigh": "max"},
+    "gemini-level": {"xhigh": "high", "max": "high"},
+    "ollama": {"minimal": "low", "xhigh": "high", "max": "high"},
+}
+EFFORT_BUDGETS = {"minimal": 1024, "low": 1024, "medium": 16_000, "high": 32_000, "xhigh": 32_000, "max": 32_000}
+
+
+def thinking_option(protocol: Column, family: Column, effort: Column) -> Column:
+    """struct<effort, budget_tokens> of a request; null for the effort `none`.
+
+    family: what a model of the protocol takes, one of EFFORT_NAMES, `budget`, or `openai-budget` (an effort and a budget).
+    """
+    pairs = [F.lit(x) for name, by in EFFORT_NAMES.items() for given, written in by.items() for x in (f"{name}:{given}", written)]
+    own = F.when(protocol == "ollama", "ollama").when(family == "openai-budget", "openai").otherwise(family)
+    written = F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat_ws(":", own, effort)), effort)
+    budget = F.try_element_at(F.create_map(*[F.lit(x) for pair in EFFORT_BUDGETS.items() for x in pair]), effort)
+    takes = (protocol == "anthropic") | family.isin("budget", "openai-budget")
+    return F.when(effort != "none", F.struct(written.alias("effort"), F.when(takes, budget).alias("budget_tokens")))
+
+
+def option_error(effort: Column, can_reason: Column, efforts: Column, web: Column, can_search: Column) -> Column:
+    """Why a model can't take a request's options; null if it can. efforts: those it knows, empty for any."""
+    return (
+        F.when((effort != "none") & ~can_reason, "reasoning is not enabled")
+        .when((effort != "none") & (F.size(efforts) > 0) & ~F.array_contains(efforts, effort), "thinking effort is not supported")
+        .when(web & ~can_search, "web search is not enabled")
+    )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +29,20 @@ def line_blocks(docs: DataFrame, text: str = "text", limit: int | None = None) -
     if limit is None:
         return docs.select("doc_id", blocks.alias("blocks"))
 
-    def parts(whole: str | None) -> list[tuple[str, int, bool, bool]] | None:
+    block = pa.struct([("text", pa.string()), ("tokens", pa.int32()), ("breakable", pa.bool_()), ("starts", pa.bool_())])
+
+    def broken(texts: pa.Array) -> pa.Array:
         from quillmill.operators.splitting import count_tokens, split
 
-        if whole is None:
-            return None
-        made = []
-        for line in filter(None, re.split(r"(?<=\n)", whole)):
-            found = split(line, limit)
-            made += [(p, count_tokens(p), True, len(found) > 1) for p in found]
-        return made
+        def parts(whole: str | None) -> list[dict] | None:
+            if whole is None:
+                return None
+            lines = (split(line, limit) for line in re.split(r"(?<=\n)", whole) if line)
+            return [{"text": p, "tokens": count_tokens(p), "breakable": True, "starts": len(found) > 1} for found in lines for p in found]
+
+        return pa.array([parts(t) for t in texts.to_pylist()], pa.list_(block))
 
-    broken = F.udf(parts, "array<struct<text:string,tokens:int,breakable:boolean,starts:boolean>>")
+    broken = F.arrow_udf(broken, "array<struct<text:string,tokens:int,breakable:boolean,starts:boolean>>")
     given = docs.select("doc_id", F.col(text).alias("_text"), blocks.alias("_blocks"))
     needed = F.exists("_blocks", lambda b: b["tokens"] > limit)  # other texts don't reach Python
     return given.select("doc_id", F.coalesce(broken(F.when(needed, F.col("_text"))), F.col("_blocks")).alias("blocks"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import duration_ms, leading_thinking, without_thinking
+from quillmill.functions.text import duration_ms, leading_thinking, url_host, without_thinking
 
 PROTOCOLS = ("openai-chat", "openai-responses", "anthropic", "gemini", "vertex-ai", "ollama")
 
@@ -170,6 +170,17 @@ def reply_logprobs(protocol: Column, body: Column) -> Column:
     )
 
 
+def logprob_option(protocol: Column, base_url: Column) -> Column:
+    """The part of a request that asks for log-probabilities, null where a protocol or host has none."""
+    host = url_host(base_url)
+    # Hosts without them.
+    without = (F.contains(host, F.lit("dashscope")) & host.endswith("aliyuncs.com")) | host.endswith("modelscope.cn") | F.contains(host, F.lit(".modelscope.cn"))
+    return (
+        F.when((protocol == "openai-chat") & ~without, '{"logprobs":true}').when(protocol == "openai-responses", '{"include":["message.output_text.logprobs"]}')
+        .when(protocol.isin("gemini", "vertex-ai"), '{"generationConfig":{"responseLogprobs":true}}')
+    )
+
+
 def rate_summary(limits: Column) -> Column:
     """What a log line says of a reply's limits."""
     names = ("request_remaining", "request_limit", "request_reset_ms", "token_remaining", "token_limit", "token_reset_ms", "retry_after_ms")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,6 +82,27 @@ def reset(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({c: F.lit(v).cast(chunks.schema[c].dataType) for c, v in fresh.items() if c in chunks.columns})
 
 
+def in_sequence(chunks: DataFrame, translate: Callable[[str, str | None], str], key: str = "task_id") -> DataFrame:
+    """key, sequence, translated_text of chunks that need the translation before them: translate(source, previous).
+
+    Each task's chunks pass one after the other through one worker, which holds none but the last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: object = run
+        before: str | None = None
+        for batch in batches:
+            out = []
+            for task, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                before = translate(text or "", before if task == at else None)
+                at = task
+                out.append(before)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=[key, "sequence", "translated_text"])
+
+    rows = chunks.select(F.col(key).cast("long"), F.col("sequence").cast("long"), F.col("source_text").cast("string"))
+    return rows.repartition(key).sortWithinPartitions(key, "sequence").mapInArrow(run, f"{key} long, sequence long, translated_text string")
+
+
 def poll_delay_ms(attempt: Column, base: int = 2000, cap: int = 10_000) -> Column:
     """How long to wait before a remote job is asked for again: doubling, capped."""
     return F.least(F.lit(base) * F.pow(F.lit(2.0), F.least(attempt, F.lit(32))), F.lit(float(cap))).cast("long")

@@ -380,3 +380,33 @@ def glossary_csv_rows(spark, sf_dir):
     whole = load(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("x"))
     body = F.concat(F.lit("src,dst\n"), F.array_join(F.transform("x", lambda t: t["line"]), ""))
     return archives.glossary_rows(whole.select(F.concat("p_brand", F.lit(".csv")).alias("path"), F.encode(body, "UTF-8").alias("content"))).select("path", "ordinal", "src", "dst")
+
+
+@query("WITH RECURSIVE t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), r AS (SELECT conv_id, n, role || '0' AS text FROM t WHERE n = 1 UNION ALL SELECT t.conv_id, t.n, t.role || length(r.text) FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1) SELECT conv_id, n AS sequence, text AS translated_text FROM r")
+def sequential_translation(spark, sf_dir):
+    """Turns translated one after the other (here: with the length of what came before)."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = load(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(order).alias("sequence"), F.col("role").alias("source_text"))
+    return runs.in_sequence(rows, lambda text, before: f"{text}{len(before or '')}", "conv_id")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{\"logprobs\":true}' WHEN 1 THEN NULL WHEN 2 THEN '{\"include\":[\"message.output_text.logprobs\"]}' WHEN 3 THEN '{\"generationConfig\":{\"responseLogprobs\":true}}' END AS option FROM events")
+def logprob_options(spark, sf_dir):
+    from quillmill.operators import protocols
+
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("event_id") % 5 + 1).cast("int"))
+    made = protocols.logprob_option(pick("openai-chat", "openai-chat", "openai-responses", "gemini", "ollama"), pick("https://api.x.org/v1", "https://dashscope-intl.aliyuncs.com/v1", "", "", ""))
+    return load(spark, sf_dir, "events").select("event_id", made.alias("option"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'xhigh' WHEN 1 THEN 'max' WHEN 2 THEN 'high' WHEN 3 THEN 'low' WHEN 4 THEN 'medium' END AS effort, CASE event_id % 6 WHEN 1 THEN 32000 WHEN 4 THEN 16000 END AS budget_tokens,
+ CASE event_id % 4 WHEN 1 THEN 'web search is not enabled' WHEN 2 THEN CASE WHEN event_id % 6 <> 5 THEN 'reasoning is not enabled' END WHEN 3 THEN CASE WHEN event_id % 6 NOT IN (1, 5) THEN 'thinking effort is not supported' END END AS error FROM events""")
+def thinking_options(spark, sf_dir):
+    """Efforts as models write them, and why some models can't take them."""
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("event_id") % 6 + 1).cast("int"))
+    effort = pick("max", "max", "low", "minimal", "medium", "none")
+    made = model.thinking_option(pick("openai-responses", "anthropic", "openai-chat", "ollama", "openai-chat", "gemini"), pick("openai", "budget", "deepseek", "ollama", "openai-budget", "gemini-level"), effort)
+    k = F.col("event_id") % 4
+    efforts = F.when(k == 3, F.array(F.lit("max"))).otherwise(F.array().cast("array<string>"))
+    error = model.option_error(F.when((k == 3) & (F.col("event_id") % 6 == 0), "high").otherwise(effort), k != 2, efforts, k == 1, F.lit(False))
+    return load(spark, sf_dir, "events").select("event_id", made["effort"].alias("effort"), made["budget_tokens"].alias("budget_tokens"), error.alias("error"))
