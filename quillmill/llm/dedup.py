@@ -229,7 +229,7 @@ def full_lists(sets: DataFrame, threshold: int) -> DataFrame:
     return lists.join(alike.filter("lo <> hi").groupBy("n", "h", "g").agg(F.min("value").alias("value")).select("value"), "value")
 
 
-def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], width: int = 1024) -> np.ndarray:
     """How many values each two of the sets share: products of their incidence matrix, `width` columns at a time."""
     out = np.zeros((len(sets), len(sets)), np.float32)
     _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -262,7 +262,7 @@ def to_compare(group: pa.Table) -> np.ndarray:
     return pairs
 
 
-def block_links(lists: DataFrame, sets: DataFrame, classes: DataFrame, k: int, common: int, threshold: int, scratch: Scratch, rows: int = 2048, values: int = 1 << 22) -> DataFrame | None:
+def block_links(lists: DataFrame, sets: DataFrame, classes: DataFrame, k: int, common: int, threshold: int, scratch: Scratch, rows: int = 1024, values: int = 1 << 21) -> DataFrame | None:
     """A spanning set of the links (a, b) between members of a list with different labels, block by block.
 
     The members of a list's main label need no comparison with each other: blocks of the others meet blocks of these,
@@ -293,13 +293,13 @@ def block_links(lists: DataFrame, sets: DataFrame, classes: DataFrame, k: int, c
         both = overlaps([x.values.to_numpy() for x in group.column("sketch")])
         hit = np.zeros(len(n), bool)
         pairs = to_compare(group)
-        for a in range(0, len(n), 512):
-            low, high = np.minimum(n[a : a + 512, None], n[None]), np.maximum(n[a : a + 512, None], n[None])
-            met = both[a : a + 512]
-            good = pairs[a : a + 512] & (100 * low >= threshold * high) & np.where(high <= k, 100 * met >= threshold * (low + high - met), met >= common)
+        for a in range(0, len(n), 128):  # strips bound what is held beside the matrices of a block
+            low, high = np.minimum(n[a : a + 128, None], n[None]), np.maximum(n[a : a + 128, None], n[None])
+            met = both[a : a + 128]
+            good = pairs[a : a + 128] & (100 * low >= threshold * high) & np.where(high <= k, 100 * met >= threshold * (low + high - met), met >= common)
             # no two share more than either one's shingles that stand elsewhere
-            good &= (100 + threshold) * np.minimum(most[a : a + 512, None], most[None]) >= threshold * (low + high)
-            hit[a : a + 512] |= good.any(1)
+            good &= (100 + threshold) * np.minimum(most[a : a + 128, None], most[None]) >= threshold * (low + high)
+            hit[a : a + 128] |= good.any(1)
             hit |= good.any(0)
         lists = group.column("lists").cast(pa.list_(pa.int64()))
         return group.set_column(group.schema.get_field_index("lists"), "lists", lists).select(names).filter(pa.array(hit))
@@ -307,7 +307,9 @@ def block_links(lists: DataFrame, sets: DataFrame, classes: DataFrame, k: int, c
     def compare(group: pa.Table) -> pa.Table:
         n, ids = group.column("n_shingles").to_numpy(), group.column("cid").to_pylist()
         both = overlaps([x.values.to_numpy() for x in group.column("at")])
-        linked = to_compare(group) & (100 * both >= threshold * (n[:, None] + n[None] - both))
+        linked = to_compare(group)
+        for a in range(0, len(n), 128):
+            linked[a : a + 128] &= 100 * both[a : a + 128] >= threshold * (n[a : a + 128, None] + n[None] - both[a : a + 128])
         root: dict[bytes, bytes] = {}
 
         def top(x: bytes) -> bytes:

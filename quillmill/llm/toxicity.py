@@ -121,7 +121,7 @@ def counted(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in small(batches):
             for text, toxic, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts[2 * (part == 4) + (toxic > 0)].update(words_of(text))
-            if sum(map(len, counts)) > 200_000:
+            if sum(map(len, counts)) > 100_000:
                 yield drained()
         if any(counts):
             yield drained()
@@ -225,7 +225,7 @@ def featured(docs: DataFrame, ratios: DataFrame, keep: list[str], broadcast_rows
             least = int(BEYOND * SCALE)
             for batch in small(batches):
                 every = [Counter(words_of(t or "")) for t in batch.column(0).to_pylist()]
-                if len(ratio) > 200_000:
+                if len(ratio) > 50_000:
                     ratio.clear()
                     beyond.clear()
                 fresh = list(set().union(*every).difference(ratio))
@@ -233,9 +233,9 @@ def featured(docs: DataFrame, ratios: DataFrame, keep: list[str], broadcast_rows
                     part = fresh[i : i + 5000]
                     found = word_sums(part, *shared.value)
                     ratio.update(zip(part, found.tolist(), strict=True))
-                    beyond.update(zip(part, (np.sign(found) * (np.abs(found) - least).clip(0)).tolist(), strict=True))
+                    beyond.update((w, r - least if r > 0 else r + least) for w, r in zip(part, found.tolist(), strict=True) if abs(r) > least)
                 whole = [sum(map(mul, map(ratio.__getitem__, words), words.values())) / SCALE for words in every]
-                far = [sum(map(beyond.__getitem__, words)) / SCALE for words in every]
+                far = [sum(beyond[w] for w in beyond.keys() & words.keys()) / SCALE for words in every]
                 length = [sum(map(mul, map(len, words), words.values())) + words.total() for words in every]
                 made = [pa.array(whole, pa.float64()), pa.array(far, pa.float64()), pa.array(length, pa.int64()), pa.array(map(len, every), pa.int64())]
                 yield pa.record_batch([*batch.columns[1:], *made], names=[*batch.schema.names[1:], *(f.name for f in sums)])
