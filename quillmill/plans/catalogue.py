@@ -115,9 +115,11 @@ def breakable_rules(spark, sf_dir):
     return whole.groupBy("doc_id").agg(F.count_if(F.col("line").rlike(r"^\s*(>|#|\||[-*+] |[0-9]+\. )")).alias("structural"), F.count_if(F.col("line").rlike(r"[`*_]|\]\(|!\[|~~")).alias("inline_marked"), F.count("*").alias("n_lines"))
 
 
-@query("SELECT doc_id FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '\\S')")
+@query("SELECT doc_id FROM documents WHERE n_chars < 200 OR NOT regexp_matches(coalesce(text, ''), '\\S')")
 def blank_document_reject(spark, sf_dir):
-    return packer.all_blank(line_chunks(spark, sf_dir))
+    """Documents whose chunks are all blank; short ones stand for files of white space."""
+    docs = documents(spark, sf_dir).withColumn("text", F.when(F.col("n_chars") < 200, " \n\t\n").otherwise(F.col("text")))
+    return packer.all_blank(packer.chunks(packer.line_blocks(docs, limit=LIMIT), LIMIT))
 
 
 _STATS = "SELECT task_id, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS succeeded, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'interrupted') AS interrupted, 1.0::DOUBLE AS progress, count(*) FILTER (WHERE status <> 'success')::DOUBLE / count(*) AS error_rate, sum(source_tokens)::BIGINT AS source_tokens, sum(target_tokens)::BIGINT AS target_tokens FROM chunk_status GROUP BY 1"
