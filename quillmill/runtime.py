@@ -25,11 +25,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/") + "/quillmill"
 
 
-def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def write_table(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
