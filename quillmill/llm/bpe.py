@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm import vocab
-from quillmill.llm.batches import small
+from quillmill.llm.batches import bounded, small
 
 GAP = "Ā"  #: between words in the automaton's input, where each byte is one character below it
 
@@ -178,6 +178,7 @@ def coder(path: str) -> SpeculativeBpe:
 
 def round_trip(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text (and the ids, as bytes, if `keep_ids`)."""
+    docs = bounded(docs)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

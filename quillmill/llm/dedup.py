@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quillmill.llm.batches import small
+from quillmill.llm.batches import bounded, small
 from quillmill.runtime import Scratch
 
 CLASS = "cid binary"
@@ -339,6 +339,7 @@ def link(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28) ->
 
 def labelled_rows(docs: DataFrame, threshold: int = 75, k: int = 64, common: int = 28) -> DataFrame:
     """The rows of link with text_key and label (the component's key; null without shingles)."""
+    docs = bounded(docs)
     scratch = Scratch(docs.sparkSession)
     marks = scratch.write(sketches(docs, k), "near-sketches")
     named = marks.filter("cid is not null").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "text_key").alias("source_id"), "n_shingles", "sketch")).alias("x"))

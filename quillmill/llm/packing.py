@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.llm import cutting_stock, vocab
-from quillmill.llm.batches import small
+from quillmill.llm.batches import bounded, small
 from quillmill.runtime import write_table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
@@ -33,6 +33,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 1024, end_id: int = 0) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens; part, nth: rank in its partition and length."""
+    docs = bounded(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.batches import small
+from quillmill.llm.batches import bounded, small
 from quillmill.runtime import write_table
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -55,6 +55,7 @@ def measure(text: str) -> tuple[int, int, int, int, int, int]:
 
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` and the figures of each document (columns METRICS, prefixed by q_)."""
+    docs = bounded(docs)
     names = [f"q_{f.strip().split()[0]}" for f in METRICS.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

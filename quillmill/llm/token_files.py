@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import huffman, vocab
-from quillmill.llm.batches import small
+from quillmill.llm.batches import bounded, small
 from quillmill.runtime import drop_table, exclusive_prefix, partitions, write_table
 
 BLOCKS = "file_no int, block_no long, n_tokens long, doc_ids array<long>, doc_lengths array<int>, checkpoints array<long>, payload binary"
@@ -29,6 +29,7 @@ BLOCKS = "file_no int, block_no long, n_tokens long, doc_ids array<long>, doc_le
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """doc_id and all ids of each text with the end id, as little-endian integers of 2 or 4 bytes."""
+    docs = bounded(docs)
     kind = "<u2" if vocab.vocabulary_size(tokenizer_path) <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +64,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encode all documents and write `path`/code and `path`/blocks."""
     spark, size = docs.sparkSession, vocab.vocabulary_size(tokenizer_path)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    tokens, kept = write_table(tokenise(docs, tokenizer_path, end_id), "tokens")
+    tokens, kept = write_table(tokenise(docs, tokenizer_path, end_id), "tokens", "zstd")
     lengths = huffman.code_lengths(id_counts(tokens, size))
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
-from quillmill.llm.batches import small
+from quillmill.llm.batches import bounded, small
 from quillmill.runtime import Scratch
 
 ORDER, DISCOUNT = 6, 0.75
@@ -185,6 +185,7 @@ def log_ratios(grams: DataFrame, models: dict[str, tuple[F.Column, F.Column]], s
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[DataFrame, np.ndarray] | None:
     """gram and its ratio by the models over all training folds, and the curve; None without both classes."""
+    docs = bounded(docs)
     scratch = Scratch(docs.sparkSession)
     words = scratch.write(counted(docs, labels), "toxic-words")
     o, t, fo, ft = (n or 0 for n in words.agg(*(F.sum(c) for c in COUNTS)).first())

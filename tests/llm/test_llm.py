@@ -277,7 +277,7 @@ def test_long_conversation(spark):
         start = at + len(role) + 5
         want += [f"{start}:{start + len(text)}"] if role == "assistant" else []
         at = start + len(text) + 1
-    assert everything == ",".join(want) and got[None].prompt_turns == 1
+    assert everything == ",".join(want) and (got[None].prompt_turns, got[None].chosen) == (2, "")
 
 
 def test_lists_searched_hold_enough_neighbours():
