@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, chat, dedup, neighbours, packing, pii, quality, sharding, token_files, toxicity, vocab
+from quillmill.llm import bpe, chat, dedup, divergence, merkle, neighbours, packing, pii, quality, sharding, token_files, toxicity, vocab
 from quillmill.runtime import load, scratch_dir
 
 
@@ -58,8 +58,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnsRenamed(figures).select("doc_id", *figures.values(), "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_preferences, op3_near_dedup, op4_sharding, op5_bpe, op6_neighbours, op7_pii, op8_toxicity, op9_token_files, op10_quality)}
+    every = op1_packing, op2_preferences, op3_near_dedup, op4_sharding, op5_bpe, op6_neighbours, op7_pii, op8_toxicity, op9_token_files, op10_quality, op11_divergence, op13_merkle
+    return {f.__name__: f for f in every}
 
 
 _RENDER = "'<|' || t.role || '|>' || chr(10) || t.text || chr(10)"
@@ -108,5 +117,42 @@ QUALITY = r"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, rege
   NOT base_failed AND more < CASE WHEN rate >= 0.5 THEN 1 ELSE 2 END AS kept, round(rate, 6) AS host_rate FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source"""
 
 
+DIVERGENCE = r"""WITH d AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id FROM documents),
+ w AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+ v AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM k GROUP BY 1),
+ c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+ g AS (SELECT d.lang, d.source, coalesce(any_value(v), 0) AS v, coalesce(any_value(lang_n), 0) AS lang_n FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN v ON v.lang = d.lang GROUP BY 1, 2),
+ t AS (SELECT g.*, coalesce(s.n, 0) AS n FROM g LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2) s ON s.lang = g.lang AND s.source = g.source),
+ p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (t.n + 2 * t.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.total + 2)) // (t.lang_n + 2 * t.v)::HUGEINT AS q
+  FROM t JOIN k ON k.lang = t.lang LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+ s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+ u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+ SELECT lang, source, part, item, value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+_VALUE = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_VALUE.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+MERKLE = f"""WITH RECURSIVE l AS (SELECT doc_id, lang, {_LEAF.format(text="text")} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF.format(text=_LOW)} ELSE {_LEAF.format(text="text")} END AS found FROM documents),
+ o AS (SELECT *, coalesce('+' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l),
+ t AS (SELECT tree, 0 AS level, idx, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM o
+  UNION ALL SELECT tree, level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (any_value(n) + 7) // 8 FROM t WHERE n > 1 GROUP BY tree, level, idx // 8),
+ s AS (SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx FROM t WHERE n = 1),
+ u AS (SELECT 0 AS level, idx, subroot AS node, count(*) OVER () AS n FROM s
+  UNION ALL SELECT level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (any_value(n) + 7) // 8 FROM u WHERE n > 1 GROUP BY level, idx // 8),
+ a AS (SELECT o.tree, o.idx, t.level, coalesce(string_agg(t.node, '' ORDER BY t.idx) FILTER (t.idx < o.idx // pow(8, t.level)::BIGINT), '') AS le, coalesce(string_agg(t.node, '' ORDER BY t.idx) FILTER (t.idx > o.idx // pow(8, t.level)::BIGINT), '') AS ri
+  FROM o JOIN t ON t.tree = o.tree AND t.n > 1 AND t.idx // 8 = o.idx // pow(8, t.level + 1)::BIGINT GROUP BY 1, 2, 3
+  UNION ALL SELECT o.tree, o.idx, 100 + u.level, coalesce(string_agg(u.node, '' ORDER BY u.idx) FILTER (u.idx < s.idx // pow(8, u.level)::BIGINT), ''), coalesce(string_agg(u.node, '' ORDER BY u.idx) FILTER (u.idx > s.idx // pow(8, u.level)::BIGINT), '')
+  FROM o JOIN s ON s.tree = o.tree JOIN u ON u.n > 1 AND u.idx // 8 = s.idx // pow(8, u.level + 1)::BIGINT GROUP BY 1, 2, 3),
+ p AS (SELECT tree, idx, string_agg(le || ri, '' ORDER BY level) AS proof, list(le || ',' || ri ORDER BY level) AS path FROM a GROUP BY 1, 2),
+ f AS (SELECT doc_id, leaf, subroot, (SELECT node FROM u WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+  list_reduce(list_prepend(found, coalesce(path, [])), lambda x, y: sha256(split_part(y, ',', 1) || x || split_part(y, ',', 2))) AS folded_root FROM o JOIN s ON s.tree = o.tree LEFT JOIN p ON p.tree = o.tree AND p.idx = o.idx)
+ SELECT *, folded_root = root AS verified FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_preferences": PREFERENCES, "op3_near_dedup": NEAR, "op10_quality": QUALITY}
+    return {"op2_preferences": PREFERENCES, "op3_near_dedup": NEAR, "op10_quality": QUALITY, "op11_divergence": DIVERGENCE, "op13_merkle": MERKLE}
