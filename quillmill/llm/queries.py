@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, chat, dedup, divergence, merkle, neighbours, packing, pii, quality, sharding, token_files, toxicity, vocab
+from quillmill.llm import bpe, chat, dedup, divergence, maxent, merkle, neighbours, packing, pii, quality, sharding, token_files, toxicity, vocab
 from quillmill.runtime import load, scratch_dir
 
 
@@ -62,12 +62,16 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(load(spark, sf_dir, "documents"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(load(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(load(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = op1_packing, op2_preferences, op3_near_dedup, op4_sharding, op5_bpe, op6_neighbours, op7_pii, op8_toxicity, op9_token_files, op10_quality, op11_divergence, op13_merkle
+    every = op1_packing, op2_preferences, op3_near_dedup, op4_sharding, op5_bpe, op6_neighbours, op7_pii, op8_toxicity, op9_token_files, op10_quality, op11_divergence, op12_language_model, op13_merkle
     return {f.__name__: f for f in every}
 
 
