@@ -94,7 +94,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def blocks(docs: DataFrame, shape: Shape, block_bytes: int = 32 << 20) -> DataFrame:
+def blocks(docs: DataFrame, shape: Shape, block_bytes: int = 16 << 20) -> DataFrame:
     """Columns BLOCKS: texts as token numbers of the block's dictionary, and that dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def own_places(words: np.ndarray, places: np.ndarray, frequent: dict[int, int])
 
 
 def histories(words: np.ndarray, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """A row of feature hashes for each token: (w-1), (w-2, w-1), (w-2), (w-3). `begins`: where texts begin."""
+    """Four rows of feature hashes, a column for each token: (w-1), (w-2, w-1), (w-2), (w-3). `begins`: where texts begin."""
     h = mixed(words.view(np.uint64))[ids]
     back = []
     edge = np.zeros(len(ids), np.int64)
@@ -184,29 +184,41 @@ def histories(words: np.ndarray, ids: np.ndarray, begins: np.ndarray) -> np.ndar
         b[k:] = np.where(edge[k:] >= k, h[:-k], START) if k < len(ids) else START
         back.append(b)
     one, two, three = back
-    return np.stack([one * np.uint64(3), mixed(one + np.uint64(5) * two), two * np.uint64(7) + np.uint64(1), three * np.uint64(11) + np.uint64(2)], axis=1)
+    return np.stack([one * np.uint64(3), mixed(one + np.uint64(5) * two), two * np.uint64(7) + np.uint64(1), three * np.uint64(11) + np.uint64(2)])
 
 
 def rows_of(features: np.ndarray, group: np.ndarray | None, bits: int) -> np.ndarray:
     """The row of weights of each feature, for slots by class too."""
-    h = features if group is None else features + (group.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
+    h = features if group is None else features + (group.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return ((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def logits(weights: np.ndarray, rows: np.ndarray, share: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
+    z, more = np.take(weights, rows[0], axis=0, mode="clip"), np.empty((rows.shape[1], weights.shape[1]), np.float32)
     for k in range(1, FEATURES):
-        z += weights[rows[:, k]]
+        z += np.take(weights, rows[k], axis=0, mode="clip", out=more)
     z += share
     return z
 
 
+def exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(z) and its sums by row, and what was taken off z; rows are lowered by their largest only where they need it."""
+    off: np.ndarray | float = 0.0
+    e = np.exp(np.minimum(z, 80))
+    sums = e.sum(axis=1)
+    if len(z) and (z.max() > 80 or sums.min() < 1e-25):
+        off = z.max(axis=1, keepdims=True)
+        e = np.exp(z - off)
+        sums, off = e.sum(axis=1), off[:, 0]
+    return e, sums, off
+
+
 def log_shares(weights: np.ndarray, rows: np.ndarray, share: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log-probability of the class, or slot, `at` of each token."""
     z = logits(weights, rows, share)
-    z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(at)), at].astype(np.float64)
-    return own - np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
+    _, sums, off = exponents(z)
+    return own - off - np.log(sums.astype(np.float64))
 
 
 class Trainer:
@@ -220,19 +232,16 @@ class Trainer:
         self.rate, self.width = rate, weights.shape[1]
 
     def step(self, rows: np.ndarray, share: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> None:
-        z = logits(self.weights, rows, share)
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        whole = z.sum(axis=1)
+        e, whole, _ = exponents(logits(self.weights, rows, share))
         line = np.arange(len(at))
-        miss = 1 - z[line, at] / whole
-        z[line, at] = 0
-        sums = np.cumsum(z, axis=1, out=z)
+        miss = 1 - e[line, at] / whole
+        e[line, at] = 0
+        sums = np.cumsum(e, axis=1, out=e)
         drawn = np.minimum((sums <= (rng.random(len(at), np.float32) * sums[:, -1])[:, None]).sum(axis=1), self.width - 1)
-        live = sums[:, -1] > 0
-        base = rows[live] * self.width
-        index = np.concatenate([(base + at[live, None]).ravel(), (base + drawn[live, None]).ravel()])
-        push = np.repeat(miss[live], FEATURES).astype(np.float32)
+        miss[sums[:, -1] <= 0] = 0  # nothing to draw
+        base = rows * self.width
+        index = np.concatenate([(base + at).ravel(), (base + drawn).ravel()])
+        push = np.tile(miss, FEATURES)
         push = np.concatenate([push, -push])
         np.add.at(self.squares, index, push * push)
         np.add.at(self.flat, index, self.rate * push / np.sqrt(self.squares[index]))
@@ -269,8 +278,8 @@ def updates(held: DataFrame, shared: Broadcast, shape: Shape, part: int, rounds:
                     first, second = rows_of(features, None, shape.bits), rows_of(features, group, shape.bits)
                     for i in range(0, hi - lo, batch):
                         s = slice(i, i + batch)
-                        trainers[0].step(first[s], model.class_share, group[s], rng)
-                        trainers[1].step(second[s], model.slot_share[group[s]], slot[s], rng)
+                        trainers[0].step(first[:, s], model.class_share, group[s], rng)
+                        trainers[1].step(second[:, s], model.slot_share[group[s]], slot[s], rng)
         for kind, t in enumerate(trainers):
             for i in range(0, len(t.touched), chunk):
                 if t.touched[i : i + chunk].any():
@@ -335,7 +344,6 @@ def scored(row: dict, c: np.ndarray, model: Model, shape: Shape, n: int, v: int,
     begins = np.cumsum(lengths) - lengths
     share = np.log(c + 1.0)
     inner = share - np.log(np.maximum(model.slot_total[places], 1))
-    base = share - np.log(n + v + 1.0)
     score = np.empty(len(ids))
     step = 1 << 18
     for lo in range(0, len(ids), step):
@@ -343,14 +351,15 @@ def scored(row: dict, c: np.ndarray, model: Model, shape: Shape, n: int, v: int,
         inside = begins[(begins >= before) & (begins < hi)] - before
         if before and (not len(inside) or inside[0]):  # the text that is cut goes on: what stands before is as far as features reach
             inside = np.append(0, inside)
-        features = histories(words, ids[before:hi], inside)[lo - before :]
+        features = histories(words, ids[before:hi], inside)[:, lo - before :]
         group, slot = np.divmod(places[ids[lo:hi]], shape.slots)
         first, second = rows_of(features, None, shape.bits), rows_of(features, group, shape.bits)
         for i in range(0, hi - lo, batch):
             s = slice(i, i + batch)
-            score[lo:hi][s] = log_shares(model.class_rows, first[s], model.class_share, group[s]) + log_shares(model.slot_rows, second[s], model.slot_share[group[s]], slot[s])
+            score[lo:hi][s] = log_shares(model.class_rows, first[:, s], model.class_share, group[s]) + log_shares(model.slot_rows, second[:, s], model.slot_share[group[s]], slot[s])
     score += inner[ids]
-    sums = [np.add.reduceat(x, begins) / LOG10 for x in (base[ids], score)] if len(begins) else [np.empty(0)] * 2
+    sums = [np.add.reduceat(x, begins) / LOG10 for x in (share[ids], score)] if len(begins) else [np.empty(0)] * 2
+    sums[0] -= lengths * np.log10(n + v + 1.0)
     known = np.add.reduceat((c > 0)[ids].astype(np.int64), begins) if len(begins) else np.empty(0, np.int64)
     made = [row["doc_ids"].values, row["held"].values, pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), n, np.int64)), *map(pa.array, sums)]
     return pa.table(made, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
