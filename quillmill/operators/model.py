@@ -119,30 +119,6 @@ def logprobs_rejected(status: Column, message: Column) -> Column:
     return status.isin(400, 404, 422) & F.lower(message).rlike("logprob|log_probs")
 
 
-def task_message(status: Column, last_error: Column, rate_limit: Column, glossary_step: Column, translating_step: Column, translates: Column, completed: Column, total: Column) -> Column:
-    """struct<text, severity> of a task in a list; the first that fits counts.
-
-    The steps are labels of what runs now, null or empty if nothing does.
-    """
-    whole = lambda text, severity: F.struct((text if isinstance(text, Column) else F.lit(text)).alias("text"), F.lit(severity).alias("severity"))
-    plain = lambda e: F.struct(e["text"].alias("text"), e["severity"].alias("severity"))
-    given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    limited = task_error(F.trim(rate_limit))
-    # Messages of states.
-    return (
-        F.when(status == "queued", whole("任务排队中，等待开始", "muted"))
-        .when(status == "interrupted-pending", whole("正在中断，等待当前请求结束", "warning"))
-        .when(given(last_error), plain(task_error(F.trim(last_error))))
-        .when(given(rate_limit) & limited["kind"].isin("http", "rate-limit"), plain(limited))
-        .when((status == "running") & given(glossary_step), whole(glossary_step, "muted"))
-        .when((status == "running") & given(translating_step), whole(translating_step, "muted"))
-        .when(status == "interrupted", whole("任务已中断，可继续", "warning"))
-        .when(status == "failed", whole("任务失败，请检查任务详情", "danger"))
-        .when(status == "success", whole(F.when(translates, F.concat(F.lit("翻译完成 ("), completed, F.lit("/"), total, F.lit(")"))).otherwise("术语表建立完成"), "muted"))
-        .otherwise(whole(status, "muted"))
-    )
-
-
 # How each family of models writes an effort that isn't its own, and the tokens of a thinking budget.
 EFFORT_NAMES = {
     "openai": {"max": "xhigh"},

@@ -43,16 +43,6 @@ def aborted(outcomes: DataFrame, percent: int, key: str = "task_id") -> DataFram
     return done.select(key, "total", failed.alias("failed"), F.col("x.sequence").alias("aborted_at"), F.when(F.col("x").isNotNull(), reason).alias("reason"))
 
 
-def coalesced_progress(events: DataFrame, key: str = "task_id", tick_ms: int = 250) -> DataFrame:
-    """key, tick, done, retry: what a reporter shows at the end of each tick of events (at_ms, sequence, done, retry).
-
-    Progress never goes back; of several retries the one of the latest sequence shows.
-    """
-    ticks = events.withColumn("tick", F.floor(F.col("at_ms") / tick_ms)).groupBy(key, "tick").agg(F.max("done").alias("done"), F.max_by("retry", F.when(F.col("retry").isNotNull(), F.col("sequence"))).alias("retry"))
-    order = Window.partitionBy(key).orderBy("tick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ticks.withColumn("done", F.max("done").over(order)).select(key, "tick", "done", "retry")
-
-
 def retries_in_flight(events: DataFrame, key: str = "task_id") -> DataFrame:
     """key, sequence, attempt of the retry to report: the latest (at_ms) of chunks that haven't ended since."""
     last = events.groupBy(key, "sequence").agg(F.max_by(F.struct("status", "attempt", "at_ms"), F.struct("at_ms", "attempt")).alias("x"))
@@ -108,18 +98,6 @@ def poll_delay_ms(attempt: Column, base: int = 2000, cap: int = 10_000) -> Colum
     return F.least(F.lit(base) * F.pow(F.lit(2.0), F.least(attempt, F.lit(32))), F.lit(float(cap))).cast("long")
 
 
-def progress_detail(stats: Column, glossary: Column, translation: Column) -> Column:
-    """Steps of a run, struct<glossary, translating, restore> of struct<state, current, total>.
-
-    stats: struct<total, succeeded, failed, interrupted>; the two flags say which steps the run has. A step that is left
-    out is skipped; one with every chunk ended is done, with failures it failed.
-    """
-    total, ended = stats["total"], stats["succeeded"] + stats["failed"] + stats["interrupted"]
-    state = F.when(ended < total, F.when(ended > 0, "running").otherwise("pending")).when(stats["failed"] > 0, "failed").otherwise("success")
-    step = lambda wanted, s, n: F.struct(F.when(wanted, s).otherwise("skipped").alias("state"), F.when(wanted, n).otherwise(F.lit(0)).cast("long").alias("current"), F.when(wanted, total).otherwise(F.lit(0)).cast("long").alias("total"))
-    return F.struct(step(glossary, state, ended).alias("glossary"), step(translation, state, ended).alias("translating"), step(translation, state, stats["succeeded"]).alias("restore"))
-
-
 def shown_texts(chunks: DataFrame, key: str = "task_id") -> DataFrame:
     """key, text: each document's translated texts in sequence, the source where there is none."""
     text = F.coalesce(F.nullif("translated_text", F.lit("")), F.col("source_text"))

@@ -60,13 +60,6 @@ def early_abort(spark, sf_dir):
     return runs.aborted(rows, 20)
 
 
-@query("WITH t AS (SELECT user_id, floor(value * 100 / 250)::BIGINT AS tick, max(event_id % 50) AS done, arg_max(event_type, event_id) FILTER (WHERE event_type = 'error') AS retry FROM events GROUP BY 1, 2) SELECT user_id, tick, max(done) OVER (PARTITION BY user_id ORDER BY tick) AS done, retry FROM t")
-def progress_ticks(spark, sf_dir):
-    """Reports of each quarter of a second: progress never goes back."""
-    events = load(spark, sf_dir, "events").select("user_id", (F.col("value") * 100).alias("at_ms"), F.col("event_id").alias("sequence"), (F.col("event_id") % 50).alias("done"), F.when(F.col("event_type") == "error", F.col("event_type")).alias("retry"))
-    return runs.coalesced_progress(events, "user_id")
-
-
 @query("WITH e AS (SELECT user_id, event_id % 10 AS sequence, event_id AS attempt, CASE WHEN event_type = 'error' THEN 'retrying' ELSE 'done' END AS status FROM events), l AS (SELECT user_id, sequence, arg_max(status, attempt) AS status, max(attempt) AS attempt FROM e GROUP BY 1, 2) SELECT user_id, arg_max(sequence, attempt) AS sequence, max(attempt) AS attempt FROM l WHERE status = 'retrying' GROUP BY 1")
 def retry_reports(spark, sf_dir):
     rows = load(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 10).alias("sequence"), F.col("event_id").alias("attempt"), F.col("event_id").alias("at_ms"), F.when(F.col("event_type") == "error", "retrying").otherwise("done").alias("status"))
@@ -97,16 +90,6 @@ def poll_delays(spark, sf_dir):
     return spark.range(30).select(F.col("id").alias("attempt"), runs.poll_delay_ms(F.col("id")).alias("delay_ms"))
 
 
-@query(f"""WITH {_GEN}, r AS ({_ROLL}), s AS (SELECT *, success_chunks + failed_chunks + interrupted_chunks AS ended, task_id % 2 = 0 AS g FROM r),
- t AS (SELECT *, CASE WHEN ended < total_chunks THEN CASE WHEN ended > 0 THEN 'running' ELSE 'pending' END WHEN failed_chunks > 0 THEN 'failed' ELSE 'success' END AS state FROM s)
- SELECT task_id, CASE WHEN g THEN state ELSE 'skipped' END AS glossary, state AS translating, success_chunks::BIGINT AS restored, total_chunks AS total FROM t""")
-def progress_steps(spark, sf_dir):
-    r = runs.rolled_up(generation(spark, sf_dir))
-    stats = F.struct(F.col("total_chunks").alias("total"), F.col("success_chunks").alias("succeeded"), F.col("failed_chunks").alias("failed"), F.col("interrupted_chunks").alias("interrupted"))
-    d = r.select("task_id", runs.progress_detail(stats, F.col("task_id") % 2 == 0, F.lit(True)).alias("d"))
-    return d.select("task_id", F.col("d.glossary.state").alias("glossary"), F.col("d.translating.state").alias("translating"), F.col("d.restore.current").alias("restored"), F.col("d.translating.total").alias("total"))
-
-
 @query(f"WITH {_GEN} SELECT task_id, md5(string_agg(CASE WHEN translated_text = '' THEN source_text ELSE translated_text END, '' ORDER BY sequence)) AS text_md5 FROM gen GROUP BY 1")
 def rendered_texts(spark, sf_dir):
     """Texts of tasks as their chunks render, sources where there is no translation."""
@@ -224,16 +207,6 @@ def logprob_rejections(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", model.logprobs_rejected(status, message).alias("rejected"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '任务排队中，等待开始' WHEN 1 THEN '429：请求频率或配额达到限制，可稍后继续' WHEN 2 THEN '任务异常：boom' WHEN 3 THEN '任务已中断，可继续' WHEN 4 THEN '翻译完成 (3/4)' ELSE '翻译 1/2' END AS message FROM orders")
-def task_messages(spark, sf_dir):
-    """What a list says of each task."""
-    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    none = F.lit(None).cast("string")
-    status = pick("queued", "running", "running", "interrupted", "success", "running")
-    made = model.task_message(status, pick("x", "", " boom ", "", "", ""), pick("", "HTTP 429", "HTTP 500", "", "", ""), none, pick("", "", "", "", "", "翻译 1/2"), F.lit(True), F.lit(3), F.lit(4))
-    return load(spark, sf_dir, "orders").select("o_orderkey", made["text"].alias("message"))
-
-
 @query("WITH b AS (SELECT item_id, text, string_split(text, ' ')[1] AS src FROM benchmark) SELECT item_id AS chunk_id, 5::BIGINT AS candidates, 3::BIGINT AS discarded FROM b WHERE src <> ''")
 def glossary_discards(spark, sf_dir):
     """Answers of five candidates a passage: two stand in it (one with a line end inside, both with spaces around)."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,15 +72,24 @@ def exclusive_prefix(df: DataFrame, group: list[str], order: str, value: str, ou
     Two levels (blocks of `width` orders, then the blocks), so that no task sees all rows of a long group.
     `order` must be unique in a group.
     """
-    block = F.floor(F.col(order) / width).alias("_block")
-    blocks = df.groupBy(*group, block).agg(F.sum(value).alias("_block_sum"))
-    by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    before = blocks.withColumn("_before", F.coalesce(F.sum("_block_sum").over(by_group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    made = before(df, group, order, {out: (F.sum, value)}, width)
+    return made.withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
+
+
+def before(df: DataFrame, group: list[str], order: str, values: dict[str, tuple[Callable[[str], Column], str]], width: int = 1024) -> DataFrame:
+    """Add columns: F.sum, F.max or F.min of another one over the rows before, as exclusive_prefix; null if there are none.
+
+    values: new column -> (the aggregate, the column it is of).
+    """
+    both = {F.sum: lambda a, b: F.coalesce(a + b, a, b), F.max: F.greatest, F.min: F.least}
+    blocks = df.groupBy(*group, F.floor(F.col(order) / width).alias("_block")).agg(*(how(c).alias(f"_{out}") for out, (how, c) in values.items()))
+    earlier = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(*group, "_block", *(how(f"_{out}").over(earlier).alias(f"_before_{out}") for out, (how, _) in values.items()))
     inner = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_block", F.floor(F.col(order) / width)).withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    rows = df.withColumn("_block", F.floor(F.col(order) / width)).select("*", *(how(c).over(inner).alias(f"_inner_{out}") for out, (how, c) in values.items()))
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "_block"]]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    joined = rows.alias("r").join(before.alias("b"), cond)
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_inner") + F.col("_before")).cast("long").alias(out))
+    joined = rows.alias("r").join(starts.alias("b"), cond)
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], *(both[how](F.col(f"_inner_{out}"), F.col(f"_before_{out}")).alias(out) for out, (how, _) in values.items()))

@@ -211,9 +211,6 @@ def test_runs(spark):
     frame = spark.createDataFrame(rows, "task_id long, sequence long, status string, error_message string")
     assert sorted(tuple(r)[:4] for r in runs.aborted(frame, 20).collect()) == [(1, 10, 3, 5), (2, 3, 0, None), (3, 1, 1, 0)]
     assert sorted(tuple(r)[:4] for r in runs.aborted(frame, 30).filter("task_id = 1").collect()) == [(1, 10, 3, None)]
-    events = [(1, 0, 0, 5, None), (1, 10, 1, 3, "a"), (1, 260, 2, 4, "b"), (1, 270, 3, 1, None), (1, 900, 4, 9, None)]
-    ticks = runs.coalesced_progress(spark.createDataFrame(events, "task_id long, at_ms long, sequence long, done long, retry string")).orderBy("tick").collect()
-    assert [tuple(r)[1:] for r in ticks] == [(0, 5, "a"), (1, 5, "b"), (3, 9, None)]
     assert values(spark, runs.poll_delay_ms(F.col("x")), 0, 2, 3, 60, schema="x int") == [2000, 8000, 10000, 10000]
     assert values(spark, catalog_edits.utf16_prefix(F.col("x"), F.lit(4)), "abcdef", "a😀😀", "ab. x", "") == ["abcd", "a😀", "ab", ""]
     assert values(spark, catalog_edits.sort_key(F.col("x")), " ガBき ", "abc") == ["ka bki ", "abc"]
