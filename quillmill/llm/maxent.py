@@ -50,7 +50,7 @@ LOG10 = np.log(10.0)
 
 
 class Shape(NamedTuple):
-    """Sizes of the model: the first `frequent` classes hold frequent words, one a slot."""
+    """Sizes of the model: the first `frequent` classes hold frequent words, one a slot. Classes and slots: multiples of eight."""
 
     classes: int = 32
     slots: int = 32
@@ -156,8 +156,8 @@ def untrained(counts: DataFrame, shape: Shape, share: int = 1 << 16) -> tuple[Mo
         sums[k] = r.c + 1
     with np.errstate(divide="ignore"):
         by = sums.reshape(shape.classes, shape.slots)
-        slot_share = np.where(by > 0, np.log(by) - np.log(np.maximum(by.sum(axis=1), 1e-300))[:, None], -1e9)
-        class_share = np.where(by.sum(axis=1) > 0, np.log(by.sum(axis=1)) - np.log(sums.sum()), -1e9)
+        slot_share = np.where(by > 0, np.log(by) - np.log(np.maximum(by.sum(axis=1), 1e-300))[:, None], -70)
+        class_share = np.where(by.sum(axis=1) > 0, np.log(by.sum(axis=1)) - np.log(sums.sum()), -70)
     rows = 1 << shape.bits
     empty = np.zeros((rows, shape.classes), np.float32), np.zeros((rows, shape.slots), np.float32)
     return Model(*empty, class_share.astype(np.float32), slot_share.astype(np.float32), sums, {r.word: k for k, r in enumerate(often)}), n, v
@@ -201,24 +201,31 @@ def logits(weights: np.ndarray, rows: np.ndarray, share: np.ndarray) -> np.ndarr
     return z
 
 
-def exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp(z) and its sums by row, and what was taken off z; rows are lowered by their largest only where they need it."""
+def exponents(z: np.ndarray) -> np.ndarray | float:
+    """Turns z into its exponents; what was taken off each row first: its largest, but only where exponents would overflow or vanish."""
     off: np.ndarray | float = 0.0
-    e = np.exp(np.minimum(z, 80))
-    sums = e.sum(axis=1)
-    if len(z) and (z.max() > 80 or sums.min() < 1e-25):
-        off = z.max(axis=1, keepdims=True)
-        e = np.exp(z - off)
-        sums, off = e.sum(axis=1), off[:, 0]
-    return e, sums, off
+    if len(z) and (z.max() > 80 or z.min() < -80):
+        off = z.max(axis=1)
+        z -= off[:, None]
+    np.exp(z, out=z)
+    return off
 
 
 def log_shares(weights: np.ndarray, rows: np.ndarray, share: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log-probability of the class, or slot, `at` of each token."""
     z = logits(weights, rows, share)
     own = z[np.arange(len(at)), at].astype(np.float64)
-    _, sums, off = exponents(z)
-    return own - off - np.log(sums.astype(np.float64))
+    off = exponents(z)
+    return own - off - np.log(z.sum(axis=1, dtype=np.float64))
+
+
+def ones_before(hit: np.ndarray) -> np.ndarray:
+    """How many of each row's flags are set; rows of a multiple of eight, fewer than 256 flags."""
+    words = hit.view(np.uint64).reshape(len(hit), -1)
+    total = words[:, 0].copy()
+    for k in range(1, words.shape[1]):
+        total += words[:, k]
+    return (total * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
 
 
 class Trainer:
@@ -230,15 +237,20 @@ class Trainer:
         self.squares = np.full(self.flat.shape, 0.1, np.float32)
         self.touched = np.zeros(len(weights), np.int64)
         self.rate, self.width = rate, weights.shape[1]
+        self.running = np.triu(np.ones((self.width, self.width), np.float32))
 
     def step(self, rows: np.ndarray, share: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> None:
-        e, whole, _ = exponents(logits(self.weights, rows, share))
+        e = logits(self.weights, rows, share)
+        exponents(e)
+        sums = e @ self.running  # of each row up to a column
         line = np.arange(len(at))
-        miss = 1 - e[line, at] / whole
-        e[line, at] = 0
-        sums = np.cumsum(e, axis=1, out=e)
-        drawn = np.minimum((sums <= (rng.random(len(at), np.float32) * sums[:, -1])[:, None]).sum(axis=1), self.width - 1)
-        miss[sums[:, -1] <= 0] = 0  # nothing to draw
+        own, whole = e[line, at], sums[:, -1]
+        # drawn among the others: what lies beyond the true class is reached by a step over it
+        mark = rng.random(len(at), np.float32) * (whole - own)
+        mark += np.where(mark >= sums[line, at] - own, own, np.float32(0))
+        drawn = np.minimum(ones_before(sums <= mark[:, None]), self.width - 1)
+        miss = 1 - own / whole
+        miss[drawn == at] = 0  # nothing else to draw
         base = rows * self.width
         index = np.concatenate([(base + at).ravel(), (base + drawn).ravel()])
         push = np.tile(miss, FEATURES)
@@ -253,7 +265,7 @@ def block_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return row["words"].values.to_numpy(), row["places"].values.to_numpy(), np.frombuffer(row["ids"].as_buffer(), np.int32), row["lengths"].values.to_numpy().astype(np.int64)
 
 
-def updates(held: DataFrame, shared: Broadcast, shape: Shape, part: int, rounds: int, rate: float, batch: int = 4096, chunk: int = 256) -> DataFrame:
+def updates(held: DataFrame, shared: Broadcast, shape: Shape, part: int, rounds: int, rate: float, batch: int = 8192, chunk: int = 256) -> DataFrame:
     """Columns CHUNKS: each task's weights after its share of the round's documents, and how often rows were updated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +349,7 @@ def train(held: DataFrame, counts: DataFrame, shape: Shape, scratch: Scratch, ro
     return model, n, v
 
 
-def scored(row: dict, c: np.ndarray, model: Model, shape: Shape, n: int, v: int, batch: int = 8192) -> pa.Table:
+def scored(row: dict, c: np.ndarray, model: Model, shape: Shape, n: int, v: int, batch: int = 4096) -> pa.Table:
     """A row for each text of a block; `c` are the corpus counts of its dictionary's entries."""
     words, places, ids, lengths = block_of(row)
     places = own_places(words, places, model.frequent)

@@ -17,7 +17,7 @@ from test_llm import SCHEMA, awkward_texts  # noqa: E402
 from quillmill.llm import maxent  # noqa: E402
 from quillmill.runtime import Scratch  # noqa: E402
 
-SMALL = maxent.Shape(classes=6, slots=4, frequent=2, bits=9)
+SMALL = maxent.Shape(classes=8, slots=8, frequent=2, bits=9)
 M64 = (1 << 64) - 1
 
 
