@@ -7,13 +7,11 @@ last part stays open and may take the next block.
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import blank, token_count
+from quillmill.functions.text import blank, once, token_count
 
 HARD_LIMIT = 2000
 
@@ -31,53 +29,74 @@ def line_blocks(docs: DataFrame, text: str = "text", limit: int | None = None) -
 
     block = pa.struct([("text", pa.string()), ("tokens", pa.int32()), ("breakable", pa.bool_()), ("starts", pa.bool_())])
 
-    def broken(texts: pa.Array) -> pa.Array:
+    def broken(lines: pa.Array) -> pa.Array:
         from quillmill.operators.splitting import count_tokens, split
 
-        def parts(whole: str | None) -> list[dict] | None:
-            if whole is None:
-                return None
-            lines = (split(line, limit) for line in re.split(r"(?<=\n)", whole) if line)
-            return [{"text": p, "tokens": count_tokens(p), "breakable": True, "starts": len(found) > 1} for found in lines for p in found]
+        def parts(line: str) -> list[dict]:
+            found = split(line, limit)
+            return [{"text": p, "tokens": count_tokens(p), "breakable": True, "starts": len(found) > 1} for p in found]
+
+        return pa.array([None if x is None else [parts(line) for line in x] for x in lines.to_pylist()], pa.list_(pa.list_(block)))
+
+    broken = F.arrow_udf(broken, "array<array<struct<text:string,tokens:int,breakable:boolean,starts:boolean>>>")
+    given = docs.select("doc_id", blocks.alias("_blocks"))
+    long = F.filter("_blocks", lambda b: b["tokens"] > limit)  # no other line reaches Python, and no text without one
+    given = given.select("doc_id", "_blocks", broken(F.when(F.size(long) > 0, F.transform(long, lambda b: b["text"]))).alias("_parts"))
+    places = F.filter(F.transform("_blocks", lambda b, i: F.when(b["tokens"] > limit, i)), lambda i: i.isNotNull())
 
-        return pa.array([parts(t) for t in texts.to_pylist()], pa.list_(block))
+    def put(at: Column) -> Column:
+        part = lambda b, i: F.when(b["tokens"] > limit, F.get("_parts", (F.array_position(at, i) - 1).cast("int"))).otherwise(F.array(b))
+        return F.flatten(F.transform("_blocks", part))
 
-    broken = F.arrow_udf(broken, "array<struct<text:string,tokens:int,breakable:boolean,starts:boolean>>")
-    given = docs.select("doc_id", F.col(text).alias("_text"), blocks.alias("_blocks"))
-    needed = F.exists("_blocks", lambda b: b["tokens"] > limit)  # other texts don't reach Python
-    return given.select("doc_id", F.coalesce(broken(F.when(needed, F.col("_text"))), F.col("_blocks")).alias("blocks"))
+    return given.select("doc_id", F.when(F.col("_parts").isNull(), F.col("_blocks")).otherwise(once(places, put)).alias("blocks"))
 
 
-def packed(blocks: Column, limit: int, hard_limit: int = HARD_LIMIT, parts: bool = False) -> Column:
-    """array<struct<tokens, n_blocks, alone>> of the chunks, in order; one empty chunk for no blocks. parts: blocks have `starts`."""
-    chunk = "array<struct<tokens:bigint,n_blocks:bigint,alone:boolean>>"
-    one = lambda tokens, n, alone: F.array(F.struct(tokens.cast("bigint").alias("tokens"), n.cast("bigint").alias("n_blocks"), alone.alias("alone"))).cast(chunk)
+def packed(blocks: Column, limit: int, hard_limit: int = HARD_LIMIT, parts: bool = False, width: int = 256) -> Column:
+    """array<struct<tokens, n_blocks, alone, first_block>> of the chunks, in order; one empty chunk for no blocks.
+
+    parts: blocks have `starts`. Chunks are gathered in pieces of `width`, as every addition to an array copies it.
+    """
+    chunk = "array<struct<tokens:bigint,n_blocks:bigint,alone:boolean,first_block:bigint>>"
+    empty, long = F.array().cast(chunk), lambda c: c.cast("bigint")
+    one = lambda tokens, n, alone, first: F.array(F.struct(long(tokens).alias("tokens"), long(n).alias("n_blocks"), F.lit(alone).alias("alone"), long(first).alias("first_block"))).cast(chunk)
 
     def step(acc: Column, b: Column) -> Column:
-        tokens, done, open_tokens, open_n = b["tokens"].cast("bigint"), acc["done"], acc["tokens"], acc["n"]
-        flushed = F.when(open_n > 0, F.concat(done, one(open_tokens, open_n, F.lit(False)))).otherwise(done)
+        tokens, n, first = long(b["tokens"]), acc["n"], acc["first"]
         alone = ~b["breakable"] & ((tokens > hard_limit) | (tokens > limit))
-        state = lambda d, t, n: F.struct(d.alias("done"), t.cast("bigint").alias("tokens"), n.cast("bigint").alias("n"))
-        return (
-            F.when(alone, state(F.concat(flushed, one(tokens, F.lit(1), F.lit(True))), F.lit(0), F.lit(0)))
-            .when((open_n > 0) & ((open_tokens + tokens > limit) | (b["starts"] if parts else F.lit(False))), state(flushed, tokens, F.lit(1)))
-            .otherwise(state(done, open_tokens + tokens, open_n + 1))
-        )
-
-    start = F.struct(F.array().cast(chunk).alias("done"), F.lit(0).cast("bigint").alias("tokens"), F.lit(0).cast("bigint").alias("n"))
-    last = lambda acc: F.when((acc["n"] > 0) | (F.size(acc["done"]) == 0), F.concat(acc["done"], one(acc["tokens"], acc["n"], F.lit(False)))).otherwise(acc["done"])
+        cut = (n > 0) & ((acc["tokens"] + tokens > limit) | (b["starts"] if parts else F.lit(False)))
+        open_ = F.when(n > 0, one(acc["tokens"], n, False, first)).otherwise(empty)
+        closed = F.when(alone, F.concat(open_, one(tokens, F.lit(1), True, first + n))).otherwise(open_)
+        full = F.size(acc["piece"]) >= width
+        kept = F.when(alone | cut, F.when(full, closed).otherwise(F.concat(acc["piece"], closed))).otherwise(acc["piece"])
+        return F.struct(
+            F.when((alone | cut) & full, F.concat(acc["done"], F.array(acc["piece"]))).otherwise(acc["done"]).alias("done"), kept.alias("piece"),
+            F.when(alone, F.lit(0)).when(cut, tokens).otherwise(acc["tokens"] + tokens).cast("bigint").alias("tokens"), F.when(alone, F.lit(0)).when(cut, F.lit(1)).otherwise(n + 1).cast("bigint").alias("n"),
+            F.when(alone, first + n + 1).when(cut, first + n).otherwise(first).cast("bigint").alias("first"),
+        )
+
+    start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), empty.alias("piece"), *(F.lit(0).cast("bigint").alias(c) for c in ("tokens", "n", "first")))
+
+    def last(acc: Column) -> Column:
+        none = (acc["n"] == 0) & (F.size(acc["piece"]) == 0) & (F.size(acc["done"]) == 0)
+        rest = F.when((acc["n"] > 0) | none, one(acc["tokens"], acc["n"], False, acc["first"])).otherwise(empty)
+        return F.flatten(F.concat(acc["done"], F.array(acc["piece"], rest)))
+
     return F.aggregate(blocks, start, step, last)
 
 
 def chunks(blocks: DataFrame, limit: int, hard_limit: int = HARD_LIMIT) -> DataFrame:
-    """A row per chunk: doc_id, sequence (from 0), tokens, n_blocks, first_block, text."""
+    """A row per chunk: doc_id, sequence (from 0), tokens, n_blocks, first_block, text.
+
+    Texts are made from a document's blocks in one pass, before it is spread over rows: no row carries the document.
+    """
     parts = "starts" in blocks.schema["blocks"].dataType.elementType.names
-    made = blocks.select("doc_id", "blocks", packed(F.col("blocks"), limit, hard_limit, parts).alias("made"))
-    rows = made.select("doc_id", "blocks", "made", F.posexplode("made").alias("sequence", "chunk"))
-    first = F.aggregate(F.slice("made", 1, F.col("sequence")), F.lit(0).cast("bigint"), lambda a, c: a + c["n_blocks"])
-    rows = rows.withColumn("first_block", first)
-    text = F.array_join(F.transform(F.slice("blocks", (F.col("first_block") + 1).cast("int"), F.col("chunk.n_blocks").cast("int")), lambda b: b["text"]), "")
-    return rows.select("doc_id", F.col("sequence").cast("long").alias("sequence"), "chunk.tokens", "chunk.n_blocks", "first_block", text.alias("text"))
+
+    def texts(of: Column) -> Column:
+        text = lambda c: F.array_join(F.transform(F.slice(of, (c["first_block"] + 1).cast("int"), c["n_blocks"].cast("int")), lambda b: b["text"]), "")
+        return F.transform(packed(of, limit, hard_limit, parts), lambda c: F.struct(c["tokens"].alias("tokens"), c["n_blocks"].alias("n_blocks"), c["first_block"].alias("first_block"), text(c).alias("text")))
+
+    rows = blocks.select("doc_id", F.posexplode(once(F.col("blocks"), texts)).alias("sequence", "chunk"))
+    return rows.select("doc_id", F.col("sequence").cast("long").alias("sequence"), "chunk.*")
 
 
 def all_blank(chunk_rows: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Packer, placeholders, glossary, tasks, model and telemetry operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +28,28 @@ def test_packer(spark, blocks, limit, want):
     assert [(r.tokens, r.n_blocks) for r in packer.chunks(frame, limit).orderBy("sequence").collect()] == want
 
 
+def test_packer_of_many_chunks(spark):
+    """More chunks than go into one piece of the fold, with and without blocks that stand alone: no block is lost."""
+    rng = random.Random(9)
+    given = [(f"{i} ", rng.choice([1, 3, 9, 14]), rng.random() < 0.8) for i in range(3000)]
+    frame = spark.createDataFrame([(1, given), (2, []), (3, None)], "doc_id long, blocks array<struct<text string, tokens int, breakable boolean>>")
+    want, tokens, at = [], 0, 0
+    for i, (_, n, breakable) in enumerate(given):
+        alone = not breakable and n > 10
+        if i > at and (alone or tokens + n > 10):
+            want.append((at, i))
+            at, tokens = i, 0
+        if alone:
+            want.append((i, i + 1))
+            at, tokens = i + 1, 0
+        else:
+            tokens += n
+    want += [(at, len(given))] if at < len(given) else []
+    rows = packer.chunks(frame, 10, hard_limit=12).filter("doc_id = 1").orderBy("sequence").collect()
+    assert len(rows) > 1000 and [(r.first_block, r.first_block + r.n_blocks) for r in rows] == want
+    assert [r.text for r in rows] == ["".join(t for t, _, _ in given[a:b]) for a, b in want]
+
+
 def test_last_split_part_stays_open():
     long = "one two three four five six seven. eight nine ten eleven twelve thirteen. "
     parts = splitting.chunked([(long, True), ("last", True)], 8)
