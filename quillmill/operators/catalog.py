@@ -107,17 +107,10 @@ def rebased(path: Column, old: str, new: str) -> Column:
 
 
 def safe_asset(path: Column) -> Column:
-    """A relative path without traversal, or null."""
-    clean = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(?:\./)+|/+(?=/)", "")
-    return F.when(~clean.rlike(r"^/|^[A-Za-z]:|(?:^|/)\.\.(?:/|$)|\p{Cntrl}") & (clean != ""), clean)
-
-
-def unique_assets(assets: DataFrame, group: str, path: str, order: str) -> DataFrame:
-    """Assets whose repeated paths get -2, -3, ... before their extension."""
-    n = F.row_number().over(Window.partitionBy(group, path).orderBy(order))
-    numbered = F.regexp_replace(F.col(path), r"(\.[^./]*)?$", "")
-    extension = F.regexp_extract(F.col(path), r"(\.[^./]*)$", 1)
-    return assets.withColumn(path, F.when(n == 1, F.col(path)).otherwise(F.concat(numbered, F.lit("-"), n.cast("string"), extension)))
+    """A path made relative, without empty and `.` parts; null if it leaves its folder or nothing is left."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    clean = F.array_join(parts, "/")
+    return F.when(~clean.rlike(r"^[A-Za-z]:|(?:^|/)\.\.(?:/|$)|\p{Cntrl}") & (clean != ""), clean)
 
 
 def media_type(path: Column) -> Column:

@@ -154,13 +154,5 @@ def utf16_prefix(text: Column, units: Column) -> Column:
     width = lambda c: (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
     step = lambda acc, c: F.struct((acc["n"] + width(c)).alias("n"), F.when(acc["n"] + width(c) <= units, acc["k"] + 1).otherwise(acc["k"]).alias("k"))
     characters = F.filter(F.split(text, ""), lambda c: c != "")
-    k = F.aggregate(characters, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), step, lambda acc: acc["k"])
+    k = F.when(F.octet_length(text) == F.length(text), units).otherwise(F.aggregate(characters, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), step, lambda acc: acc["k"]))
     return F.regexp_replace(F.left(text, k), r"[ .]+$", "")
-
-
-def allocated_paths(rows: DataFrame, directory: str, extension: str, name: str, order: str, limit: int = 240) -> DataFrame:
-    """rows with `path`: the first free of name, name-01, name-02, ... in the directory, within `limit` UTF-16 units."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    suffix = F.when(n == 0, "").otherwise(F.concat(F.lit("-"), F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(2)), F.lit("0"))))
-    room = F.lit(limit - len(directory.encode("utf-16-le")) // 2 - 2 - len(extension)) - F.length(suffix)
-    return rows.withColumn("_suffix", suffix).withColumn("path", F.concat(F.lit(f"{directory}/"), utf16_prefix(F.col(name), room), "_suffix", F.lit(f".{extension}"))).drop("_suffix")

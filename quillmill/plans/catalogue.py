@@ -445,12 +445,12 @@ def aimd_replay(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quillmill.plans import exchange, formats, lifecycle, running
+    from quillmill.plans import exchange, formats, lifecycle, names, running
 
-    return QUERIES | formats.QUERIES | exchange.QUERIES | lifecycle.QUERIES | running.QUERIES
+    return QUERIES | formats.QUERIES | exchange.QUERIES | lifecycle.QUERIES | running.QUERIES | names.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillmill.plans import exchange, formats, lifecycle, running
+    from quillmill.plans import exchange, formats, lifecycle, names, running
 
-    return SQL | formats.SQL | exchange.SQL | lifecycle.SQL | running.SQL
+    return SQL | formats.SQL | exchange.SQL | lifecycle.SQL | running.SQL | names.SQL

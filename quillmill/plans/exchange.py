@@ -98,12 +98,6 @@ def logprob_filter(spark, sf_dir):
     return kept.groupBy("user_id").agg(F.sum("k").alias("kept"))
 
 
-@query("SELECT p_partkey, CASE WHEN r = 1 THEN p_brand || '.png' ELSE p_brand || '-' || r || '.png' END AS path FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)")
-def unique_asset_paths(spark, sf_dir):
-    rows = load(spark, sf_dir, "part").select("p_partkey", F.lit(1).alias("g"), F.concat("p_brand", F.lit(".png")).alias("path"))
-    return catalog.unique_assets(rows, "g", "path", "p_partkey").select("p_partkey", "path")
-
-
 @query("SELECT s_suppkey AS id, CASE WHEN s_nationkey % 2 = 1 THEN s_nationkey - 1 ELSE s_nationkey END AS provider_id, request_name FROM (SELECT *, 'm' || s_suppkey % 4 AS request_name, s_nationkey % 2 = 1 AS dup FROM supplier) s WHERE NOT dup OR (NOT EXISTS (SELECT 1 FROM supplier k WHERE k.s_nationkey = s.s_nationkey - 1 AND 'm' || k.s_suppkey % 4 = s.request_name) AND s_suppkey = (SELECT min(k.s_suppkey) FROM supplier k WHERE k.s_nationkey = s.s_nationkey AND 'm' || k.s_suppkey % 4 = s.request_name))")
 def reparent_models(spark, sf_dir):
     """Models of odd providers move to the even one before, unless it has their name."""
@@ -112,7 +106,10 @@ def reparent_models(spark, sf_dir):
     return catalog.reparented(models, moves)
 
 
-@query("SELECT s_suppkey, contains(p, '..') = false AS safe FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'a/../b' ELSE './img/' || s_suppkey || '.png' END AS p FROM supplier)")
+@query("SELECT s_suppkey, contains(p, '..') = false AS safe, CASE WHEN NOT contains(p, '..') THEN 'img/' || s_suppkey || '.png' END AS path FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'a/../b' ELSE './img/' || s_suppkey || '.png' END AS p FROM supplier)")
 def safe_asset_paths(spark, sf_dir):
-    path = F.when(F.col("s_suppkey") % 3 == 0, "a/../b").otherwise(F.concat(F.lit("./img/"), F.col("s_suppkey"), F.lit(".png")))
-    return load(spark, sf_dir, "supplier").select("s_suppkey", catalog.safe_asset(path).isNotNull().alias("safe"))
+    """Paths as archives write them, with leading slashes, back slashes and empty parts; those that leave their folder are refused."""
+    begin = F.when(F.col("s_suppkey") % 3 == 1, "/./img\\\\").otherwise("./img/./")
+    path = F.when(F.col("s_suppkey") % 3 == 0, "a/../b").otherwise(F.concat(begin, F.col("s_suppkey"), F.lit(".png")))
+    clean = catalog.safe_asset(path)
+    return load(spark, sf_dir, "supplier").select("s_suppkey", clean.isNotNull().alias("safe"), clean.alias("path"))

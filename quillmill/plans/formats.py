@@ -75,13 +75,6 @@ def timed_units(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.array_join(placeholders.ordered_units(answer, F.lit(2)), "|").alias("units"))
 
 
-@query("SELECT doc_id, md5('see [x](new.png) and ![y](b.png \"t\") ' || lang || ' (a.png)') AS text_md5 FROM documents WHERE lang IS NOT NULL")
-def relinked_assets(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").filter("lang is not null").select("doc_id", F.concat(F.lit('see [x](a.png) and ![y](b.png "t") '), "lang", F.lit(" (a.png)")).alias("text"))
-    moves = docs.select("doc_id", F.lit("a.png").alias("old"), F.lit("new.png").alias("new"))
-    return placeholders.relinked(docs, moves).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
-
-
 @query("SELECT conv_id, turn, (coalesce(sum(length(role)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1)::BIGINT AS first_tag FROM conversations")
 def unit_tag_numbers(spark, sf_dir):
     """The numbers that units' tags get over a whole chunk (turns as units with as many tags as their role has letters)."""

@@ -182,12 +182,6 @@ def export_names(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", catalog_edits.export_name(given, F.lit("..."), F.lit("md")).alias("name"))
 
 
-@query("SELECT p_partkey, '/w/' || p_brand || CASE WHEN r = 1 THEN '' ELSE '-' || CASE WHEN r - 1 < 10 THEN '0' ELSE '' END || (r - 1) END || '.db' AS path FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)")
-def database_paths(spark, sf_dir):
-    rows = load(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return catalog_edits.allocated_paths(rows, "/w", "db", "p_brand", "p_partkey").select("p_partkey", "path")
-
-
 @query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false ELSE false END AS valid FROM customer")
 def target_language_syntax(spark, sf_dir):
     given = F.expr("CASE c_custkey % 6 WHEN 0 THEN 'zh-Hans-CN' WHEN 1 THEN 'Old Norse' WHEN 2 THEN 'toolongsubtag1' WHEN 3 THEN 'de' WHEN 4 THEN 'Français' ELSE 'en-' END")
