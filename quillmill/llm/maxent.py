@@ -2,8 +2,8 @@
 
 Tokens are the words of a text (runs of anything but ASCII white space, A-Z lower-cased) and one end. The probability of a
 token after its history is P(class) * P(slot in the class) * P(word in the slot). The first two are maximum-entropy
-models over the same features of the history: the n-grams (w-1) and (w-2, w-1) and the skips (w-2) and (w-3), each hashed
-to a row of weights (for slots together with the class). The last is the word's smoothed share of its slot. The most
+models over the same features of the history: the n-grams (w-1) and (w-2, w-1) and the skip (w-2), each hashed to a row
+of weights (for slots together with the class). The last is the word's smoothed share of its slot. The most
 frequent words have slots of their own, ordered by frequency; every other word, known or not, has a class by its ending
 and a slot by its beginning, so that forms and languages keep together and no word is left out. A slot holds one unknown
 word. All probabilities of a history sum to 1.
@@ -43,7 +43,7 @@ from quillmill.runtime import Scratch, partitions
 
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, words array<long>, places array<int>, counts array<long>"
 CHUNKS = "kind int, chunk int, touched binary, weights binary"
-FEATURES = 4
+FEATURES = 3
 END = b""  #: no word is empty
 START = np.uint64(0x9E3779B97F4A7C15)  #: what stands before a text
 LOG10 = np.log(10.0)
@@ -173,18 +173,18 @@ def own_places(words: np.ndarray, places: np.ndarray, frequent: dict[int, int])
 
 
 def histories(words: np.ndarray, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Four rows of feature hashes, a column for each token: (w-1), (w-2, w-1), (w-2), (w-3). `begins`: where texts begin."""
+    """Three rows of feature hashes, a column for each token: (w-1), (w-2, w-1), (w-2). `begins`: where texts begin."""
     h = mixed(words.view(np.uint64))[ids]
     back = []
     edge = np.zeros(len(ids), np.int64)
     edge[begins] = begins
     edge = np.arange(len(ids)) - np.maximum.accumulate(edge)  # tokens of the text before this one
-    for k in (1, 2, 3):
+    for k in (1, 2):
         b = np.full(len(ids), START)
         b[k:] = np.where(edge[k:] >= k, h[:-k], START) if k < len(ids) else START
         back.append(b)
-    one, two, three = back
-    return np.stack([one * np.uint64(3), mixed(one + np.uint64(5) * two), two * np.uint64(7) + np.uint64(1), three * np.uint64(11) + np.uint64(2)])
+    one, two = back
+    return np.stack([one * np.uint64(3), mixed(one + np.uint64(5) * two), two * np.uint64(7) + np.uint64(1)])
 
 
 def rows_of(features: np.ndarray, group: np.ndarray | None, bits: int) -> np.ndarray:
@@ -234,7 +234,7 @@ class Trainer:
     def __init__(self, weights: np.ndarray, rate: float):
         self.weights = weights.copy()
         self.flat = self.weights.reshape(-1)
-        self.squares = np.full(self.flat.shape, 0.1, np.float32)
+        self.squares = np.full(len(weights), 0.1, np.float32)  # of a row's pushes
         self.touched = np.zeros(len(weights), np.int64)
         self.rate, self.width = rate, weights.shape[1]
         self.running = np.triu(np.ones((self.width, self.width), np.float32))
@@ -251,12 +251,11 @@ class Trainer:
         drawn = np.minimum(ones_before(sums <= mark[:, None]), self.width - 1)
         miss = 1 - own / whole
         miss[drawn == at] = 0  # nothing else to draw
+        np.add.at(self.squares, rows.ravel(), np.tile(miss * miss, FEATURES))
+        push = (self.rate * miss / np.sqrt(self.squares[rows])).ravel()
         base = rows * self.width
-        index = np.concatenate([(base + at).ravel(), (base + drawn).ravel()])
-        push = np.tile(miss, FEATURES)
-        push = np.concatenate([push, -push])
-        np.add.at(self.squares, index, push * push)
-        np.add.at(self.flat, index, self.rate * push / np.sqrt(self.squares[index]))
+        np.add.at(self.flat, (base + at).ravel(), push)
+        np.add.at(self.flat, (base + drawn).ravel(), -push)
         self.touched += np.bincount(rows.ravel(), minlength=len(self.touched))
 
 
@@ -330,7 +329,7 @@ def averaged(parts: DataFrame) -> DataFrame:
     return parts.repartition(partitions(parts.sparkSession), "kind", "chunk").sortWithinPartitions("kind", "chunk").mapInArrow(run, CHUNKS)
 
 
-def train(held: DataFrame, counts: DataFrame, shape: Shape, scratch: Scratch, rounds: int = 2, rate: float = 0.1, task_tokens: int = 10_000_000) -> tuple[Model, int, int]:
+def train(held: DataFrame, counts: DataFrame, shape: Shape, scratch: Scratch, rounds: int = 2, rate: float = 0.3, task_tokens: int = 10_000_000) -> tuple[Model, int, int]:
     """The model, the number of training tokens and of their distinct words."""
     spark = held.sparkSession
     model, n, v = untrained(counts, shape)
@@ -359,7 +358,7 @@ def scored(row: dict, c: np.ndarray, model: Model, shape: Shape, n: int, v: int,
     score = np.empty(len(ids))
     step = 1 << 18
     for lo in range(0, len(ids), step):
-        hi, before = min(lo + step, len(ids)), max(lo - 3, 0)
+        hi, before = min(lo + step, len(ids)), max(lo - 2, 0)
         inside = begins[(begins >= before) & (begins < hi)] - before
         if before and (not len(inside) or inside[0]):  # the text that is cut goes on: what stands before is as far as features reach
             inside = np.append(0, inside)

@@ -54,10 +54,10 @@ def mix(h):
 
 def plain(model, counts, n, v, history):
     """Probability of each known word and of the unknown word of each slot after a history, one by one."""
-    back = [mix(maxent.xxh3_64_intdigest(w)) for w in reversed(history[-3:])]
-    back += [int(maxent.START)] * (3 - len(back))
-    one, two, three = back
-    features = [one * 3 & M64, mix((one + 5 * two) & M64), (two * 7 + 1) & M64, (three * 11 + 2) & M64]
+    back = [mix(maxent.xxh3_64_intdigest(w)) for w in reversed(history[-2:])]
+    back += [int(maxent.START)] * (2 - len(back))
+    one, two = back
+    features = [one * 3 & M64, mix((one + 5 * two) & M64), (two * 7 + 1) & M64]
 
     def rows(group):
         h = [f if group is None else (f + group * 0xD6E8FEB86659FD93) & M64 for f in features]
@@ -145,7 +145,7 @@ def test_long_text_in_parts(trained, monkeypatch):
     begins = np.array([0, 10, 11, 2000])
     whole = maxent.histories(words, ids, begins)
     for lo in (1, 2, 9, 10, 11, 12, 13, 1999, 2001, 2003):
-        before = max(lo - 3, 0)
+        before = max(lo - 2, 0)
         inside = begins[begins >= before] - before
         if before and (not len(inside) or inside[0]):
             inside = np.append(0, inside)
