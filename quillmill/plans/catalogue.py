@@ -327,14 +327,23 @@ def error_classifier(spark, sf_dir):
     return rows.groupBy("e.kind", "e.severity", "e.text").agg(F.count("*").alias("n"))
 
 
-@query("SELECT s AS status, CASE WHEN s = 429 THEN 'rate-limited' WHEN s IN (408, 499) OR s >= 500 THEN 'transient' WHEN s >= 400 THEN 'permanent' ELSE 'ok' END AS kind FROM range(200, 600) t(s)")
+@query("SELECT event_id, CASE WHEN s = 429 THEN 'rate-limited' WHEN s IN (408, 499) OR s >= 500 THEN 'transient' WHEN s >= 400 THEN 'permanent' ELSE 'ok' END AS kind FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 400 + floor(value)::BIGINT % 200 ELSE 200 END AS s FROM events)")
 def http_retryable(spark, sf_dir):
-    return spark.range(200, 600).select(F.col("id").alias("status"), T.http_class(F.col("id")).alias("kind"))
+    """What the status of each reply means; errors have one that follows from their value."""
+    status = F.when(F.col("event_type") == "error", 400 + F.floor("value") % 200).otherwise(200)
+    return load(spark, sf_dir, "events").select("event_id", T.http_class(status).alias("kind"))
 
 
-@query("SELECT a AS attempt, least(ceil(1500.0::DOUBLE * pow(1.5::DOUBLE, least(a, 32)))::BIGINT, 12000) AS delay_ms FROM range(0, 40) t(a)")
+_ATTEMPT = "row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1"
+
+
+@query(f"SELECT event_id, least(CASE WHEN event_type = 'signup' THEN floor(value * 50)::BIGINT ELSE ceil(1500.0::DOUBLE * pow(1.5::DOUBLE, least(a, 32)))::BIGINT END, 12000) AS delay_ms FROM (SELECT *, {_ATTEMPT} AS a FROM events)")
 def backoff_schedule(spark, sf_dir):
-    return spark.range(40).select(F.col("id").alias("attempt"), T.retry_delay_ms(F.col("id")).cast("long").alias("delay_ms"))
+    """The wait before each retry of a user's kind of request; some replies name their own."""
+    order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    rows = load(spark, sf_dir, "events").withColumn("a", F.row_number().over(order) - 1)
+    hint = F.when(F.col("event_type") == "signup", F.floor(F.col("value") * 50).cast("long"))
+    return rows.select("event_id", T.retry_delay_ms(F.col("a"), hint).cast("long").alias("delay_ms"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus <> 'P', o_orderkey) AS position FROM orders")

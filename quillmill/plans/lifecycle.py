@@ -85,9 +85,11 @@ def retranslation_reset(spark, sf_dir):
     return runs.reset(rows)
 
 
-@query("SELECT a AS attempt, least(2000 * pow(2, a), 10000)::BIGINT AS delay_ms FROM range(0, 30) t(a)")
+@query("SELECT event_id, least(2000 * pow(2, least(a, 32)), 10000)::BIGINT AS delay_ms FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS a FROM events)")
 def poll_delays(spark, sf_dir):
-    return spark.range(30).select(F.col("id").alias("attempt"), runs.poll_delay_ms(F.col("id")).alias("delay_ms"))
+    """The wait before each of a user's questions after a job."""
+    rows = load(spark, sf_dir, "events").withColumn("a", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    return rows.select("event_id", runs.poll_delay_ms(F.col("a")).alias("delay_ms"))
 
 
 @query(f"WITH {_GEN} SELECT task_id, md5(string_agg(CASE WHEN translated_text = '' THEN source_text ELSE translated_text END, '' ORDER BY sequence)) AS text_md5 FROM gen GROUP BY 1")
