@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import truncated_finish
-from quillmill.operators import catalog, protocols
+from quillmill.operators import bodies, catalog, protocols
 from quillmill.runtime import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,24 @@ def safe_asset_paths(spark, sf_dir):
     path = F.when(F.col("s_suppkey") % 3 == 0, "a/../b").otherwise(F.concat(begin, F.col("s_suppkey"), F.lit(".png")))
     clean = catalog.safe_asset(path)
     return load(spark, sf_dir, "supplier").select("s_suppkey", clean.isNotNull().alias("safe"), clean.alias("path"))
+
+
+@query("""WITH b AS (SELECT p_partkey AS k, json_object('model', p_name, 'temperature', p_size, 'options', json_object('num', p_partkey, 'tags', json_array(p_brand, p_size)), 'extra', json_object('type', p_type)) AS base,
+  CASE p_partkey % 5 WHEN 0 THEN json_object('options', json_object('num', p_size, 'top', json_object('k', p_brand))) WHEN 1 THEN json_object('options', p_type) WHEN 2 THEN json_object('options', json_object('tags', json_array(9)), 'extra', json_object('deep', json_object('er', json_object('x', p_name)))) WHEN 3 THEN json_object('temperature', json_object('low', p_size)) ELSE '{}'::JSON END AS change FROM part),
+ m AS (SELECT k, json_merge_patch(base, change) AS m FROM b)
+ SELECT k AS p_partkey, m->>'$.model' AS model, m->>'$.temperature' AS temperature, m->>'$.temperature.low' AS low, m->>'$.options.num' AS num, m->>'$.options.tags' AS tags, m->>'$.options.top.k' AS top, CASE WHEN json_type(m, '$.options') <> 'OBJECT' THEN m->>'$.options' END AS options, m->>'$.extra.type' AS type, m->>'$.extra.deep.er.x' AS deep FROM m""")
+def merged_bodies(spark, sf_dir):
+    """Bodies of requests with parameters of one's own, which can't set the model."""
+    p = load(spark, sf_dir, "part")
+    obj = lambda **f: F.struct(*(c.alias(n) for n, c in f.items()))
+    col, kind = F.col, F.col("p_partkey") % 5
+    base = F.to_json(obj(model=col("p_name"), temperature=col("p_size"), options=obj(num=col("p_partkey"), tags=F.array("p_brand", col("p_size").cast("string"))), extra=obj(type=col("p_type"))))
+    base = F.regexp_replace(base, r'"tags":\["([^"]*)","(\d+)"\]', '"tags":["$1",$2]')
+    change = F.when(kind == 0, F.to_json(obj(options=obj(num=col("p_size"), top=obj(k=col("p_brand"))), model=F.lit("other")))).when(kind == 1, F.to_json(obj(options=col("p_type"), messages=F.lit("x"))))
+    change = change.when(kind == 2, F.to_json(obj(options=obj(tags=F.array(F.lit(9))), extra=obj(deep=obj(er=obj(x=col("p_name"))))))).when(kind == 3, F.to_json(obj(temperature=obj(low=col("p_size")), stream=F.lit(True)))).otherwise("{}")
+    made = bodies.merged(p.select("p_partkey", base.alias("base"), change.alias("change")), "p_partkey", "base", "change")
+    at = lambda path, n: F.get_json_object("merged", path).alias(n)
+    return made.select(
+        "p_partkey", at("$.model", "model"), at("$.temperature", "temperature"), at("$.temperature.low", "low"), at("$.options.num", "num"), at("$.options.tags", "tags"), at("$.options.top.k", "top"),
+        F.when(~F.get_json_object("merged", "$.options").startswith("{"), F.get_json_object("merged", "$.options")).alias("options"), at("$.extra.type", "type"), at("$.extra.deep.er.x", "deep"),
+    )
