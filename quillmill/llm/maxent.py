@@ -18,7 +18,7 @@ word. All probabilities of a history sum to 1.
 4. Blocks are cogrouped with their dictionaries' counts and scored in sparse numpy batches: a token reads its features'
    rows only.
 
-Weights are of fixed size (`Shape`), about 17 MB, whatever the input. Words are known by 64-bit hashes: two given words
+Weights are of fixed size (`Shape`), about 8 MB, whatever the input. Words are known by 64-bit hashes: two given words
 are taken for one with a probability of 2 ** -64. Random draws are seeded by the block, so a task done again gives the same.
 
 Null and empty texts, and texts of white space, hold the end alone. Very long texts are scored whole. Equal rows count each
