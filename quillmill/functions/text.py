@@ -161,10 +161,11 @@ def trim_parts(text: Column) -> Column:
 
 def line_ranges(text: Column) -> Column:
     """array<struct<start, end>> of a text's lines in characters, without their line ends; an empty last line is none."""
-    lines = F.filter(F.split(text, r"(?<=\n)"), lambda x: x != "")
-    kind = "array<struct<start:bigint,end:bigint>>"
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(F.regexp_replace(x, r"\r?\n\z", ""))).alias("end"))).cast(kind)).alias("out"))
-    return F.aggregate(lines, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out")), lambda acc, x: step(acc, x).cast(f"struct<at:bigint,out:{kind}>"), lambda acc: acc["out"])
+    from quillmill.functions.arrays import running
+
+    lines = F.transform(F.filter(F.split(text, r"(?<=\n)"), lambda x: x != ""), lambda x: F.struct(x.alias("text")))
+    placed = running(lines, "text:string", lambda x: F.length(x["text"]).cast("bigint"), lambda a, b: a + b, "bigint")
+    return F.transform(placed, lambda p: F.struct(p["before"].alias("start"), (p["before"] + F.length(F.regexp_replace(p["item"]["text"], r"\r?\n\z", ""))).alias("end")))
 
 
 def sanitised_stem(name: Column, fallback: str = "untitled") -> Column:

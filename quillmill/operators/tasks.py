@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
-from quillmill.functions.text import normalise_language, trimmed
+from quillmill.functions.text import blank, normalise_language, token_count, token_prefix, trimmed
+from quillmill.runtime import exclusive_prefix
 
 TERMINAL = ("success", "failed", "interrupted")
 
@@ -170,7 +171,34 @@ def neighbours(chunks: DataFrame, key: str = "task_id") -> DataFrame:
 
 
 def background(chunks: DataFrame, key: str, target: int = 1000) -> DataFrame:
-    """The leading non-blank chunks of each group until their tokens reach the target: key, sequence, tokens, before."""
-    order = Window.partitionBy(key).orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    kept = chunks.filter(F.col("source_text").rlike(r"\S")).withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    return kept.filter(F.col("before") < target)
+    """The leading non-blank chunks of each group until their tokens reach the target: key, sequence, tokens, before.
+
+    The running sum goes over blocks of chunks and then inside them, so that a long group isn't one task. Texts are joined
+    with white space between them, which no token spans: their tokens add up to those of the joined text.
+    """
+    kept = chunks.filter(~blank(F.col("source_text")) & F.col("sequence").isNotNull())
+    return exclusive_prefix(kept, [key], "sequence", "tokens", "before").filter(F.col("before") < target)
+
+
+def global_background(chunks: DataFrame, key: str, target: int = 1000) -> DataFrame:
+    """key, background: the trimmed texts of a group's first chunks, a blank line between them, cut to `target` tokens.
+
+    chunks: key, sequence (unique in a group, from 0), source_text. A group of blank chunks alone has an empty background.
+    """
+    counted = chunks.select(key, "sequence", trimmed(F.col("source_text")).alias("source_text")).withColumn("tokens", token_count(F.coalesce("source_text", F.lit(""))).cast("long"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("sequence", "source_text"))), lambda x: x["source_text"])  # `target` chunks at most
+    made = background(counted, key, target).groupBy(key).agg(token_prefix(F.array_join(texts, "\n\n"), target).alias("background"))
+    return chunks.select(key).distinct().join(made, key, "left").select(key, F.coalesce("background", F.lit("")).alias("background"))
+
+
+def with_background(tasks: DataFrame, chunks: DataFrame, key: str, target: int = 1000) -> DataFrame:
+    """tasks (key, enabled, global_background) with the background that is stored afterwards, and the one that is `used`.
+
+    Only enabled tasks without a stored one get one; an empty one is stored, too, so that it isn't made again. A blank one,
+    and one that isn't enabled, isn't used.
+    """
+    asked = tasks.filter(F.col("enabled") & F.col("global_background").isNull()).select(key)
+    made = global_background(chunks.join(asked, key, "left_semi"), key, target).withColumnRenamed("background", "_made")
+    stored = F.coalesce("global_background", F.when(F.col("enabled"), F.coalesce("_made", F.lit(""))))
+    rows = tasks.join(made, key, "left").withColumn("global_background", stored).drop("_made")
+    return rows.withColumn("used", F.when(F.col("enabled") & ~blank(F.col("global_background")), F.col("global_background")))
