@@ -14,7 +14,8 @@ Euclidean distance between unit vectors' directions, with the norm as a further
 
 Vectors that are null, empty, all zero, hold null or non-finite components, or have no vec_id take no part. A vec_id on
 several rows counts each; ties go to the smaller vec_id. Vectors of differing length are compared within their own
-length: lengths of few vectors are compared whole, each other length has an index of its own. An empty table gives an
+length, and each length has an index of its own. A length of at most 4 * (k + 1) distinct vectors is one list: any fewer
+than k + 1 to each of four lists could not even fill a result. An empty table gives an
 empty result. Further columns, whatever their names, have no effect.
 """
 
@@ -317,7 +318,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int
     asked_rows = scratch.write(usable(queries).withColumn("qid", F.xxhash64("v")), "queries")
     asked = asked_rows.select("v", "qid").distinct().withColumn("dim", F.size("v"))
     sizes = base.groupBy("dim").agg(F.count("*").alias("n"))
-    large = [(r["dim"], r["n"]) for r in sizes.filter(F.col("n") > 4 * bucket_rows).orderBy("dim").collect()]  # each of many vectors
+    large = [(r["dim"], r["n"]) for r in sizes.filter(F.col("n") > 4 * (k + 1)).orderBy("dim").collect()]  # a list would be a handful of vectors
     rest = ~F.col("dim").isin([d for d, _ in large])
     few = asked.filter(rest).select("v", "qid", F.array(F.lit(0)).alias("lists"), "dim")
     hits = few.groupBy("dim").cogroup(base.filter(rest).select("v", "vid", F.col("ids")[0].alias("first"), F.lit(0).alias("list"), "dim").groupBy("dim")).applyInArrow(scanner(None, k), HITS)

@@ -347,6 +347,20 @@ def test_neighbours_of_many_components_and_lengths(spark):
         assert [n for _, n in sorted(got[q])] == best
 
 
+def test_few_vectors_go_through_lists_too(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(600, 24)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    made, fit = [], neighbours.sample_index
+    monkeypatch.setattr(neighbours, "sample_index", lambda *args, **more: made.append(fit(*args, **more)) or made[-1])
+    got: dict = {}
+    for r in neighbours.search(frame, frame.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(made) == 1 and len(made[0][0].points) > 40
+    exact = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(exact, -np.inf)
+    assert sum(len(got[q] & set(np.argsort(-exact[q])[:20].tolist())) for q in got) >= 0.9 * 20 * len(got) and len(got) == 30
+
+
 def test_pii(docs, empty):
     texts = awkward_texts()
     for r in pii.digest(docs).collect():
