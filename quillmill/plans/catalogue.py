@@ -454,12 +454,12 @@ def aimd_replay(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quillmill.plans import assembly, exchange, formats, lifecycle, names, running
+    from quillmill.plans import assembly, exchange, formats, lifecycle, names, providers, running
 
-    return QUERIES | formats.QUERIES | exchange.QUERIES | lifecycle.QUERIES | running.QUERIES | names.QUERIES | assembly.QUERIES
+    return QUERIES | formats.QUERIES | exchange.QUERIES | lifecycle.QUERIES | running.QUERIES | names.QUERIES | assembly.QUERIES | providers.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillmill.plans import assembly, exchange, formats, lifecycle, names, running
+    from quillmill.plans import assembly, exchange, formats, lifecycle, names, providers, running
 
-    return SQL | formats.SQL | exchange.SQL | lifecycle.SQL | running.SQL | names.SQL | assembly.SQL
+    return SQL | formats.SQL | exchange.SQL | lifecycle.SQL | running.SQL | names.SQL | assembly.SQL | providers.SQL
