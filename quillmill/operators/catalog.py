@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmill.functions.text import url_host
+
 
 def for_purpose(providers: DataFrame, purposes: DataFrame, purpose: str) -> DataFrame:
     """Distinct providers that serve a purpose."""
@@ -120,11 +122,37 @@ def media_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("application/octet-stream"))
 
 
-def capabilities(models: DataFrame, rules: DataFrame) -> DataFrame:
-    """Models with the capability of the first rule (rank, pattern, capability) whose pattern begins their name."""
-    named = models.join(rules, F.lower("request_name").startswith(rules.pattern), "left")
-    best = named.groupBy(*models.columns).agg(F.min_by("capability", "rank").alias("capability"))
-    return best.withColumn("capability", F.coalesce("capability", F.lit("text")))
+def capabilities(models: DataFrame, rules: DataFrame, fallback: str = "text", longest: int = 256) -> DataFrame:
+    """models (request_name, and base_url if rules have hosts) with the capability of the first rule that holds, by rank.
+
+    rules: rank, pattern, capability, and maybe `how` ("begins", else "holds") and `host`. A rule holds if the name, in
+    any case, begins with or holds its pattern, and the model's host is the rule's, if it has one; a rule without a
+    pattern goes by its host alone. Equal models are one row.
+
+    Names are looked up by their pieces of the lengths that patterns have (at most `longest` characters, so as many
+    lengths), hosts by themselves: equal keys meet, no rule is tried on all models.
+    """
+    given = rules.withColumn("how", F.col("how") if "how" in rules.columns else F.lit("begins")).withColumn("host", F.lower("host") if "host" in rules.columns else F.lit(None).cast("string"))
+    how = F.when(F.coalesce("pattern", F.lit("")) == "", "host").when(F.col("how") == "begins", "begins").otherwise("holds")
+    given = given.select(how.alias("_how"), F.when(how == "host", F.col("host")).otherwise(F.lower("pattern")).alias("_piece"), F.when(how != "host", F.col("host")).alias("_host"), "rank", F.col("capability").alias("_capability"))
+    sizes: dict[str, list[int]] = {"begins": [], "holds": []}
+    for r in given.filter("_how <> 'host'").select("_how", F.length("_piece").alias("n")).distinct().collect():  # `longest` each at most
+        sizes[r["_how"]].append(r["n"])
+    if any(n > longest for of in sizes.values() for n in of):
+        raise ValueError(f"patterns have at most {longest} characters")
+    name, host = F.lower(F.coalesce("request_name", F.lit(""))), url_host(F.col("base_url")) if "base_url" in models.columns else F.lit(None).cast("string")
+    piece = lambda kind, text: F.struct(F.lit(kind).alias("_how"), text.alias("_piece"))
+    begins = [piece("begins", F.substring(name, 1, n)) for n in sorted(sizes["begins"])]
+
+    def inside(n: int) -> Column:
+        starts = F.when(F.length(name) >= n, F.sequence(F.lit(1), F.length(name) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: piece("holds", F.substring(name, i, F.lit(n))))
+
+    keys = F.array_distinct(F.concat(F.array(piece("host", F.coalesce(host, F.lit(""))), *begins), *map(inside, sorted(sizes["holds"]))))
+    met = models.select("*", host.alias("_own"), F.explode(keys).alias("_key")).select("*", "_key._how", "_key._piece")
+    found = met.join(given, ["_how", "_piece"], "left").withColumn("_fits", F.col("_capability").isNotNull() & (F.col("_host").isNull() | F.coalesce(F.col("_host") == F.col("_own"), F.lit(False))))
+    best = found.groupBy(*models.columns).agg(F.min_by("_capability", F.when(F.col("_fits"), F.col("rank"))).alias("capability"))
+    return best.withColumn("capability", F.coalesce("capability", F.lit(fallback)))
 
 
 def deep_merged(base: object, change: object, protected: tuple[str, ...] = ()) -> object:

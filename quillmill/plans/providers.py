@@ -130,3 +130,19 @@ def rate_labels(spark, sf_dir):
     limits = F.struct(left(3).alias("request_remaining"), left(5).alias("request_limit"), left(7).alias("token_remaining"), left(11).alias("token_limit"))
     lines = load(spark, sf_dir, "lineitem").withColumn("limits", limits)
     return lines.select("l_orderkey", "l_linenumber", protocols.rate_label(F.col("limits"), F.col("l_linenumber"), F.lit(60), F.col("l_suppkey"), F.lit(9000)).alias("label"))
+
+
+_RULED = """r AS (SELECT s_suppkey AS rank, CASE s_suppkey % 4 WHEN 0 THEN '' ELSE lower(CASE WHEN s_suppkey % 2 = 0 THEN p_type[1:3] || substr(p_type, 4) || ' ' || p_name[1:2] ELSE p_name[2:6] END) END AS pattern, CASE WHEN s_suppkey % 2 = 0 THEN 'begins' ELSE 'holds' END AS how, CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 THEN 'h' || s_suppkey % 60 || '.example' END AS host FROM supplier JOIN part ON p_partkey = s_suppkey)"""
+
+
+@query(f"""WITH {_RULED}, m AS (SELECT p_partkey::VARCHAR AS id, lower(p_type || ' ' || p_name) AS name, 'h' || p_size || '.example' AS host FROM part)
+ SELECT id, coalesce(arg_min('c' || rank, rank), 'text') AS capability FROM m LEFT JOIN r ON (r.host IS NULL OR r.host = m.host) AND (r.pattern = '' OR CASE r.how WHEN 'begins' THEN starts_with(m.name, r.pattern) ELSE contains(m.name, r.pattern) END) GROUP BY 1""")
+def capability_rules(spark, sf_dir):
+    """Models and the first of the rules by host, by how a name begins and by what it holds (suppliers, with the names of parts)."""
+    part, key = load(spark, sf_dir, "part"), F.col("s_suppkey")
+    named = F.lower(F.when(key % 2 == 0, F.concat_ws(" ", "p_type", F.substring("p_name", 1, 2))).otherwise(F.substring("p_name", 2, 5)))
+    pattern = F.when(key % 4 == 0, "").otherwise(named)
+    host = F.when((key % 4 == 0) | (key % 5 == 0), F.concat(F.lit("h"), key % 60, F.lit(".example")))
+    rules = load(spark, sf_dir, "supplier").join(part, key == F.col("p_partkey")).select(key.alias("rank"), pattern.alias("pattern"), F.when(key % 2 == 0, "begins").otherwise("holds").alias("how"), host.alias("host"), F.concat(F.lit("c"), key).alias("capability"))
+    given = part.select(F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("request_name"), F.concat(F.lit("https://H"), "p_size", F.lit(".example:8080/v1")).alias("base_url"))
+    return catalog.capabilities(given, rules).select("id", "capability")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillmill.functions import positions
-from quillmill.operators import replacements, tasks
+from quillmill.operators import catalog, replacements, tasks
 
 PIECES = "block long, sequence long, ord int, whole boolean, text string, nodes array<struct<node:int,text:string>>, node string"
 
@@ -107,3 +107,12 @@ def test_background(spark):
     given = spark.createDataFrame([(1, True, None), (2, True, None), (3, False, None), (4, True, ""), (5, True, None), (6, False, "k"), (7, True, "k")], "id long, enabled boolean, global_background string")
     got = {r.id: (r.global_background, r.used) for r in tasks.with_background(given, chunks, "id", 2).collect()}
     assert got == {1: ("a b", "a b"), 2: ("", None), 3: (None, None), 4: ("", None), 5: ("", None), 6: ("k", None), 7: ("k", "k")}
+
+
+def test_capability_rules(spark):
+    rules = [(1, "vision", "", "begins", "a.b"), (2, "video", "Vid", "holds", None), (3, "code", "co", "begins", "c.d"), (4, "other", None, "begins", "x.y"), (5, "late", "id", "holds", "")]
+    table = spark.createDataFrame(rules, "rank int, capability string, pattern string, how string, host string").withColumn("host", F.nullif("host", F.lit("")))
+    given = [("my-VIDEO", "https://z"), ("coder", "https://u:p@C.D:1/x"), ("coder", "https://e"), ("any", "http://A.B"), (None, None), ("id", "no url"), ("", "https://x.y")]
+    got = {tuple(r)[:2]: r.capability for r in catalog.capabilities(spark.createDataFrame(given, "request_name string, base_url string"), table).collect()}
+    assert [got[g] for g in given] == ["video", "code", "text", "vision", "text", "late", "other"]
+    assert catalog.capabilities(spark.createDataFrame(given, "request_name string, base_url string"), table.filter("false")).filter("capability = 'text'").count() == len(given)
