@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import copy
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions.text import url_host
+from quillmill.runtime import Scratch, partitions
 
 
 def for_purpose(providers: DataFrame, purposes: DataFrame, purpose: str) -> DataFrame:
@@ -122,7 +124,7 @@ def media_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("application/octet-stream"))
 
 
-def capabilities(models: DataFrame, rules: DataFrame, fallback: str = "text", longest: int = 256) -> DataFrame:
+def capabilities(models: DataFrame, rules: DataFrame, fallback: str = "text", longest: int = 256, most_sent: int = 300_000) -> DataFrame:
     """models (request_name, and base_url if rules have hosts) with the capability of the first rule that holds, by rank.
 
     rules: rank, pattern, capability, and maybe `how` ("begins", else "holds") and `host`. A rule holds if the name, in
@@ -130,29 +132,38 @@ def capabilities(models: DataFrame, rules: DataFrame, fallback: str = "text", lo
     pattern goes by its host alone. Equal models are one row.
 
     Names are looked up by their pieces of the lengths that patterns have (at most `longest` characters, so as many
-    lengths), hosts by themselves: equal keys meet, no rule is tried on all models.
+    lengths), hosts by themselves: equal keys meet, at most one rule a key, so no rule is tried on all models. Up to
+    `most_sent` rules that are left then go to all executors.
     """
     given = rules.withColumn("how", F.col("how") if "how" in rules.columns else F.lit("begins")).withColumn("host", F.lower("host") if "host" in rules.columns else F.lit(None).cast("string"))
     how = F.when(F.coalesce("pattern", F.lit("")) == "", "host").when(F.col("how") == "begins", "begins").otherwise("holds")
-    given = given.select(how.alias("_how"), F.when(how == "host", F.col("host")).otherwise(F.lower("pattern")).alias("_piece"), F.when(how != "host", F.col("host")).alias("_host"), "rank", F.col("capability").alias("_capability"))
-    sizes: dict[str, list[int]] = {"begins": [], "holds": []}
-    for r in given.filter("_how <> 'host'").select("_how", F.length("_piece").alias("n")).distinct().collect():  # `longest` each at most
-        sizes[r["_how"]].append(r["n"])
+    piece = F.when(how == "host", F.col("host")).otherwise(F.lower("pattern"))
+    given = given.select(how.alias("_how"), piece.alias("_piece"), F.when(how != "host", F.col("host")).alias("_host"), "rank", F.col("capability").alias("_capability"))
+    given = given.filter("_piece IS NOT NULL AND rank IS NOT NULL AND _capability IS NOT NULL")
+    # of rules alike but for their rank the first counts; they are numbered in their order, so that a smallest number is sought
+    scratch, keys = Scratch(models.sparkSession), ["_how", "_piece", "_host"]
+    alone = given.groupBy(*keys).agg(F.min(F.struct("rank", "_capability")).alias("_first")).select(*keys, "_first.*")
+    alone = scratch.write(alone.orderBy("rank").withColumn("_order", F.monotonically_increasing_id()), "capability-rules")
+    sizes: dict[tuple[str, bool], list[int]] = {(h, own): [] for h in ("begins", "holds") for own in (False, True)}
+    for r in alone.filter("_how <> 'host'").select("_how", F.length("_piece").alias("n"), F.col("_host").isNotNull().alias("own")).distinct().collect():  # `longest` each at most
+        sizes[r["_how"], r["own"]].append(r["n"])
     if any(n > longest for of in sizes.values() for n in of):
         raise ValueError(f"patterns have at most {longest} characters")
     name, host = F.lower(F.coalesce("request_name", F.lit(""))), url_host(F.col("base_url")) if "base_url" in models.columns else F.lit(None).cast("string")
-    piece = lambda kind, text: F.struct(F.lit(kind).alias("_how"), text.alias("_piece"))
-    begins = [piece("begins", F.substring(name, 1, n)) for n in sorted(sizes["begins"])]
-
-    def inside(n: int) -> Column:
-        starts = F.when(F.length(name) >= n, F.sequence(F.lit(1), F.length(name) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: piece("holds", F.substring(name, i, F.lit(n))))
-
-    keys = F.array_distinct(F.concat(F.array(piece("host", F.coalesce(host, F.lit(""))), *begins), *map(inside, sorted(sizes["holds"]))))
-    met = models.select("*", host.alias("_own"), F.explode(keys).alias("_key")).select("*", "_key._how", "_key._piece")
-    found = met.join(given, ["_how", "_piece"], "left").withColumn("_fits", F.col("_capability").isNotNull() & (F.col("_host").isNull() | F.coalesce(F.col("_host") == F.col("_own"), F.lit(False))))
-    best = found.groupBy(*models.columns).agg(F.min_by("_capability", F.when(F.col("_fits"), F.col("rank"))).alias("capability"))
-    return best.withColumn("capability", F.coalesce("capability", F.lit(fallback)))
+    key = lambda kind, text, own: F.struct(F.lit(kind).alias("_how"), text.alias("_piece"), (F.col("_own") if own else F.lit(None).cast("string")).alias("_host"))
+
+    def inside(n: int, own: bool) -> Column:
+        starts = F.when(F.length("_name") >= n, F.sequence(F.lit(1), F.length("_name") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: key("holds", F.substring("_name", i, F.lit(n)), own))
+
+    begins = [key("begins", F.substring("_name", 1, n), own) for own in (False, True) for n in sorted(sizes["begins", own])]
+    wanted = F.concat(F.array(key("host", F.coalesce("_own", F.lit("")), False), *begins), *(inside(n, own) for own in (False, True) for n in sorted(sizes["holds", own])))
+    # names have many keys each: few input files must not mean few tasks
+    met = models.repartition(partitions(models.sparkSession)).select("*", name.alias("_name"), host.alias("_own")).select(*models.columns, F.explode(wanted).alias("_key")).select(*models.columns, *(F.col(f"_key.{k}").alias(k) for k in keys))
+    numbers = alone.select(*(F.col(k).alias(f"r{k}") for k in keys), "_order")
+    met = met.join(F.broadcast(numbers) if alone.count() <= most_sent else numbers, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"r{k}")) for k in keys)), "left")
+    best = met.groupBy(*models.columns).agg(F.min("_order").alias("_order")).join(alone.select("_order", "_capability"), "_order", "left")
+    return best.select(*models.columns, F.coalesce("_capability", F.lit(fallback)).alias("capability"))
 
 
 def deep_merged(base: object, change: object, protected: tuple[str, ...] = ()) -> object:

@@ -116,3 +116,13 @@ def test_capability_rules(spark):
     got = {tuple(r)[:2]: r.capability for r in catalog.capabilities(spark.createDataFrame(given, "request_name string, base_url string"), table).collect()}
     assert [got[g] for g in given] == ["video", "code", "text", "vision", "text", "late", "other"]
     assert catalog.capabilities(spark.createDataFrame(given, "request_name string, base_url string"), table.filter("false")).filter("capability = 'text'").count() == len(given)
+
+
+def test_rules_alike_meet_a_model_once(spark):
+    rules = spark.range(20_000).select((20_000 - F.col("id")).alias("rank"), F.concat(F.lit("c"), 20_000 - F.col("id")).alias("capability"), F.when(F.col("id") % 2 == 0, "ed b").otherwise("").alias("pattern"), F.lit("holds").alias("how"), F.concat(F.lit("h"), F.col("id") % 3).alias("host"))
+    given = spark.range(5000).select(F.concat("id", F.lit(" red bolt")).alias("request_name"), F.concat(F.lit("https://h"), F.col("id") % 4).alias("base_url"))
+    for most_sent in (10, 300_000):  # rules in a shuffle, and sent
+        made = catalog.capabilities(given, rules, most_sent=most_sent)
+        assert {(r[0][-1], r[1], r[2]) for r in made.groupBy("base_url", "capability").count().collect()} == {("0", "c2", 1250), ("1", "c1", 1250), ("2", "c3", 1250), ("3", "text", 1250)}
+    joined = catalog.capabilities(given, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in joined and "min(_order" in joined  # whole rules meet no model: 1667 a model otherwise
