@@ -42,26 +42,28 @@ def loaded(entries: DataFrame, most: int = 200_000) -> list[tuple[int, str]]:
     return sorted((r.entry_index, r.src) for r in rows)
 
 
-def matches(chunks: DataFrame, terms: list[tuple[int, str]], key: str = "doc_id", overlaps: bool = False) -> DataFrame:
+def matches(chunks: DataFrame, terms: list[tuple[int, str]], key: str = "doc_id", overlaps: bool = False, apart: bool = False) -> DataFrame:
     """key, entry_index, start, end of the terms in each text.
 
     `terms` is one glossary as its loader checked it (bounded by the glossary's own size limit). Hits in any ASCII case;
     a term that begins or ends with a word character needs none beside it there. Of overlapping hits the longest stays,
     then the leftmost, then that of the earlier entry; with `overlaps` all stay, those of equal entries included. Spans count
-    code points.
+    code points. With `apart` no term may have a word character beside it, whatever it begins or ends with, and the case of
+    other letters doesn't count either.
     """
     import ahocorasick
 
-    low = lambda s: "".join(c.lower() if c.isascii() else c for c in s)
+    table = {c: c + 32 for c in range(65, 91)}
+    if apart:  # one character each, so that places stay
+        table |= {c: ord(chr(c).lower()[0]) for c in range(128, 0x110000) if chr(c).lower() != chr(c)}
     by: dict[str, list[int]] = {}
     for index, src in terms:
         if src:
-            by.setdefault(low(src), []).append(index)
+            by.setdefault(src.translate(table), []).append(index)
     schema = f"{key} long, entry_index long, start long, end long"
     if not by:
         return chunks.sparkSession.createDataFrame([], schema)
     shared = chunks.sparkSession.sparkContext.broadcast(by)
-    table = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     word = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +78,7 @@ def matches(chunks: DataFrame, terms: list[tuple[int, str]], key: str = "doc_id"
                 hits = []
                 for stop, (size, indexes) in automaton.iter(text):
                     start, end = stop + 1 - size, stop + 1
-                    if text[start] in word and start and text[start - 1] in word or text[stop] in word and end < len(text) and text[end] in word:
+                    if start and (apart or text[start] in word) and text[start - 1] in word or end < len(text) and (apart or text[stop] in word) and text[end] in word:
                         continue
                     hits += [(-size, start, index) for index in (indexes if overlaps else indexes[:1])]
                 taken: list[tuple[int, int, int]] = []

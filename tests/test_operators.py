@@ -161,6 +161,14 @@ def test_glossary_matching(spark):
     assert sorted((r.entry_index, r.start) for r in every) == [(0, 0), (1, 4), (2, 0), (5, 0)]
 
 
+def test_terms_that_stand_apart(spark):
+    terms = [(0, "De í"), (1, "Éa"), (2, "(x)"), (3, "tan")]
+    texts = [(1, "de íueue, éa"), (2, "DE Í ÉA"), (3, "a(X) (x)b (X)"), (4, "(x)"), (5, "a(x)b étanç tan_ İtan")]
+    found = lambda **how: sorted((r.doc_id, r.entry_index, r.start) for r in glossary.matches(spark.createDataFrame(texts, "doc_id long, text string"), terms, overlaps=True, **how).collect())
+    assert found(apart=True) == [(1, 1, 10), (2, 0, 0), (2, 1, 5), (3, 2, 10), (4, 2, 0), (5, 3, 7)]
+    assert (1, 0, 0) in found() and (3, 2, 1) in found() and (1, 1, 10) not in found()
+
+
 def test_every_term_is_tested_on_every_document(spark):
     from quillmill.plans import catalogue
 
