@@ -23,3 +23,15 @@ def test_what_is_no_object(spark):
     got = {r.id: (r.merged, r.error) for r in bodies.merged(spark.createDataFrame(rows, "id long, base string, change string"), "id", "base", "change").collect()}
     assert got == {1: (None, bodies.NOT_AN_OBJECT), 2: (None, bodies.NOT_AN_OBJECT), 3: ('{"a":1}', None), 4: ('{"b":3}', None)}
     assert bodies.merged(spark.createDataFrame([], "id long, base string, change string"), "id", "base", "change").collect() == []
+
+
+def test_rows_are_merged_alone(spark):
+    odd = [("5", '{"x":1}'), ("5", "{}"), ("5", '{"model":1}'), (None, '{"x":{"y":{}}}'), ("nope", "{}"), ("[1]", None), ('{"a":{"b":null}}', '{"a":{"c":null}}'), ('{"a":null}', '{"a":{"c":"}{"}}'), ('{"a":1.50,"b":12345678901234567890,"c":[{"z":1,"a":2}]}', '{"c":{"\\u00e9":1e3}}'), ("null", "null")]
+    nested = lambda n, end: "".join(f'{{"k{i}":' for i in range(n)) + end + "}" * n
+    texts = [*odd, *((json.dumps(b), None if c is None else json.dumps(c)) for b, c in CASES), *((nested(n, '{"u":1}'), nested(n, '{"v":2}')) for n in (1, 5))]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id long, base string, change string")
+    got = {r.id: (r.merged, r.error) for r in bodies.merged(rows, "id", "base", "change").collect()}
+    assert got == {r.id: (r.merged, r.error) for r in bodies.by_paths(rows, "id", "base", "change").collect()}
+    assert json.loads(got[len(texts) - 1][0]) == json.loads(nested(5, '{"u":1,"v":2}'))
+    plan = bodies.merged(rows.filter("id < 20"), "id", "base", "change")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
