@@ -76,7 +76,9 @@ def count_of(text: Column, characters: str) -> Column:
 
 def detect_language(text: Column) -> Column:
     """Language from script counts; null below 8 signal characters. Shares are integer divisions."""
-    counts = F.struct(*[count_of(text, v).alias(k) for k, v in SCRIPTS.items()], count_of(text, VIETNAMESE).alias("vietnamese"))
+    # all signals but Latin ones lie beyond ASCII, of which most texts hold little: only two patterns run over a whole text
+    beyond = lambda rest: [count_of(rest, v).alias(k) for k, v in SCRIPTS.items() if k != "latin"] + [count_of(rest, VIETNAMESE).alias("vietnamese")]
+    counts = once(F.regexp_replace(text, r"[\x00-\x7f]++", ""), lambda rest: F.struct(count_of(text, SCRIPTS["latin"]).alias("latin"), *beyond(rest)))
 
     def decide(n: Column) -> Column:
         total = sum((n[k] for k in list(SCRIPTS)[1:]), n[next(iter(SCRIPTS))])

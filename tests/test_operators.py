@@ -287,3 +287,14 @@ def test_stream_equals_batch(spark, tmp_path):
     counts.processAllAvailable()
     counts.stop()
     assert {r.task_id: r.total for r in spark.table("counts").collect()} == {1: 40, 2: 40}
+
+
+def test_few_patterns_run_over_whole_texts(spark):
+    from quillmill.functions import text as T
+
+    texts = ["abc", "Latin text only", "かな と 漢字の文章です", "한국어 문장입니다 여기", "中文的句子在这里写着呢", "русский текст тут", "نص عربي هنا للتجربة", "đường phố rộng rãi", None, "", "1234 5678 -- !!", "naïve café déjà vu"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = [r[0] for r in frame.orderBy("id").select(T.detect_language(F.col("text"))).collect()]
+    assert got == [None, "en", "ja", "ko", "zh-CN", "ru", "ar", "vi", None, None, None, "en"]
+    plan = frame.select(T.detect_language(F.col("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(text#") == 2
