@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.arrays import running
+from quillmill.functions.text import once
 
 
 def line_index(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,22 +35,37 @@ def byte_offsets(places: DataFrame, index: DataFrame, key: str = "doc_id") -> Da
     return found.select(*places.columns, F.when((F.col("column") > 0) & (F.col("start") + width <= F.col("end")) & whole, F.col("start") + width).alias("offset"))
 
 
+#: A text up to the bracket that closes its first one, with at most two levels of brackets inside.
+_LABEL = r"^([^\[\]]*+\[(?:[^\[\]]++|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])*+\])"
+
+
 def label_end(raw: Column) -> Column:
     """The place (from 0) of the bracket that closes the first one; null if none does, or one closes before any opens.
 
-    A backslash takes the next character's meaning. The state is an escape, a depth and a place, whatever the length.
+    A backslash takes the next character's meaning. Labels with few levels are found by a pattern, which no length makes
+    slow; others by a depth and a place, in steps from bracket to bracket.
     """
-    state = "struct<escaped:boolean,depth:int,at:int,end:int>"
 
-    def step(s: Column, c: Column) -> Column:
-        plain = ~s["escaped"]
-        opens, closes = plain & (c == "["), plain & (c == "]")
-        end = F.when(closes & (s["depth"] == 0), F.lit(-1)).when(closes & (s["depth"] == 1), s["at"])
-        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        return F.when(s["end"].isNotNull(), s).otherwise(F.struct((plain & (c == "\\")).alias("escaped"), depth.alias("depth"), (s["at"] + 1).alias("at"), end.alias("end")).cast(state))
+    def found(plain: Column) -> Column:
+        label = F.regexp_extract(plain, _LABEL, 1)
+        return once(label, lambda x: F.when(F.length(x) > 0, F.length(x) - 1).when(F.contains(plain, F.lit("]")), by_depth(plain)))
+
+    return once(F.when(F.contains(raw, F.lit("\\")), F.regexp_replace(raw, r"(?s)\\.", "xx")).otherwise(raw), found)
+
 
-    start = F.struct(F.lit(False).alias("escaped"), F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end")).cast(state)
-    return F.aggregate(F.split(raw, ""), start, step, lambda s: F.when(s["end"] >= 0, s["end"]))
+def by_depth(plain: Column) -> Column:
+    """label_end of a text without escapes, however deep its brackets are: the state is a depth and a place."""
+    state = "struct<depth:int,at:int,end:int>"
+
+    def step(s: Column, piece: Column) -> Column:
+        at = s["at"] + F.length(piece)
+        closes = F.endswith(piece, F.lit("]"))
+        end = F.when(closes & (s["depth"] == 0), F.lit(-1)).when(closes & (s["depth"] == 1), at - 1)
+        depth = s["depth"] + F.when(F.endswith(piece, F.lit("[")), 1).when(closes, -1).otherwise(0)
+        return F.when(s["end"].isNotNull(), s).otherwise(F.struct(depth.alias("depth"), at.alias("at"), end.alias("end")).cast(state))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end")).cast(state)
+    return F.aggregate(F.split(plain, r"(?<=[\[\]])"), start, step, lambda s: F.when(s["end"] >= 0, s["end"]))
 
 
 PARTS = "struct<kind:string,open:string,close:string,inner:string>"
@@ -58,10 +74,13 @@ PARTS = "struct<kind:string,open:string,close:string,inner:string>"
 def link_parts(raw: Column, image: bool = False) -> Column:
     """struct<kind, open, close, inner> of a Markdown link or image: its label, and what stands around it; else null."""
     head = "![" if image else "["
+
+    def made(end: Column) -> Column:
+        inner = F.substring(raw, F.lit(len(head) + 1), end - len(head))
+        return F.when(end.isNotNull(), F.struct(F.lit("image" if image else "link").alias("kind"), F.lit(head).alias("open"), F.substring(raw, end + 1, F.length(raw)).alias("close"), inner.alias("inner")))
+
     end = label_end(F.substring(raw, len(head), F.length(raw))) + len(head) - 1
-    inner = F.substring(raw, F.lit(len(head) + 1), end - len(head))
-    made = F.struct(F.lit("image" if image else "link").alias("kind"), F.lit(head).alias("open"), F.substring(raw, end + 1, F.length(raw)).alias("close"), inner.alias("inner"))
-    return F.when(F.startswith(raw, F.lit(head)) & end.isNotNull(), made).cast(PARTS)
+    return F.when(F.startswith(raw, F.lit(head)), once(end, made)).cast(PARTS)
 
 
 def delimited_parts(raw: Column, kind: str, delimiters: list[str]) -> Column:

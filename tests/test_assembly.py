@@ -1,6 +1,7 @@
 """Pieces of answers, places and backgrounds against step by step forms."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -99,6 +100,31 @@ def test_parts(spark):
     assert show(positions.delimited_parts(F.col("raw"), "strong", ["**", "_"])) == [*[None] * 6, ("**", "**", "b"), None, ("_", "_", "c"), *[None] * 3]
 
 
+def test_labels_of_any_depth(spark):
+    """The closing bracket against a walk over the characters: deep, unclosed, escaped and long; a long text is walked by its brackets."""
+
+    def walked(raw):
+        depth, escaped = 0, False
+        for i, c in enumerate(raw):
+            if escaped or c == "\\":
+                escaped = not escaped
+            elif c in "[]":
+                depth += 1 if c == "[" else -1
+                if depth <= 0:
+                    return i if depth == 0 else None
+
+    rng = random.Random(11)
+    rows = ["".join(rng.choice("[[[]]]\\\\aé😀\n") for _ in range(rng.randint(0, 24))) for _ in range(2000)]
+    rows += ["[" + "a[b]" * 20_000 + "](u)", "[" * 3000 + "]" * 3000 + "x", "[" + "\\]" * 20_000 + "]", "[" * 5000, "\\", "[a\\"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "id int, raw string")
+    got = {r.id: r.end for r in frame.select("id", positions.label_end(F.col("raw")).alias("end")).collect()}
+    assert [got[i] for i in range(len(rows))] == [walked(r) for r in rows]
+    # steps go by brackets, not by characters: eight million characters take a moment (by characters: minutes)
+    start = time.monotonic()
+    assert spark.createDataFrame([("[[[[" + "x" * 8_000_000 + "]]]](u)",)], "raw string").select(positions.link_parts(F.col("raw"))["close"]).first()[0] == "](u)"
+    assert time.monotonic() - start < 10
+
+
 def test_background(spark):
     rows = [(1, s, t) for s, t in enumerate([" a b ", " \n", "c\td", "e " * 3000])] + [(2, 0, " "), (2, 1, None), (3, 0, "x" * 50_000)] + [(4, s, "w") for s in range(3000)]
     chunks = spark.createDataFrame(rows, "id long, sequence long, source_text string").repartition(4)
