@@ -1,6 +1,7 @@
 """Packer, placeholders, glossary, tasks, model and telemetry operators."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,25 @@ def test_last_split_part_stays_open():
     assert "".join(splitting.split(family, 7)) == family and all(len(p) % 5 == 0 for p in splitting.split(family, 7))
 
 
+def test_splitting_at_places_found_once():
+    """Parts and tokens as a counter gives them that counts every part of every level, and no separator is sought twice."""
+    rng, by_parts = random.Random(5), lambda t: len(splitting._patterns()[2].findall(t))
+    letters = ["a", "Word", "é", "漢字", "1234567", "٣٤", "½", " ", "  ", "\n", "\n\n", "\n\n\n", ". ", ".", "。", "!?", "…x", "\u00a0", "\u3000", "\x1c", "👩‍👩‍👧", "e\u0301", "\r\n", "_", "\x00"]
+    for i in range(4000):
+        text = "".join(rng.choices(letters, k=rng.choice((0, 3, 30, 200)))) if i % 9 else "".join(rng.choices(["a", "b", "1", "e\u0301", "漢"], k=80))
+        limit = rng.choice((1, 2, 5, 9, 40))
+        assert splitting.split(text, limit) == splitting.split(text, limit, by_parts), (text, limit)
+        assert splitting.count_tokens(text) == by_parts(text)
+    # every character alone and after a letter: kinds as the patterns have them
+    for k in range(0, 0x110000, 4096):
+        text = "".join(f"a{chr(c)}" for c in range(k, k + 4096) if not 0xD800 <= c < 0xE000)
+        assert splitting.count_tokens(text) == by_parts(text)
+    start = time.process_time()
+    text = "One two, three four five six seven. Eight nine ten!\n" * 20_000
+    assert "".join(splitting.split(text, 120)) == text
+    assert time.process_time() - start < 0.5  # about 0.1; two seconds where every level counts again
+
+
 def test_oversized_lines_are_split_before_packing(spark):
     """Every registered chunk against the plain packer, on the driver's texts."""
     import hashlib
