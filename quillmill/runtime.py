@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,6 +63,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 2 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most `rows` rows and about `size` bytes: a worker makes Python values of one slice at a time."""
+    for batch in batches:
+        step = max(1, min(rows, size * batch.num_rows // max(batch.nbytes, 1)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

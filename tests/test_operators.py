@@ -277,6 +277,36 @@ def test_runs(spark):
     assert values(spark, T.token_prefix(F.col("x"), 3), "a b  c d", "1234567 x", "!!!!", "") == ["a b  c", "1234567", "!!!", ""]
 
 
+def test_workers_hold_one_slice_at_a_time(spark):
+    """Of a large batch no more than a slice is Python values at once, and none of its rows is lost."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Units:  # gives what would run in a worker
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    def peak(run, batch):
+        rows, most = [], 0
+        tracemalloc.start()
+        for made in run(iter([batch])):
+            most = max(most, tracemalloc.get_traced_memory()[1])
+            rows += [(a, b[:20] if isinstance(b, str) else b) for a, b in zip(made.column(0).to_pylist(), made.column(1).to_pylist(), strict=True)]
+            tracemalloc.reset_peak()
+        tracemalloc.stop()
+        return rows, most
+
+    texts = [f"{i} **bold** " + "x" * (3000 if i else 9_000_000) for i in range(6000)]
+    rows, most = peak(placeholders.protected(Units(), "markdown"), pa.record_batch([pa.array(range(6000)), pa.array(texts)], names=["doc_id", "text"]))
+    assert rows == [(i, t.replace("**bold**", "<t1>bold</t1>")[:20]) for i, t in enumerate(texts)] and most < 60e6, most
+    entry = {"id": "t1", "kind": "strong", "open": "**", "close": "**", "original": "", "place": ""}
+    answers = pa.record_batch([pa.array(range(6000)), pa.array(["markdown"] * 6000), pa.array([[entry]] * 6000), pa.array([f"{i} < T 1 >bold</t1> " + "x" * 3000 for i in range(6000)])], names=["doc_id", "content_format", "entries", "answer"])
+    rows, most = peak(placeholders.restored_answers(Units()), answers)
+    assert rows == [(i, f"{i} **bold** {'x' * 20}"[:20]) for i in range(6000)] and most < 10e6, most
+    assert placeholders.slices(iter([])) and not list(placeholders.slices(iter([answers.slice(0, 0)])))
+
+
 def test_restored_answers(spark):
     text = "a **b** and `c` <x"
     source, entries = placeholders.protect_markdown(text)
