@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import once
-from quillmill.runtime import before
+from quillmill.runtime import Scratch, before
 
 NODES = "array<struct<node:int,text:string>>"
+TAG = r"(?i)<\s*/?\s*t\d+\s*>"
 BITS = 20  #: of a piece's order in its chunk
 WIDTH = 64 << BITS  #: chunks whose pieces are joined first
 
@@ -29,19 +30,34 @@ def piece(answer: Column, entries: Column) -> Column:
     By node if the answer has each tag just once, in any case and with spaces in it; else whole, without the tags t1, t2
     and so on. A null answer is empty; no or null entries make a whole; of several entries of one node the last counts.
     """
-    given = F.coalesce(answer, F.lit(""))
     own = F.coalesce(entries, F.array().cast("array<struct<id:string,node:int>>"))
-    pattern = r"(?is)<\s*(t\d+)\s*>(.*?)<\s*/\s*\1\s*>"
-    ids, inner = F.transform(F.regexp_extract_all(given, F.lit(pattern), F.lit(1)), F.lower), F.regexp_extract_all(given, F.lit(pattern), F.lit(2))
-    # tags side by side are found in one pass; nested or crossing ones, and repeated ones, one by one
-    flat = (F.regexp_count(given, F.lit(r"(?i)<\s*/?\s*t\d+\s*>")) == 2 * F.size(ids)) & (F.size(F.array_distinct(ids)) == F.size(ids)) & F.forall(own, lambda e: e["id"].rlike(r"^t\d+\z"))
+    return once(F.struct(F.coalesce(answer, F.lit("")).alias("given"), F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(TAG), F.lit(0)).alias("tags")), lambda x: _piece(x["given"], x["tags"], own))
+
+
+def _piece(given: Column, tags: Column, own: Column) -> Column:
+    none = F.array().cast("array<string>")
     one = lambda e, text: F.struct(e["node"].cast("int").alias("node"), text.alias("text"))
+    turn = lambda items, k: F.filter(items, lambda _, i: i % 2 == k)
 
     def alone(e: Column) -> Column:
         found = F.regexp_extract_all(given, F.concat(F.lit(r"(?is)<\s*\Q"), e["id"], F.lit(r"\E\s*>(.*?)<\s*/\s*\Q"), e["id"], F.lit(r"\E\s*>")), F.lit(1))
         return once(found, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
 
-    listed = F.when(flat, once(F.when(flat, F.map_from_arrays(ids, inner)), lambda m: F.transform(own, lambda e: one(e, F.try_element_at(m, e["id"]))))).otherwise(F.transform(own, lambda e: one(e, alone(e))))
+    # tags side by side are found in one pass; nested or crossing ones one by one, but not if one that is missing, or
+    # stands around a text more than once, makes a whole of the answer
+    def listed(names: Column, ids: Column, heads: Column) -> Column:
+        flat = (F.transform(heads, lambda x: F.concat(F.lit("/"), x)) == turn(names, 1)) & (F.size(F.array_distinct(heads)) == F.size(heads)) & (F.size(ids) == F.size(own))
+        inner = turn(F.split(given, TAG), 1)
+        beside = once(inner, lambda x: F.when(ids == heads, F.transform(own, lambda e, i: one(e, F.get(x, i)))).otherwise(once(F.map_from_arrays(heads, x), lambda m: F.transform(own, lambda e: one(e, F.try_element_at(m, F.lower(e["id"])))))))
+        missing = F.size(F.array_except(F.concat(ids, F.transform(ids, lambda x: F.concat(F.lit("/"), x))), names)) > 0
+        pairs = F.array_sort(F.filter(F.transform(names, lambda x, i: F.when(F.get(names, i + 1) == F.concat(F.lit("/"), x), x)), lambda x: x.isNotNull()))
+        again = once(pairs, lambda x: F.arrays_overlap(F.filter(x, lambda y, i: F.coalesce(F.get(x, i + 1) == y, F.lit(False))), ids))
+        return F.when(flat, beside).when(missing | again, F.array().cast(NODES)).otherwise(F.transform(own, lambda e: one(e, alone(e))))
+
+    names = F.transform(tags, lambda x: F.lower(F.translate(x, "<> \t\n\x0b\f\r", "")))
+    ids = F.filter(F.transform(own, lambda e: F.lower(e["id"])), lambda x: x.rlike(r"^t\d+\z"))
+    start = F.struct(names.alias("names"), F.when(F.size(own) > 0, ids).otherwise(none).alias("ids"))
+    found = F.when(F.size(own) > 0, once(start, lambda x: once(turn(x["names"], 0), lambda heads: listed(x["names"], x["ids"], heads)))).otherwise(F.array().cast(NODES))
 
     def made(nodes: Column) -> Column:
         by_node = (F.size(nodes) > 0) & F.forall(nodes, lambda n: n["text"].isNotNull() & n["node"].isNotNull())
@@ -49,7 +65,7 @@ def piece(answer: Column, entries: Column) -> Column:
         last = F.filter(nodes, lambda n, i: ~F.exists(F.slice(nodes, i + 2, F.size(nodes)), lambda m: m["node"] == n["node"]))
         return F.struct((~by_node).alias("whole"), F.when(~by_node, F.regexp_replace(given, r"(?i)</?\s*t\d+\s*>", "")).alias("text"), F.when(by_node, F.when(unlike, nodes).otherwise(last)).cast(NODES).alias("nodes"))
 
-    return once(listed, made)
+    return once(found, made)
 
 
 def joined(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -58,17 +74,19 @@ def joined(rows: DataFrame, group: list[str]) -> DataFrame:
     return rows.groupBy(*group, F.floor(F.col("at") / WIDTH).alias("_part")).agg(text("at")).groupBy(*group).agg(text("_part"))
 
 
-def merged(pieces: DataFrame) -> DataFrame:
+def merged(pieces: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """block, whole, node, text of pieces (block, sequence, ord, whole, text, nodes): a row for each text of a block.
 
     (sequence, ord) is unique in a block, ord below 2 ** 20. A whole text has a null node. A block that has pieces
     by node, some of them without any node, has a row with null node and an empty text beside those of its nodes.
-    Null texts are empty, null nodes none. No pieces give no rows; further columns have no effect.
+    Null texts are empty, null nodes none. No pieces give no rows; further columns have no effect. Pieces are computed once
+    and written, among the tables of `scratch` if it is given.
     """
     order = F.when((F.col("ord") >= 0) & (F.col("ord") < 1 << BITS), F.shiftleft(F.col("sequence").cast("long"), BITS) + F.col("ord")).otherwise(F.raise_error(F.lit(f"ord must be below {1 << BITS}")).cast("long"))
     nodes = F.array_sort(F.coalesce(F.col("nodes").cast(NODES), F.array().cast(NODES)))
     given = pieces.select("block", order.alias("at"), F.col("whole"), "text", F.when(F.col("whole"), F.array().cast(NODES)).otherwise(nodes).alias("nodes"))
     given = given.withColumn("largest", F.array_max(F.transform("nodes", lambda n: n["node"]))).withColumn("own", F.struct("at", "whole"))
+    given = (scratch or Scratch(pieces.sparkSession)).write(given, "pieces")
     known = before(given, ["block"], "at", {"reached": (F.max, "largest"), "first": (F.min, "own")}, WIDTH)
     single = F.coalesce(F.col("first")["whole"], F.col("whole"))
     all_nodes = F.array_join(F.transform("nodes", lambda n: F.coalesce(n["text"], F.lit(""))), "")
@@ -78,12 +96,15 @@ def merged(pieces: DataFrame) -> DataFrame:
     return joined(rows, ["block", "whole", "node"]).select("block", "whole", "node", "text")
 
 
-def node_texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def node_texts(nodes: DataFrame, texts: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """nodes (block, node, text) with the texts of `merged`, and whether they are of a block that has any.
 
     A whole text goes to node 0 of its block, and the other nodes become empty; so do nodes without a text of their own.
-    Nodes of other blocks stay as they are.
+    Nodes of other blocks stay as they are. Texts are computed once and written; what `scratch` holds else is removed.
     """
+    scratch = scratch or Scratch(texts.sparkSession)
+    texts = scratch.write(texts, "texts")
+    scratch.clear(texts)
     new = texts.filter(F.col("whole") | F.col("node").isNotNull()).select("block", F.coalesce("node", F.lit(0)).alias("node"), F.col("text").alias("_new"))
     blocks = texts.select("block").distinct().withColumn("replaced", F.lit(True))
     both = nodes.select("block", F.col("node").cast("int").alias("node"), "text").join(blocks, "block", "left").join(new, ["block", "node"], "left")

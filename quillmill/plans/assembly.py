@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import positions
 from quillmill.functions import text as T
 from quillmill.operators import replacements, tasks
-from quillmill.runtime import load
+from quillmill.runtime import Scratch, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,7 +64,8 @@ def node_replacements(spark, sf_dir):
     first = answers.select("block", F.lit(0).alias("sequence"), F.lit(0).alias("ord"), replacements.piece(F.col("answer"), F.col("entries")).alias("p")).select("block", "sequence", "ord", "p.*")
     later = docs.filter(kind == 2).select("block", F.lit(1).alias("sequence"), F.lit(0).alias("ord"), replacements.piece(F.lit("!<t1>"), F.lit(None).cast("array<struct<id:string,node:int>>")).alias("p")).select("block", "sequence", "ord", "p.*")
     nodes = docs.select("block", F.posexplode("lines").alias("node", "text"))
-    return replacements.node_texts(nodes, replacements.merged(first.unionByName(later)))
+    scratch = Scratch(spark)
+    return replacements.node_texts(nodes, replacements.merged(first.unionByName(later), scratch), scratch)
 
 
 _CUT = "CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END"

@@ -1,6 +1,7 @@
 """Pieces of answers, places and backgrounds against step by step forms."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -73,6 +74,52 @@ def test_pieces_and_nodes(spark):
     assert shown == {(1, 0): "W", (1, 1): "", (2, 0): "", (2, 1): "N", (3, 0): "", (3, 1): "", (4, 0): "40", (4, 1): "41"}
 
 
+def test_pieces_against_patterns(spark):
+    """Random answers with side by side, nested, crossing, repeated, missing and odd tags against a search for each of them."""
+
+    def want(answer, entries):
+        if not entries:
+            return True, re.sub(r"(?i)</?\s*t\d+\s*>", "", answer), None
+        texts = {}
+        for name, node in entries:
+            found = re.findall(rf"(?is)<\s*{re.escape(name)}\s*>(.*?)<\s*/\s*{re.escape(name)}\s*>", answer)
+            if len(found) != 1:
+                return True, re.sub(r"(?i)</?\s*t\d+\s*>", "", answer), None
+            texts.pop(node, None)
+            texts[node] = found[0]
+        return False, None, list(texts.items())
+
+    rng, rows = random.Random(7), []
+    for i in range(3000):
+        ids = rng.sample(["t1", "t2", "t3", "t12", "T4", "a.b"], rng.randint(0, 4))
+        tag = lambda n, close: "<" + rng.choice(["", " "]) + close + rng.choice(["", "\n"]) + rng.choice([n, n.upper()]) + rng.choice(["", " "]) + ">"
+        if i % 3:
+            answer = "".join(rng.choice(["", "x"]) + tag(n, "") + rng.choice(["", "é\n", "<b>"]) + tag(n, "/") for n in rng.sample(ids, len(ids)) + rng.choices(["t1", "t9"], k=rng.choice([0, 0, 1])))
+        else:
+            answer = "".join(rng.choice([tag(rng.choice(ids or ["t1"]), rng.choice(["", "/"])), "x", "\n"]) for _ in range(rng.randint(0, 9)))
+        rows.append((i, answer, [(n, rng.randint(0, 3)) for n in ids]))
+    got = {r.id: r.p for r in spark.createDataFrame(rows, "id long, answer string, e array<struct<id:string,node:int>>").select("id", replacements.piece(F.col("answer"), F.col("e")).alias("p")).collect()}
+    for i, answer, entries in rows:
+        p = got[i]
+        assert (p.whole, p.text, None if p.nodes is None else [tuple(n) for n in p.nodes]) == want(answer, entries), (answer, entries)
+
+
+def test_many_tags_and_pieces_once(spark):
+    """A repeated tag among many isn't sought once for each of them, and pieces are computed once for all that is read of them."""
+    lines = F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda i: F.concat(F.lit("<T"), i, F.lit(" >one line of a text, "), i, F.lit("</ t"), i, F.lit(">")))
+    entries = F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda i: F.struct(F.concat(F.lit("t"), i).alias("id"), i.alias("node")))
+    rows = spark.range(2).select(F.col("id").alias("block"), F.concat(F.array_join(lines, ""), F.when(F.col("id") == 1, "<t7></t7>").otherwise("")).alias("answer"), entries.alias("e"))
+    start = time.monotonic()
+    made = {r.block: r.p for r in rows.select("block", replacements.piece(F.col("answer"), F.col("e")).alias("p")).collect()}
+    assert time.monotonic() - start < 8  # about a second; a search for each takes many times as long
+    assert len(made[0].nodes) == 5000 and made[0].nodes[4999].text == "one line of a text, 5000" and made[1].whole
+    pieces = rows.select("block", F.lit(0).alias("sequence"), F.lit(0).alias("ord"), replacements.piece(F.col("answer"), F.col("e")).alias("p")).select("block", "sequence", "ord", "p.*")
+    nodes = spark.createDataFrame([(0, 2, "a"), (1, 0, "b"), (2, 0, "c")], "block long, node int, text string")
+    shown = replacements.node_texts(nodes, replacements.merged(pieces))
+    assert "regexp_extract_all" not in shown._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.block, r.text[:26], r.replaced) for r in shown.orderBy("block").collect()] == [(0, "one line of a text, 2", True), (1, "one line of a text, 1one l", True), (2, "c", False)]
+
+
 def test_byte_offsets(spark):
     texts = {1: "aé\r\nß😀\n", 2: "", 3: "x\r", 4: None, 5: "\n" * 3000 + "zé"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
