@@ -14,9 +14,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmill.functions.text import once
-from quillmill.runtime import Scratch, before
+from quillmill.runtime import Scratch
 
 NODES = "array<struct<node:int,text:string>>"
 TAG = r"(?i)<\s*/?\s*t\d+\s*>"
@@ -69,9 +70,9 @@ def _piece(given: Column, tags: Column, own: Column) -> Column:
 
 
 def joined(rows: DataFrame, group: list[str]) -> DataFrame:
-    """The texts of each group in the order of `at`, joined by blocks of chunks first."""
+    """The texts of each group in the order of `at`, joined by parts first."""
     text = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "").alias("text")
-    return rows.groupBy(*group, F.floor(F.col("at") / WIDTH).alias("_part")).agg(text("at")).groupBy(*group).agg(text("_part"))
+    return rows.groupBy(*group, "_part").agg(text("at")).groupBy(*group).agg(text("_part"))
 
 
 def merged(pieces: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -86,14 +87,21 @@ def merged(pieces: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     nodes = F.array_sort(F.coalesce(F.col("nodes").cast(NODES), F.array().cast(NODES)))
     given = pieces.select("block", order.alias("at"), F.col("whole"), "text", F.when(F.col("whole"), F.array().cast(NODES)).otherwise(nodes).alias("nodes"))
     given = given.withColumn("largest", F.array_max(F.transform("nodes", lambda n: n["node"]))).withColumn("own", F.struct("at", "whole"))
+    # a struct is equal to another one though both hold a null
+    given = given.withColumn("_key", F.struct("block")).withColumn("_part", F.floor(F.col("at") / WIDTH)).drop("block")
     given = (scratch or Scratch(pieces.sparkSession)).write(given, "pieces")
-    known = before(given, ["block"], "at", {"reached": (F.max, "largest"), "first": (F.min, "own")}, WIDTH)
+    # texts go by _key and _part for all that is done with pieces of a part; only small columns go by block
+    own, ahead = Window.partitionBy("_key", "_part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = given.groupBy("_key", "_part").agg(F.max("largest").alias("_largest"), F.min("own").alias("_own"))
+    starts = parts.select("_key", "_part", F.max("_largest").over(ahead).alias("_before"), F.min("_own").over(ahead).alias("_start"))
+    rows = given.select("*", F.max("largest").over(own).alias("_inner"), F.min("own").over(own).alias("_inner_own"))
+    known = rows.join(starts, ["_key", "_part"]).withColumn("reached", F.greatest("_inner", "_before")).withColumn("first", F.least("_inner_own", "_start"))
     single = F.coalesce(F.col("first")["whole"], F.col("whole"))
     all_nodes = F.array_join(F.transform("nodes", lambda n: F.coalesce(n["text"], F.lit(""))), "")
     one = lambda node, text: F.array(F.struct(node.cast("int").alias("node"), text.alias("text"))).cast(NODES)
-    parts = F.when(single, one(F.lit(None), F.when(F.col("whole"), F.col("text")).otherwise(all_nodes))).when(F.col("whole"), one(F.coalesce("reached", F.lit(0)), F.col("text"))).otherwise(F.col("nodes"))
-    rows = known.select("block", "at", single.alias("whole"), F.explode_outer(parts).alias("part")).select("block", "at", "whole", F.col("part")["node"].alias("node"), F.col("part")["text"].alias("text"))
-    return joined(rows, ["block", "whole", "node"]).select("block", "whole", "node", "text")
+    texts = F.when(single, one(F.lit(None), F.when(F.col("whole"), F.col("text")).otherwise(all_nodes))).when(F.col("whole"), one(F.coalesce("reached", F.lit(0)), F.col("text"))).otherwise(F.col("nodes"))
+    rows = known.select("_key", "_part", "at", single.alias("whole"), F.explode_outer(texts).alias("part")).select("_key", "_part", "at", "whole", F.col("part")["node"].alias("node"), F.col("part")["text"].alias("text"))
+    return joined(rows, ["_key", "whole", "node"]).select(F.col("_key")["block"].alias("block"), "whole", "node", "text")
 
 
 def node_texts(nodes: DataFrame, texts: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -106,6 +114,10 @@ def node_texts(nodes: DataFrame, texts: DataFrame, scratch: Scratch | None = Non
     texts = scratch.write(texts, "texts")
     scratch.clear(texts)
     new = texts.filter(F.col("whole") | F.col("node").isNotNull()).select("block", F.coalesce("node", F.lit(0)).alias("node"), F.col("text").alias("_new"))
-    blocks = texts.select("block").distinct().withColumn("replaced", F.lit(True))
-    both = nodes.select("block", F.col("node").cast("int").alias("node"), "text").join(blocks, "block", "left").join(new, ["block", "node"], "left")
-    return both.select("block", "node", F.when(F.col("replaced"), F.coalesce("_new", F.lit(""))).otherwise(F.col("text")).alias("text"), F.coalesce("replaced", F.lit(False)).alias("replaced"))
+    # all go by block once; of a block any text makes its nodes new ones
+    rows = nodes.select("block", F.col("node").cast("int").alias("node"), "text", F.lit(True).alias("_node"), F.lit(None).cast("string").alias("_new"), F.lit(False).alias("_any"))
+    added = lambda t, node, text: t.filter(F.col("block").isNotNull()).select("block", node.cast("int").alias("node"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("_node"), text.cast("string").alias("_new"), F.lit(True).alias("_any"))
+    bare = texts.filter(~F.col("whole") & F.col("node").isNull())
+    both = rows.unionByName(added(new, F.col("node"), F.col("_new"))).unionByName(added(bare, F.lit(None), F.lit(None)))
+    both = both.withColumn("replaced", F.max("_any").over(Window.partitionBy("block"))).withColumn("_new", F.max("_new").over(Window.partitionBy("block", "node"))).filter("_node")
+    return both.select("block", "node", F.when(F.col("replaced"), F.coalesce("_new", F.lit(""))).otherwise(F.col("text")).alias("text"), "replaced")

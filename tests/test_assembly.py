@@ -117,6 +117,7 @@ def test_many_tags_and_pieces_once(spark):
     nodes = spark.createDataFrame([(0, 2, "a"), (1, 0, "b"), (2, 0, "c")], "block long, node int, text string")
     shown = replacements.node_texts(nodes, replacements.merged(pieces))
     assert "regexp_extract_all" not in shown._jdf.queryExecution().optimizedPlan().toString()
+    assert shown._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # texts of nodes go by block once
     assert [(r.block, r.text[:26], r.replaced) for r in shown.orderBy("block").collect()] == [(0, "one line of a text, 2", True), (1, "one line of a text, 1one l", True), (2, "c", False)]
 
 
